@@ -130,7 +130,7 @@ MANIFEST_FIELDS = {
 def combine_manifests(spark: SparkSession, path: str) -> DataFrame:
     """One row for each run manifest (JSON): the first non-null of several names for each
     figure, and receptor rows over unique queries."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("value"), F.input_file_name().alias("file"))
+    text = spark.read.text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("file"))
     get = lambda names: F.coalesce(*[F.get_json_object("value", f"$.{n}") for n in names]).cast("long")
     out = text.select("file", *[get(n).alias(k) for k, n in MANIFEST_FIELDS.items()])
     return out.withColumn("deduplication_ratio", F.try_divide(F.col("receptor_rows").cast("double"), F.col("unique_queries")))
