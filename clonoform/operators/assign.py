@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -16,8 +17,11 @@ from clonoform.functions import scalars as S
 from clonoform.functions.grouped import chain_rows, row_name, row_numbers
 
 SCORED = T.StructType([T.StructField("cdr3aa", T.StringType()), T.StructField("rfu_id", T.IntegerType()), T.StructField("rfu_score", T.DoubleType())])
-#: The reference goes to every task; more numbers than this aren't a reference.
-MOST_REFERENCE_NUMBERS = 50_000_000
+#: What goes to every task: at most so many numbers of centroids at once, and of trimers
+#: (of which there are at most 20**3).
+MOST_NUMBERS = 20_000_000
+
+Scorer = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 class RfuTables(NamedTuple):
@@ -43,7 +47,7 @@ def embed_sequences(queries: DataFrame, trimers: DataFrame, start: int = 2, end:
     """cdr3aa, n_trimers, vec: the mean vector of a sequence's trimers that the reference
     knows; sequences without any don't appear. A relational form of what the scorer does."""
     parts = queries.select("cdr3aa").distinct().select("cdr3aa", F.explode(S.trimers(F.col("cdr3aa"), start, end)).alias("trimer"))
-    known = parts.join(F.broadcast(trimers), "trimer")
+    known = parts.join(trimers, "trimer")
     counts = known.groupBy("cdr3aa").agg(F.count(F.lit(1)).alias("n_trimers"))
     dims = known.select("cdr3aa", F.posexplode("vec").alias("dim", "x")).groupBy("cdr3aa", "dim").agg(F.avg("x").alias("x"))
     vectors = dims.groupBy("cdr3aa").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vec"))
@@ -60,15 +64,24 @@ def unit_ranks(rows: np.ndarray) -> np.ndarray:
         return ranks / norm
 
 
-def spearman_scorer(trimers: DataFrame, centroids: DataFrame, start: int = 2, end: int = 4) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A batch function cdr3aa -> (cdr3aa, rfu_id, rfu_score): the centroid of the highest
+def spearman_scorers(trimers: DataFrame, centroids: DataFrame, start: int = 2, end: int = 4, most_numbers: int = MOST_NUMBERS) -> list[Scorer]:
+    """Batch functions cdr3aa -> (cdr3aa, rfu_id, rfu_score): the centroid of the highest
     Spearman correlation, rounded to 9 digits; the smallest id wins a tie; NULL without a
-    defined correlation. The reference is collected and broadcast behind a size check."""
-    spark = trimers.sparkSession
-    sizes = [df.agg(F.coalesce(F.sum(F.size("vec").cast("long")), F.lit(0)).alias("n")).first()["n"] for df in (trimers, centroids)]
-    if sum(sizes) > MOST_REFERENCE_NUMBERS:
-        raise ValueError(f"the reference has {sum(sizes)} numbers; at most {MOST_REFERENCE_NUMBERS} are broadcast")
+    defined correlation.
+
+    Centroids are broadcast in blocks of at most ``most_numbers`` numbers, one scorer for
+    each; ``assign`` takes the best of the blocks, so any reference can be used.
+    """
+    numbers = F.coalesce(F.sum(F.size("vec").cast("long")), F.lit(0)).alias("n")
+    if trimers.agg(numbers).first()["n"] > most_numbers:
+        raise ValueError("the trimer vectors are too wide to broadcast")
     known = trimers.select("trimer", "vec").collect()
+    blocks = max(1, -(-centroids.agg(numbers).first()["n"] // most_numbers))
+    return [_scorer(trimers, known, centroids.where(F.pmod(F.col("rfu_id"), F.lit(blocks)) == k), start, end) for k in range(blocks)]
+
+
+def _scorer(trimers: DataFrame, known: list, centroids: DataFrame, start: int, end: int) -> Scorer:
+    spark = trimers.sparkSession
     units = centroids.select("rfu_id", "vec").orderBy("rfu_id").collect()
     index = {r["trimer"]: i for i, r in enumerate(known)}
     vectors = np.array([r["vec"] for r in known], np.float64)
@@ -106,15 +119,23 @@ def spearman_scorer(trimers: DataFrame, centroids: DataFrame, start: int = 2, en
     return run
 
 
-def assign(queries: DataFrame, scorer: Callable, threshold: float = 0.6) -> DataFrame:
-    """Score unique queries and add label and threshold flag (inclusive). ``scorer`` is any
+def score(queries: DataFrame, scorers: list[Scorer]) -> DataFrame:
+    """(cdr3aa, rfu_id, rfu_score) of each query: the best over all scorers."""
+    spread = queries.select("cdr3aa").repartition(F.col("cdr3aa"))
+    if len(scorers) == 1:
+        return spread.mapInArrow(scorers[0], SCORED)
+    found = reduce(DataFrame.unionByName, [spread.mapInArrow(s, SCORED) for s in scorers])
+    best = F.max(F.when(F.col("rfu_id").isNotNull(), F.struct("rfu_score", (-F.col("rfu_id")).alias("minus")))).alias("b")
+    return found.groupBy("cdr3aa").agg(best).select("cdr3aa", (-F.col("b.minus")).alias("rfu_id"), F.col("b.rfu_score").alias("rfu_score"))
+
+
+def assign(queries: DataFrame, scorers: list[Scorer], threshold: float = 0.6) -> DataFrame:
+    """Score unique queries and add label and threshold flag (inclusive). A scorer is any
     batch function with the schema of ``SCORED``."""
-    spread = queries.repartition(F.col("cdr3aa")).select("cdr3aa")
-    scored = spread.mapInArrow(scorer, SCORED)
-    return queries.join(scored, "cdr3aa").select("*", S.rfu_label(F.col("rfu_id")).alias("rfu_label"), (F.col("rfu_score") >= threshold).alias("pass_thr"))
+    return queries.join(score(queries, scorers), "cdr3aa").select("*", S.rfu_label(F.col("rfu_id")).alias("rfu_label"), (F.col("rfu_score") >= threshold).alias("pass_thr"))
 
 
-def assign_incremental(queries: DataFrame, store: DataFrame, scorer: Callable, reference_id: str, threshold: float = 0.6, force: bool = False) -> DataFrame:
+def assign_incremental(queries: DataFrame, store: DataFrame, scorers: list[Scorer], reference_id: str, threshold: float = 0.6, force: bool = False) -> DataFrame:
     """Reuse stored scores of the same reference and compute only the rest. ``store`` holds
     reference_id, cdr3aa, rfu_id, rfu_score; the ``reused`` flag tells the two apart."""
     own = store.where(F.col("reference_id") == reference_id).select("cdr3aa", "rfu_id", "rfu_score").dropDuplicates(["cdr3aa"])
@@ -122,7 +143,7 @@ def assign_incremental(queries: DataFrame, store: DataFrame, scorer: Callable, r
         own = own.where(F.lit(False))
     hits = queries.join(own, "cdr3aa").withColumn("reused", F.lit(True))
     rest = queries.join(own, "cdr3aa", "left_anti")
-    new = rest.join(rest.select("cdr3aa").repartition(F.col("cdr3aa")).mapInArrow(scorer, SCORED), "cdr3aa").withColumn("reused", F.lit(False))
+    new = rest.join(score(rest, scorers), "cdr3aa").withColumn("reused", F.lit(False))
     return hits.unionByName(new).select("*", S.rfu_label(F.col("rfu_id")).alias("rfu_label"), (F.col("rfu_score") >= threshold).alias("pass_thr"))
 
 
@@ -161,13 +182,13 @@ def per_sequence(per_row: DataFrame, order_by: str = "source_order") -> DataFram
 MAPPING = ("input_row_id", "unique_sequence_id", "cell_id", "chain", "cdr3aa", "v_call", "source_adapter", "source_row_id", "eligibility_status", "reference_coverage_status", "assignment_status")
 
 
-def call_rfus(receptors: DataFrame, scorer: Callable, *, chain: str = "TRB", threshold: float = 0.6, order_by: str = "source_order") -> RfuTables:
+def call_rfus(receptors: DataFrame, scorers: list[Scorer], *, chain: str = "TRB", threshold: float = 0.6, order_by: str = "source_order") -> RfuTables:
     """Assign all rows of a chain (only TRB has a reference): the three result tables."""
     if chain.strip().upper() != "TRB":
         raise ValueError("RFU assignment supports chain TRB only")
     rows = chain_rows(receptors, "TRB")
     queries = unique_queries(rows, order_by)
-    per_row = reconstruct(rows, assign(queries.select("unique_sequence_id", "cdr3aa"), scorer, threshold), check=False)
+    per_row = reconstruct(rows, assign(queries.select("unique_sequence_id", "cdr3aa"), scorers, threshold), check=False)
     return RfuTables(per_sequence(per_row, order_by), per_row, per_row.select(*[c for c in MAPPING if c in per_row.columns]))
 
 
@@ -185,7 +206,7 @@ def abundance_per_10k(per_row: DataFrame, sample: str, cluster_sizes: DataFrame
     out = counts.join(totals, F.col(sample).eqNullSafe(F.col("__s"))).withColumn("abundance", F.col("n_rows") * 10000.0 / F.col("__total")).drop("__s", "__total")
     if cluster_sizes is None:
         return out
-    return out.join(F.broadcast(cluster_sizes.select("rfu_id", "cluster_size")), "rfu_id").withColumn("abundance", F.col("abundance") / F.col("cluster_size")).drop("cluster_size")
+    return out.join(cluster_sizes.select("rfu_id", "cluster_size"), "rfu_id").withColumn("abundance", F.col("abundance") / F.col("cluster_size")).drop("cluster_size")
 
 
 def dedup_stats(rows: DataFrame) -> DataFrame:

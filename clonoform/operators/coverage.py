@@ -75,7 +75,7 @@ def harmonize_metadata(metadata: DataFrame, mapping: DataFrame, field: str, *, c
     rules = mapping.where(F.col("field") == field).select(F.col(cohort), F.col("source_value").alias(field), "target_value")
     if rules.groupBy(cohort, field).count().where("count > 1").limit(1).count():
         raise ValueError("a cohort and source value has two targets")
-    both = metadata.join(F.broadcast(rules), [cohort, field], "left")
+    both = metadata.join(rules, [cohort, field], "left")
     return both.groupBy(cohort, "target_value").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col(field).isNotNull() & F.col("target_value").isNull()).alias("n_unmapped"),

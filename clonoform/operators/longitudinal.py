@@ -44,7 +44,7 @@ def longitudinal_matrix(matrix: DataFrame, plan: DataFrame, *, sample: str, dono
 
 def missing_visits(plan: DataFrame, *, donor: str, time: str) -> DataFrame:
     """Donor and time pairs without a sample, over the times that occur at all."""
-    grid = plan.select(donor).distinct().join(F.broadcast(plan.select(time).distinct()), F.lit(True))
+    grid = plan.select(donor).distinct().join(plan.select(time).distinct(), F.lit(True))
     return grid.join(plan.select(donor, time).distinct(), [donor, time], "left_anti")
 
 
@@ -108,7 +108,7 @@ def donor_bootstrap(values: DataFrame, *, donor: str, value: str, replicates: in
     n = ranked.agg(F.count(F.lit(1)).alias("n"))
     draws = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).select("n", "replicate", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)))).alias("draw"))
     pick = F.floor(uniform(seeded(seed, F.col("replicate").cast("string"), F.col("draw").cast("string"))) * F.col("n")).cast("int")
-    return draws.withColumn("slot", pick).join(F.broadcast(ranked), "slot").groupBy("replicate").agg(F.avg("m").alias("statistic"))
+    return draws.withColumn("slot", pick).join(ranked, "slot").groupBy("replicate").agg(F.avg("m").alias("statistic"))
 
 
 def interval(statistics: DataFrame, level: float = 0.95) -> DataFrame:

@@ -35,7 +35,7 @@ def phenotype_coupling(rows: DataFrame, *, phenotype: str, sample: str | None =
         whole = whole.join(work.groupBy(rfu).agg(F.count_distinct(sample).alias("sample_recurrence_count")), rfu)
     size = levels.agg(F.count(F.lit(1)).alias("__k"))
     # one row for an RFU and a phenotype: both are dimension tables
-    grid = whole.join(F.broadcast(size), F.lit(True)).join(F.broadcast(levels), F.lit(True))
+    grid = whole.join(F.broadcast(size), F.lit(True)).join(levels, F.lit(True))
     out = grid.join(counts, [rfu, phenotype], "left").na.fill(0, ["n", *(["own_samples"] if sample else [])])
     k = F.col("__k")
     normal = F.when(k > 1, F.col("phenotype_entropy") / F.log(k.cast("double"))).otherwise(0.0)
@@ -57,7 +57,7 @@ def phenotype_coupling(rows: DataFrame, *, phenotype: str, sample: str | None =
     if sample:
         everyone = rows.agg(F.count_distinct(sample).alias("__all"))
         each = rows.where(F.col(phenotype).isNotNull()).groupBy(phenotype).agg(F.count_distinct(sample).alias("__each"))
-        out = join_groups(out.join(F.broadcast(everyone), F.lit(True)), F.broadcast(each), [phenotype])
+        out = join_groups(out.join(F.broadcast(everyone), F.lit(True)), each, [phenotype])
         columns += [
             F.col("sample_recurrence_count"),
             ratio(F.col("sample_recurrence_count"), F.col("__all")).alias("sample_prevalence"),

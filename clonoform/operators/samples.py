@@ -109,7 +109,7 @@ def densify(bulk: Pseudobulk, sample: str, rfu: str = "rfu_label", pseudocount:
     """Every sample with every kept RFU. Zeros are 0, or under ``clr`` what zero counts
     give: the log of the pseudocount less the sample's mean. For export: its size is the
     number of samples times the number of RFUs, both of which are dimension tables."""
-    grid = bulk.sample_metadata.select(sample).join(F.broadcast(bulk.rfu_metadata.select(rfu)), F.lit(True))
+    grid = bulk.sample_metadata.select(sample).join(bulk.rfu_metadata.select(rfu), F.lit(True))
     full = grid.join(bulk.matrix, [sample, rfu], "left").na.fill(0, ["n"])
     if bulk.normalize != "clr":
         return full.na.fill(0.0, ["value"])

@@ -59,7 +59,7 @@ def antigen_table(abundance: DataFrame, top_rfus: int | None = 20, top_antigens:
         return (t if n is None else t.limit(n)).select(c)
 
     sums = rows.groupBy(rfu, antigen).agg(F.sum(value).alias(value))
-    grid = top(rfu, top_rfus).join(F.broadcast(top(antigen, top_antigens)), F.lit(True))
+    grid = top(rfu, top_rfus).join(top(antigen, top_antigens), F.lit(True))
     return grid.join(sums, [rfu, antigen], "left").na.fill(0, [value])
 
 

@@ -296,12 +296,12 @@ def trb(spark, sf_dir) -> DataFrame:
     return canonical.canonicalize(contigs(spark, sf_dir).select(*names), "fixture", "source_order").where("chain = 'TRB'")
 
 
-def scorer(spark, sf_dir):
-    return assign.spearman_scorer(trimer_reference(spark, sf_dir), centroid_reference(spark, sf_dir))
+def scorers(spark, sf_dir) -> list:
+    return assign.spearman_scorers(trimer_reference(spark, sf_dir), centroid_reference(spark, sf_dir))
 
 
 def rfu_tables(spark, sf_dir) -> assign.RfuTables:
-    return assign.call_rfus(trb(spark, sf_dir), scorer(spark, sf_dir), threshold=THRESHOLD)
+    return assign.call_rfus(trb(spark, sf_dir), scorers(spark, sf_dir), threshold=THRESHOLD)
 
 
 @query("unique_queries", final(f"{TRB_ROWS} SELECT unique_sequence_id, cdr3aa, v_call FROM named", "unique_sequence_id cdr3aa v_call"))
@@ -323,12 +323,12 @@ def _(spark, sf_dir):
 @query("assign_rfu", final(f"{SCORES} SELECT unique_sequence_id, cdr3aa, rfu_id, rfu_label, rfu_score, pass_thr FROM scored", "unique_sequence_id cdr3aa rfu_id:i rfu_label rfu_score:d pass_thr"))
 def _(spark, sf_dir):
     queries = assign.unique_queries(trb(spark, sf_dir)).select("unique_sequence_id", "cdr3aa")
-    return assign.assign(queries, scorer(spark, sf_dir), THRESHOLD).select("unique_sequence_id", "cdr3aa", "rfu_id", "rfu_label", "rfu_score", "pass_thr")
+    return assign.assign(queries, scorers(spark, sf_dir), THRESHOLD).select("unique_sequence_id", "cdr3aa", "rfu_id", "rfu_label", "rfu_score", "pass_thr")
 
 
 @query("incremental_assign", final(f"{SCORES} SELECT cdr3aa, rfu_id, rfu_score, pass_thr, length(cdr3aa) % 2 = 0 AS reused FROM scored", "cdr3aa rfu_id:i rfu_score:d pass_thr reused"))
 def _(spark, sf_dir):
-    queries, score = assign.unique_queries(trb(spark, sf_dir)).select("cdr3aa"), scorer(spark, sf_dir)
+    queries, score = assign.unique_queries(trb(spark, sf_dir)).select("cdr3aa"), scorers(spark, sf_dir)
     old = assign.assign(queries.where("length(cdr3aa) % 2 = 0"), score, THRESHOLD).select(F.lit("r1").alias("reference_id"), "cdr3aa", "rfu_id", "rfu_score")
     other = old.select(F.lit("r0").alias("reference_id"), "cdr3aa", F.lit(0).alias("rfu_id"), F.lit(9.0).alias("rfu_score"))
     return assign.assign_incremental(queries, old.unionByName(other), score, "r1", THRESHOLD).select("cdr3aa", "rfu_id", "rfu_score", "pass_thr", "reused")
@@ -337,7 +337,7 @@ def _(spark, sf_dir):
 @query("reconstruct_rows", final(f"{SCORES} SELECT source_order, cell_id, cdr3aa, unique_sequence_id, rfu_id, rfu_score, pass_thr, rfu_status FROM per_row", "source_order:i cell_id cdr3aa unique_sequence_id rfu_id:i rfu_score:d pass_thr rfu_status"))
 def _(spark, sf_dir):
     rows = trb(spark, sf_dir)
-    done = assign.assign(assign.unique_queries(rows).select("unique_sequence_id", "cdr3aa"), scorer(spark, sf_dir), THRESHOLD)
+    done = assign.assign(assign.unique_queries(rows).select("unique_sequence_id", "cdr3aa"), scorers(spark, sf_dir), THRESHOLD)
     return assign.reconstruct(rows, done).select("source_order", "cell_id", "cdr3aa", "unique_sequence_id", "rfu_id", "rfu_score", "pass_thr", "rfu_status")
 
 
@@ -370,7 +370,7 @@ def _(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contigs to primary receptors, to RFUs, to a sample x RFU table of cells."""
     own = cellranger(spark, sf_dir).receptors.withColumn("source_order", F.col("source_row_id").cast("long"))
-    out = assign.call_rfus(own, scorer(spark, sf_dir), threshold=THRESHOLD).per_row
+    out = assign.call_rfus(own, scorers(spark, sf_dir), threshold=THRESHOLD).per_row
     rows = quality.metadata_join(out, cells(spark, sf_dir), check=False)
     return plain(samples.pseudobulk(rows, sample="sample_id", check=False).matrix)
 

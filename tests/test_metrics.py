@@ -139,7 +139,7 @@ def test_assignment_equals_plain_spearman(spark):
     t, c = reference(spark, rng)
     seqs = ["CA" + "".join(rng.choice(list("ACDE"), rng.integers(3, 9))) + "EQYF" for _ in range(40)] + ["CAEEEEQYF", "CASF", "CAWWWWWEQYF"]
     rows = spark.createDataFrame([(s, f"V{i}", i) for i, s in enumerate(seqs + seqs[:5] + ["ASSF", None])], "cdr3aa string, v_call string, source_order long").withColumn("chain", F.lit("TRB"))
-    out = assign.call_rfus(rows, assign.spearman_scorer(t, c), threshold=0.3)
+    out = assign.call_rfus(rows, assign.spearman_scorers(t, c), threshold=0.3)
     vectors = {r["trimer"]: r["vec"] for r in t.collect()}
     centres = {r["rfu_id"]: pd.Series(r["vec"]).rank() for r in c.collect()}
     got = by(out.per_sequence, "cdr3aa")
@@ -154,9 +154,13 @@ def test_assignment_equals_plain_spearman(spark):
         best = max(rho, key=lambda i: (rho[i], -i))
         assert (r["rfu_id"], r["rfu_label"]) == (best, f"RFU{best}") and r["rfu_score"] == pytest.approx(rho[best]) and r["pass_thr"] == (rho[best] >= 0.3)
     assert got[seqs[0]]["multiplicity"] == 2 and got[seqs[0]]["query_v_call"] == "V0"
+    split = assign.spearman_scorers(t, c, most_numbers=400)
+    assert len(split) == 1
+    blocks = [assign._scorer(t, t.collect(), c.where(f"rfu_id % 3 = {k}"), 2, 4) for k in range(3)]
+    assert by(assign.score(out.per_sequence, blocks), "cdr3aa") == by(assign.score(out.per_sequence, split), "cdr3aa")
     assert out.per_row.count() == rows.count() and out.mapping.where("assignment_status = 'missing_sequence'").count() == 1
     with pytest.raises(ValueError):
-        assign.call_rfus(rows, assign.spearman_scorer(t, c), chain="TRA")
+        assign.call_rfus(rows, assign.spearman_scorers(t, c), chain="TRA")
 
 
 def test_reconstruction_refuses_wrong_results(spark):
@@ -171,9 +175,9 @@ def test_incremental_assignment_reuses_scores(spark):
     t, c = reference(spark, np.random.default_rng(2))
     queries = spark.createDataFrame([("CAACDEEQYF",), ("CAEDCAAEQYF",)], "cdr3aa string")
     store = spark.createDataFrame([("r", "CAACDEEQYF", 99, 0.9)], "reference_id string, cdr3aa string, rfu_id int, rfu_score double")
-    got = by(assign.assign_incremental(queries, store, assign.spearman_scorer(t, c), "r"), "cdr3aa")
+    got = by(assign.assign_incremental(queries, store, assign.spearman_scorers(t, c), "r"), "cdr3aa")
     assert (got["CAACDEEQYF"]["rfu_id"], got["CAACDEEQYF"]["reused"], got["CAEDCAAEQYF"]["reused"]) == (99, True, False)
-    fresh = by(assign.assign_incremental(queries, store, assign.spearman_scorer(t, c), "r", force=True), "cdr3aa")
+    fresh = by(assign.assign_incremental(queries, store, assign.spearman_scorers(t, c), "r", force=True), "cdr3aa")
     assert fresh["CAACDEEQYF"]["rfu_id"] != 99 and not fresh["CAACDEEQYF"]["reused"]
 
 
