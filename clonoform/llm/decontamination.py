@@ -1,5 +1,11 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, queried by every
-training passage with block-max WAND, then verified on question and answer."""
+training passage with block-max WAND, then verified on question and answer.
+
+The threshold search works on a batch of passages at a time. Each passage has to pass three
+bounds, each tighter: its terms' largest weights (the WAND bound), their largest weights in
+a block of similar items (the block-max bound), and then the scores of the block's items.
+No bound is below the score, so every item above the threshold is found.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,87 +57,73 @@ class Item:
 
 
 class Bm25Index:
-    """Postings of term -> (items, shares); a share is the term's BM25 weight in the item
-    over the item's whole weight, so that 1 is an item found in full. Postings are cut into
-    blocks, each with its largest share."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]], size: int = 5, block: int = 64, k1: float = 1.2, b: float = 0.75):
-        self.items = [x for x in (Item(i, t or "", size) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))) if x.words]
-        self.block, n = block, len(self.items)
-        self.longest = max((len(x.words) for x in self.items), default=0)
-        counts = [Counter(x.words) for x in self.items]
+    """Postings of a block of items, as weights by term and item. A weight is the term's BM25
+    weight in the item over the item's whole weight, so 1 is an item found in full. Items are
+    sorted by whole weight and cut into blocks, so that a block's maxima are close bounds."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], size: int = 5, block: int | None = None, k1: float = 1.2, b: float = 0.75):
+        found = [x for x in (Item(i, t or "", size) for i, t in items) if x.words]
+        n = len(found)
+        counts = [Counter(x.words) for x in found]
         inside = Counter(w for c in counts for w in c)
         idf = {w: math.log1p((n - d + 0.5) / (d + 0.5)) for w, d in inside.items()}
-        mean = sum(len(x.words) for x in self.items) / n if n else 1
+        mean = sum(len(x.words) for x in found) / n if n else 1
+        self.longest = max((len(x.words) for x in found), default=0)
         self.terms = {w: i + 1 for i, w in enumerate(sorted(inside))}
-        posting: list[list[tuple[int, float]]] = [[] for _ in range(len(self.terms) + 1)]
-        for k, c in enumerate(counts):
-            norm = k1 * (1 - b + b * len(self.items[k].words) / mean)
-            weight = {w: idf[w] * f * (k1 + 1) / (f + norm) for w, f in c.items()}
-            whole = sum(weight.values())
-            for w, x in weight.items():
-                posting[self.terms[w]].append((k, x / whole))
-        self.docs = [np.array([k for k, _ in p], np.int64) for p in posting]
-        self.shares = [np.array([x for _, x in p]) for p in posting]
-        self.most = np.array([s.max() if len(s) else 0.0 for s in self.shares])
-        self.block_most = [[s[i : i + block].max() for i in range(0, len(s), block)] for s in self.shares]
-
-    def search(self, query: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Block-max WAND: all (item, score) with score >= threshold for distinct terms."""
-        slack = 1e-9
-        cursors = [[int(self.docs[t][0]), t, 0] for t in query if len(self.docs[t])]
-        out = []
-        while cursors:
-            cursors.sort()
-            bound, pivot = 0.0, -1
-            for i, (_, t, _) in enumerate(cursors):
-                bound += self.most[t]
-                if bound >= threshold - slack:
-                    pivot = i
-                    break
-            if pivot < 0:
-                return out
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            # the blocks that would hold the pivot item
-            near, leave = 0.0, len(self.items)
-            for _, t, at in cursors[: pivot + 1]:
-                at = at + int(np.searchsorted(self.docs[t][at:], item))
-                if at < len(self.docs[t]):
-                    k = at // self.block
-                    near += self.block_most[t][k]
-                    leave = min(leave, int(self.docs[t][min((k + 1) * self.block, len(self.docs[t])) - 1]) + 1)
-            if near < threshold - slack:
-                if pivot + 1 < len(cursors):
-                    leave = min(leave, cursors[pivot + 1][0])
-                target = max(leave, item + 1)
-                moving = range(pivot + 1)
-            elif cursors[0][0] == item:
-                score = sum(float(self.shares[t][at]) for d, t, at in cursors[: pivot + 1] if d == item)
-                if score >= threshold - slack:
-                    out.append((item, score))
-                target, moving = item + 1, range(pivot + 1)
-            else:
-                target, moving = item, [i for i in range(pivot + 1) if cursors[i][0] < item]
-            for i in moving:
-                d, t, at = cursors[i]
-                if d < target:
-                    at += int(np.searchsorted(self.docs[t][at:], target))
-                    cursors[i] = [int(self.docs[t][at]) if at < len(self.docs[t]) else len(self.items), t, at]
-            cursors = [c for c in cursors if c[0] < len(self.items)]
-        return out
-
-    def passages(self, terms: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
-        """Passages (start, end) whose upper bound reaches the threshold. They overlap by
-        half and are twice the longest item, so one of them holds any item in full."""
-        width = max(64, 2 * self.longest)
-        step = width // 2
-        total = np.concatenate([[0.0], np.cumsum(self.most[terms])])
-        starts = np.arange(0, max(len(terms) - step, 1), step)
-        stops = np.minimum(starts + width, len(terms))
-        for i in np.flatnonzero(total[stops] - total[starts] >= threshold - 1e-9).tolist():
-            yield int(starts[i]), int(stops[i])
+        weights = []
+        for x, c in zip(found, counts, strict=True):
+            norm = k1 * (1 - b + b * len(x.words) / mean)
+            weights.append({self.terms[w]: idf[w] * f * (k1 + 1) / (f + norm) for w, f in c.items()})
+        order = sorted(range(n), key=lambda k: (sum(weights[k].values()), found[k].item_id is None, found[k].item_id or 0))
+        self.items = [found[k] for k in order]
+        per = block or max(8, -(-n // 128))
+        self.starts = list(range(0, n, per))
+        self.block_max = np.zeros((len(self.terms) + 1, len(self.starts)), np.float32)
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        for j, lo in enumerate(self.starts):
+            mine = [weights[k] for k in order[lo : lo + per]]
+            own = np.array(sorted(set().union(*mine)), np.int64)
+            dense = np.zeros((len(own) + 1, len(mine)))
+            for i, w in enumerate(mine):
+                whole = sum(w.values())
+                dense[np.searchsorted(own, np.fromiter(w, np.int64, len(w))), i] = np.fromiter(w.values(), float, len(w)) / whole
+            self.blocks.append((own, dense))
+            # rounded up, so that a bound never falls below a score
+            self.block_max[own, j] = np.nextafter(dense[:-1].max(axis=1).astype(np.float32), np.float32(2))
+        self.most = self.block_max.max(axis=1) if self.starts else np.zeros(1, np.float32)
+
+    def search(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All (passages, items, scores) with score >= threshold. The pairs passage and term
+        are distinct and sorted by passage."""
+        slack = 1e-5
+        ends = np.flatnonzero(np.diff(passage, append=-1)) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        if not len(passage) or not self.starts:
+            return
+        live = np.add.reduceat(self.most[term], starts, dtype=np.float64) >= threshold - slack
+        starts, ends = starts[live], ends[live]
+        for lo in range(0, len(starts), 512):
+            a, e = starts[lo : lo + 512], ends[lo : lo + 512]
+            at = _spread(a, e)
+            bound = np.add.reduceat(self.block_max[term[at]], np.concatenate([[0], np.cumsum(e - a)[:-1]]), axis=0)
+            rows, hit = np.nonzero(bound >= threshold - slack)
+            for j in np.unique(hit).tolist():
+                own, dense = self.blocks[j]
+                mine = rows[hit == j]
+                sa, se = a[mine], e[mine]
+                terms = term[_spread(sa, se)]
+                place = np.minimum(np.searchsorted(own, terms), len(own) - 1)
+                place = np.where(own[place] == terms, place, len(own))  # the last row is zero
+                score = np.add.reduceat(dense[place], np.concatenate([[0], np.cumsum(se - sa)[:-1]]), axis=0)
+                r, i = np.nonzero(score >= threshold - 1e-9)
+                if len(r):
+                    yield passage[sa[r]], i + self.starts[j], score[r, i]
+
+
+def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after the other."""
+    n = ends - starts
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
 HITS = T.StructType(
@@ -145,31 +138,44 @@ HITS = T.StructType(
 )
 
 
-def document_hits(index: Bm25Index, text: bytes | None, threshold: float, overlap: float, part: float, size: int) -> dict[int, tuple[float, float, float, float]]:
-    ws = words(text)
-    if not ws or not index.items:
-        return {}
-    terms = np.fromiter(map(index.terms.get, ws, [0] * len(ws)), np.int64, len(ws))
-    best: dict[int, tuple[float, float, float, float]] = {}
-    for start, stop in index.passages(terms, threshold):
-        query = np.unique(terms[start:stop])
-        found = index.search(query[query > 0].tolist(), threshold)
-        if not found:
-            continue
-        shingles: dict[int, set] = {}
-        for k, score in found:
-            item = index.items[k]
-            n = min(size, len(item.words))
-            if n not in shingles:
-                shingles[n] = {tuple(ws[i : i + n]) for i in range(start, max(start, stop - n + 1))}
-            own = shingles[n]
+def batch_hits(index: Bm25Index, texts: list[bytes | None], threshold: float, overlap: float, part: float, size: int) -> Iterator[tuple[int, int, tuple[float, float, float, float]]]:
+    """(text number, item number, (score, overlap, question overlap, answer overlap)).
+
+    Passages are twice the longest item and overlap by half, so one of them holds any item
+    in full.
+    """
+    step = max(32, index.longest)
+    every, keys, owner, first = [], [], [], [0]
+    wide = len(index.terms) + 1
+    for k, text in enumerate(texts):
+        ws = words(text)
+        every.append(ws)
+        terms = np.fromiter(map(index.terms.get, ws, repeat(0)), np.int64, len(ws))
+        at = np.flatnonzero(terms)
+        last = max(-(-len(ws) // step) - 2, 0)
+        place = at // step
+        for shift in (0, 1):
+            in_passage = place - shift
+            ok = (in_passage >= 0) & (in_passage <= last)
+            keys.append((first[-1] + in_passage[ok]) * wide + terms[at[ok]])
+        owner += [k] * (last + 1)
+        first.append(first[-1] + last + 1)
+    pairs = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    shingles: dict[tuple[int, int], set] = {}
+    for passages, items, scores in index.search(pairs // wide, pairs % wide, threshold):
+        for p, k, score in zip(passages.tolist(), items.tolist(), scores.tolist(), strict=True):
+            text, item = owner[p], index.items[k]
+            ws, start, n = every[text], (p - first[text]) * step, min(size, len(item.words))
+            if (p, n) not in shingles:
+                stop = min(start + 2 * step, len(ws))
+                shingles[p, n] = {tuple(ws[i : i + n]) for i in range(start, max(start, stop - n + 1))}
+            own = shingles[p, n]
             whole, q, a = (len(x & own) / len(x) for x in (item.whole, item.question, item.answer))
             if whole >= overlap and q >= part and a >= part:
-                best[k] = max(best.get(k, (0.0,)), (score, whole, q, a))
-    return best
+                yield text, k, (score, whole, q, a)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part: float = 0.5, size: int = 5, block_bytes: int = 8_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part: float = 0.5, size: int = 5, block_bytes: int = 2_000_000) -> DataFrame:
     """One row for each document and test item that it holds: doc_id, item_id, score (share
     of the item's BM25 weight that a passage has), overlap (share of the item's five-word
     shingles), question_overlap, answer_overlap.
@@ -195,14 +201,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                out = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                for lo in range(0, batch.num_rows, 128):
+                    docs, texts = batch.column(0).slice(lo, 128).to_pylist(), batch.column(1).slice(lo, 128).cast(pa.binary()).to_pylist()
                     rows: dict = {}
-                    for k, x in document_hits(index, text, threshold, overlap, part, size).items():
-                        rows[index.items[k].item_id] = max(rows.get(index.items[k].item_id, (0.0,)), x)
-                    out += [(doc, i, *x) for i, x in rows.items()]
-                columns = list(zip(*out, strict=True)) if out else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.float64()) for i, c in enumerate(columns)], HITS.names)
+                    for text, k, x in batch_hits(index, texts, threshold, overlap, part, size):
+                        key = text, index.items[k].item_id
+                        rows[key] = max(rows.get(key, (0.0,)), x)
+                    out = [(docs[text], i, *x) for (text, i), x in rows.items()]
+                    columns = list(zip(*out, strict=True)) if out else [[]] * 6
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.float64()) for i, c in enumerate(columns)], HITS.names)
 
         part_found = own.mapInArrow(run, HITS)
         found = part_found if found is None else found.unionByName(part_found)

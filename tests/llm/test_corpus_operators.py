@@ -173,7 +173,7 @@ def test_contamination(spark, sf_dir):
             if len(own.whole & have) >= 0.8 * len(own.whole) and len(own.question & have) >= 0.5 * len(own.question) and len(own.answer & have) >= 0.5 * len(own.answer):
                 want.add((d, i))
     assert want
-    for size in (8_000_000, 1_000):
+    for size in (2_000_000, 1_000):
         got = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), block_bytes=size).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
 
@@ -192,18 +192,28 @@ def test_edited_and_clean_passages(spark):
     assert decontamination.find_contamination(docs_of(spark, docs), none).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("abcdefghijkl"), min_size=1, max_size=9), min_size=1, max_size=40), st.lists(st.sampled_from("abcdefghijklz"), max_size=9), st.floats(0.05, 1))
-def test_wand_finds_all_above_the_threshold(items, query, threshold):
+@settings(max_examples=100, deadline=None)
+@given(
+    st.lists(st.lists(st.sampled_from("abcdefghijkl"), min_size=1, max_size=9), min_size=1, max_size=40),
+    st.lists(st.lists(st.sampled_from("abcdefghijklz"), max_size=9), min_size=1, max_size=5),
+    st.floats(0.05, 1),
+)
+def test_wand_finds_all_above_the_threshold(items, passages, threshold):
     index = decontamination.Bm25Index([(i, " ".join(x)) for i, x in enumerate(items)], block=3)
-    terms = sorted({index.terms[q.encode()] for q in query if q.encode() in index.terms})
+    pairs = sorted({(p, index.terms[q.encode()]) for p, qs in enumerate(passages) for q in qs if q.encode() in index.terms})
     score = Counter()
-    for t in terms:
-        for k, s in zip(index.docs[t].tolist(), index.shares[t].tolist(), strict=True):
-            score[k] += s
-    want = {k for k, s in score.items() if s >= threshold + 1e-6}
-    got = {k: s for k, s in index.search(terms, threshold)}
-    assert want <= got.keys() and all(abs(score[k] - s) < 1e-9 and s >= threshold - 1e-6 for k, s in got.items())
+    for p, t in pairs:
+        for (own, dense), lo in zip(index.blocks, index.starts, strict=True):
+            for at in np.flatnonzero(own == t).tolist():
+                for i, x in enumerate(dense[at].tolist()):
+                    score[p, lo + i] += x
+    a = np.array(pairs, np.int64).reshape(-1, 2)
+    got = {}
+    for ps, ks, xs in index.search(a[:, 0], a[:, 1], threshold):
+        got |= {(p, k): x for p, k, x in zip(ps.tolist(), ks.tolist(), xs.tolist(), strict=True)}
+    assert {k for k, s in score.items() if s >= threshold + 1e-6} <= got.keys()
+    assert all(abs(score[k] - s) < 1e-9 and s >= threshold - 1e-6 for k, s in got.items())
+    assert all(abs(sum(d[:, i].sum() for i in [0]) - 1) < 1e-9 for _, d in index.blocks)
 
 
 # --- language ---------------------------------------------------------------------------------
