@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -200,48 +201,92 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
 
 
-def main_text(pages: DataFrame, least_pages: int = 10, most_hashes: int = 250_000) -> DataFrame:
+RESULT = "page_id long, url string, text string, n_chars long"
+
+
+def main_text(pages: DataFrame, least_pages: int = 10, most_hashes: int = 1_000_000) -> DataFrame:
     """page_id, url, text and n_chars of each page.
 
     A subtree that occurs on ``least_pages`` pages of a host is its template. Hashes are
-    counted by host in Spark; the template hashes go to the tasks in blocks of hosts, so
-    that a block holds about ``most_hashes`` of them (8 bytes each), and the pages of a
-    block's hosts are read with that block. Null html gives an empty text; a null or odd
-    url counts as one host; null page_id stays null; repeated rows give a row each; an
-    empty table gives no rows; other columns are ignored.
+    counted by host in Spark. Template hashes reach the pages in one of two ways: those of
+    hosts with at most ``most_hashes`` of them are broadcast (8 bytes each), in as many
+    blocks of hosts as keep a block at about that size; those of larger hosts are joined to
+    their pages. Null html gives an empty text; a null or odd url counts as one host; null
+    page_id stays null; repeated rows give a row each; an empty table gives no rows; other
+    columns are ignored.
     """
+    spark = pages.sparkSession
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64(host_of(F.col("url"))).alias("host"), F.col("html").cast("string").alias("html"))
-
-    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, found = [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                root = parse(page or "")
-                seal(root)
-                mine = subtrees(root)
-                found += [of_host(d, host) for d in mine]
-                hosts += [host] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(found, pa.int64())], ["host", "key"])
-
-    counted = own.select("host", "html").mapInArrow(keys_of, "host long, key long").groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    counted = own.select("host", "html").mapInArrow(_keys, "host long, key long").groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     template = stage(counted.where(F.col("n") >= least_pages).select("host", "key"), "template")
-    blocks = max(1, -(-template.count() // most_hashes))
-    out = None
+    hosts = template.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    large = stage(hosts.where(F.col("n") > most_hashes).select("host"), "large-hosts")
+    crowded = not large.isEmpty()
+    small = template.join(large, "host", "left_anti") if crowded else template
+    rest = own.join(large, "host", "left_anti").select(own.columns) if crowded else own
+    blocks = max(1, -(-small.count() // most_hashes))
+    parts = []
     for k in range(blocks):
         mine = F.pmod(F.xxhash64("host"), F.lit(blocks)) == k
-        keys = np.array([r["key"] for r in template.where(mine).select("key").toLocalIterator()], np.int64)
-        shared = pages.sparkSession.sparkContext.broadcast(keys)
+        keys = np.sort(np.fromiter((r["key"] for r in small.where(mine).select("key").toLocalIterator()), np.int64))
+        shared = spark.sparkContext.broadcast(keys)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = set(shared.value.tolist())
+            keys = shared.value
             for batch in batches:
-                texts = []
-                for host, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    root = parse(page or "")
-                    seal(root)
-                    texts.append(article(root, known, host))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-        part = (own.where(mine) if blocks > 1 else own).mapInArrow(run, "page_id long, url string, text string, n_chars long")
-        out = part if out is None else out.unionByName(part)
-    return out
+                yield _texts(batch, lambda own: own[np.searchsorted(keys, own, "right") > np.searchsorted(keys, own)])
+
+        parts.append((rest.where(mine) if blocks > 1 else rest).mapInArrow(run, RESULT))
+    if crowded:
+        parts.append(_joined(own.join(large, "host", "left_semi").select(own.columns), template))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, key) of each page's subtrees."""
+    for batch in batches:
+        hosts, found = [], []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            root = parse(page or "")
+            seal(root)
+            mine = subtrees(root)
+            found += [of_host(d, host) for d in mine]
+            hosts += [host] * len(mine)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(found, pa.int64())], ["host", "key"])
+
+
+def _texts(batch: pa.RecordBatch, known) -> pa.RecordBatch:
+    """The texts of a batch (page_id, url, host, html); ``known`` keeps the template's of an
+    array of keys."""
+    texts = []
+    for i, (host, page) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+        root = parse(page or "")
+        seal(root)
+        mine = batch.column(4)[i].as_py() if known is None else known(np.array([of_host(d, host) for d in subtrees(root)], np.int64)).tolist()
+        texts.append(article(root, set(mine or ()), host))
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+
+def _joined(own: DataFrame, template: DataFrame) -> DataFrame:
+    """Pages of large hosts with the template keys among their own, by joins."""
+    rows = stage(own.withColumn("rid", F.monotonically_increasing_id()), "large-host-pages")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rids, found = [], []
+            for rid, host, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                root = parse(page or "")
+                seal(root)
+                mine = [of_host(d, host) for d in subtrees(root)]
+                found += mine
+                rids += [rid] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(found, pa.int64())], ["rid", "key"])
+
+    hits = stage(rows.select("rid", "host", "html").mapInArrow(keys, "rid long, key long").join(template.select("key").distinct(), "key"), "template-hits")
+    listed = hits.groupBy("rid").agg(F.collect_set("key").alias("keys"))  # at most a page's subtrees
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _texts(batch, None)
+
+    return rows.join(listed, "rid", "left").select("page_id", "url", "host", "html", "keys").mapInArrow(run, RESULT)

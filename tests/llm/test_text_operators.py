@@ -212,8 +212,9 @@ def test_template_goes_and_prose_stays(spark):
     assert got[3] == "Story 3 & more\nline two"
     assert got[50] == "Site of pages\none\nlone\nAll rights © kept"
     assert got[51] == got[52] == "" and got[None] == "plain"
-    split = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), most_hashes=1).collect()}
-    assert split == got
+    for most in (1, 2, 3):
+        split = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), most_hashes=most).collect()}
+        assert split == got
 
 
 @pytest.mark.parametrize(
