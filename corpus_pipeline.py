@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonoform.llm.common import stage, table, tokenizer_path
+from clonoform.llm.common import ascii_lower, stage, table, tokenizer_path
 from clonoform.llm.decontamination import find_contamination
 from clonoform.llm.exact_dedup import exact_duplicates
 from clonoform.llm.language_id import identify_languages
@@ -19,31 +19,34 @@ from clonoform.llm.simhash_dedup import near_duplicates
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _of(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Documents whose doc_id is (``left_semi``) or isn't (``left_anti``) among ``ids``. NULL
+    equals NULL: documents without a doc_id can't be told apart and share one fate."""
+    own = ids.select(F.col("doc_id").alias("id")).distinct()
+    return docs.select(COLUMNS).join(own, F.col("doc_id").eqNullSafe(F.col("id")), how)
+
+
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (no text, no letter) go."""
-    known = identify_languages(docs).where("lang_pred <> 'und'").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(known, "doc_id", "left_semi")
+    return _of(docs, identify_languages(docs).where("lang_pred <> 'und'"), "left_semi")
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays, the one with the largest doc_id."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    from clonoform.llm.common import ascii_lower
-
+    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
     named = docs.select(*COLUMNS, F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256).alias("text_sha256"))
-    return named.join(kept, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(COLUMNS)
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("sha"))
+    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(COLUMNS)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi")
+    return _of(docs, near_duplicates(docs).where("doc_id <=> component_id"), "left_semi")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    hit = find_contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(hit, "doc_id", "left_anti")
+    return _of(docs, find_contamination(docs, table(spark, sf_dir, "benchmark")), "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
