@@ -68,17 +68,19 @@ def names(groupby: str | Sequence[str]) -> list[str]:
     return out
 
 
-def row_numbers(df: DataFrame, order_by: str, buckets: int = 64) -> DataFrame:
+def row_numbers(df: DataFrame, order_by: str, buckets: int = 64, cuts_from: DataFrame | None = None) -> DataFrame:
     """Add ``__row``: the place of each row in the order of a numeric column, from 0.
 
     Rows go to ranges of the order column (cut at approximate quantiles); each range is
     numbered by itself and starts where the ranges before it end. Only the cuts and one
     count a range leave the executors. Ties are broken by no rule: give a unique column.
+    ``cuts_from`` is a frame with the same column that is cheaper to read than ``df``, such
+    as the source before its filters; any cuts give the same numbers.
     """
     kind = dict(df.dtypes)[order_by]
     if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not kind.startswith("decimal"):
         raise ValueError(f"order_by must be numeric, {order_by} is {kind}")
-    cuts = df.agg(F.percentile_approx(order_by, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()["q"]
+    cuts = (cuts_from if cuts_from is not None else df).agg(F.percentile_approx(order_by, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()["q"]
     cuts = sorted(set(cuts or []))
     place = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col(order_by))) if cuts else F.lit(0)
     ranged = df.withColumn("__range", place)

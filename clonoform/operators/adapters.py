@@ -81,8 +81,8 @@ def metadata_from_rows(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select("cell_id", *columns)
 
 
-def _finish(rows: DataFrame, order: str) -> DataFrame:
-    named = row_numbers(rows, order).withColumn("input_row_id", row_name("row_")).drop("__row", "__productive_known")
+def _finish(rows: DataFrame, order: str, source: DataFrame) -> DataFrame:
+    named = row_numbers(rows, order, cuts_from=source).withColumn("input_row_id", row_name("row_")).drop("__row", "__productive_known")
     return canonicalize(named)
 
 
@@ -111,16 +111,22 @@ def adapt_airr(source: DataFrame, *, order_by: str, chain: str | None = None, pr
         ranks = [F.coalesce("productive", F.lit(False)).cast("int")]
         ranks += [S.numeric_rank(F.col(c)) for c in ("umi_count", "read_count", "duplicate_count", "consensus_count") if found[c]]
         kept = primary_chain(kept, ranks)
-    out = _finish(kept.drop("input_row_id"), "source_order")
+    out = _finish(kept.drop("input_row_id"), "source_order", source.select(F.col(order_by).alias("source_order")))
     qc = source.agg(F.count(F.lit(1)).alias("source_row_count")).join(before.agg(F.count(F.lit(1)).alias("rows_before_primary_selection")), F.lit(True)).join(kept.agg(*_counts(kept)), F.lit(True))
     return AdapterResult(out.drop("source_order"), cells, qc, adapter_name, ADAPTER_VERSION, {"chain": chain, "productive_only": productive_only, "primary_chain": primary})
 
 
-def strict_truth(df: DataFrame, column: str) -> None:
-    """Raise if a non-null value isn't a truth word; up to five are named."""
-    bad = df.where(F.col(column).isNotNull() & S.normalize_productive(F.col(column)).isNull()).select(F.col(column).cast("string")).distinct().limit(5).collect()
-    if bad:
-        raise ValueError(f"column {column!r} contains invalid booleans: {[r[0] for r in bad]}")
+def strict_truth(df: DataFrame, columns: Sequence[str]) -> None:
+    """Raise if a non-null value isn't a truth word: one pass for all columns, and another
+    for up to five examples only if it fails."""
+    if not columns:
+        return
+    odd = {c: F.col(c).isNotNull() & S.normalize_productive(F.col(c)).isNull() for c in columns}
+    found = df.agg(*[F.max(odd[c]).alias(c) for c in columns]).first()
+    for c in columns:
+        if found[c]:
+            bad = df.where(odd[c]).select(F.col(c).cast("string")).distinct().limit(5).collect()
+            raise ValueError(f"column {c!r} contains invalid booleans: {[r[0] for r in bad]}")
 
 
 def adapt_cellranger(source: DataFrame, *, order_by: str, chain: str | None = None, productive_only: bool = True, primary: bool = True, filter_is_cell: bool = True, filter_high_confidence: bool = True, metadata: DataFrame | None = None, metadata_columns: Sequence[str] = ()) -> AdapterResult:
@@ -141,10 +147,10 @@ def adapt_cellranger(source: DataFrame, *, order_by: str, chain: str | None = No
     chosen = source.select(*named, *kept_columns, *productive, *[e for e, c in zip(extra, metadata_columns, strict=False) if c not in CELLRANGER_KEPT and c != "productive"], F.col(order_by).alias("source_order"), F.lit("").alias("input_row_id"))
     rows = canonicalize(chosen, "cellranger_vdj", "source_order")
     steps = {"required": F.col("cell_id").isNotNull() & F.col("chain").isNotNull() & F.col("cdr3aa").isNotNull()}
-    for name, wanted in (("is_cell", filter_is_cell), ("high_confidence", filter_high_confidence)):
-        if wanted and name in rows.columns:
-            strict_truth(rows.where(steps["required"]), name)
-            steps[name] = F.coalesce(S.normalize_productive(F.col(name)), F.lit(False))
+    flags = [n for n, wanted in (("is_cell", filter_is_cell), ("high_confidence", filter_high_confidence)) if wanted and n in rows.columns]
+    strict_truth(rows.where(steps["required"]), flags)
+    for name in flags:
+        steps[name] = F.coalesce(S.normalize_productive(F.col(name)), F.lit(False))
     ok = F.lit(True)
     counts = [F.count(F.lit(1)).alias("source_row_count")]
     for name in ("required", "is_cell", "high_confidence"):
@@ -163,7 +169,7 @@ def adapt_cellranger(source: DataFrame, *, order_by: str, chain: str | None = No
         ranks += [S.numeric_rank(F.col(c)) for c in ("umi_count", "read_count") if c in rows.columns]
         kept = primary_chain(kept, ranks)
     qc = rows.agg(*counts).join(kept.agg(*_counts(kept)), F.lit(True))
-    out = _finish(kept.drop("input_row_id"), "source_order")
+    out = _finish(kept.drop("input_row_id"), "source_order", source.select(F.col(order_by).alias("source_order")))
     cells = metadata_from_rows(source.withColumnRenamed(own["barcode"], "cell_id"), metadata_columns) if metadata is None and metadata_columns else _contained(kept, metadata)
     return AdapterResult(out.drop("source_order"), cells, qc, "cellranger_vdj", ADAPTER_VERSION, {"chain": chain, "productive_only": productive_only, "primary_chain": primary})
 
