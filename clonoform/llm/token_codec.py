@@ -18,6 +18,7 @@ SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _PIECES = regex.compile(SPLIT_PATTERN)
 #: Letters whose case and composition are settled alike in every Unicode version.
+_MARKS = frozenset(b".,;:!?)")
 _PLAIN = re.compile(r"[!-~¡-ɏ]+")
 
 
@@ -33,6 +34,7 @@ def splits_at_white_space(path: str) -> bool:
         not special
         and lone
         and spec.get("post_processor") is None
+        and [{k: v for k, v in n.items() if k != "content"} for n in (spec.get("normalizer") or {}).get("normalizers", [])] == [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}}, {"type": "Lowercase"}]
         and first.get("type") == "Split"
         and first.get("behavior") == "Removed"
         and first.get("invert") is True
@@ -50,27 +52,45 @@ class _Chunks(dict):
     def __init__(self, tokenizer, limit: int):
         super().__init__()
         self.tokenizer, self.limit = tokenizer, limit
+        self.model = tokenizer.model
+        self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.lower = tokenizer.normalizer is not None
 
     def _encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
+    def _word(self, word: bytes) -> bytes:
+        """Ids of one piece of lower-case ASCII letters, straight from the model."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.decode())])
+            if len(self.words) < self.limit and len(word) < 64:
+                self.words[word] = ids
+        return ids
+
+    def _pieces(self, text: str) -> bytes:
+        found = []
+        for piece in _PIECES.findall(text.lower()):
+            if piece.isascii() and piece.isalpha():
+                found.append(self._word(piece.encode()))
+                continue
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self._encode(piece)
+                if len(self.pieces) < self.limit and len(piece) < 64:
+                    self.pieces[piece] = ids
+            found.append(ids)
+        return b"".join(found)
+
     def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            found = []
-            for piece in _PIECES.findall(text.lower()):
-                ids = self.pieces.get(piece)
-                if ids is None:
-                    ids = self._encode(piece)
-                    if len(self.pieces) < self.limit and len(piece) < 64:
-                        self.pieces[piece] = ids
-                found.append(ids)
-            out = b"".join(found)
+        if chunk.isalpha():
+            out = self._word(chunk.lower())
+        elif chunk[-1] in _MARKS and chunk[:-1].isalpha():
+            out = self._word(chunk[:-1].lower()) + self[chunk[-1:]]
         else:
-            out = self._encode(text)
+            text = chunk.decode("utf-8", "replace")
+            out = self._pieces(text) if _PLAIN.fullmatch(text) and "<|" not in text else self._encode(text)
         if len(self) < self.limit and len(chunk) < 64:
             self[chunk] = out
         return out
