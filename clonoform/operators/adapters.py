@@ -140,11 +140,10 @@ def adapt_cellranger(source: DataFrame, *, order_by: str, chain: str | None = No
         named.append(F.lit(None).cast("string").alias("v_call"))
     kept_columns = [F.col(own[c]).alias(c) for c in CELLRANGER_KEPT if c in own]
     productive = [F.col(own["productive"]).alias("productive")] if "productive" in own else []
-    extra = [F.col(c).alias(c) for c in metadata_columns if c not in own.values() or c not in CELLRANGER_NAMES]
     missing_metadata = [c for c in metadata_columns if c not in source.columns]
     if missing_metadata:
         raise ValueError(f"requested metadata columns are missing: {missing_metadata}")
-    chosen = source.select(*named, *kept_columns, *productive, *[e for e, c in zip(extra, metadata_columns, strict=False) if c not in CELLRANGER_KEPT and c != "productive"], F.col(order_by).alias("source_order"), F.lit("").alias("input_row_id"))
+    chosen = source.select(*named, *kept_columns, *productive, F.col(order_by).alias("source_order"), F.lit("").alias("input_row_id"))
     rows = canonicalize(chosen, "cellranger_vdj", "source_order")
     steps = {"required": F.col("cell_id").isNotNull() & F.col("chain").isNotNull() & F.col("cdr3aa").isNotNull()}
     flags = [n for n, wanted in (("is_cell", filter_is_cell), ("high_confidence", filter_high_confidence)) if wanted and n in rows.columns]
@@ -170,7 +169,11 @@ def adapt_cellranger(source: DataFrame, *, order_by: str, chain: str | None = No
         kept = primary_chain(kept, ranks)
     qc = rows.agg(*counts).join(kept.agg(*_counts(kept)), F.lit(True))
     out = _finish(kept.drop("input_row_id"), "source_order", source.select(F.col(order_by).alias("source_order")))
-    cells = metadata_from_rows(source.withColumnRenamed(own["barcode"], "cell_id"), metadata_columns) if metadata is None and metadata_columns else _contained(kept, metadata)
+    if metadata is None and metadata_columns:
+        named_cells = source.select(S.normalize_text(F.col(own["barcode"])).alias("cell_id"), *metadata_columns)
+        cells = metadata_from_rows(named_cells.join(kept.select("cell_id").distinct(), "cell_id", "left_semi"), metadata_columns)
+    else:
+        cells = _contained(kept, metadata)
     return AdapterResult(out.drop("source_order"), cells, qc, "cellranger_vdj", ADAPTER_VERSION, {"chain": chain, "productive_only": productive_only, "primary_chain": primary})
 
 

@@ -89,6 +89,13 @@ def test_cellranger(spark):
     assert [qc[c] for c in ("source_row_count", "rows_after_required_value_filter", "rows_after_is_cell_filter", "rows_after_high_confidence_filter", "rows_before_primary_selection", "selected_receptor_row_count")] == [7, 6, 5, 4, 2, 1]
     every = adapters.adapt_cellranger(contigs(spark), order_by="ord", productive_only=False, primary=False, filter_is_cell=False, filter_high_confidence=False)
     assert every.receptors.count() == 6
+    labelled = contigs(spark).withColumn("site", F.when(F.col("ord") != 2, F.lit("skin")))
+    cells = adapters.adapt_cellranger(labelled, order_by="ord", chain="TRB", metadata_columns=["site"]).cell_metadata
+    assert [tuple(r) for r in cells.collect()] == [("b1", "skin")]
+    with pytest.raises(ValueError, match="conflicting"):
+        adapters.adapt_cellranger(labelled, order_by="ord", chain="TRB", metadata_columns=["umis"])
+    with pytest.raises(ValueError, match="missing"):
+        adapters.adapt_cellranger(labelled, order_by="ord", metadata_columns=["none"])
     with pytest.raises(ValueError, match="invalid booleans"):
         adapters.adapt_cellranger(contigs(spark, [(*CONTIGS[0][:1], "maybe", *CONTIGS[0][2:])]), order_by="ord")
     with pytest.raises(ValueError, match="absent"):
