@@ -1,8 +1,9 @@
 """Main text of web pages by site template removal.
 
-Each element subtree is hashed; Spark counts on how many pages of a host each hash occurs;
-subtrees that recur are the site's template and are deleted, along with elements that are
-never part of an article. What is left of the article gives the text, block by block.
+Each element subtree is hashed; Spark counts in how many distinct contents of a host each
+hash occurs; subtrees that recur are the site's template and are deleted, along with
+elements that are never part of an article. What is left of the article gives the text,
+block by block.
 """
 
 from __future__ import annotations
@@ -139,7 +140,8 @@ def of_host(digest: int, host: int) -> int:
 
 def article(root: Node, template: set[int], host: int = 0) -> str:
     """The text of the page without noise and template. If the page marks its article or
-    main part, only that part counts, and prose inside it is never template."""
+    main part, only that part counts; prose inside it is never template, nor is a container
+    of prose or of half of its text, and a marked part isn't left empty."""
     marked = _marked(root)
     blocks: list[str] = []
     line: list[str] = []
@@ -151,6 +153,7 @@ def article(root: Node, template: set[int], host: int = 0) -> str:
             blocks.append(text)
 
     for start in marked or [root]:
+        held: dict[int, tuple[int, bool]] = {}
         todo: list = [(start, start.main)]
         while todo:
             x, inside = todo.pop()
@@ -158,7 +161,7 @@ def article(root: Node, template: set[int], host: int = 0) -> str:
                 flush()
             elif isinstance(x, str):
                 line.append(x)
-            elif (x.noise and x is not start) or _is_template(x, inside, template, host):
+            elif (x.noise and x is not start) or _is_template(x, inside, template, host) and not (inside and _holds_prose(x, start, held)):
                 if x.tag not in INLINE and x.tag not in UNSEEN:
                     flush()
             else:
@@ -167,9 +170,33 @@ def article(root: Node, template: set[int], host: int = 0) -> str:
                     todo.append((None, inside))
                 todo += [(p, inside) for p in reversed(x.parts)]
         flush()
+    if marked and template and not blocks:
+        return article(root, set(), host)
     return "\n".join(blocks)
 
 
+def _holds_prose(x: Node, start: Node, held: dict[int, tuple[int, bool]]) -> bool:
+    """Whether ``x`` has an element of prose with text, or half of the text of ``start``.
+    ``held`` keeps length of text and presence of prose of each node, found at first use."""
+    if not held:
+        order, todo = [], [start]
+        while todo:
+            y = todo.pop()
+            order.append(y)
+            todo += [p for p in y.parts if isinstance(p, Node) and not p.noise]
+        for y in reversed(order):
+            n, prose = 0, False
+            for p in y.parts:
+                if isinstance(p, str):
+                    n += len("".join(p.split()))
+                elif not p.noise:
+                    n += held[id(p)][0]
+                    prose = prose or held[id(p)][1]
+            held[id(y)] = n, prose or (n > 0 and y.tag in PROSE)
+    n, prose = held[id(x)]
+    return prose or (n > 0 and 2 * n >= held[id(start)][0])
+
+
 def _is_template(x: Node, inside: bool, template: set[int], host: int) -> bool:
     return of_host(x.digest, host) in template and not (inside and x.tag in PROSE) and not x.main and x.tag not in INLINE and x.tag not in ("html", "body", "#root")
 
@@ -204,11 +231,12 @@ def host_of(url):
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
-def main_text(pages: DataFrame, least_pages: int = 10, most_hashes: int = 1_000_000) -> DataFrame:
+def main_text(pages: DataFrame, least_pages: int = 10, most_hashes: int = 1_000_000, least_share: float = 0.2) -> DataFrame:
     """page_id, url, text and n_chars of each page.
 
-    A subtree that occurs on ``least_pages`` pages of a host is its template. Hashes are
-    counted by host in Spark. Template hashes reach the pages in one of two ways: those of
+    A subtree that occurs in ``least_pages`` distinct contents of a host and in
+    ``least_share`` of all of them is its template; a page's content is its text with the
+    template, so copies of an article count once. Hashes are counted by host in Spark. Template hashes reach the pages in one of two ways: those of
     hosts with at most ``most_hashes`` of them are broadcast (8 bytes each), in as many
     blocks of hosts as keep a block at about that size; those of larger hosts are joined to
     their pages. Null html gives an empty text; a null or odd url counts as one host; null
@@ -217,8 +245,12 @@ def main_text(pages: DataFrame, least_pages: int = 10, most_hashes: int = 1_000_
     """
     spark = pages.sparkSession
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64(host_of(F.col("url"))).alias("host"), F.col("html").cast("string").alias("html"))
-    counted = own.select("host", "html").mapInArrow(_keys, "host long, key long").groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    template = stage(counted.where(F.col("n") >= least_pages).select("host", "key"), "template")
+    found = own.select("host", "html").mapInArrow(_keys, "host long, content long, key long").distinct()
+    counted = found.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    often = stage(counted.where(F.col("n") >= least_pages), "recurring")
+    contents = often.where("key is null").select("host", F.col("n").alias("contents"))
+    shared = often.where("key is not null").join(contents, "host").where(F.col("n") >= F.col("contents") * least_share)
+    template = stage(shared.select("host", "key"), "template")
     hosts = template.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     large = stage(hosts.where(F.col("n") > most_hashes).select("host"), "large-hosts")
     crowded = not large.isEmpty()
@@ -243,16 +275,18 @@ def main_text(pages: DataFrame, least_pages: int = 10, most_hashes: int = 1_000_
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, key) of each page's subtrees."""
+    """(host, content, key) of each page's subtrees, and a row without a key for the page."""
     for batch in batches:
-        hosts, found = [], []
+        hosts, contents, found = [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             root = parse(page or "")
             seal(root)
-            mine = subtrees(root)
-            found += [of_host(d, host) for d in mine]
+            content = xxhash.xxh64(article(root, set())).intdigest() - (1 << 63)
+            mine = [None, *(of_host(d, host) for d in subtrees(root))]
+            found += mine
             hosts += [host] * len(mine)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(found, pa.int64())], ["host", "key"])
+            contents += [content] * len(mine)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(contents, pa.int64()), pa.array(found, pa.int64())], ["host", "content", "key"])
 
 
 def _texts(batch: pa.RecordBatch, known) -> pa.RecordBatch:

@@ -233,5 +233,31 @@ def test_extraction_of_small_pages(page, text):
     assert html_text.article(root, set()) == text
 
 
+@pytest.mark.parametrize("mark", ["article", "div"])
+def test_copies_of_a_page_are_not_template(spark, mark):
+    page = "<html><body><div class=top><p>Site of pages</p></div><{0}><div class=content><p>{1}</p><section>{2}</section></div></{0}></body></html>"
+    rows = [(i, f"http://a.example/{i}", page.format(mark, "the one story", "its end")) for i in range(12)]
+    rows += [(100 + i, f"http://b.example/{i}", page.format(mark, "the one story", "its end")) for i in range(12)]
+    rows += [(200 + i, f"http://b.example/x{i}", page.format(mark, f"story {i}", f"end {i}")) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    top = "" if mark == "article" else "Site of pages\n"
+    assert all(got[i] == top + "the one story\nits end" for i in range(12))
+    assert all(got[100 + i] == "the one story\nits end" and got[200 + i] == f"story {i}\nend {i}" for i in range(12))
+
+
+def test_what_few_pages_of_a_large_host_share_is_not_template(spark):
+    page = "<html><body><div><p>Site of pages</p></div><h2>{}</h2><p>Story {}</p></body></html>"
+    rows = [(i, f"http://a.example/{i}", page.format("Results" if i < 15 else f"Head {i}", i)) for i in range(100)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Results\nStory {i}" if i < 15 else f"Head {i}\nStory {i}" for i in range(100)}
+
+
+@pytest.mark.parametrize("body", ["<div class=content><p>one story</p></div><p>day {}</p>", "<div class=content>one story of more words</div><p>{}</p>", "<section><div><ul><li>one story</li></ul></div></section><p>day {}</p>"])
+def test_a_container_of_the_article_is_not_template(spark, body):
+    rows = [(i, f"http://a.example/{i}", f"<body><article>{body.format(i)}<div>Read more</div></article></body>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(t.split("\n") == (["one story", f"day {i}"] if "day" in body else ["one story of more words", str(i)]) for i, t in got.items())
+
+
 def test_no_pages(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
