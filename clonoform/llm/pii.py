@@ -147,8 +147,8 @@ _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _DOTS = r"(?:dot|punkt|point|punto)"
 _SPELLED = re.compile(rf"\b(?:plus[ ])?{_WORD}(?:(?:[ ,-]{{1,2}}|[ ]{_DOTS}[ ])(?:{_WORD}|[0-9]+)){{3,}}\b", re.IGNORECASE)
 _SPELLED_STEP = re.compile(rf"{_WORD}|[0-9]+|{_DOTS}|plus", re.IGNORECASE)
-#: cheap test: most texts hold few digit words
-_HINT = re.compile(r"(?:zero|one|two|three|four|five|six|seven|eight|nine|null|eins|zwei|drei|vier|sechs|sieben|acht|neun|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|un|oh)[ ,-]", re.IGNORECASE)
+#: What each match of _SPELLED starts with, in lower case; most texts have none.
+_HINT = re.compile(rf"{_WORD}(?=(?:[ ,-]{{1,2}}|[ ]{_DOTS}[ ])(?:{_WORD}|[0-9]))")
 
 _AT = r"(?:\s*[\(\[\{<]\s*(?:at|@)\s*[\)\]\}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\(\[\{<]\s*(?:dot|\.)\s*[\)\]\}>]\s*|\s+dot\s+|\.)"
@@ -203,20 +203,18 @@ def normalise(text: str) -> Rewriting:
     out = Rewriting(text)
     if not text.isascii():
         out.edit([(m.start(), m.end(), _homoglyph(m.group())) for m in _ODD.finditer(text)])
-    if sum(1 for _ in _take(_HINT.finditer(out.text), 4)) >= 3:
+    low = out.text.lower()
+    if any(not (m.start() and low[m.start() - 1].isalnum()) for m in _HINT.finditer(low)):
         out.edit(_spelled(out.text))
     if _AT_HINT.search(out.text):
         out.edit(_at_dot(out.text))
     return out
 
 
-def _take(items, n: int):
-    return (x for _, x in zip(range(n), items, strict=False))
-
-
 def find_pii(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, added spans) of a text, in code points, end exclusive. An added span
-    touches a normalised place and overlaps no base span of its kind."""
+    touches a normalised place and lies in no base span of its kind; it may hold one, as the
+    base finds the plain end of an address whose start is disguised."""
     base = find_identifiers(text)
     plain = normalise(text)
     if not plain.layers:
@@ -224,7 +222,7 @@ def find_pii(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
     added = []
     for start, end, kind in find_identifiers(plain.text):
         a, b, touched = plain.source(start, end)
-        if touched and not any(k == kind and s < b and a < e for s, e, k in base):
+        if touched and not any(k == kind and s <= a and b <= e for s, e, k in base):
             added.append((a, b, kind))
     return base, added
 

@@ -133,6 +133,33 @@ def test_disguises_map_back_to_the_source(text, kind, span):
     assert (text.index(span), text.index(span) + len(span), kind) in added and not any(k == kind for _, _, k in base)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span", "plain"),
+    [
+        ("mail jаne@example.com today", "email", "jаne@example.com", "ne@example.com"),
+        ("mail x@example.cоm today", "email", "x@example.cоm", "x@example.c"),
+        ("call +1 212 555 01９９ now", "phone", "+1 212 555 01９９", "+1 212 555 01"),
+        ("call +1 212 555 0112 one two three five now", "phone", "+1 212 555 0112 one two three five", "+1 212 555 0112"),
+    ],
+)
+def test_a_disguised_part_beside_a_plain_match(text, kind, span, plain):
+    spans = [(text.index(x), text.index(x) + len(x), kind) for x in (plain, span)]
+    assert pii.find_pii(text) == (spans[:1], spans[1:])
+
+
+@pytest.mark.parametrize("span", ["plus fünf fünf fünf fünf fünf neuf neuf zéro zéro", "Plus Zéro zéro neuf neuf fünf fünf zéro fünf neuf", "plus one dot 5555 555 55 dot 5"])
+def test_each_digit_word_is_looked_for(span):
+    edits = pii.normalise(f"say {span} now").layers
+    assert edits and edits[0][1][0][2:] == (4, 4 + len(span))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*pii.DIGIT_WORDS, "7", "dot", "punkt", "plus", "word"]), max_size=9), st.sampled_from([" ", ", ", "-"]))
+def test_the_hint_skips_no_spelled_number(words, gap):
+    text = gap.join(words)
+    assert [s[2:] for s in pii.normalise(text).layers[0][1]] == [e[:2] for e in pii._spelled(text)] if pii._spelled(text) else True
+
+
 @pytest.mark.parametrize("text", ["look at the dot on the map", "one, two, three, four, five, six", "we met at noon. It was fine", "Посмотри на дом и сад", ""])
 def test_prose_stays_clean(text):
     assert pii.find_pii(text) == ([], [])
