@@ -44,8 +44,8 @@ _LETTER = np.zeros(0, bool)
 def _letters(points: np.ndarray) -> np.ndarray:
     global _LETTER
     if not len(_LETTER):
-        _LETTER = np.array([chr(c).isalpha() for c in range(0x20000)])
-    return _LETTER[np.minimum(points, 0x1FFFF)]
+        _LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
+    return _LETTER[points]
 
 
 def train(docs: DataFrame, bits: int = 16, rows: int = 20_000, max_languages: int = 1_000) -> tuple[list[str], np.ndarray]:

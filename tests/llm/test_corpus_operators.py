@@ -227,6 +227,14 @@ def test_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in test) / len(test) > 0.97
 
 
+def test_letters_of_all_planes_count(spark):
+    text = "\U00020000\U00020001 \U00030000"
+    assert language_id.buckets([text])[1][0] > 0 and language_id.buckets([text + " \U0001f600"])[1][0] == language_id.buckets([text + " 1"])[1][0]
+    docs = spark.createDataFrame([(i, text, "zh", None, None) for i in range(8)] + [(8, "\U0001f600 \U0010ffff", None, None, None)], SCHEMA)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify_languages(docs).collect()}
+    assert got == {i: "zh" if i < 8 else "und" for i in range(9)}
+
+
 def test_languages_of_odd_rows(spark):
     rows = [(i, t, "en") for i, t in ODD] + [(7, "12 34 !!", "en"), (8, "bonjour le monde", "fr")]
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify_languages(docs_of(spark, rows)).collect()}
