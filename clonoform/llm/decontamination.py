@@ -12,8 +12,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clonoform.llm.common import stage
+
 #: ASCII letters lower-cased; other ASCII but digits a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
@@ -56,20 +59,33 @@ class Item:
         return [tuple(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1))] if ws else []
 
 
+class Corpus(NamedTuple):
+    """What weights need to know of all items: how many have words, their words in total, the
+    longest, and in how many each word occurs."""
+
+    n: int
+    total: int
+    longest: int
+    inside: Mapping[bytes, int]
+
+
 class Bm25Index:
     """Postings of a block of items, as weights by term and item. A weight is the term's BM25
     weight in the item over the item's whole weight, so 1 is an item found in full. Items are
-    sorted by whole weight and cut into blocks, so that a block's maxima are close bounds."""
+    sorted by whole weight and cut into blocks, so that a block's maxima are close bounds.
+    ``corpus`` describes all items where these are a part of them."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], size: int = 5, block: int | None = None, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int | None, str | None]], size: int = 5, block: int | None = None, k1: float = 1.2, b: float = 0.75, corpus: Corpus | None = None):
         found = [x for x in (Item(i, t or "", size) for i, t in items) if x.words]
         n = len(found)
         counts = [Counter(x.words) for x in found]
-        inside = Counter(w for c in counts for w in c)
-        idf = {w: math.log1p((n - d + 0.5) / (d + 0.5)) for w, d in inside.items()}
-        mean = sum(len(x.words) for x in found) / n if n else 1
-        self.longest = max((len(x.words) for x in found), default=0)
-        self.terms = {w: i + 1 for i, w in enumerate(sorted(inside))}
+        own = Counter(w for c in counts for w in c)
+        if corpus is None:
+            corpus = Corpus(n, sum(len(x.words) for x in found), max((len(x.words) for x in found), default=0), own)
+        idf = {w: math.log1p((corpus.n - corpus.inside[w] + 0.5) / (corpus.inside[w] + 0.5)) for w in own}
+        mean = corpus.total / corpus.n if corpus.n else 1
+        self.longest = corpus.longest
+        self.terms = {w: i + 1 for i, w in enumerate(sorted(own))}
         weights = []
         for x, c in zip(found, counts, strict=True):
             norm = k1 * (1 - b + b * len(x.words) / mean)
@@ -175,14 +191,37 @@ def batch_hits(index: Bm25Index, texts: list[bytes | None], threshold: float, ov
                 yield text, k, (score, whole, q, a)
 
 
+def _corpus(test: DataFrame) -> Callable[[int], Corpus]:
+    """The corpus of all items (block, text), by block with the frequencies of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ws = words(text)
+                if ws:
+                    own = [None, *set(ws)]
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array(own, pa.binary()), pa.array([len(ws)] * len(own), pa.int64())], ["block", "word", "length"])
+
+    terms = stage(test.select(F.col("block").cast("long").alias("block"), "text").mapInArrow(run, "block long, word binary, length long"), "item-words")
+    n, total, longest = terms.where("word is null").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("length"), F.lit(0))).first()
+    inside = stage(terms.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("n")), "item-frequencies")
+
+    def of(k: int) -> Corpus:
+        rows = inside.join(terms.where(F.col("block") == k).select("word"), "word", "left_semi").collect()
+        return Corpus(n, total, longest, {bytes(r["word"]): r["n"] for r in rows})
+
+    return of
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part: float = 0.5, size: int = 5, block_bytes: int = 2_000_000) -> DataFrame:
     """One row for each document and test item that it holds: doc_id, item_id, score (share
     of the item's BM25 weight that a passage has), overlap (share of the item's five-word
     shingles), question_overlap, answer_overlap.
 
     Every passage of every whole text is a query. Items are indexed in blocks of about
-    ``block_bytes`` of text; each block's index goes to all tasks, which bounds what is
-    broadcast for a benchmark of any size, at one pass over the documents a block. An item
+    ``block_bytes`` of text; each block's index goes to all tasks, at one pass over the
+    documents a block. Document frequencies, mean and longest length are those of all items,
+    so that the rows don't depend on the number of blocks. An item
     of fewer than five words must be found whole. Null and empty texts match nothing; null
     ids stay null; repeated documents each give their rows; items that repeat an item_id
     are matched each, and one row for an id is kept; empty tables give no rows; other
@@ -192,10 +231,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5
     total = test.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    test = test.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    corpus_of = _corpus(test) if blocks > 1 else lambda k: None
     found = None
     for k in range(blocks):
-        mine = test.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = Bm25Index([(r["item_id"], r["text"]) for r in mine.collect()], size)
+        mine = test.where(F.col("block") == k)
+        index = Bm25Index([(r["item_id"], r["text"]) for r in mine.collect()], size, corpus=corpus_of(k))
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

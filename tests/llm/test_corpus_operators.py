@@ -161,6 +161,16 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, bucket):
 
 
 # --- contamination --------------------------------------------------------------------------
+def test_blocks_of_items_give_the_rows_of_one(spark):
+    common = [f"common{i}" for i in range(12)]
+    texts = [" ".join([x for i, w in enumerate(common[k % 3 :]) for x in (w, f"own{k}x{i}")] + [f"tail{k % 2}"] * (k % 4)) for k in range(9)]
+    items = spark.createDataFrame(list(enumerate([*texts, None, "", texts[0]])), "item_id long, text string")
+    docs = docs_of(spark, [(i, "before it " + " ".join(t.split()[: -1 - i % 3]) + " after it " * 40 + t[: len(t) // 2]) for i, t in enumerate(texts)])
+    one, many = (sorted(map(tuple, decontamination.find_contamination(docs, items, block_bytes=n).collect())) for n in (2_000_000, 700))
+    assert len(one) >= len(texts) and [x[:2] for x in one] == [x[:2] for x in many]
+    assert np.allclose(np.array(one), np.array(many), rtol=0, atol=1e-12)
+
+
 def test_contamination(spark, sf_dir):
     texts = texts_of(spark, sf_dir)
     items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
