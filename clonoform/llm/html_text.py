@@ -11,7 +11,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -236,10 +235,9 @@ def main_text(pages: DataFrame, least_pages: int = 10, most_hashes: int = 1_000_
 
     A subtree that occurs in ``least_pages`` distinct contents of a host and in
     ``least_share`` of all of them is its template; a page's content is its text with the
-    template, so copies of an article count once. Hashes are counted by host in Spark. Template hashes reach the pages in one of two ways: those of
-    hosts with at most ``most_hashes`` of them are broadcast (8 bytes each), in as many
-    blocks of hosts as keep a block at about that size; those of larger hosts are joined to
-    their pages. Null html gives an empty text; a null or odd url counts as one host; null
+    template, so copies of an article count once. Hashes are counted by host in Spark. Up to
+    ``most_hashes`` template hashes are broadcast (8 bytes each); more are joined to the
+    pages. Null html gives an empty text; a null or odd url counts as one host; null
     page_id stays null; repeated rows give a row each; an empty table gives no rows; other
     columns are ignored.
     """
@@ -251,27 +249,17 @@ def main_text(pages: DataFrame, least_pages: int = 10, most_hashes: int = 1_000_
     contents = often.where("key is null").select("host", F.col("n").alias("contents"))
     shared = often.where("key is not null").join(contents, "host").where(F.col("n") >= F.col("contents") * least_share)
     template = stage(shared.select("host", "key"), "template")
-    hosts = template.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    large = stage(hosts.where(F.col("n") > most_hashes).select("host"), "large-hosts")
-    crowded = not large.isEmpty()
-    small = template.join(large, "host", "left_anti") if crowded else template
-    rest = own.join(large, "host", "left_anti").select(own.columns) if crowded else own
-    blocks = max(1, -(-small.count() // most_hashes))
-    parts = []
-    for k in range(blocks):
-        mine = F.pmod(F.xxhash64("host"), F.lit(blocks)) == k
-        keys = np.sort(np.fromiter((r["key"] for r in small.where(mine).select("key").toLocalIterator()), np.int64))
-        shared = spark.sparkContext.broadcast(keys)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            keys = shared.value
-            for batch in batches:
-                yield _texts(batch, lambda own: own[np.searchsorted(keys, own, "right") > np.searchsorted(keys, own)])
-
-        parts.append((rest.where(mine) if blocks > 1 else rest).mapInArrow(run, RESULT))
-    if crowded:
-        parts.append(_joined(own.join(large, "host", "left_semi").select(own.columns), template))
-    return reduce(DataFrame.unionByName, parts)
+    if template.count() > most_hashes:
+        return _joined(own, template)
+    keys = np.sort(np.fromiter((r["key"] for r in template.select("key").toLocalIterator()), np.int64))
+    shared_keys = spark.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = shared_keys.value
+        for batch in batches:
+            yield _texts(batch, lambda own: own[np.searchsorted(keys, own, "right") > np.searchsorted(keys, own)])
+
+    return own.mapInArrow(run, RESULT)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,8 +290,8 @@ def _texts(batch: pa.RecordBatch, known) -> pa.RecordBatch:
 
 
 def _joined(own: DataFrame, template: DataFrame) -> DataFrame:
-    """Pages of large hosts with the template keys among their own, by joins."""
-    rows = stage(own.withColumn("rid", F.monotonically_increasing_id()), "large-host-pages")
+    """Texts of the pages, with the template keys among their own found by joins."""
+    rows = stage(own.withColumn("rid", F.monotonically_increasing_id()), "pages")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -260,6 +260,20 @@ def test_extraction_of_small_pages(page, text):
     assert html_text.article(root, set()) == text
 
 
+def test_many_template_keys_do_not_reach_the_driver(spark, monkeypatch):
+    page = "<html><body><div>Site of {0}</div><p>Story {1}</p></body></html>"
+    rows = [(100 * h + i, f"http://host{h}.example/{i}", page.format(h, i)) for h in range(4) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {r[0]: f"Story {r[0] % 100}" for r in rows}
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()} == want
+
+    def fetched(*_):
+        raise AssertionError("template keys on the driver")
+
+    monkeypatch.setattr(type(pages), "toLocalIterator", fetched)
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(pages, most_hashes=2).collect()} == want
+
+
 @pytest.mark.parametrize("mark", ["article", "div"])
 def test_copies_of_a_page_are_not_template(spark, mark):
     page = "<html><body><div class=top><p>Site of pages</p></div><{0}><div class=content><p>{1}</p><section>{2}</section></div></{0}></body></html>"
