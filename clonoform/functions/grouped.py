@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clonoform.sources.staging import stage
+
 
 def join_groups(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join on columns where NULL equals NULL; the right side's key columns go."""
@@ -68,28 +70,28 @@ def names(groupby: str | Sequence[str]) -> list[str]:
     return out
 
 
-def row_numbers(df: DataFrame, order_by: str, buckets: int = 64, cuts_from: DataFrame | None = None) -> DataFrame:
+def row_numbers(df: DataFrame, order_by: str, buckets: int | None = None) -> DataFrame:
     """Add ``__row``: the place of each row in the order of a numeric column, from 0.
 
-    Rows go to ranges of the order column (cut at approximate quantiles); each range is
-    numbered by itself and starts where the ranges before it end. Only the cuts and one
-    count a range leave the executors. Ties are broken by no rule: give a unique column.
-    ``cuts_from`` is a frame with the same column that is cheaper to read than ``df``, such
-    as the source before its filters; any cuts give the same numbers.
+    Rows are sorted by ranges of the order column and written once to the shared folder; a
+    row's number is its place in its range plus the sizes of the ranges before it. There are
+    as many ranges as the shuffle has partitions (adaptive execution merges small ones),
+    unless ``buckets`` says how many. Ties are broken by no rule: give a unique column.
     """
     kind = dict(df.dtypes)[order_by]
     if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not kind.startswith("decimal"):
         raise ValueError(f"order_by must be numeric, {order_by} is {kind}")
-    cuts = (cuts_from if cuts_from is not None else df).agg(F.percentile_approx(order_by, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()["q"]
-    cuts = sorted(set(cuts or []))
-    place = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col(order_by))) if cuts else F.lit(0)
-    ranged = df.withColumn("__range", place)
-    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    # at most ``buckets`` rows
+    ranged = df.repartitionByRange(*([buckets] if buckets else []), F.col(order_by)).sortWithinPartitions(order_by)
+    # partition number in the upper 31 bits, place inside the partition in the lower 33
+    ordered = stage(ranged.withColumn("__at", F.monotonically_increasing_id()), "ordered-rows").withColumn("__range", F.shiftright("__at", 33))
+    sizes = ordered.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    # one row a range: as many as the shuffle has partitions, whatever the input
     first = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__first"))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(order_by))
-    return ranged.join(F.broadcast(first), "__range").withColumn("__row", own - 1 + F.col("__first")).drop("__range", "__first")
+    number = F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.join(F.broadcast(first), "__range").withColumn("__row", number).drop("__range", "__first", "__at")
 
 
 def row_name(prefix: str) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(F.col("__row").cast("string"), 8, "0"))
+    """The prefix and the row number, padded to eight digits; longer numbers stay whole."""
+    number = F.col("__row").cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(number) < 8, F.lpad(number, 8, "0")).otherwise(number))

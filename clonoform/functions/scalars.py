@@ -43,12 +43,12 @@ def normalize_text(c: Column) -> Column:
 
 
 def truthy(c: Column) -> Column:
-    """Truth test of the feature extraction: four words; NULL is false."""
+    """Truth test of the feature extraction and of the AIRR check: four words; NULL is false."""
     return F.coalesce(F.lower(c.cast("string")).isin("true", "t", "1", "yes"), F.lit(False))
 
 
 def truthy_productive(c: Column) -> Column:
-    """Truth test of the preparation and of the AIRR check: also the word "productive"."""
+    """Truth test of the preparation: also the word "productive"."""
     return F.coalesce(F.lower(c.cast("string")).isin("true", "t", "1", "yes", "productive"), F.lit(False))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -33,9 +33,18 @@ AIRR_ALIASES = {
     "clonotype_id": ("clonotype_id", "clone_id"),
 }
 CELLRANGER_NAMES = {
-    "barcode": "cell_id", "chain": "chain", "cdr3": "cdr3aa", "cdr3_nt": "junction", "v_gene": "v_call", "d_gene": "d_call",
-    "j_gene": "j_call", "c_gene": "c_call", "umis": "umi_count", "reads": "read_count", "raw_clonotype_id": "clonotype_id",
-}
+    "barcode": "cell_id",
+    "chain": "chain",
+    "v_gene": "v_call",
+    "d_gene": "d_call",
+    "j_gene": "j_call",
+    "c_gene": "c_call",
+    "cdr3": "cdr3aa",
+    "cdr3_nt": "junction",
+    "reads": "read_count",
+    "umis": "umi_count",
+    "raw_clonotype_id": "clonotype_id",
+}
 CELLRANGER_KEPT = ("contig_id", "is_cell", "high_confidence", "length", "full_length", "raw_consensus_id")
 
 
@@ -81,8 +90,8 @@ def metadata_from_rows(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select("cell_id", *columns)
 
 
-def _finish(rows: DataFrame, order: str, source: DataFrame) -> DataFrame:
-    named = row_numbers(rows, order, cuts_from=source).withColumn("input_row_id", row_name("row_")).drop("__row", "__productive_known")
+def _finish(rows: DataFrame, order: str) -> DataFrame:
+    named = row_numbers(rows, order).withColumn("input_row_id", row_name("row_")).drop("__row", "__productive_known")
     return canonicalize(named)
 
 
@@ -111,7 +120,7 @@ def adapt_airr(source: DataFrame, *, order_by: str, chain: str | None = None, pr
         ranks = [F.coalesce("productive", F.lit(False)).cast("int")]
         ranks += [S.numeric_rank(F.col(c)) for c in ("umi_count", "read_count", "duplicate_count", "consensus_count") if found[c]]
         kept = primary_chain(kept, ranks)
-    out = _finish(kept.drop("input_row_id"), "source_order", source.select(F.col(order_by).alias("source_order")))
+    out = _finish(kept.drop("input_row_id"), "source_order")
     qc = source.agg(F.count(F.lit(1)).alias("source_row_count")).join(before.agg(F.count(F.lit(1)).alias("rows_before_primary_selection")), F.lit(True)).join(kept.agg(*_counts(kept)), F.lit(True))
     return AdapterResult(out.drop("source_order"), cells, qc, adapter_name, ADAPTER_VERSION, {"chain": chain, "productive_only": productive_only, "primary_chain": primary})
 
@@ -168,7 +177,7 @@ def adapt_cellranger(source: DataFrame, *, order_by: str, chain: str | None = No
         ranks += [S.numeric_rank(F.col(c)) for c in ("umi_count", "read_count") if c in rows.columns]
         kept = primary_chain(kept, ranks)
     qc = rows.agg(*counts).join(kept.agg(*_counts(kept)), F.lit(True))
-    out = _finish(kept.drop("input_row_id"), "source_order", source.select(F.col(order_by).alias("source_order")))
+    out = _finish(kept.drop("input_row_id"), "source_order")
     if metadata is None and metadata_columns:
         named_cells = source.select(S.normalize_text(F.col(own["barcode"])).alias("cell_id"), *metadata_columns)
         cells = metadata_from_rows(named_cells.join(kept.select("cell_id").distinct(), "cell_id", "left_semi"), metadata_columns)
@@ -223,7 +232,7 @@ def adapt_wells(wide: DataFrame, *, order_by: str = "cell_id", chain: str | None
         .join(before.agg(F.count(F.lit(1)).alias("rows_before_primary_selection")), F.lit(True))
         .join(kept.agg(*_counts(kept), F.count_if(~c.startswith("C")).alias("non_c_rows")), F.lit(True))
     )
-    cells = metadata if metadata is not None else wide.select("cell_id").distinct()
+    cells = _contained(kept, metadata) if metadata is not None else wide.select("cell_id").distinct()
     return AdapterResult(kept, cells, qc, "wells_tcr_ir", ADAPTER_VERSION, {"chain": chain, "productive_only": productive_only, "primary_chain": primary})
 
 
@@ -236,14 +245,37 @@ def list_receptor_adapters() -> list[str]:
     return sorted(ADAPTERS)
 
 
-def prepare_receptors(source: DataFrame, adapter: str, **options) -> AdapterResult:
-    """Run the named adapter; unknown names raise."""
+def prepare_receptors(source: DataFrame | Mapping[str, DataFrame], adapter: str, *, receptors: str | None = None, cells: str | None = None, **options) -> AdapterResult:
+    """Run the named adapter; unknown names raise.
+
+    ``source`` may be a mapping of named tables: ``receptors`` then names the receptor table
+    and ``cells`` that of the cells (the receptor table's own cells if it isn't given).
+    Receptor cells that the metadata lacks raise, whatever the adapter. Naming tables of a
+    source that has none, ``cells`` without ``receptors``, and ``cells`` beside a
+    ``metadata`` frame raise too.
+    """
     name = ADAPTER_ALIASES.get(adapter, adapter)
     if name not in ADAPTERS:
         raise ValueError(f"unknown receptor adapter {adapter!r}; known: {list_receptor_adapters()}")
     if name == "scirpy_airr":
         options.setdefault("adapter_name", "scirpy_airr")
-    return ADAPTERS[name](source, **options)
+    if receptors is None:
+        if cells is not None:
+            raise ValueError("cells names a table beside receptors; give both")
+        if isinstance(source, Mapping):
+            raise ValueError(f"receptors must name one of the tables {sorted(source)}")
+        return ADAPTERS[name](source, **options)
+    if not isinstance(source, Mapping):
+        raise TypeError("a named receptor table needs a mapping of tables")
+    if cells is not None and "metadata" in options:
+        raise ValueError("give cells or metadata, not both")
+    absent = [t for t in (receptors, cells) if t is not None and t not in source]
+    if absent:
+        raise KeyError(f"tables {absent} are missing; there are {sorted(source)}")
+    if cells is not None:
+        options["metadata"] = source[cells]
+    made = ADAPTERS[name](source[receptors], **options)
+    return made._replace(provenance={**made.provenance, "receptors": receptors, "cells": cells or ("metadata" if "metadata" in options else receptors)})
 
 
 def extract_features(source: DataFrame, *, order_by: str, chain: str = "TRB", prefer_productive: bool = True) -> DataFrame:

@@ -15,11 +15,12 @@ from pyspark.sql import types as T
 
 from clonoform.functions import scalars as S
 from clonoform.functions.grouped import chain_rows, row_name, row_numbers
+from clonoform.sources.staging import stage
 
 SCORED = T.StructType([T.StructField("cdr3aa", T.StringType()), T.StructField("rfu_id", T.IntegerType()), T.StructField("rfu_score", T.DoubleType())])
 #: What goes to every task: at most so many numbers of centroids at once, and of trimers
 #: (of which there are at most 20**3).
-MOST_NUMBERS = 20_000_000
+MOST_NUMBERS = 4_000_000
 
 Scorer = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -64,49 +65,86 @@ def unit_ranks(rows: np.ndarray) -> np.ndarray:
         return ranks / norm
 
 
-def spearman_scorers(trimers: DataFrame, centroids: DataFrame, start: int = 2, end: int = 4, most_numbers: int = MOST_NUMBERS) -> list[Scorer]:
+class WideScorer(NamedTuple):
+    """A scorer for trimer vectors that are too wide to broadcast: Spark joins the trimers and
+    averages their vectors; ``run`` maps batches of (cdr3aa, vec) to ``SCORED``."""
+
+    trimers: DataFrame
+    start: int
+    end: int
+    run: Scorer
+
+
+def spearman_scorers(trimers: DataFrame, centroids: DataFrame, start: int = 2, end: int = 4, most_numbers: int = MOST_NUMBERS) -> list[Scorer | WideScorer]:
     """Batch functions cdr3aa -> (cdr3aa, rfu_id, rfu_score): the centroid of the highest
     Spearman correlation, rounded to 9 digits; the smallest id wins a tie; NULL without a
     defined correlation.
 
     Centroids are broadcast in blocks of at most ``most_numbers`` numbers, one scorer for
-    each; ``assign`` takes the best of the blocks, so any reference can be used.
+    each; ``assign`` takes the best of the blocks, so any reference can be used. Trimers are
+    broadcast up to the same size and joined beyond it, with the same result.
     """
     numbers = F.coalesce(F.sum(F.size("vec").cast("long")), F.lit(0)).alias("n")
-    if trimers.agg(numbers).first()["n"] > most_numbers:
-        raise ValueError("the trimer vectors are too wide to broadcast")
-    known = trimers.select("trimer", "vec").collect()
+    wide = trimers.agg(numbers).first()["n"] > most_numbers
+    known = [] if wide else trimers.select("trimer", "vec").collect()
     blocks = max(1, -(-centroids.agg(numbers).first()["n"] // most_numbers))
-    return [_scorer(trimers, known, centroids.where(F.pmod(F.col("rfu_id"), F.lit(blocks)) == k), start, end) for k in range(blocks)]
+    runs = [_scorer(trimers, None if wide else known, centroids.where(F.pmod(F.col("rfu_id"), F.lit(blocks)) == k), start, end) for k in range(blocks)]
+    return [WideScorer(trimers, start, end, r) for r in runs] if wide else runs
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    """A number for each three code points in a row."""
+    p = points.astype(np.int64)
+    return p[:-2] | p[1:-1] << 21 | p[2:] << 42
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _mean_vectors(texts: list[str], codes: np.ndarray, vectors: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the texts with known trimers, mean vector of each)."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    if len(owner) < 3 or not len(codes):
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    code = _codes(_points("".join(texts)))
+    inside = np.flatnonzero((place[:-2] >= start) & (place[:-2] < sizes[owner[:-2]] - end - 2))
+    at = np.minimum(np.searchsorted(codes, code[inside]), len(codes) - 1)
+    found = codes[at] == code[inside]
+    hits, owner = at[found], owner[inside[found]]
+    if not len(hits):
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    rows, first, many = np.unique(owner, return_index=True, return_counts=True)
+    return rows, np.add.reduceat(vectors[hits], first, axis=0) / many[:, None]
 
 
-def _scorer(trimers: DataFrame, known: list, centroids: DataFrame, start: int, end: int) -> Scorer:
+def _scorer(trimers: DataFrame, known: list | None, centroids: DataFrame, start: int, end: int) -> Scorer:
     spark = trimers.sparkSession
     units = centroids.select("rfu_id", "vec").orderBy("rfu_id").collect()
-    index = {r["trimer"]: i for i, r in enumerate(known)}
-    vectors = np.array([r["vec"] for r in known], np.float64)
     ids = np.array([r["rfu_id"] for r in units], np.int32)
     centres = unit_ranks(np.array([r["vec"] for r in units], np.float64)) if units else np.zeros((0, 1))
-    shared = spark.sparkContext.broadcast((index, vectors, ids, centres))
+    codes = np.array([_codes(_points(r["trimer"]))[0] for r in known or []], np.int64)
+    order = np.argsort(codes, kind="stable")
+    vectors = np.array([known[i]["vec"] for i in order], np.float64) if known else np.zeros((0, 0))
+    joined = known is None
+    shared = spark.sparkContext.broadcast((codes[order], vectors, ids, centres))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, vectors, ids, centres = shared.value
+        codes, vectors, ids, centres = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 2_000):
                 texts = batch.column(0).slice(lo, 2_000)
-                hits, owner = [], []
-                for i, t in enumerate(texts.to_pylist()):
-                    for k in range(start, len(t or "") - end - 2):
-                        at = index.get(t[k : k + 3])
-                        if at is not None:
-                            hits.append(at)
-                            owner.append(i)
+                if joined:
+                    own = batch.column(1).slice(lo, 2_000).to_pylist()
+                    rows = np.array([i for i, v in enumerate(own) if v is not None], np.int64)
+                    mean = np.array([own[i] for i in rows.tolist()], np.float64)
+                else:
+                    rows, mean = _mean_vectors([t or "" for t in texts.to_pylist()], codes, vectors, start, end)
                 best = np.full(len(texts), -1, np.int32)
                 score = np.full(len(texts), np.nan)
-                if hits and len(ids):
-                    rows, first = np.unique(owner, return_index=True)
-                    counts = np.diff([*first, len(owner)])
-                    mean = np.add.reduceat(vectors[hits], first, axis=0) / counts[:, None]
+                if len(rows) and len(ids):
                     rho = np.round(unit_ranks(mean) @ centres.T, 9)
                     rho[np.isnan(rho)] = -np.inf
                     top = rho.argmax(axis=1)
@@ -119,23 +157,27 @@ def _scorer(trimers: DataFrame, known: list, centroids: DataFrame, start: int, e
     return run
 
 
-def score(queries: DataFrame, scorers: list[Scorer]) -> DataFrame:
+def score(queries: DataFrame, scorers: list[Scorer | WideScorer]) -> DataFrame:
     """(cdr3aa, rfu_id, rfu_score) of each query: the best over all scorers."""
     spread = queries.select("cdr3aa").repartition(F.col("cdr3aa"))
-    if len(scorers) == 1:
-        return spread.mapInArrow(scorers[0], SCORED)
-    found = reduce(DataFrame.unionByName, [spread.mapInArrow(s, SCORED) for s in scorers])
+    wide = next((s for s in scorers if isinstance(s, WideScorer)), None)
+    vectors = None
+    if wide is not None:
+        vectors = stage(spread.join(embed_sequences(spread, wide.trimers, wide.start, wide.end).select("cdr3aa", "vec"), "cdr3aa", "left"), "query-vectors")
+    parts = [vectors.mapInArrow(s.run, SCORED) if isinstance(s, WideScorer) else spread.mapInArrow(s, SCORED) for s in scorers]
+    if len(parts) == 1:
+        return parts[0]
     best = F.max(F.when(F.col("rfu_id").isNotNull(), F.struct("rfu_score", (-F.col("rfu_id")).alias("minus")))).alias("b")
-    return found.groupBy("cdr3aa").agg(best).select("cdr3aa", (-F.col("b.minus")).alias("rfu_id"), F.col("b.rfu_score").alias("rfu_score"))
+    return reduce(DataFrame.unionByName, parts).groupBy("cdr3aa").agg(best).select("cdr3aa", (-F.col("b.minus")).alias("rfu_id"), F.col("b.rfu_score").alias("rfu_score"))
 
 
-def assign(queries: DataFrame, scorers: list[Scorer], threshold: float = 0.6) -> DataFrame:
+def assign(queries: DataFrame, scorers: list[Scorer | WideScorer], threshold: float = 0.6) -> DataFrame:
     """Score unique queries and add label and threshold flag (inclusive). A scorer is any
     batch function with the schema of ``SCORED``."""
     return queries.join(score(queries, scorers), "cdr3aa").select("*", S.rfu_label(F.col("rfu_id")).alias("rfu_label"), (F.col("rfu_score") >= threshold).alias("pass_thr"))
 
 
-def assign_incremental(queries: DataFrame, store: DataFrame, scorers: list[Scorer], reference_id: str, threshold: float = 0.6, force: bool = False) -> DataFrame:
+def assign_incremental(queries: DataFrame, store: DataFrame, scorers: list[Scorer | WideScorer], reference_id: str, threshold: float = 0.6, force: bool = False) -> DataFrame:
     """Reuse stored scores of the same reference and compute only the rest. ``store`` holds
     reference_id, cdr3aa, rfu_id, rfu_score; the ``reused`` flag tells the two apart."""
     own = store.where(F.col("reference_id") == reference_id).select("cdr3aa", "rfu_id", "rfu_score").dropDuplicates(["cdr3aa"])
@@ -182,7 +224,7 @@ def per_sequence(per_row: DataFrame, order_by: str = "source_order") -> DataFram
 MAPPING = ("input_row_id", "unique_sequence_id", "cell_id", "chain", "cdr3aa", "v_call", "source_adapter", "source_row_id", "eligibility_status", "reference_coverage_status", "assignment_status")
 
 
-def call_rfus(receptors: DataFrame, scorers: list[Scorer], *, chain: str = "TRB", threshold: float = 0.6, order_by: str = "source_order") -> RfuTables:
+def call_rfus(receptors: DataFrame, scorers: list[Scorer | WideScorer], *, chain: str = "TRB", threshold: float = 0.6, order_by: str = "source_order") -> RfuTables:
     """Assign all rows of a chain (only TRB has a reference): the three result tables."""
     if chain.strip().upper() != "TRB":
         raise ValueError("RFU assignment supports chain TRB only")

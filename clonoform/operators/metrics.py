@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clonoform.functions.grouped import assigned_rows, chain_rows, entropy, gini, join_groups, names, ratio, require
 from clonoform.functions.scalars import natural_key
+from clonoform.sources.staging import stage
 
 
 def rfu_summary(rows: DataFrame, groupby: str | None = None) -> DataFrame:
@@ -56,7 +57,7 @@ def rfu_metrics(rows: DataFrame, *, groupby: str | Sequence[str], weighting: str
         raise ValueError("weighting must be 'cell' or 'unique_sequence'")
     extra = {k: c for k, c in (("donor", donor), ("sample", sample)) if c}
     require(rows, [*groups, cell, cdr3, rfu, passed, order_by, *extra.values()], "RFU metrics")
-    frame = chain_rows(rows, chain)
+    frame = stage(chain_rows(rows, chain).select(*dict.fromkeys([*groups, cell, cdr3, rfu, passed, order_by, *extra.values()])), "metric-rows")
     work = assigned_rows(frame, assignment_policy, rfu, passed).where(F.col(cdr3).isNotNull())
     keys = [*groups, rfu]
     pairs = work.where(F.col(cell).isNotNull()).select(*keys, cdr3, cell).distinct()
@@ -126,7 +127,7 @@ def repertoire_metrics(rows: DataFrame, *, groupby: str | Sequence[str], weighti
     for c, kind in ((clonotype, "string"), (v, "string"), (productive, "boolean")):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast(kind))
-    frame = chain_rows(rows, chain)
+    frame = stage(chain_rows(rows, chain).select(*dict.fromkeys([*groups, cell, cdr3, clonotype, v, productive, order_by])), "repertoire-rows")
     has = F.col(cdr3).isNotNull()
     n = F.length(cdr3)
     base = frame.groupBy(*groups).agg(

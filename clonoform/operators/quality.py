@@ -21,36 +21,55 @@ CHECK_ALIASES = {
 }
 
 
-def validate_airr(table: DataFrame, cells: DataFrame, chain: str = "TRB", strict: bool = False, airr_key: str = "airr") -> DataFrame:
+#: The columns of the AIRR check's report that count, in order.
+CHECK_COUNTS = ("n_airr_rows", "n_airr_cells", "n_overlap_cells")
+CHECK_FLAGS = {"has_cell_id_col": "cell", "has_chain_col": "chain", "has_cdr3_col": "cdr3", "has_v_col": "v", "has_productive_col": "productive"}
+
+
+def validate_airr(table: DataFrame | None, cells: DataFrame, chain: str = "TRB", strict: bool = False, airr_key: str = "airr") -> DataFrame:
     """One row about an AIRR-like table and the cells that it should belong to. The chain
-    text is compared as it is, upper-cased, without chain aliases."""
+    text is compared as it is, upper-cased, without chain aliases.
+
+    ``table`` is None where there is no such table (``missing_airr_key``), and anything but a
+    DataFrame is ``invalid_airr``. The other statuses are ``missing_required_columns``,
+    ``no_chain_rows``, ``barcode_mismatch`` and ``ok``. With ``strict`` the first three raise.
+    """
+    n = cells.agg(F.count(F.lit(1)).alias("n_obs_cells"))
+    if not isinstance(table, DataFrame):
+        status = "missing_airr_key" if table is None else "invalid_airr"
+        if strict:
+            raise ValueError(f"{airr_key}: {status}")
+        return _airr_report(n, airr_key, chain, {}, F.lit(status))
     found = pick_columns(table, CHECK_ALIASES)
     missing = [k for k in ("cell", "chain", "cdr3", "v") if found[k] is None]
     if missing and strict:
         raise ValueError(f"AIRR table missing required columns: {missing}")
     get = lambda k: F.col(f"`{found[k]}`").cast("string")
     on_chain = F.coalesce(F.upper(get("chain")) == chain.upper(), F.lit(False)) if found["chain"] else F.lit(False)
-    good = S.truthy_productive(get("productive")) if found["productive"] else F.lit(False)
+    good = S.truthy(get("productive")) if found["productive"] else F.lit(False)
     own = table.agg(F.count(F.lit(1)).alias("n_airr_rows"), F.count_if(on_chain).alias("n_chain_rows"), F.count_if(on_chain & good).alias("n_productive_chain_rows"))
     ids = table.select(get("cell").alias("cell_id")).where("cell_id is not null").distinct() if found["cell"] else table.select(F.lit("").alias("cell_id")).limit(0)
     known = cells.select(F.col("cell_id").cast("string").alias("cell_id")).distinct().withColumn("known", F.lit(True))
     both = ids.join(known, "cell_id", "left").agg(F.count(F.lit(1)).alias("n_airr_cells"), F.count_if("known").alias("n_overlap_cells"))
-    n = cells.agg(F.count(F.lit(1)).alias("n_obs_cells"))
-    out = own.join(both, F.lit(True)).join(n, F.lit(True))  # one row each
     status = F.when(F.col("n_chain_rows") == 0, "no_chain_rows").when((F.col("n_airr_cells") > 0) & (F.col("n_overlap_cells") == 0), "barcode_mismatch").otherwise("ok")
-    flags = {"has_cell_id_col": "cell", "has_chain_col": "chain", "has_cdr3_col": "cdr3", "has_v_col": "v", "has_productive_col": "productive"}
-    return out.select(
+    one = own.join(both, F.lit(True)).join(n, F.lit(True))  # one row each
+    return _airr_report(one, airr_key, chain, found, F.lit("missing_required_columns") if missing else status)
+
+
+def _airr_report(one: DataFrame, airr_key: str, chain: str, found: dict, status) -> DataFrame:
+    """The report's columns in order, with zero for what ``one`` doesn't count."""
+    count = lambda c: F.col(c) if c in one.columns else F.lit(0).cast("long").alias(c)
+    shared, all_cells = (count(c) for c in ("n_overlap_cells", "n_airr_cells"))
+    return one.select(
         F.lit(airr_key).alias("airr_key"),
         F.lit(chain).alias("chain"),
         "n_obs_cells",
-        "n_airr_rows",
-        "n_airr_cells",
-        "n_overlap_cells",
-        F.coalesce(ratio(F.col("n_overlap_cells"), F.col("n_airr_cells")), F.lit(0.0)).alias("barcode_overlap_rate"),
-        *[F.lit(found[k] is not None).alias(c) for c, k in flags.items()],
-        "n_chain_rows",
-        "n_productive_chain_rows",
-        F.lit("missing_required_columns").alias("status") if missing else status.alias("status"),
+        *[count(c) for c in CHECK_COUNTS],
+        F.coalesce(ratio(shared, all_cells), F.lit(0.0)).alias("barcode_overlap_rate"),
+        *[F.lit(found.get(k) is not None).alias(c) for c, k in CHECK_FLAGS.items()],
+        count("n_chain_rows"),
+        count("n_productive_chain_rows"),
+        status.alias("status"),
     )
 
 

@@ -20,15 +20,31 @@ def subsample(rows: DataFrame, *, sample: str, unit: str, n: int, seed: int = 0)
 
 def multinomial_resample(counts: DataFrame, *, sample: str, feature: str, value: str, depth: int, seed: int = 0) -> DataFrame:
     """(sample, feature, n): ``depth`` seeded draws from each sample's abundances. This is
-    not a downsampling of reads."""
+    not a downsampling of reads.
+
+    A draw takes the feature whose share of the sample's running total it falls into. Draws
+    and features stand in one table by position, and a window carries the feature forward to
+    the draws behind it, so the work grows with draws plus features, not with their product.
+    """
+    return _resampled(counts, sample, feature, value, depth, [seed]).drop("__seed")
+
+
+def _resampled(counts: DataFrame, sample: str, feature: str, value: str, depth: int, seeds: Sequence[int]) -> DataFrame:
+    """(__seed, sample, feature, n) for each of the seeds, from one pass over the counts."""
+    counts = counts.where(F.col(sample).isNotNull())
     w = Window.partitionBy(sample)
     total = F.sum(value).over(w)
     running = F.sum(value).over(w.orderBy(feature).rowsBetween(Window.unboundedPreceding, 0))
-    ladder = counts.select(sample, feature, (F.round((running - F.col(value)) / total, 12)).alias("low"), F.round(running / total, 12).alias("high"))
-    draws = counts.select(sample).distinct().select(sample, F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("draw"))
-    draws = draws.withColumn("u", uniform(seeded(seed, F.col(sample), F.col("draw").cast("string"))))
-    hit = draws.join(ladder, sample).where("u >= low and u < high")
-    return hit.groupBy(sample, feature).agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("__seed")
+    ladder = counts.select(sample, F.col(feature).alias("__feature"), F.round((running - F.col(value)) / total, 12).alias("__at"), F.round(running / total, 12).alias("__high"))
+    steps = ladder.where("__at < __high").select(sample, each, "__at", F.lit(0).alias("__draw"), F.struct("__feature", "__high").alias("__step"))
+    draws = counts.select(sample).distinct().select(sample, each).select(sample, "__seed", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("__draw"))
+    at = uniform(seeded(F.col("__seed").cast("string"), F.col(sample), F.col("__draw").cast("string")))
+    placed = draws.select(sample, "__seed", at.alias("__at"), "__draw", F.lit(None).cast(steps.schema["__step"].dataType).alias("__step"))
+    # a feature's row stands before the draws at its own place
+    behind = Window.partitionBy(sample, "__seed").orderBy("__at", "__draw").rowsBetween(Window.unboundedPreceding, 0)
+    hit = steps.unionByName(placed).withColumn("__step", F.last("__step", True).over(behind)).where("__draw > 0 and __at < __step.__high")
+    return hit.groupBy("__seed", sample, F.col("__step.__feature").alias(feature)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def shuffled(rows: DataFrame, unit: str, seed: int = 0) -> DataFrame:
@@ -66,13 +82,11 @@ def cosine(a: DataFrame, b: DataFrame, keys: Sequence[str], feature: str, left:
 
 def stability(counts: DataFrame, *, sample: str, feature: str, value: str, depth: int, replicates: int = 3, seed: int = 0) -> DataFrame:
     """Cosine of each sample's vector with its resampled vector, for each replicate."""
-    out = None
-    base = counts.select(sample, feature, F.col(value).alias("__x"))
-    for r in range(1, replicates + 1):
-        other = multinomial_resample(counts, sample=sample, feature=feature, value=value, depth=depth, seed=seed + r).withColumnRenamed("n", "__y")
-        one = cosine(base, other, [sample], feature, "__x", "__y").select(F.lit(r).alias("replicate"), sample, "cosine")
-        out = one if out is None else out.unionByName(one)
-    return out
+    seeds = {seed + r: r for r in range(1, replicates + 1)}
+    other = _resampled(counts, sample, feature, value, depth, list(seeds)).withColumnRenamed("n", "__y")
+    base = counts.select(sample, feature, F.col(value).alias("__x"), F.explode(F.array(*[F.lit(s) for s in seeds])).alias("__seed"))
+    out = cosine(base, other, ["__seed", sample], feature, "__x", "__y")
+    return out.select((F.col("__seed") - seed).alias("replicate"), sample, "cosine")
 
 
 def _counted(rows: DataFrame, sample: str, feature) -> DataFrame:

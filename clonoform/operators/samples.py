@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonoform.functions.grouped import assigned_rows, ratio, require
+from clonoform.sources.staging import stage
 
 NORMALIZATIONS = ("count", "proportion", "counts_per_1000", "clr")
+#: So many samples of an RFU meet all others in one part of the self join.
+MOST_TOGETHER = 1_000
 OVERLAPS = ("jaccard", "sorensen_dice", "overlap_coefficient", "cosine", "bray_curtis_similarity", "bray_curtis_dissimilarity", "weighted_jaccard", "jensen_shannon_distance")
 
 
@@ -121,8 +124,9 @@ def densify(bulk: Pseudobulk, sample: str, rfu: str = "rfu_label", pseudocount:
 def overlap(matrix: DataFrame, samples: DataFrame, *, sample: str, metric: str = "jaccard", rfu: str = "rfu_label", value: str = "value", min_abundance: float = 1, normalize: str = "count") -> DataFrame:
     """(sample_a, sample_b, value) for each pair a <= b of ``samples``.
 
-    Shared RFUs come from a self join of the sparse matrix on the RFU; the rest of each
-    metric from totals of the samples. Values below ``min_abundance`` count as zero. NULL
+    The sparse matrix is written once. Shared RFUs come from its self join on the RFU, with
+    the RFUs of many samples cut into parts; the rest of each metric from totals of the
+    samples. Values below ``min_abundance`` count as zero. NULL
     where a metric is undefined. Negative values raise, as does the floor of 1 on shares.
     """
     if metric not in OVERLAPS:
@@ -131,15 +135,21 @@ def overlap(matrix: DataFrame, samples: DataFrame, *, sample: str, metric: str =
         raise ValueError("min_abundance must not be negative")
     if normalize == "proportion" and min_abundance >= 1:
         raise ValueError("a floor of 1 removes every share; give min_abundance for proportions")
-    if matrix.where(F.col(value) < 0).limit(1).count():
+    named = matrix.select(F.col(sample).alias("s"), F.col(rfu).alias("r"), F.col(value).cast("double").alias("x"))
+    entries = stage(named.where("x <> 0"), "overlap-entries")
+    if entries.where("x < 0").limit(1).count():
         raise ValueError("overlap needs non-negative abundances")
-    x = matrix.where((F.col(value) >= min_abundance) & (F.col(value) > 0)).select(F.col(sample).alias("s"), F.col(rfu).alias("r"), F.col(value).cast("double").alias("x"))
-    totals = x.groupBy("s").agg(F.sum("x").alias("t"), F.count(F.lit(1)).alias("k"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    a = x.join(totals.select("s", "t"), "s").select(F.col("s").alias("a"), "r", F.col("x").alias("xa"), F.col("t").alias("ta"))
-    b = a.select(F.col("a").alias("b"), "r", F.col("xa").alias("xb"), F.col("ta").alias("tb"))
+    x = entries.where(F.col("x") >= min_abundance)
+    totals = stage(x.groupBy("s").agg(F.sum("x").alias("t"), F.count(F.lit(1)).alias("k"), F.sum(F.col("x") * F.col("x")).alias("q")), "overlap-totals")
+    # an RFU of many samples is cut into parts: each entry of the left side goes to one, those
+    # of the right side to all of them
+    parts = x.groupBy("r").agg(F.ceil(F.count(F.lit(1)) / MOST_TOGETHER).cast("int").alias("parts"))
+    cut = x.join(totals.select("s", "t"), "s").join(parts, "r")
+    a = cut.select(F.col("s").alias("a"), "r", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("part"), F.col("x").alias("xa"), F.col("t").alias("ta"))
+    b = cut.select(F.col("s").alias("b"), "r", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("x").alias("xb"), F.col("t").alias("tb"))
     pa, pb = F.col("xa") / F.col("ta"), F.col("xb") / F.col("tb")
     mid = (pa + pb) / 2
-    shared = a.join(b, "r").where("a <= b").groupBy("a", "b").agg(
+    shared = a.join(b, ["r", "part"]).where("a <= b").groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("i"),
         F.sum(F.col("xa") * F.col("xb")).alias("dot"),
         F.sum(F.least("xa", "xb")).alias("low"),

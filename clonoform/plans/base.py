@@ -70,6 +70,11 @@ def sql_chain(c: str) -> str:
     return f"CASE WHEN lower({t}) NOT IN {MISSING} THEN CASE {t} {whens} ELSE {t} END END"
 
 
+def sql_name(prefix: str, number: str) -> str:
+    """The prefix and a number of at least eight digits."""
+    return f"'{prefix}' || CASE WHEN {number} < 10000000 THEN lpad(CAST({number} AS VARCHAR), 8, '0') ELSE CAST({number} AS VARCHAR) END"
+
+
 def sql_natural(c: str) -> str:
     """Order of names that are letters and one number."""
     return f"lower(regexp_replace({c}, '[0-9]+', '')), CAST(regexp_extract({c}, '[0-9]+') AS INT)"

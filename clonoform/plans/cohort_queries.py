@@ -358,10 +358,9 @@ def _(spark, sf_dir):
     return longitudinal.longitudinal_matrix(bulk(spark, sf_dir).matrix, plan(spark, sf_dir), **KEYS).drop("n")
 
 
-@query("longitudinal_missing", final(f"{PLAN}, few AS (SELECT * FROM plan WHERE CAST(regexp_extract(donor_id, '[0-9]+') AS INT) % 7 <> timepoint % 7) SELECT d.donor_id, t.timepoint FROM (SELECT DISTINCT donor_id FROM few) d CROSS JOIN (SELECT DISTINCT timepoint FROM few) t ANTI JOIN few USING (donor_id, timepoint)", "donor_id timepoint:i"))
+@query("longitudinal_missing", final(f"{PLAN} SELECT d.donor_id, t.timepoint FROM (SELECT DISTINCT donor_id FROM plan) d CROSS JOIN (SELECT DISTINCT timepoint FROM plan) t ANTI JOIN plan USING (donor_id, timepoint)", "donor_id timepoint:i"))
 def _(spark, sf_dir):
-    few = plan(spark, sf_dir).where("cast(regexp_extract(donor_id, '[0-9]+', 0) as int) % 7 <> timepoint % 7")
-    return longitudinal.missing_visits(few, donor="donor_id", time="timepoint")
+    return longitudinal.missing_visits(plan(spark, sf_dir), donor="donor_id", time="timepoint")
 
 
 def similar(spark, sf_dir) -> DataFrame:

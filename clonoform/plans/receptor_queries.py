@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from clonoform.functions import scalars as S
 from clonoform.operators import adapters, assign, canonical, quality, samples
-from clonoform.plans.base import CANON, QUERIES, WITH_ASSIGNED, WITH_CONTIGS, V, assigned, cells, contigs, final, plain, query, sql_chain, sql_flag, sql_natural, sql_text
+from clonoform.plans.base import CANON, QUERIES, WITH_ASSIGNED, WITH_CONTIGS, V, assigned, cells, contigs, final, plain, query, sql_chain, sql_flag, sql_name, sql_natural, sql_text
 from clonoform.sources import tables as io
 from clonoform.sources.fixtures import centroid_reference, trimer_reference, view
 
@@ -16,6 +16,9 @@ from clonoform.sources.fixtures import centroid_reference, trimer_reference, vie
 THRESHOLD = 0.25
 
 
+ROW_NAME = sql_name("row_", "row_number() OVER (ORDER BY source_order) - 1")
+
+
 # --- scalars and canonical rows ---------------------------------------------------------------
 @query("normalize_chain", final(f"{WITH_CONTIGS} SELECT chain, {sql_chain('chain')} AS chain_out, count(*) AS n FROM contigs GROUP BY chain", "chain chain_out n:i"))
 def _(spark, sf_dir):
@@ -65,7 +68,7 @@ def canonical_contigs(spark, sf_dir) -> DataFrame:
     return canonical.canonicalize(contigs(spark, sf_dir).select(*names), "fixture", "source_order")
 
 
-@query("canonical_receptors", final(f"{WITH_CONTIGS}, {CANON} SELECT 'row_' || lpad(CAST(row_number() OVER (ORDER BY source_order) - 1 AS VARCHAR), 8, '0') AS input_row_id, cell_id, chain, cdr3aa, v_call, productive, CAST(source_order AS VARCHAR) AS source_row_id FROM canon", "input_row_id cell_id chain cdr3aa v_call productive source_row_id"))
+@query("canonical_receptors", final(f"{WITH_CONTIGS}, {CANON} SELECT {ROW_NAME} AS input_row_id, cell_id, chain, cdr3aa, v_call, productive, CAST(source_order AS VARCHAR) AS source_row_id FROM canon", "input_row_id cell_id chain cdr3aa v_call productive source_row_id"))
 def _(spark, sf_dir):
     return canonical_contigs(spark, sf_dir).select("input_row_id", "cell_id", "chain", "cdr3aa", "v_call", "productive", "source_row_id")
 
@@ -93,7 +96,7 @@ def cellranger(spark, sf_dir, **options) -> adapters.AdapterResult:
     return adapters.adapt_cellranger(contigs(spark, sf_dir), order_by="source_order", chain="TRB", **options)
 
 
-CELLRANGER_ROWS = f"{CELLRANGER} SELECT 'row_' || lpad(CAST(row_number() OVER (ORDER BY source_order) - 1 AS VARCHAR), 8, '0') AS input_row_id, cell_id, chain, cdr3aa, v_call, productive, CAST(source_order AS VARCHAR) AS source_row_id, umis AS umi_count, reads AS read_count, raw_clonotype_id AS clonotype_id FROM chosen WHERE best = 1"
+CELLRANGER_ROWS = f"{CELLRANGER} SELECT {ROW_NAME} AS input_row_id, cell_id, chain, cdr3aa, v_call, productive, CAST(source_order AS VARCHAR) AS source_row_id, umis AS umi_count, reads AS read_count, raw_clonotype_id AS clonotype_id FROM chosen WHERE best = 1"
 RECEPTOR_COLUMNS = ["input_row_id", "cell_id", "chain", "cdr3aa", "v_call", "productive", "source_row_id", "umi_count", "read_count", "clonotype_id"]
 
 
@@ -145,7 +148,7 @@ def airr(spark, sf_dir, **options) -> adapters.AdapterResult:
     return adapters.adapt_airr(contigs(spark, sf_dir).drop("raw_clonotype_id"), order_by="source_order", chain="TRB", **options)
 
 
-@query("airr_adapter", final(f"{AIRR} SELECT 'row_' || lpad(CAST(row_number() OVER (ORDER BY source_order) - 1 AS VARCHAR), 8, '0') AS input_row_id, cell_id, chain, cdr3aa, v_call, productive, umis AS umi_count, reads AS read_count FROM chosen WHERE best = 1", "input_row_id cell_id chain cdr3aa v_call productive umi_count:i read_count:i"))
+@query("airr_adapter", final(f"{AIRR} SELECT {ROW_NAME} AS input_row_id, cell_id, chain, cdr3aa, v_call, productive, umis AS umi_count, reads AS read_count FROM chosen WHERE best = 1", "input_row_id cell_id chain cdr3aa v_call productive umi_count:i read_count:i"))
 def _(spark, sf_dir):
     return airr(spark, sf_dir).receptors.select("input_row_id", "cell_id", "chain", "cdr3aa", "v_call", "productive", "umi_count", "read_count")
 
@@ -224,7 +227,7 @@ def _(spark, sf_dir):
 @query("validate_airr", final(f"""{V('contigs', 'cells')} SELECT 'airr' AS airr_key, 'TRB' AS chain, (SELECT count(*) FROM cells) AS n_obs_cells, count(*) AS n_airr_rows, count(DISTINCT barcode) AS n_airr_cells,
  count(DISTINCT barcode) FILTER (WHERE barcode IN (SELECT cell_id FROM cells)) AS n_overlap_cells, count(DISTINCT barcode) FILTER (WHERE barcode IN (SELECT cell_id FROM cells)) * 1.0 / count(DISTINCT barcode) AS barcode_overlap_rate,
  true AS has_cell_id_col, true AS has_chain_col, true AS has_cdr3_col, true AS has_v_col, true AS has_productive_col, count(*) FILTER (WHERE upper(chain) = 'TRB') AS n_chain_rows,
- count(*) FILTER (WHERE upper(chain) = 'TRB' AND lower(productive) IN ('true', 't', '1', 'yes', 'productive')) AS n_productive_chain_rows, 'ok' AS status FROM contigs""", "airr_key chain n_obs_cells:i n_airr_rows:i n_airr_cells:i n_overlap_cells:i barcode_overlap_rate:d has_cell_id_col has_chain_col has_cdr3_col has_v_col has_productive_col n_chain_rows:i n_productive_chain_rows:i status"))
+ count(*) FILTER (WHERE upper(chain) = 'TRB' AND lower(productive) IN ('true', 't', '1', 'yes')) AS n_productive_chain_rows, 'ok' AS status FROM contigs""", "airr_key chain n_obs_cells:i n_airr_rows:i n_airr_cells:i n_overlap_cells:i barcode_overlap_rate:d has_cell_id_col has_chain_col has_cdr3_col has_v_col has_productive_col n_chain_rows:i n_productive_chain_rows:i status"))
 def _(spark, sf_dir):
     return quality.validate_airr(contigs(spark, sf_dir), cells(spark, sf_dir))
 
@@ -273,13 +276,13 @@ def _(spark, sf_dir):
 # --- assignment -----------------------------------------------------------------------------------
 TRB_ROWS = f"""{WITH_CONTIGS}, {CANON}, trb AS (SELECT * FROM canon WHERE chain = 'TRB'),
  uniq AS (SELECT cdr3aa, arg_min(v_call, source_order) AS v_call, min(source_order) AS first_order FROM trb WHERE cdr3aa LIKE 'C%' GROUP BY cdr3aa),
- named AS (SELECT *, 'sequence_' || lpad(CAST(row_number() OVER (ORDER BY first_order) - 1 AS VARCHAR), 8, '0') AS unique_sequence_id FROM uniq)"""
+ named AS (SELECT *, {sql_name('sequence_', 'row_number() OVER (ORDER BY first_order) - 1')} AS unique_sequence_id FROM uniq)"""
 LETTER = "(instr('ACDEFGHIKLMNPQRSTVWY', substr(tri, {}, 1)) - 1)"
 SCORES = f"""{TRB_ROWS}, tris AS (SELECT cdr3aa, substr(cdr3aa, CAST(i + 2 AS INT), 3) AS tri FROM (SELECT cdr3aa, unnest(range(1, length(cdr3aa) - 7)) AS i FROM named) t),
  codes AS (SELECT cdr3aa, {LETTER.format(1)} * 400 + {LETTER.format(2)} * 20 + {LETTER.format(3)} AS code FROM tris),
- dims AS (SELECT cdr3aa, d, avg(x) AS x FROM (SELECT cdr3aa, unnest(range(1, 65)) AS d, unnest(CAST(embedding AS DOUBLE[])) AS x FROM codes JOIN embeddings ON vec_id = code % 400 + 50 WHERE code % 3 <> 0) t GROUP BY cdr3aa, d),
+ dims AS (SELECT cdr3aa, d, avg(x) AS x FROM (SELECT cdr3aa, unnest(range(1, 65)) AS d, unnest(CAST(embedding AS DOUBLE[])) AS x FROM codes JOIN embeddings ON vec_id = code % (SELECT count(*) FROM embeddings) WHERE code % 3 <> 0) t GROUP BY cdr3aa, d),
  qr AS (SELECT cdr3aa, d, rank() OVER (PARTITION BY cdr3aa ORDER BY x) + (count(*) OVER (PARTITION BY cdr3aa, x) - 1) / 2.0 AS r FROM dims),
- cents AS (SELECT CAST(vec_id + 1 AS INT) AS rfu_id, unnest(range(1, 65)) AS d, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings WHERE vec_id < 50),
+ cents AS (SELECT CAST(vec_id + 1 AS INT) AS rfu_id, unnest(range(1, 65)) AS d, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
  cr AS (SELECT rfu_id, d, rank() OVER (PARTITION BY rfu_id ORDER BY x) + (count(*) OVER (PARTITION BY rfu_id, x) - 1) / 2.0 AS r FROM cents),
  rho AS (SELECT cdr3aa, rfu_id, round(corr(qr.r, cr.r), 9) AS rho FROM qr JOIN cr USING (d) GROUP BY cdr3aa, rfu_id),
  top AS (SELECT cdr3aa, rfu_id, rho AS rfu_score FROM (SELECT *, row_number() OVER (PARTITION BY cdr3aa ORDER BY rho DESC, rfu_id) AS k FROM rho WHERE rho IS NOT NULL AND NOT isnan(rho)) t WHERE k = 1),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonoform.functions import scalars as S
+from clonoform.functions.grouped import row_name, row_numbers
 from clonoform.operators import adapters, assign, canonical, metrics, phenotype, quality, samples
 from clonoform.sources import tables as io
 
@@ -66,6 +67,55 @@ def receptor_workflow(source: DataFrame, adapter: str, out: str, *, order_by: st
     return write_tables(tables, out, force)
 
 
+def atlas_workflow(wide: DataFrame, out: str, *, scorers: list, order_by: str, columns: Sequence[str] = (), primary: bool = True, max_cells: int | None = None, threshold: float = 0.6, force: bool = False) -> dict[str, DataFrame]:
+    """A wide single-cell table to features, receptors, the sequence map, per-sequence and
+    per-row results, with the adapter's report and the wanted cell ``columns``.
+
+    Only the slot columns, ``columns`` and the numeric source order are read. ``max_cells``
+    takes the first cells in that order, for a trial run. Rows are numbered slot by slot in
+    source order. Nothing to extract raises.
+    """
+    if max_cells is not None and max_cells <= 0:
+        raise ValueError("max_cells must be positive")
+    slots = [c for c in wide.columns if "ir_vdj_" in c.lower()]
+    own = io.select_rows(wide, key="cell_id", columns=[*slots, *[c for c in columns if c not in slots]], max_rows=max_cells, order_by=order_by)
+    made = adapters.adapt_wells(own, order_by=order_by, chain="TRB", primary=primary)
+    place = F.col("source_order").cast("long") + (F.col("slot_order") - 1).cast("long") * (1 << 61)
+    numbered = row_numbers(made.receptors.withColumn("__place", place), "__place").withColumn("input_row_id", row_name("row_"))
+    rows = numbered.withColumn("source_order", F.col("__row")).drop("__place", "__row", "slot_order")
+    if rows.isEmpty():
+        raise ValueError("the wide table has no productive TRB rows")
+    found = assign.call_rfus(rows, scorers, threshold=threshold)
+    tables = {
+        "extracted": rows.select("cell_id", "cdr3aa", F.col("v_call").alias("trbv"), F.col("source_slot").alias("chain_slot")),
+        "receptors": rows.drop("source_order"),
+        "cells": own.select(*dict.fromkeys(["cell_id", *columns])),
+        "adapter_qc": made.qc,
+        "sequence_map": found.mapping,
+        "per_sequence": found.per_sequence,
+        "per_row": found.per_row,
+    }
+    return write_tables(tables, out, force)
+
+
+def attached_summary(airr: DataFrame, cells: DataFrame, results: DataFrame, out: str, *, order_by: str, groupby: str, force: bool = False) -> dict[str, DataFrame]:
+    """Features of an AIRR-like table with results made elsewhere: the cells with what is
+    attached to them, the global and the grouped summary and the group x RFU table, which is
+    written as delimited text too."""
+    features = adapters.extract_features(airr, order_by=order_by)
+    attached = quality.attach_results(cells, features, results)
+    tables = {
+        "features": features,
+        "attached": attached,
+        "rfu_summary": metrics.rfu_summary(attached),
+        f"rfu_summary_by_{groupby}": metrics.rfu_summary(attached, groupby),
+        f"rfu_by_{groupby}": metrics.aggregate_rfu(attached, groupby),
+    }
+    written = write_tables(tables, out, force)
+    io.export_matrix(written[f"rfu_by_{groupby}"], f"{out}/rfu_matrix", row=groupby, sep="\t")
+    return written
+
+
 def dataset_report(airr: DataFrame, cells: DataFrame, assigned: DataFrame, out: str, *, group: str, cell_type: str | None = None, force: bool = False) -> dict[str, DataFrame]:
     """AIRR check, global and grouped summaries and RFU tables of a dataset."""
     tables = {

@@ -94,17 +94,19 @@ def with_views(*wanted: str) -> str:
 
 
 def trimer_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """trimer, vec: the letters' codes select embeddings; a third of the trimers is absent."""
+    """trimer, vec: the letters' codes, modulo the size of the table, select embeddings; a
+    third of the trimers is absent."""
     letter = lambda i: F.substr(F.lit("ACDEFGHIKLMNPQRSTVWY"), (i + 1).cast("int"), F.lit(1))
-    code = F.col("id")
-    codes = spark.range(8000).where(code % 3 != 0).select(
+    code, vectors = F.col("id"), load(spark, sf_dir, "embeddings")
+    size = vectors.agg(F.count(F.lit(1)).alias("size"))
+    codes = spark.range(8000).where(code % 3 != 0).join(F.broadcast(size), F.lit(True)).select(
         F.concat(letter(F.floor(code / 400)), letter(F.floor(code / 20) % 20), letter(code % 20)).alias("trimer"),
-        (code % 400 + 50).alias("vec_id"),
+        (code % F.col("size")).alias("vec_id"),
     )
-    return codes.join(load(spark, sf_dir, "embeddings"), "vec_id").select("trimer", F.col("embedding").cast("array<double>").alias("vec"))
+    return codes.join(vectors, "vec_id").select("trimer", F.col("embedding").cast("array<double>").alias("vec"))
 
 
 def centroid_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rfu_id, vec, cluster_size."""
-    rows = load(spark, sf_dir, "embeddings").where("vec_id < 50")
+    """rfu_id, vec, cluster_size of all embeddings."""
+    rows = load(spark, sf_dir, "embeddings")
     return rows.select((F.col("vec_id") + 1).cast("int").alias("rfu_id"), F.col("embedding").cast("array<double>").alias("vec"), (F.col("vec_id") % 7 + 1).cast("long").alias("cluster_size"))

@@ -217,3 +217,28 @@ def test_comparators(rows):
         robustness.representation(rows, "none")
     with pytest.raises(ValueError):
         robustness.register_comparator("rfu", lambda r, s: r)
+
+
+def test_overlap_is_alike_however_rfus_are_cut(spark, monkeypatch):
+    cells = [(f"s{i}", f"RFU{j}", float((i * 7 + j * 3) % 5)) for i in range(9) for j in range(4)]
+    matrix = spark.createDataFrame(cells, "s string, rfu_label string, value double")
+    own = matrix.select("s").distinct()
+    whole = {m: sorted(map(tuple, samples.overlap(matrix, own, sample="s", metric=m).collect())) for m in ("cosine", "jensen_shannon_distance")}
+    monkeypatch.setattr(samples, "MOST_TOGETHER", 2)
+    for m, want in whole.items():
+        got = sorted(map(tuple, samples.overlap(matrix, own, sample="s", metric=m).collect()))
+        assert [r[:2] for r in got] == [r[:2] for r in want] and len(got) == 45
+        assert all(a[2] == b[2] or abs(a[2] - b[2]) < 1e-12 for a, b in zip(got, want, strict=True))
+
+
+def test_trimers_too_wide_to_broadcast_are_joined(spark):
+    rng = np.random.default_rng(3)
+    names = [a + b + c for a in "SLGQ" for b in "SLGQ" for c in "LGQE"]
+    trimers = spark.createDataFrame([(n, rng.normal(size=8).tolist()) for n in names], "trimer string, vec array<double>")
+    centroids = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(1, 12)], "rfu_id int, vec array<double>")
+    queries = spark.createDataFrame([(q,) for q in ("CASSLGQETQYF", "CASSLLGGEETQYF", "CAF", "CASS\u00e9GQETQYF", "CAWWWWWETQYF")], "cdr3aa string")
+    small = assign.spearman_scorers(trimers, centroids)
+    wide = assign.spearman_scorers(trimers, centroids, most_numbers=40)
+    assert isinstance(wide[0], assign.WideScorer) and len(wide) == 3
+    a, b = (sorted(map(tuple, assign.score(queries, s).collect()), key=str) for s in (small, wide))
+    assert a == b and sum(r[1] is not None for r in a) >= 2

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clonoform.functions import scalars as S
-from clonoform.functions.grouped import row_numbers
+from clonoform.functions.grouped import row_name, row_numbers
 from clonoform.operators import adapters, canonical, quality
 from clonoform.sources import tables as io
 
@@ -46,6 +46,57 @@ def receptors(spark):
     return spark.createDataFrame(rows, "cell_id string, chain string, cdr3aa string, v_call string, productive string, source_order long")
 
 
+def test_row_ids_stay_apart_beyond_eight_digits(spark):
+    names = spark.createDataFrame([(n,) for n in (0, 9_999_999, 10_000_000, 99_999_999, 100_000_000, 100_000_001)], "__row long").select(row_name("row_")).collect()
+    assert [r[0] for r in names] == ["row_00000000", "row_09999999", "row_10000000", "row_99999999", "row_100000000", "row_100000001"]
+
+
+def test_aliases_go_by_preference_not_by_column_order(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "barcode int, `Cell_ID ` int, LOCUS int, locus int")
+    found = canonical.pick_columns(df, {"cell": ("cell_id", "barcode"), "chain": ("chain", "locus"), "v": ("v_call",)})
+    assert found == {"cell": "Cell_ID ", "chain": "locus", "v": None}
+
+
+def test_airr_check_statuses(spark):
+    cells = spark.createDataFrame([("c1",), ("c2",)], "cell_id string")
+    table = spark.createDataFrame([("c1", "trb", "CASSF", "V1", "productive"), ("c1", "TRB", "CASSF", "V1", "yes"), ("c9", "TRA", "CAF", "V2", "T")], "barcode string, locus string, cdr3 string, v_gene string, productive string")
+    got = lambda t, **k: quality.validate_airr(t, cells, **k).first()
+    r = got(table)
+    assert (r["status"], r["n_chain_rows"], r["n_productive_chain_rows"], r["n_airr_cells"], r["n_overlap_cells"], r["barcode_overlap_rate"]) == ("ok", 2, 1, 2, 1, 0.5)
+    assert got(table, chain="IGH")["status"] == "no_chain_rows"
+    assert got(table.withColumn("barcode", F.lit("zz")))["status"] == "barcode_mismatch"
+    assert got(table.drop("cdr3"))["status"] == "missing_required_columns"
+    for odd, status in ((None, "missing_airr_key"), (5, "invalid_airr")):
+        r = got(odd)
+        assert (r["status"], r["n_obs_cells"], r["n_airr_rows"], r["has_v_col"]) == (status, 2, 0, False)
+        with pytest.raises(ValueError):
+            quality.validate_airr(odd, cells, strict=True)
+    assert len(got(table)) == len(got(None)) == 15
+
+
+def test_named_tables_enforce_containment(spark):
+    airr = receptors(spark).withColumn("locus", F.col("chain"))
+    cells = spark.createDataFrame([("c1",)], "cell_id string")
+    known = cells.union(spark.createDataFrame([("c2",)], "cell_id string"))
+    tables = {"airr": airr.drop("locus"), "some": cells, "all": known}
+    run = lambda **k: adapters.prepare_receptors(tables, "airr", order_by="source_order", productive_only=False, **k)
+    assert run(receptors="airr", cells="all").provenance["cells"] == "all"
+    assert run(receptors="airr").provenance["cells"] == "airr"
+    with pytest.raises(ValueError, match="absent"):
+        run(receptors="airr", cells="some")
+    with pytest.raises(KeyError):
+        run(receptors="x")
+    with pytest.raises(ValueError):
+        run(cells="all")
+    with pytest.raises(ValueError):
+        run(receptors="airr", cells="all", metadata=cells)
+    with pytest.raises(TypeError):
+        adapters.prepare_receptors(airr, "airr", receptors="airr", order_by="source_order")
+    wide = spark.createDataFrame([("c1", "TRB", "CASSF", "V1", "true"), ("c2", "TRB", "CASSW", "V2", "true")], "cell_id string, ir_vdj_1_locus string, ir_vdj_1_junction_aa string, ir_vdj_1_v_call string, ir_vdj_1_productive string")
+    with pytest.raises(ValueError, match="absent"):
+        adapters.prepare_receptors({"w": wide, "some": cells}, "wells", receptors="w", cells="some")
+
+
 def test_canonical_rows(spark):
     out = canonical.canonicalize(receptors(spark), "x", "source_order").orderBy("source_order").collect()
     assert [r["input_row_id"] for r in out] == ["row_00000000", "row_00000001", "row_00000002"]

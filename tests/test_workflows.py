@@ -48,3 +48,33 @@ def test_two_file_preparation(spark, tmp_path):
     assert (r["n_metadata_rows"], r["n_tcr_rows"], r["n_cells_with_tcr"], r["n_overlap_cells"], r["barcode_overlap_rate"], r["n_productive_trb_rows"]) == (2, 3, 2, 1, 0.5, 1)
     with pytest.raises(ValueError):
         workflows.prepare_two_files(spark, str(tmp_path / "meta.csv.gz"), str(tmp_path / "meta.csv.gz"))
+
+
+def test_atlas_workflow(spark, sf_dir, tmp_path):
+    wide = view(spark, sf_dir, "wells_wide").withColumn("place", F.substr("cell_id", F.lit(6)).cast("long")).withColumn("expression", F.lit(1))
+    scorers = assign.spearman_scorers(trimer_reference(spark, sf_dir), centroid_reference(spark, sf_dir))
+    some = workflows.atlas_workflow(wide, str(tmp_path / "a"), scorers=scorers, order_by="place", columns=["place"], max_cells=200)
+    assert some["cells"].count() == 200 and some["cells"].columns == ["cell_id", "place"]
+    rows = some["per_row"]
+    assert rows.count() == some["receptors"].count() == some["extracted"].count() == rows.select("input_row_id").distinct().count() > 0
+    assert some["per_sequence"].count() == rows.where("cdr3aa like 'C%'").select("cdr3aa").distinct().count()
+    both = workflows.atlas_workflow(wide.where("place < 200"), str(tmp_path / "b"), scorers=scorers, order_by="place", primary=False)
+    ids = both["receptors"].join(wide.select("cell_id", "place"), "cell_id").orderBy("source_slot", "place").select("input_row_id").collect()
+    assert [r[0] for r in ids] == sorted(r[0] for r in ids)
+    with pytest.raises(ValueError):
+        workflows.atlas_workflow(wide.where("cell_id is null"), str(tmp_path / "c"), scorers=scorers, order_by="place")
+    with pytest.raises(ValueError):
+        workflows.atlas_workflow(wide, str(tmp_path / "d"), scorers=scorers, order_by="place", max_cells=0)
+
+
+def test_attached_summary(spark, tmp_path):
+    rows = [("c1", "TRB", "CASSF", "V1", "true", 1), ("c2", "TRB", "CASSW", "V2", "true", 2), ("c3", "TRA", "CAVF", "V3", "true", 3), ("c4", "TRB", "CASSY", "V4", "false", 4)]
+    airr = spark.createDataFrame(rows, "cell_id string, chain string, cdr3aa string, v_call string, productive string, n long")
+    cells = spark.createDataFrame([("c1", "s1"), ("c2", "s1"), ("c3", "s2"), ("c4", "s2")], "cell_id string, sample string")
+    results = spark.createDataFrame([("c1", "RFU10", 0.9), ("c2", "RFU2", 0.7)], "cell_id string, rfu_label string, rfu_score double")
+    out = workflows.attached_summary(airr, cells, results, str(tmp_path / "x"), order_by="n", groupby="sample")
+    assert {r["cell_id"]: r["trbv"] for r in out["attached"].collect()} == {"c1": "V1", "c2": "V2", "c3": None, "c4": None}
+    assert out["rfu_summary"].first()["assignment_rate"] == 0.5
+    assert {(r["sample"], r["n_assigned"]) for r in out["rfu_summary_by_sample"].collect()} == {("s1", 2), ("s2", 0)}
+    text = [p.read_text() for p in (tmp_path / "x" / "rfu_matrix").glob("*.csv")]
+    assert any("sample\tRFU2\tRFU10" in t and "s1\t0.5\t0.5" in t for t in text)
