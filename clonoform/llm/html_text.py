@@ -1,9 +1,10 @@
 """Main text of web pages by site template removal.
 
-Each element subtree is hashed; Spark counts in how many distinct contents of a host each
-hash occurs; subtrees that recur are the site's template and are deleted, along with
-elements that are never part of an article. What is left of the article gives the text,
-block by block.
+Each element subtree is hashed together with its slot, which is the chain of tags and
+classes that leads to it. Spark counts in how many distinct contents of a host each hash
+occurs, and how much of a slot such recurring subtrees make up. Subtrees that recur in a slot
+of recurring subtrees are the site's template and are deleted, along with elements that by
+their tag or name are never part of an article. What is left gives the text, block by block.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from clonoform.llm.common import stage
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("head nav header footer aside form script style noscript template iframe svg canvas object audio video select button menu dialog textarea title datalist noembed noframes math map input fieldset".split())
+NEVER = frozenset("head nav header footer aside form script style noscript template iframe svg canvas object audio video select button menu dialog textarea title datalist noembed noframes input fieldset".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption tr tbody thead table ul ol dl".split())
 CLOSED_BY_BLOCK = frozenset("p".split())
 #: Neither inline nor the end of a paragraph.
@@ -38,110 +39,190 @@ NOISE = re.compile(
     r"share|sharing|social|related|recommended|comment|comments|respond|reply|replies|disqus|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_START = re.compile(r"<(?:[a-zA-Z!?]|/[a-zA-Z])")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LAX_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"""\b(class|id|role)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))""", re.IGNORECASE)
+_DIGITS = re.compile(r"[0-9]+")
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\b", re.IGNORECASE) for tag in RAW}
+_REPEATED = frozenset("li dt dd tr td th option".split())
 
 
 class Node:
-    __slots__ = ("tag", "noise", "parts", "digest", "main")
+    __slots__ = ("tag", "noise", "parts", "digest", "main", "label", "slot", "chars", "large")
 
     def __init__(self, tag: str, attributes: str):
-        self.tag, self.parts, self.digest = tag, [], 0
-        self.noise, self.main = tag in NEVER, tag in ("article", "main")
+        self.tag = self.label = tag
+        self.parts: list = []
+        self.digest = self.slot = self.chars = 0
+        self.noise, self.main, self.large = tag in NEVER, tag in ("article", "main"), False
         if attributes:
             for name, *values in _ATTRIBUTE.findall(attributes):
-                name, value = name.lower(), "".join(values)
-                if name in ("class", "id", "role"):
-                    self.noise = self.noise or (tag not in ("body", "html", "article", "main") and NOISE.search(value) is not None)
-                    self.main = self.main or (name == "role" and value == "main")
-                elif name == "hidden" or value.lower() == "true":
-                    self.noise = True
+                value = "".join(values)
+                self.noise = self.noise or (tag not in ("body", "html", "article", "main") and NOISE.search(value) is not None)
+                if name.lower() == "role":
+                    self.main = self.main or value == "main"
+                else:
+                    self.label += "." + _DIGITS.sub("", value)
 
 
 def parse(page: str) -> Node:
-    """The element tree. An open paragraph ends where a block starts; an end tag closes up
-    to the element that it names, or nothing; the rest closes at the end."""
+    """The element tree, in time that grows with the length of the page. An open paragraph
+    ends where a block starts; an end tag closes up to the element that it names, or
+    nothing; the rest closes at the end. After a tag whose quotes never close, every tag
+    ends at its first ">"."""
     root = Node("#root", "")
-    stack, at, n = [root], 0, len(page)
+    # of the open elements: all; places of those that aren't inline; how many by tag of those;
+    # and, since each of those, how many inline ones by tag
+    stack, blocks, opened, inline = [root], [0], {}, [{}]
+
+    def close(place: int) -> None:
+        while len(stack) > place:
+            tag = stack.pop().tag
+            if tag in INLINE:
+                inline[-1][tag] -= 1
+            else:
+                inline.pop()
+                blocks.pop()
+                opened[tag] -= 1
+
+    at, n, pattern = 0, len(page), _TAG
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = _START.search(page, at)
+        if start is None:
             stack[-1].parts.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        if m.group(2) is None:
+        here, kind = start.start(), page[start.start() + 1]
+        if here > at:
+            stack[-1].parts.append(page[at:here])
+        if kind in "!?":
+            comment = page.startswith("<!--", here)
+            end = page.find("-->", here + 4) if comment else page.find(">", here)
+            if end < 0:
+                if not comment:
+                    stack[-1].parts.append(page[here:])
+                break
+            at = end + (3 if comment else 1)
             continue
-        tag = m.group(2).lower()
+        m = pattern.match(page, here)
+        if m is None and pattern is _TAG:
+            pattern = _LAX_TAG
+            m = pattern.match(page, here)
+        if m is None:  # no ">" in the rest
+            stack[-1].parts.append(page[here:])
+            break
+        at, tag = m.end(), m.group(2).lower()
         if m.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
+            if tag in INLINE:
+                if inline[-1].get(tag):
+                    while stack[-1].tag != tag:
+                        close(len(stack) - 1)
+                    close(len(stack) - 1)
+            elif opened.get(tag):
+                while stack[blocks[-1]].tag != tag:
+                    close(blocks[-1])
+                close(blocks[-1])
             continue
         if tag not in INLINE and tag not in VOID and tag not in RAW and tag not in WITHIN:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSED_BY_BLOCK or (tag == stack[i].tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+            top = stack[blocks[-1]].tag
+            if top in CLOSED_BY_BLOCK or (tag == top and tag in _REPEATED):
+                close(blocks[-1])
         node = Node(tag, m.group(3))
         stack[-1].parts.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b", re.IGNORECASE).search(page, at)
+            end = _RAW_ENDS[tag].search(page, at)
             node.parts.append(page[at : end.start() if end else n])
-            close = page.find(">", end.start()) if end else -1
-            at = close + 1 if close >= 0 else n
+            shut = page.find(">", end.start()) if end else -1
+            at = shut + 1 if shut >= 0 else n
         elif tag not in VOID and not m.group(3).endswith("/"):
+            if tag in INLINE:
+                inline[-1][tag] = inline[-1].get(tag, 0) + 1
+            else:
+                blocks.append(len(stack))
+                opened[tag] = opened.get(tag, 0) + 1
+                inline.append({})
             stack.append(node)
     return root
 
 
 def seal(node: Node) -> int:
-    """Hash each subtree by its tag, its text and its children's hashes, from the leaves up,
-    without recursion."""
+    """Fill in each subtree's hash (its tag, its text and its children's hashes), its slot,
+    its number of characters (of itself, without noise), and whether it is large: half of the
+    page's text, or prose that stands in an element whose own prose is half of it. Without
+    recursion."""
     order, todo = [], [node]
     while todo:
         x = todo.pop()
         order.append(x)
-        todo += [p for p in x.parts if isinstance(p, Node)]
+        for p in x.parts:
+            if isinstance(p, Node):
+                p.slot = xxhash.xxh64_intdigest(p.label, x.slot)
+                todo.append(p)
+    own = {}
     for x in reversed(order):
-        h = xxhash.xxh64(x.tag)
+        h, chars, prose = xxhash.xxh64(x.tag), 0, 0
         for p in x.parts:
-            h.update(p.digest.to_bytes(8, "little", signed=True) if isinstance(p, Node) else " ".join(p.split()))
+            if isinstance(p, Node):
+                h.update(p.digest.to_bytes(8, "little", signed=True))
+                if not p.noise:
+                    chars += p.chars
+                    if p.tag in PROSE:
+                        prose += p.chars
+            else:
+                words = p.split()
+                h.update(" ".join(words))
+                chars += sum(map(len, words))
             h.update(b"\0")
-        x.digest = h.intdigest() - (1 << 63)
+        x.digest, x.chars = h.intdigest() - (1 << 63), chars
+        own[id(x)] = prose
+    for x in order:
+        holder = 2 * own[id(x)] >= node.chars
+        for p in x.parts:
+            if isinstance(p, Node):
+                p.large = 2 * p.chars >= node.chars or (holder and p.tag in PROSE)
     return node.digest
 
 
-def subtrees(root: Node) -> set[int]:
-    """Hashes of the subtrees that may be template: block elements outside of prose."""
+def _may_be_template(x: Node, inside: bool) -> bool:
+    """Block elements; in a marked article those that aren't prose."""
+    return x.tag not in INLINE and x.tag not in VOID and not (inside and x.tag in PROSE) and not x.main and x.tag not in ("html", "body", "#root")
+
+
+def subtrees(root: Node) -> set[tuple[int, int, bool]]:
+    """(slot, key, large) of the subtrees that may be template; a key is a slot and a hash."""
     out, todo = set(), [(root, False)]
     while todo:
         x, inside = todo.pop()
         inside = inside or x.main
         for p in x.parts:
             if isinstance(p, Node):
-                if p.tag not in INLINE and p.tag not in VOID and not (inside and p.tag in PROSE) and not p.main and p.tag not in ("html", "body"):
-                    out.add(p.digest)
+                if _may_be_template(p, inside):
+                    out.add((_signed(p.slot), _mixed(p.digest, p.slot), p.large))
                 todo.append((p, inside))
     return out
 
 
-def of_host(digest: int, host: int) -> int:
-    """A subtree's key on a host: both hashes in one signed 64-bit number."""
-    return ((digest ^ host) * 0x9E3779B97F4A7C15 + host & (1 << 64) - 1) - (1 << 63)
+def _signed(h: int) -> int:
+    return h - (1 << 63)
+
+
+def _mixed(a: int, b: int) -> int:
+    """Two hashes in one signed 64-bit number."""
+    return _signed((a ^ b) * 0x9E3779B97F4A7C15 + b & (1 << 64) - 1)
+
+
+#: Stands in a host's template for the host itself: it has one.
+KNOWN = 0
 
 
 def article(root: Node, template: set[int], host: int = 0) -> str:
-    """The text of the page without noise and template. If the page marks its article or
-    main part, only that part counts; prose inside it is never template, nor is a container
-    of prose or of half of its text, and a marked part isn't left empty."""
-    marked = _marked(root)
+    """The text of the page without noise and without ``template`` (keys on the host).
+
+    On a host without a template only the marked article or main part counts, if the page
+    has one. Prose inside a marked part is never template, nor is a container of prose or of
+    half of the part's text. A page isn't left empty by its template.
+    """
+    starts = [root] if _mixed(KNOWN, host) in template else _marked(root) or [root]
     blocks: list[str] = []
     line: list[str] = []
 
@@ -151,25 +232,27 @@ def article(root: Node, template: set[int], host: int = 0) -> str:
         if text:
             blocks.append(text)
 
-    for start in marked or [root]:
-        held: dict[int, tuple[int, bool]] = {}
-        todo: list = [(start, start.main)]
+    held: dict[int, tuple[int, bool]] = {}
+    for start in starts:
+        todo: list = [(start, start if start.main else None)]
         while todo:
             x, inside = todo.pop()
             if x is None:
                 flush()
             elif isinstance(x, str):
                 line.append(x)
-            elif (x.noise and x is not start) or _is_template(x, inside, template, host) and not (inside and _holds_prose(x, start, held)):
+            elif (x.noise and x is not start) or (template and _is_template(x, inside is not None, template, host) and not (inside is not None and _holds_prose(x, inside, held))):
                 if x.tag not in INLINE and x.tag not in UNSEEN:
                     flush()
             else:
+                if x.main and inside is None:
+                    inside, held = x, {}
                 if x.tag in ("br", "hr") or x.tag not in INLINE:
                     flush()
                     todo.append((None, inside))
                 todo += [(p, inside) for p in reversed(x.parts)]
         flush()
-    if marked and template and not blocks:
+    if template and not blocks:
         return article(root, set(), host)
     return "\n".join(blocks)
 
@@ -197,7 +280,7 @@ def _holds_prose(x: Node, start: Node, held: dict[int, tuple[int, bool]]) -> boo
 
 
 def _is_template(x: Node, inside: bool, template: set[int], host: int) -> bool:
-    return of_host(x.digest, host) in template and not (inside and x.tag in PROSE) and not x.main and x.tag not in INLINE and x.tag not in ("html", "body", "#root")
+    return _may_be_template(x, inside) and _mixed(_mixed(x.digest, x.slot), host) in template
 
 
 def _marked(root: Node) -> list[Node]:
@@ -230,28 +313,36 @@ def host_of(url):
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
-def main_text(pages: DataFrame, least_pages: int = 10, most_hashes: int = 1_000_000, least_share: float = 0.2) -> DataFrame:
+def main_text(pages: DataFrame, least_pages: int = 3, most_hashes: int = 1_000_000, least_share: float = 0.01, least_share_large: float = 0.5) -> DataFrame:
     """page_id, url, text and n_chars of each page.
 
-    A subtree that occurs in ``least_pages`` distinct contents of a host and in
-    ``least_share`` of all of them is its template; a page's content is its text with the
-    template, so copies of an article count once. Hashes are counted by host in Spark. Up to
-    ``most_hashes`` template hashes are broadcast (8 bytes each); more are joined to the
-    pages. Null html gives an empty text; a null or odd url counts as one host; null
-    page_id stays null; repeated rows give a row each; an empty table gives no rows; other
-    columns are ignored.
+    A page's content is its text with the template, so copies of an article count once. A
+    subtree recurs on a host if it stands in ``least_pages`` of its distinct contents and in
+    ``least_share`` of them, or ``least_share_large`` if it mostly is large (see ``seal``).
+    It is template if, besides, at least half of what stands in its slot recurs: a passage
+    that some articles share stands among paragraphs that don't, and stays. A host with fewer
+    than ``least_pages`` distinct contents has no template.
+
+    Hashes are counted by host in Spark. Up to ``most_hashes`` template hashes are broadcast
+    (8 bytes each); more are joined to the pages, with the same result. Null html gives an
+    empty text; a null or odd url counts as one host; null page_id stays null; repeated rows
+    give a row each; an empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64(host_of(F.col("url"))).alias("host"), F.col("html").cast("string").alias("html"))
-    found = own.select("host", "html").mapInArrow(_keys, "host long, content long, key long").distinct()
-    counted = found.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    often = stage(counted.where(F.col("n") >= least_pages), "recurring")
-    contents = often.where("key is null").select("host", F.col("n").alias("contents"))
-    shared = often.where("key is not null").join(contents, "host").where(F.col("n") >= F.col("contents") * least_share)
-    template = stage(shared.select("host", "key"), "template")
+    # one row for a content's subtree, and one without a key for the content itself
+    found = own.select("host", "html").mapInArrow(_keys, "host long, content long, slot long, key long, large boolean").distinct()
+    counted = stage(found.groupBy("host", "slot", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("large").alias("large")), "subtrees")
+    contents = counted.where(F.col("key").isNull() & (F.col("n") >= least_pages)).select("host", F.col("n").alias("contents"))
+    share = F.when(2 * F.col("large") < F.col("n"), least_share).otherwise(least_share_large)
+    often = (F.col("n") >= least_pages) & (F.col("n") >= F.col("contents") * share)
+    ranked = counted.where("key is not null").join(contents, "host").withColumn("often", often)
+    slots = ranked.groupBy("host", "slot").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("often"), F.col("n")).otherwise(0)).alias("recurring"))
+    chosen = ranked.where("often").join(slots.where(2 * F.col("recurring") >= F.col("all")), ["host", "slot"]).select("host", "key")
+    template = stage(_on_host(chosen.unionByName(contents.select("host", F.lit(KNOWN).cast("long").alias("key")))), "template")
     if template.count() > most_hashes:
         return _joined(own, template)
-    keys = np.sort(np.fromiter((r["key"] for r in template.select("key").toLocalIterator()), np.int64))
+    keys = np.sort(np.fromiter((r["key"] for r in template.toLocalIterator()), np.int64))
     shared_keys = spark.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,35 +353,56 @@ def main_text(pages: DataFrame, least_pages: int = 10, most_hashes: int = 1_000_
     return own.mapInArrow(run, RESULT)
 
 
+def _on_host(rows: DataFrame) -> DataFrame:
+    """(key) of (host, key): both in one number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mixed = [_mixed(k, h) for h, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(mixed, pa.int64())], ["key"])
+
+    return rows.select("host", "key").mapInArrow(run, "key long").distinct()
+
+
+def _own_keys(root: Node, host: int) -> list[int]:
+    """What the page asks its host's template for."""
+    return [_mixed(KNOWN, host), *{_mixed(k, host) for _, k, _ in subtrees(root)}]
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, content, key) of each page's subtrees, and a row without a key for the page."""
+    """(host, content, slot, key, large) of each page's subtrees, and a row without a key for
+    the page."""
+    names, kinds = ["host", "content", "slot", "key", "large"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
     for batch in batches:
-        hosts, contents, found = [], [], []
+        rows: list[tuple] = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             root = parse(page or "")
             seal(root)
-            content = xxhash.xxh64(article(root, set())).intdigest() - (1 << 63)
-            mine = [None, *(of_host(d, host) for d in subtrees(root))]
-            found += mine
-            hosts += [host] * len(mine)
-            contents += [content] * len(mine)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(contents, pa.int64()), pa.array(found, pa.int64())], ["host", "content", "key"])
+            content = _signed(xxhash.xxh64_intdigest(article(root, set())))
+            rows.append((host, content, None, None, False))
+            rows += [(host, content, *x) for x in subtrees(root)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names)
 
 
 def _texts(batch: pa.RecordBatch, known) -> pa.RecordBatch:
     """The texts of a batch (page_id, url, host, html); ``known`` keeps the template's of an
-    array of keys."""
+    array of keys, or is None if the batch has them as its last column."""
     texts = []
     for i, (host, page) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
         root = parse(page or "")
         seal(root)
-        mine = batch.column(4)[i].as_py() if known is None else known(np.array([of_host(d, host) for d in subtrees(root)], np.int64)).tolist()
+        mine = batch.column(4)[i].as_py() if known is None else known(np.array(_own_keys(root, host), np.int64)).tolist()
         texts.append(article(root, set(mine or ()), host))
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+#: A key that many pages ask for is asked for in so many parts.
+SALTS = 16
+
+
 def _joined(own: DataFrame, template: DataFrame) -> DataFrame:
-    """Texts of the pages, with the template keys among their own found by joins."""
+    """Texts of the pages, with the template keys among their own found by joins. A hot host's
+    keys are on all of its pages, so the pages' keys are salted and the template repeated."""
     rows = stage(own.withColumn("rid", F.monotonically_increasing_id()), "pages")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,12 +411,14 @@ def _joined(own: DataFrame, template: DataFrame) -> DataFrame:
             for rid, host, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 root = parse(page or "")
                 seal(root)
-                mine = [of_host(d, host) for d in subtrees(root)]
+                mine = _own_keys(root, host)
                 found += mine
                 rids += [rid] * len(mine)
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(found, pa.int64())], ["rid", "key"])
 
-    hits = stage(rows.select("rid", "host", "html").mapInArrow(keys, "rid long, key long").join(template.select("key").distinct(), "key"), "template-hits")
+    asked = rows.select("rid", "host", "html").mapInArrow(keys, "rid long, key long").withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
+    repeated = template.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hits = stage(asked.join(repeated, ["key", "salt"]).select("rid", "key"), "template-hits")
     listed = hits.groupBy("rid").agg(F.collect_set("key").alias("keys"))  # at most a page's subtrees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

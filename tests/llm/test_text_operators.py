@@ -249,7 +249,7 @@ def test_template_goes_and_prose_stays(spark):
     [
         ("<article><h1>T</h1><p>a  b\n c<p>d <b>e</b>f</article><div class='comments'>no</div>", "T\na b c\nd ef"),
         ("<body><nav>x</nav><main><p>m<script>var a='</p>'</script> n</p><aside>s</aside><form><p>f</p></form></main><footer>z</footer>", "m n"),
-        ("<body><div id=sidebar>x</div><!-- <p>c</p> --><p>k &lt;b&gt; &#233;</p><p hidden>h</p>", "k <b> é"),
+        ("<body><div id=sidebar>x</div><!-- <p>c</p> --><p>k &lt;b&gt; &#233;</p><p hidden>h</p><math>1</math>", "k <b> é\nh\n1"),
         ("<div class='cookie-notice'>n</div><section><header>h</header><p>q<img src='a>b'>r</p></section>", "qr"),
         ("<article><p>never closed <b>bold<p>next", "never closed bold\nnext"),
     ],
@@ -300,5 +300,87 @@ def test_a_container_of_the_article_is_not_template(spark, body):
     assert all(t.split("\n") == (["one story", f"day {i}"] if "day" in body else ["one story of more words", str(i)]) for i, t in got.items())
 
 
+def unmarked(page):
+    """The page with its chrome in plain div elements that no tag or name gives away."""
+    return re.sub(r"<(/?)(?:nav|header|footer|aside|article|main)\b[^>]*>", r"<\1div>", re.sub(r" class=\"[^\"]*\"", "", page or ""))
+
+
+def plain_template(pages):
+    """Per host the (slot, digest) pairs that are template, counted without Spark."""
+    from collections import Counter, defaultdict
+
+    contents = defaultdict(dict)
+    for url, page in pages:
+        host = re.match(r"[a-z]+://([^/:?#]*)", url).group(1)
+        root = html_text.parse(page)
+        html_text.seal(root)
+        contents[host].setdefault(html_text.article(root, set()), set()).update((slot, key, large) for slot, key, large in html_text.subtrees(root))
+    out = {}
+    for host, own in contents.items():
+        if len(own) < 3:
+            continue
+        n, large, slots, recurring = Counter(), Counter(), Counter(), Counter()
+        for found in own.values():
+            for slot, key, big in found:
+                n[slot, key] += 1
+                large[slot, key] += big
+        often = {k for k, m in n.items() if m >= 3 and m >= len(own) * (0.01 if 2 * large[k] < m else 0.5)}
+        for k, m in n.items():
+            slots[k[0]] += m
+            recurring[k[0]] += m if k in often else 0
+        out[host] = {key for slot, key in often if 2 * recurring[slot] >= slots[slot]}
+    return out
+
+
+def test_the_template_decides_where_nothing_is_marked(spark):
+    from pyspark.sql import functions as F
+
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    rows = [(r["page_id"], r["url"], unmarked(r["html"])) for r in pages.collect()]
+    own = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(own).collect()}
+    template = plain_template([(u, h) for _, u, h in rows])
+    host_ids = {r["page_id"]: r["host"] for r in own.select("page_id", F.xxhash64(html_text.host_of(F.col("url"))).alias("host")).collect()}
+    changed = 0
+    for i, url, page in rows:
+        host, h = re.match(r"[a-z]+://([^/:?#]*)", url).group(1), host_ids[i]
+        root = html_text.parse(page)
+        html_text.seal(root)
+        keys = {html_text._mixed(k, h) for k in template.get(host, ())} | ({html_text._mixed(html_text.KNOWN, h)} if host in template else set())
+        assert got[i] == html_text.article(root, keys, h)
+        changed += got[i] != html_text.article(root, set())
+    assert changed > 100
+    want = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+    assert all(set(want[i].split("\n")) <= set(got[i].split("\n")) for i in want)
+
+
+def test_the_article_tag_is_not_needed(spark):
+    from pyspark.sql import functions as F
+
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    renamed = pages.withColumn("html", F.regexp_replace("html", "<(/?)(article|main)\\b", "<$1div"))
+    want, got = ({r["page_id"]: r["text"] for r in html_text.main_text(p).collect()} for p in (pages, renamed))
+    assert got == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 500_000 + "</section>" * 300_000, "<a " * 1_500_000, "<b>" * 400_000 + "<div></div>" * 300_000, "<i><div>" + "<b>" * 700_000 + "</i>" * 700_000, '<a ">" ' * 800_000, "<![" * 1_500_000, "<li><div>" * 300_000 + "</li>" * 300_000])
+def test_large_odd_pages_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    root = html_text.parse(page)
+    html_text.seal(root)
+    html_text.subtrees(root)
+    html_text.article(root, {html_text._mixed(html_text.KNOWN, 0)})
+    assert time.perf_counter() - began < 60
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(i, f"http://a.example/{i}", f"<div>Site of pages</div><p>Story {i}</p>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 host", "2 rid", "3 key", "4 salt", "5 text", "6 n_chars", "7 slot", "8 content")
+    for most in (1_000_000, 1):
+        assert {r["page_id"]: r["text"] for r in html_text.main_text(pages, most_hashes=most).collect()} == {i: f"Story {i}" for i in range(5)}
+
+
 def test_no_pages(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
