@@ -98,8 +98,6 @@ class Rewriting:
             # edits of one character to one keep the place; others give their whole source
             def back(p: int, last: bool, keys=keys, spans=spans) -> int:
                 i = bisect_right(keys, p) - 1
-                while i >= 0 and spans[i][0] == spans[i][1] and spans[i][0] == p and last is False:
-                    i -= 1
                 if i < 0:
                     return p
                 a, b, s, e = spans[i]
@@ -144,17 +142,20 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
+#: A spelled dot.
 _DOTS = r"(?:dot|punkt|point|punto)"
-_SPELLED = re.compile(rf"\b(?:plus[ ])?{_WORD}(?:(?:[ ,-]{{1,2}}|[ ]{_DOTS}[ ])(?:{_WORD}|[0-9]+)){{3,}}\b", re.IGNORECASE)
-_SPELLED_STEP = re.compile(rf"{_WORD}|[0-9]+|{_DOTS}|plus", re.IGNORECASE)
-#: What each match of _SPELLED starts with, in lower case; most texts have none.
-_HINT = re.compile(rf"{_WORD}(?=(?:[ ,-]{{1,2}}|[ ]{_DOTS}[ ])(?:{_WORD}|[0-9]))")
+_STEP = rf"(?:[ ,-]{{1,2}}|[ ]{_DOTS}[ ])"
+_RUN = re.compile(rf"(?<![^\W_])(?:plus[ ])?(?:{_WORD}|[0-9]++)(?:{_STEP}(?:{_WORD}|[0-9]++))+(?![^\W_])", re.IGNORECASE)
+_RUN_PART = re.compile(rf"(?P<plus>plus[ ])|(?P<dot>[ ]{_DOTS}[ ])|(?P<gap>[ ,-]{{1,2}})|(?P<word>{_WORD})|(?P<number>[0-9]+)", re.IGNORECASE)
+#: What each run with three spelled parts has, in lower case; most texts have none.
+_HINT = re.compile(rf"{_WORD}(?={_STEP}(?:{_WORD}|[0-9]))|[0-9](?=[ ]{_DOTS}[ ](?:{_WORD}|[0-9]))")
 
-_AT = r"(?:\s*[\(\[\{<]\s*(?:at|@)\s*[\)\]\}>]\s*|\s+at\s+|\s*@\s*)"
+_AT = re.compile(r"\s*[\(\[\{<]\s*(?:at|@)\s*[\)\]\}>]\s*|\s+at\s+|\s*@\s*", re.IGNORECASE)
 _DOT = r"(?:\s*[\(\[\{<]\s*(?:dot|\.)\s*[\)\]\}>]\s*|\s+dot\s+|\.)"
-_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:{_DOT}[A-Za-z0-9_%+-]++){{0,3}}?({_AT})[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+", re.IGNORECASE)
-_AT_HINT = re.compile(r"[\(\[\{<]\s*(?:at|@|dot|\.)\s*[\)\]\}>]|\sdot\s", re.IGNORECASE)
 _DOT_ONLY = re.compile(_DOT, re.IGNORECASE)
+_LOCAL_PART = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:{_DOT}[A-Za-z0-9_%+-]++)*+", re.IGNORECASE)
+_DOMAIN_PART = re.compile(rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+", re.IGNORECASE)
+_AT_HINT = re.compile(r"[\(\[\{<]\s*(?:at|@|dot|\.)\s*[\)\]\}>]|\sdot\s", re.IGNORECASE)
 #: Endings that let a bare "at" and "dot" in prose count as an address.
 ENDINGS = frozenset("com org net edu gov mil int info biz dev app io ai co me tv eu de fr es uk us it nl ch at be pt pl se no fi dk ie br mx ar ca au in jp cn ru".split())
 
@@ -162,50 +163,56 @@ ENDINGS = frozenset("com org net edu gov mil int info biz dev app io ai co me tv
 def _at_dot(text: str) -> list[tuple[int, int, str]]:
     """Edits inside addresses that write "at" or "dot" in words or brackets. A bare "at"
     counts only beside a spelled dot and before a known ending, so that prose stays."""
+    edits, place = [], 0
+    while (local := _LOCAL_PART.search(text, place)) is not None:
+        place = local.end()
+        at = _AT.match(text, place)
+        domain = _DOMAIN_PART.match(text, at.end()) if at else None
+        if domain is None:
+            continue
+        place = domain.end()
+        own = [(at.start(), at.end(), "@")]
+        own += [(d.start(), d.end(), ".") for part in (local, domain) for d in _DOT_ONLY.finditer(text, part.start(), part.end())]
+        bracket = re.search(r"[\(\[\{<]", at.group())
+        spelled = any(text[a:b] != "." for a, b, n in own if n == ".")
+        if bracket or spelled and domain.group().lower().split()[-1] in ENDINGS:
+            edits += [e for e in own if text[e[0] : e[1]] != e[2]]
+    return sorted(edits)
+
+
+def _spelled(text: str, lists: bool = False) -> list[tuple[int, int, str]]:
+    """Edits of the runs with at least three spelled parts (digits, dots, plus), word by word,
+    so that any part of a run maps back to its own words. A space or hyphen beside a spelled
+    digit goes. A comma ends a number, or with ``lists`` stands between the digits of one."""
     edits = []
-    for hint in _near(text, _AT_HINT, 120):
-        for m in _DISGUISED.finditer(text, *hint):
-            at = m.span(1)
-            own = [(at[0], at[1], "@")]
-            own += [(d.start(), d.end(), ".") for lo, hi in ((m.start(), at[0]), (at[1], m.end())) for d in _DOT_ONLY.finditer(text, lo, hi)]
-            bracket = re.search(r"[\(\[\{<]", text[at[0] : at[1]])
-            spelled = any(text[a:b] != "." for a, b, n in own if n == ".")
-            ends = m.group().lower().split()[-1] in ENDINGS
-            if bracket or spelled and ends:
-                edits += [e for e in own if text[e[0] : e[1]] != e[2]]
-    return sorted(set(edits))
-
-
-def _near(text: str, hint: re.Pattern, reach: int) -> list[tuple[int, int]]:
-    """Windows around the hints, merged when they touch."""
-    out: list[tuple[int, int]] = []
-    for m in hint.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
-
-
-def _spelled(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in _SPELLED.finditer(text):
-        words = _SPELLED_STEP.findall(m.group())
-        if sum(not w.isdigit() for w in words) >= 3:
-            new = "".join("+" if (k := w.lower()) == "plus" else "." if re.fullmatch(_DOTS, k) else DIGIT_WORDS.get(k, k) for w in words)
-            edits.append((m.start(), m.end(), new))
+    for m in _RUN.finditer(text):
+        parts = [(x.lastgroup, x.start(), x.end(), x.group()) for x in _RUN_PART.finditer(text, m.start(), m.end())]
+        digits = [DIGIT_WORDS.get(t.lower()) if k == "word" else None for k, _, _, t in parts]
+        if sum(d is not None or k in ("plus", "dot") for (k, *_), d in zip(parts, digits, strict=True)) < 3:
+            continue
+        for i, (kind, start, end, own) in enumerate(parts):
+            if kind == "plus":
+                edits.append((start, end, "+"))
+            elif kind == "dot":
+                edits.append((start, end, "."))
+            elif kind == "word" and digits[i] is not None:
+                edits.append((start, end, digits[i]))
+            elif kind == "gap" and (digits[i - 1] or digits[i + 1]):
+                if own in (" ", "-"):
+                    edits.append((start, end, ""))
+                elif lists or "," not in own:
+                    edits.append((start, end, " "))
     return edits
 
 
-def normalise(text: str) -> Rewriting:
+def normalise(text: str, lists: bool = False) -> Rewriting:
     """The three transducers, one after the other."""
     out = Rewriting(text)
     if not text.isascii():
         out.edit([(m.start(), m.end(), _homoglyph(m.group())) for m in _ODD.finditer(text)])
     low = out.text.lower()
-    if any(not (m.start() and low[m.start() - 1].isalnum()) for m in _HINT.finditer(low)):
-        out.edit(_spelled(out.text))
+    if any(not (m.start() and low[m.start() - 1].isalpha()) for m in _HINT.finditer(low)):
+        out.edit(_spelled(out.text, lists))
     if _AT_HINT.search(out.text):
         out.edit(_at_dot(out.text))
     return out
@@ -219,12 +226,19 @@ def find_pii(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
     plain = normalise(text)
     if not plain.layers:
         return base, []
-    added = []
-    for start, end, kind in find_identifiers(plain.text):
-        a, b, touched = plain.source(start, end)
-        if touched and not any(k == kind and s <= a and b <= e for s, e, k in base):
-            added.append((a, b, kind))
-    return base, added
+    readings = [(plain, KINDS)]
+    if "," in text:
+        listed = normalise(text, lists=True)
+        if listed.text != plain.text:
+            readings.append((listed, ("card", "phone")))
+    added: dict[tuple[int, int, str], None] = {}
+    for reading, kinds in readings:
+        for start, end, kind in find_identifiers(reading.text):
+            if kind in kinds:
+                a, b, touched = reading.source(start, end)
+                if touched and not any(k == kind and s <= a and b <= e for s, e, k in base):
+                    added[a, b, kind] = None
+    return base, list(added)
 
 
 def scan_pii(docs: DataFrame) -> DataFrame:

@@ -147,10 +147,48 @@ def test_a_disguised_part_beside_a_plain_match(text, kind, span, plain):
     assert pii.find_pii(text) == (spans[:1], spans[1:])
 
 
-@pytest.mark.parametrize("span", ["plus fünf fünf fünf fünf fünf neuf neuf zéro zéro", "Plus Zéro zéro neuf neuf fünf fünf zéro fünf neuf", "plus one dot 5555 555 55 dot 5"])
-def test_each_digit_word_is_looked_for(span):
-    edits = pii.normalise(f"say {span} now").layers
-    assert edits and edits[0][1][0][2:] == (4, 4 + len(span))
+@pytest.mark.parametrize(
+    ("span", "digits"),
+    [
+        ("plus fünf fünf fünf fünf fünf neuf neuf zéro zéro", "+555559900"),
+        ("Plus Zéro zéro neuf neuf fünf fünf zéro fünf neuf", "+009955059"),
+        ("plus uno uno dos dos tres tres cuatro cuatro cinco", "+112233445"),
+        ("plus one dot 5555 555 55 dot 5", "+1.5555 555 55.5"),
+        ("192 dot 168 dot 1 dot 1", "192.168.1.1"),
+    ],
+)
+def test_each_digit_word_is_looked_for(span, digits):
+    assert pii.normalise(f"say {span} now").text == f"say {digits} now"
+
+
+def of(text, part, kind):
+    return text.index(part), text.index(part) + len(part), kind
+
+
+def test_a_span_maps_to_its_own_words():
+    two = "one nine two dot one six eight dot one dot one, one zero dot zero dot zero dot one"
+    assert pii.find_pii(two) == ([], [of(two, two.split(", ")[0], "ip"), of(two, two.split(", ")[1], "ip")])
+    more = "at one nine two dot one six eight dot one dot one dot five ok"
+    assert pii.find_pii(more) == ([], [of(more, "one nine two dot one six eight dot one dot one", "ip")])
+    listed = "card four, one, one, one, 1111 1111 one, one, one, one end"
+    assert pii.find_pii(listed) == ([], [of(listed, listed[5:-4], "card")])
+
+
+@pytest.mark.parametrize(("before", "address"), [(130, ""), (5_000, ""), (3, "a dot b dot c dot d dot e dot f at host dot com"), (3, " dot ".join("abcdefgh" * 40) + " at mail dot host dot org")])
+def test_no_length_hides_an_address(before, address):
+    address = address or "x" * before + " at host dot com"
+    text = "write , " + address + " now"
+    assert pii.find_pii(text) == ([], [of(text, address, "email")])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*pii.DIGIT_WORDS, "7", "12", "192", "dot", "punkt", "plus", "word", "+1", "j\u0430ne", "at", "host", "com", "(at)", "[dot]", ",", "\u200b", "\uff11"]), max_size=24), st.sampled_from([" ", ", ", "-"]))
+def test_mapped_spans_normalise_to_the_identifier(words, gap):
+    text = gap.join(words)
+    for start, end, kind in pii.find_pii(text)[1]:
+        again = [x for lists in (False, True) for x in pii.find_identifiers(pii.normalise(text[start:end], lists).text) if x[2] == kind]
+        whole = [pii.normalise(text[start:end], lists).text for lists in (False, True)]
+        assert 0 <= start < end <= len(text) and any((0, len(w), kind) in again for w in whole)
 
 
 @settings(max_examples=300, deadline=None)
