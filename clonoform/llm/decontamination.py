@@ -1,10 +1,13 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, queried by every
 training passage with block-max WAND, then verified on question and answer.
 
-The threshold search works on a batch of passages at a time. Each passage has to pass three
-bounds, each tighter: its terms' largest weights (the WAND bound), their largest weights in
-a block of similar items (the block-max bound), and then the scores of the block's items.
-No bound is below the score, so every item above the threshold is found.
+The index holds each term's postings, ordered by item and cut at blocks of items, with the
+largest weight of each term in each block. A batch of passages is searched at a time. The
+terms of a passage are ordered by their largest weight; those before the pivot, where the sum
+of the largest weights reaches the threshold, can't reach it alone, so only the posting lists
+from the pivot on name blocks. A block is skipped unless the block maxima of all of the
+passage's terms reach the threshold, and only then are its postings added up. No bound is
+below the score, so every item above the threshold is found.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +46,8 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 
 class Item:
+    """What verification needs of an item: its weights by word and its shingles."""
+
     def __init__(self, item_id: int | None, text: str, size: int):
         question, answer = question_and_answer(text)
         self.item_id, self.words = item_id, words(text.encode())
@@ -70,76 +75,113 @@ class Corpus(NamedTuple):
 
 
 class Bm25Index:
-    """Postings of a block of items, as weights by term and item. A weight is the term's BM25
-    weight in the item over the item's whole weight, so 1 is an item found in full. Items are
-    sorted by whole weight and cut into blocks, so that a block's maxima are close bounds.
-    ``corpus`` describes all items where these are a part of them."""
+    """Postings of items. A weight is a term's BM25 weight in an item over the item's whole
+    weight, so 1 is an item found in full. Items are sorted by whole weight and cut into
+    blocks, so that a block's maxima are close bounds. ``corpus`` describes all items where
+    these are a part of them; without it these are all.
+
+    Arrays, all sorted by term and then by item: ``first`` is where a term's (term, block)
+    entries start, ``key`` names an entry (term x blocks + block), ``top`` is its largest
+    weight, and ``start`` is where its postings ``item`` and ``weight`` start.
+    """
 
     def __init__(self, items: list[tuple[int | None, str | None]], size: int = 5, block: int | None = None, k1: float = 1.2, b: float = 0.75, corpus: Corpus | None = None):
-        found = [x for x in (Item(i, t or "", size) for i, t in items) if x.words]
-        n = len(found)
-        counts = [Counter(x.words) for x in found]
-        own = Counter(w for c in counts for w in c)
-        if corpus is None:
-            corpus = Corpus(n, sum(len(x.words) for x in found), max((len(x.words) for x in found), default=0), own)
-        idf = {w: math.log1p((corpus.n - corpus.inside[w] + 0.5) / (corpus.inside[w] + 0.5)) for w in own}
-        mean = corpus.total / corpus.n if corpus.n else 1
-        self.longest = corpus.longest
+        texts = [(i, t, Counter(ws)) for i, t, ws in ((i, t, words((t or "").encode())) for i, t in items) if ws]
+        n, self.size, self.k1, self.b = len(texts), size, k1, b
+        own = Counter(w for _, _, c in texts for w in c)
+        lengths = [c.total() for _, _, c in texts]
+        self.corpus = corpus or Corpus(n, sum(lengths), max(lengths, default=0), own)
+        self.idf = {w: math.log1p((self.corpus.n - self.corpus.inside[w] + 0.5) / (self.corpus.inside[w] + 0.5)) for w in own}
+        self.longest = self.corpus.longest
         self.terms = {w: i + 1 for i, w in enumerate(sorted(own))}
-        weights = []
-        for x, c in zip(found, counts, strict=True):
-            norm = k1 * (1 - b + b * len(x.words) / mean)
-            weights.append({self.terms[w]: idf[w] * f * (k1 + 1) / (f + norm) for w, f in c.items()})
-        order = sorted(range(n), key=lambda k: (sum(weights[k].values()), found[k].item_id is None, found[k].item_id or 0))
-        self.items = [found[k] for k in order]
-        per = block or max(8, -(-n // 128))
-        self.starts = list(range(0, n, per))
-        self.block_max = np.zeros((len(self.terms) + 1, len(self.starts)), np.float32)
-        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
-        for j, lo in enumerate(self.starts):
-            mine = [weights[k] for k in order[lo : lo + per]]
-            own = np.array(sorted(set().union(*mine)), np.int64)
-            dense = np.zeros((len(own) + 1, len(mine)))
-            for i, w in enumerate(mine):
-                whole = sum(w.values())
-                dense[np.searchsorted(own, np.fromiter(w, np.int64, len(w))), i] = np.fromiter(w.values(), float, len(w)) / whole
-            self.blocks.append((own, dense))
-            # rounded up, so that a bound never falls below a score
-            self.block_max[own, j] = np.nextafter(dense[:-1].max(axis=1).astype(np.float32), np.float32(2))
-        self.most = self.block_max.max(axis=1) if self.starts else np.zeros(1, np.float32)
+        weights = [self._weights(c) for _, _, c in texts]
+        whole = [math.fsum(w.values()) for w in weights]
+        order = sorted(range(n), key=lambda k: (whole[k], texts[k][0] is None, texts[k][0] or 0, texts[k][1]))
+        self.texts = [texts[k][:2] for k in order]
+        self.per = block or max(8, -(-n // 1024))
+        self.blocks = max(1, -(-n // self.per))
+        term = np.fromiter((self.terms[w] for k in order for w in weights[k]), np.int64)
+        item = np.repeat(np.arange(n), [len(weights[k]) for k in order])
+        weight = np.fromiter((x / whole[k] for k in order for x in weights[k].values()), np.float64)
+        by = np.argsort(term, kind="stable")
+        self.item, self.weight = item[by].astype(np.int32), weight[by]
+        keys = term[by] * self.blocks + self.item // self.per
+        self.key, start = np.unique(keys, return_index=True)
+        self.start = np.append(start, len(keys))
+        # rounded up, so that a bound never falls below a score
+        self.top = np.nextafter(np.maximum.reduceat(self.weight, start).astype(np.float32), np.float32(2)) if n else np.zeros(0, np.float32)
+        self.first = np.searchsorted(self.key, np.arange(len(self.terms) + 2) * self.blocks)
+        self.most = np.zeros(len(self.terms) + 1, np.float32)
+        if n:
+            self.most[1:] = np.maximum.reduceat(self.top, self.first[1:-1])
+        self._items: dict[int, tuple[Item, dict[bytes, float]]] = {}
+
+    def _weights(self, counts: Counter) -> dict[bytes, float]:
+        norm = self.k1 * (1 - self.b + self.b * counts.total() * self.corpus.n / self.corpus.total)
+        return {w: self.idf[w] * f * (self.k1 + 1) / (f + norm) for w, f in sorted(counts.items())}
+
+    def item_of(self, k: int) -> tuple[Item, dict[bytes, float]]:
+        """An item and its weights by word, made when first found and kept by the worker."""
+        if k not in self._items:
+            x = Item(*self.texts[k], self.size)
+            weights = self._weights(Counter(x.words))
+            whole = math.fsum(weights.values())
+            self._items[k] = x, {w: v / whole for w, v in weights.items()}
+        return self._items[k]
 
     def search(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """All (passages, items, scores) with score >= threshold. The pairs passage and term
         are distinct and sorted by passage."""
-        slack = 1e-5
+        if not len(passage) or not len(self.texts):
+            return
+        need = threshold - 1e-5
         ends = np.flatnonzero(np.diff(passage, append=-1)) + 1
         starts = np.concatenate([[0], ends[:-1]])
-        if not len(passage) or not self.starts:
-            return
-        live = np.add.reduceat(self.most[term], starts, dtype=np.float64) >= threshold - slack
+        live = np.add.reduceat(self.most[term], starts, dtype=np.float64) >= need
         starts, ends = starts[live], ends[live]
         for lo in range(0, len(starts), 512):
             a, e = starts[lo : lo + 512], ends[lo : lo + 512]
-            at = _spread(a, e)
-            bound = np.add.reduceat(self.block_max[term[at]], np.concatenate([[0], np.cumsum(e - a)[:-1]]), axis=0)
-            rows, hit = np.nonzero(bound >= threshold - slack)
-            for j in np.unique(hit).tolist():
-                own, dense = self.blocks[j]
-                mine = rows[hit == j]
-                sa, se = a[mine], e[mine]
-                terms = term[_spread(sa, se)]
-                place = np.minimum(np.searchsorted(own, terms), len(own) - 1)
-                place = np.where(own[place] == terms, place, len(own))  # the last row is zero
-                score = np.add.reduceat(dense[place], np.concatenate([[0], np.cumsum(se - sa)[:-1]]), axis=0)
-                r, i = np.nonzero(score >= threshold - 1e-9)
-                if len(r):
-                    yield passage[sa[r]], i + self.starts[j], score[r, i]
+            at, row = _spread(a, e), np.repeat(np.arange(len(a)), e - a)
+            yield from self._among(passage[a], row, term[at], need, threshold)
+
+    def _among(self, names: np.ndarray, row: np.ndarray, term: np.ndarray, need: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same for few passages, whose terms are (row, term)."""
+        most = self.most[term].astype(np.float64)
+        order = np.lexsort((most, row))
+        row, term, most = row[order], term[order], most[order]
+        size = np.bincount(row, minlength=len(names))
+        begin = np.cumsum(size) - size
+        run = np.cumsum(most)
+        run -= (run[begin] - most[begin])[row]  # sums of the largest weights within the passage
+        late = np.flatnonzero(run >= need)  # from the pivot on
+        # the blocks that the lists from the pivot on name
+        entries = _spread(self.first[term[late]], self.first[term[late] + 1])
+        block = self.key[entries] % self.blocks
+        pairs = np.unique(np.repeat(row[late], self.first[term[late] + 1] - self.first[term[late]]) * self.blocks + block)
+        for lo in range(0, len(pairs), 4096):
+            of, block = pairs[lo : lo + 4096] // self.blocks, pairs[lo : lo + 4096] % self.blocks
+            own = _spread(begin[of], begin[of] + size[of])
+            pair = np.repeat(np.arange(len(of)), size[of])
+            key = term[own] * self.blocks + block[pair]
+            place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            hit = self.key[place] == key
+            place, pair = place[hit], pair[hit]
+            ok = (np.bincount(pair, self.top[place], len(of)) >= need)[pair]
+            place, pair = place[ok], pair[ok]
+            posting = _spread(self.start[place], self.start[place + 1])
+            slot = np.repeat(pair, self.start[place + 1] - self.start[place]) * self.per + self.item[posting] % self.per
+            found, slot = np.unique(slot, return_inverse=True)
+            score = np.bincount(slot, self.weight[posting], len(found))
+            good = score >= threshold - 1e-9
+            if good.any():
+                p, i = found[good] // self.per, found[good] % self.per
+                yield names[of[p]], i + block[p] * self.per, score[good]
 
 
 def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All numbers of the ranges, one after the other."""
     n = ends - starts
-    return np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 HITS = T.StructType(
@@ -178,12 +220,18 @@ def batch_hits(index: Bm25Index, texts: list[bytes | None], threshold: float, ov
         first.append(first[-1] + last + 1)
     pairs = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     shingles: dict[tuple[int, int], set] = {}
-    for passages, items, scores in index.search(pairs // wide, pairs % wide, threshold):
-        for p, k, score in zip(passages.tolist(), items.tolist(), scores.tolist(), strict=True):
-            text, item = owner[p], index.items[k]
+    for passages, items, _ in index.search(pairs // wide, pairs % wide, threshold):
+        for p, k in zip(passages.tolist(), items.tolist(), strict=True):
+            text, (item, weights) = owner[p], index.item_of(k)
             ws, start, n = every[text], (p - first[text]) * step, min(size, len(item.words))
+            stop = min(start + 2 * step, len(ws))
+            if (p, 0) not in shingles:
+                shingles[p, 0] = set(ws[start:stop])
+            # the same number whatever the order of terms and items
+            score = math.fsum(x for w, x in weights.items() if w in shingles[p, 0])
+            if score < threshold:
+                continue
             if (p, n) not in shingles:
-                stop = min(start + 2 * step, len(ws))
                 shingles[p, n] = {tuple(ws[i : i + n]) for i in range(start, max(start, stop - n + 1))}
             own = shingles[p, n]
             whole, q, a = (len(x & own) / len(x) for x in (item.whole, item.question, item.answer))
@@ -213,31 +261,43 @@ def _corpus(test: DataFrame) -> Callable[[int], Corpus]:
     return of
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part: float = 0.5, size: int = 5, block_bytes: int = 2_000_000) -> DataFrame:
+def _indexes(spark: SparkSession, items: DataFrame, size: int, block_bytes: int) -> list:
+    """Broadcast indexes of about ``block_bytes`` of item text each, the rows of an item_id in
+    one of them. Frequencies and lengths are those of all items."""
+    test = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = test.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-int(total) // block_bytes))
+    test = test.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    corpus_of = _corpus(test) if blocks > 1 else lambda k: None
+    out = []
+    for k in range(blocks):
+        own = [(r["item_id"], r["text"]) for r in test.where(F.col("block") == k).collect()]
+        if own or not k:
+            out.append(spark.sparkContext.broadcast(Bm25Index(own, size, corpus=corpus_of(k))))
+    return out
+
+
+#: So many bytes of item text are in one index, which each worker holds in some four times
+#: that memory; a larger benchmark takes a pass over the documents for each further index.
+INDEX_BYTES = 64_000_000
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part: float = 0.5, size: int = 5, block_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row for each document and test item that it holds: doc_id, item_id, score (share
     of the item's BM25 weight that a passage has), overlap (share of the item's five-word
     shingles), question_overlap, answer_overlap.
 
-    Every passage of every whole text is a query. Items are indexed in blocks of about
-    ``block_bytes`` of text; each block's index goes to all tasks, at one pass over the
-    documents a block. Document frequencies, mean and longest length are those of all items,
-    so that the rows don't depend on the number of blocks. An item
-    of fewer than five words must be found whole. Null and empty texts match nothing; null
-    ids stay null; repeated documents each give their rows; items that repeat an item_id
-    are matched each, and one row for an id is kept; empty tables give no rows; other
-    columns are ignored.
+    Every passage of every whole text is a query, in one pass over the documents for each
+    ``block_bytes`` of item text. Document frequencies, mean and longest length are those of
+    all items, and an item's score adds up alike everywhere, so the rows don't depend on the
+    number of indexes. An item of fewer than five words must be found whole. Null and empty
+    texts match nothing; null ids stay null; repeated documents each give their rows; items
+    that repeat an item_id are matched each, and the best row of an id is kept; empty tables
+    give no rows; other columns are ignored.
     """
-    test = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = test.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    test = test.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    corpus_of = _corpus(test) if blocks > 1 else lambda k: None
     found = None
-    for k in range(blocks):
-        mine = test.where(F.col("block") == k)
-        index = Bm25Index([(r["item_id"], r["text"]) for r in mine.collect()], size, corpus=corpus_of(k))
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for shared in _indexes(docs.sparkSession, items, size, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -246,7 +306,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5
                     docs, texts = batch.column(0).slice(lo, 128).to_pylist(), batch.column(1).slice(lo, 128).cast(pa.binary()).to_pylist()
                     rows: dict = {}
                     for text, k, x in batch_hits(index, texts, threshold, overlap, part, size):
-                        key = text, index.items[k].item_id
+                        key = text, index.texts[k][0]
                         rows[key] = max(rows.get(key, (0.0,)), x)
                     out = [(docs[text], i, *x) for (text, i), x in rows.items()]
                     columns = list(zip(*out, strict=True)) if out else [[]] * 6
@@ -255,3 +315,26 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5
         part_found = own.mapInArrow(run, HITS)
         found = part_found if found is None else found.unionByName(part_found)
     return found
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part: float = 0.5, size: int = 5, block_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The documents, with all of their columns, that ``find_contamination`` finds no item in.
+    The pass that searches a text decides on its row, so no text moves. Nulls, empty texts,
+    repeated rows and empty tables as there."""
+    place = docs.columns.index("text")
+    shared_indexes = _indexes(docs.sparkSession, items, size, block_bytes)
+    for shared in shared_indexes:
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 128):
+                    rows = batch.slice(lo, 128)
+                    texts = rows.column(place).cast(pa.binary()).to_pylist()
+                    bad = {text for text, _, _ in batch_hits(index, texts, threshold, overlap, part, size)}
+                    yield rows.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if len(shared_indexes) > 1:  # one index at a time in a worker
+            docs = stage(docs, "uncontaminated")
+    return docs

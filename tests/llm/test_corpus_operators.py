@@ -210,20 +210,47 @@ def test_edited_and_clean_passages(spark):
 )
 def test_wand_finds_all_above_the_threshold(items, passages, threshold):
     index = decontamination.Bm25Index([(i, " ".join(x)) for i, x in enumerate(items)], block=3)
+    n, mean = len(items), sum(map(len, items)) / len(items)
+    score = {}
+    for i, x in enumerate(items):
+        weight = {}
+        for w, f in Counter(x).items():
+            df = sum(w in y for y in items)
+            weight[w] = np.log(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(x) / mean))
+        for p, qs in enumerate(passages):
+            score[p, i] = sum(v for w, v in weight.items() if w in qs) / sum(weight.values())
     pairs = sorted({(p, index.terms[q.encode()]) for p, qs in enumerate(passages) for q in qs if q.encode() in index.terms})
-    score = Counter()
-    for p, t in pairs:
-        for (own, dense), lo in zip(index.blocks, index.starts, strict=True):
-            for at in np.flatnonzero(own == t).tolist():
-                for i, x in enumerate(dense[at].tolist()):
-                    score[p, lo + i] += x
     a = np.array(pairs, np.int64).reshape(-1, 2)
     got = {}
     for ps, ks, xs in index.search(a[:, 0], a[:, 1], threshold):
-        got |= {(p, k): x for p, k, x in zip(ps.tolist(), ks.tolist(), xs.tolist(), strict=True)}
+        for p, k, x in zip(ps.tolist(), ks.tolist(), xs.tolist(), strict=True):
+            assert (p, index.texts[k][0]) not in got
+            got[p, index.texts[k][0]] = x
     assert {k for k, s in score.items() if s >= threshold + 1e-6} <= got.keys()
     assert all(abs(score[k] - s) < 1e-9 and s >= threshold - 1e-6 for k, s in got.items())
-    assert all(abs(sum(d[:, i].sum() for i in [0]) - 1) < 1e-9 for _, d in index.blocks)
+
+
+def test_rows_are_alike_for_any_number_of_indexes(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 3))
+    texts = [" ".join(word() for _ in range(int(rng.integers(6, 30)))) + ". " + word() + " " + word() for _ in range(60)]
+    items = [(i, t) for i, t in enumerate(texts)] + [(5, texts[7]), (5, texts[8]), (None, texts[3]), (None, texts[4])]
+    docs = [(k, " ".join(word() for _ in range(20)) + " " + " ".join(t.split()[: len(t.split()) - k % 4]) + " " + word()) for k, t in enumerate(texts)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = {}
+    for size in (10_000_000, 5_000, 600):
+        found[size] = sorted(map(tuple, decontamination.find_contamination(docs_of(spark, docs), table, block_bytes=size).collect()), key=str)
+        assert len({x[:2] for x in found[size]}) == len(found[size])
+    assert found[10_000_000] == found[5_000] == found[600] and len(found[600]) > 30
+    edge = sorted(x[2] for x in found[600])[len(found[600]) // 2]  # a score right at the threshold
+    at = [sorted(map(tuple, decontamination.find_contamination(docs_of(spark, docs), table, threshold=edge, block_bytes=size).collect()), key=str) for size in (10_000_000, 600)]
+    assert at[0] == at[1] and min(x[2] for x in at[0]) == edge
+    docs = [(100 + i, t) for i, t in docs]
+    clean = docs_of(spark, docs + ODD).selectExpr("*", "1 as item_id", "2 as block", "3 as index")
+    for size in (10_000_000, 600):
+        kept = decontamination.uncontaminated(clean, table, block_bytes=size)
+        assert kept.columns == clean.columns
+        assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, _ in docs + ODD if i is None or i - 100 not in {x[0] for x in found[size]})
 
 
 # --- language ---------------------------------------------------------------------------------
