@@ -74,6 +74,10 @@ class Corpus(NamedTuple):
     inside: Mapping[bytes, int]
 
 
+#: An index with at most so many pairs of a term and a block has a table of their entries.
+MOST_DIRECT = 8_000_000
+
+
 class Bm25Index:
     """Postings of items. A weight is a term's BM25 weight in an item over the item's whole
     weight, so 1 is an item found in full. Items are sorted by whole weight and cut into
@@ -114,6 +118,10 @@ class Bm25Index:
         self.most = np.zeros(len(self.terms) + 1, np.float32)
         if n:
             self.most[1:] = np.maximum.reduceat(self.top, self.first[1:-1])
+        # where an entry is, for an index so small that all (term, block) fit; else by search
+        self.entry = np.full((len(self.terms) + 1) * self.blocks, -1, np.int32) if (len(self.terms) + 1) * self.blocks <= MOST_DIRECT else None
+        if self.entry is not None:
+            self.entry[self.key] = np.arange(len(self.key))
         self._items: dict[int, tuple[Item, dict[bytes, float]]] = {}
 
     def _weights(self, counts: Counter) -> dict[bytes, float]:
@@ -162,9 +170,13 @@ class Bm25Index:
             of, block = pairs[lo : lo + 4096] // self.blocks, pairs[lo : lo + 4096] % self.blocks
             own = _spread(begin[of], begin[of] + size[of])
             pair = np.repeat(np.arange(len(of)), size[of])
-            key = term[own] * self.blocks + block[pair]
-            place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            hit = self.key[place] == key
+            key = term[own] * self.blocks + np.repeat(block, size[of])
+            if self.entry is not None:
+                place = self.entry[key]
+                hit = place >= 0
+            else:
+                place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+                hit = self.key[place] == key
             place, pair = place[hit], pair[hit]
             ok = (np.bincount(pair, self.top[place], len(of)) >= need)[pair]
             place, pair = place[ok], pair[ok]

@@ -226,6 +226,9 @@ def test_wand_finds_all_above_the_threshold(items, passages, threshold):
         for p, k, x in zip(ps.tolist(), ks.tolist(), xs.tolist(), strict=True):
             assert (p, index.texts[k][0]) not in got
             got[p, index.texts[k][0]] = x
+    index.entry = None  # entries by search, as in large indexes
+    again = {(p, index.texts[k][0]): x for ps, ks, xs in index.search(a[:, 0], a[:, 1], threshold) for p, k, x in zip(ps.tolist(), ks.tolist(), xs.tolist(), strict=True)}
+    assert again == got
     assert {k for k, s in score.items() if s >= threshold + 1e-6} <= got.keys()
     assert all(abs(score[k] - s) < 1e-9 and s >= threshold - 1e-6 for k, s in got.items())
 
