@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from clonoform.llm.common import stage
+
 
 def held_out():
     """Documents that only test: crc32 of the doc_id as text leaves 2 modulo 4."""
@@ -48,79 +54,121 @@ def _letters(points: np.ndarray) -> np.ndarray:
     return _LETTER[points]
 
 
-def train(docs: DataFrame, bits: int = 16, rows: int = 20_000, max_languages: int = 1_000) -> tuple[list[str], np.ndarray]:
-    """Languages, and log probabilities (languages x buckets), from labelled documents.
+class Model(NamedTuple):
+    """Naive Bayes of a block of languages: names, log priors, and log probabilities by
+    bucket and language."""
+
+    languages: list[str]
+    priors: np.ndarray
+    logs: np.ndarray
+
+
+#: So many languages are scored at once: 256 KB each in every worker.
+LANGUAGES = 256
 
-    The fit takes at most about ``rows`` labelled documents per language, the ones with
-    the smallest hash of doc_id: a bounded sample that doesn't depend on how the table is
-    stored. Per task it adds up one count vector per language; the driver receives
-    languages x buckets numbers, bounded by ``max_languages``.
+
+def train(docs: DataFrame, bits: int = 16, rows: int = 20_000, languages: int = LANGUAGES) -> Iterator[Model]:
+    """Models of at most ``languages`` languages each, from the labelled documents that aren't
+    held out.
+
+    N-grams are counted in at most about ``rows`` documents per language, the ones with the
+    smallest hash of doc_id: a bounded sample that doesn't depend on how the table is stored.
+    Priors are the languages' shares of all labelled documents. Counts are added up in Spark;
+    the driver receives the counts of a block of languages at a time.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    languages = sorted(sizes)
-    share = F.lit(1.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, rows / n))).otherwise(share)
+    # one row a language, numbered in order
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    numbered = stage(sizes.select("*", (F.row_number().over(Window.orderBy("lang")) - 1).alias("place")), "languages")
     unit = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(unit < share).select("lang", "text")
-    place = {name: i for i, name in enumerate(languages)}
+    sample = known.select("lang", "text", unit.alias("unit")).join(numbered, "lang").where(F.col("unit") * F.col("size") < rows).select("place", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), 1 << bits), np.int64)
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(langs), 200):
-                found, sizes = buckets(texts.slice(lo, 200).to_pylist(), bits)
-                at = np.repeat([place[x] for x in langs[lo : lo + 200]], sizes)
-                counts += np.bincount(at * (1 << bits) + found, minlength=counts.size).reshape(counts.shape)
-        lang, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[lang, bucket], pa.int64())], ["lang", "bucket", "n"])
-
-    total = sample.mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(languages), 1 << bits))
-    got = total.toPandas()
-    counts[got["lang"], got["bucket"]] = got["n"]
-    smooth = counts + 0.5
-    return languages, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
-
-
-def identify_languages(docs: DataFrame, bits: int = 16, rows: int = 20_000) -> DataFrame:
+            places, texts = batch.column(0).to_numpy(), batch.column(1)
+            for lo in range(0, len(places), 1_000):
+                found, many = buckets(texts.slice(lo, 1_000).to_pylist(), bits)
+                both, n = np.unique(np.repeat(places[lo : lo + 1_000].astype(np.int64), many) << bits | found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(both >> bits, pa.int32()), pa.array(both & (1 << bits) - 1, pa.int32()), pa.array(n, pa.int64())], ["place", "bucket", "n"])
+
+    counted = stage(sample.mapInArrow(run, "place int, bucket int, n long").groupBy("place", "bucket").agg(F.sum("n").alias("n")), "ngram-counts")
+    every, total = numbered.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    for lo in range(0, every, languages):
+        inside = F.col("place").between(lo, lo + languages - 1)
+        names = numbered.where(inside).orderBy("place").collect()
+        counts = np.zeros((1 << bits, len(names)), np.float64)
+        got = counted.where(inside).toPandas()
+        counts[got["bucket"], got["place"] - lo] = got["n"]
+        smooth = counts + 0.5
+        priors = np.log(np.array([r["size"] / total for r in names]))
+        yield Model([r["lang"] for r in names], priors, np.log(smooth / smooth.sum(axis=0)).astype(np.float32))
+
+
+#: A text's n-grams overlap and aren't independent: for the score they weigh as an eighth of
+#: their number, and as so many in all, at most.
+MOST_EVIDENCE = 8.0
+
+
+def log_scores(model: Model, texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the texts with letters, log prior plus log likelihood of each language,
+    times a factor of the text that keeps long texts from saturating)."""
+    found, sizes = buckets(texts, bits)
+    live = np.flatnonzero(sizes)
+    if not len(live):
+        return live, np.zeros((0, len(model.languages)))
+    first = np.concatenate([[0], np.cumsum(sizes[live])[:-1]])
+    like = np.stack([np.add.reduceat(model.logs[found, k], first, dtype=np.float64) for k in range(len(model.languages))], axis=1)
+    return live, (model.priors + like) * np.minimum(1 / 8, MOST_EVIDENCE / sizes[live])[:, None]
+
+
+#: Between passes: the best log score and the log of the sum of all languages' scores.
+RUNNING = [T.StructField("lang_pred", T.StringType()), T.StructField("__best", T.DoubleType()), T.StructField("__sum", T.DoubleType())]
+
+
+def predict(docs: DataFrame, bits: int = 16, rows: int = 20_000, languages: int = LANGUAGES) -> DataFrame:
+    """The documents, with all of their columns, and lang_pred and score; see
+    ``identify_languages``. A pass of the documents for each block of languages, so one for
+    as many as there usually are; the pass that scores a text keeps its row."""
+    place = docs.columns.index("text")
+    spark, out = docs.sparkSession, None
+    wide = T.StructType([*docs.schema.fields, *RUNNING])
+    for model in train(docs, bits, rows, languages):
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 200):
+                    part = batch.slice(lo, 200)
+                    live, scores = log_scores(model, part.column(place).to_pylist(), bits)
+                    names, best, total = [None] * part.num_rows, np.full(part.num_rows, -np.inf), np.full(part.num_rows, -np.inf)
+                    old = part.num_columns > len(wide) - len(RUNNING)
+                    if old:
+                        names = part.column(part.num_columns - 3).to_pylist()
+                        best, total = (part.column(part.num_columns - k).to_numpy(zero_copy_only=False).copy() for k in (2, 1))
+                    for i, row in zip(live.tolist(), scores, strict=True):
+                        k = int(row.argmax())
+                        if row[k] > best[i]:
+                            names[i], best[i] = model.languages[k], row[k]
+                        total[i] = np.logaddexp(total[i], np.logaddexp.reduce(row))
+                    columns = part.columns[: len(wide) - len(RUNNING)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(best), pa.array(total)], wide.names)
+
+        out = (docs if out is None else stage(out, "language-scores")).mapInArrow(run, wide)
+    if out is None:
+        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    score = F.when(F.col("lang_pred").isNotNull(), F.exp(F.col("__best") - F.col("__sum"))).otherwise(0.0)
+    return out.select(*docs.columns, F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.least(score, F.lit(1.0)).alias("score"))
+
+
+def identify_languages(docs: DataFrame, bits: int = 16, rows: int = 20_000, languages: int = LANGUAGES) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every whole text.
 
     Learns from text and non-null lang of the documents that aren't held out. The score is
-    the posterior of the predicted language under an n-gram's mean log likelihood times
-    ``8``, which keeps long texts from saturating at once. ``und`` with score 0 if the
-    text is null or has no letter, or if there is nothing to learn from. Null ``doc_id``
-    isn't held out. Repeated rows are scored each; an empty table gives no rows; other
-    columns are ignored.
+    the posterior of the predicted language; the first in order wins a tie. ``und`` with score
+    0 if the text is null or has no letter, or if there is nothing to learn from. Any number
+    of languages can be told apart. Null ``doc_id`` isn't held out. Repeated rows are scored
+    each; an empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    languages, logs = train(docs, bits, rows)
-    # bounded: max_languages x 2**bits floats; with four languages 1 MB
-    shared = spark.sparkContext.broadcast(np.ascontiguousarray(logs.T))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            texts = batch.column(2)
-            for lo in range(0, len(texts), 200):
-                found, sizes = buckets(texts.slice(lo, 200).to_pylist(), bits)
-                names, scores = ["und"] * len(sizes), np.zeros(len(sizes))
-                live = np.flatnonzero(sizes)
-                if len(live) and languages:
-                    first = np.concatenate([[0], np.cumsum(sizes[live])[:-1]])
-                    like = np.stack([np.add.reduceat(model[found, k], first, dtype=np.float64) for k in range(len(languages))], axis=1)
-                    mean = like / sizes[live][:, None] * np.minimum(sizes[live], 64)[:, None] / 8
-                    mean -= mean.max(axis=1, keepdims=True)
-                    post = np.exp(mean)
-                    best = post.argmax(axis=1)
-                    scores[live] = post.max(axis=1) / post.sum(axis=1)
-                    for i, b in zip(live.tolist(), best.tolist(), strict=True):
-                        names[i] = languages[b]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 200), batch.column(1).slice(lo, 200), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
-
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return predict(plain, bits, rows, languages).select("doc_id", "held_out", "lang_pred", "score")

@@ -275,6 +275,70 @@ def test_letters_of_all_planes_count(spark):
     assert got == {i: "zh" if i < 8 else "und" for i in range(9)}
 
 
+def plain_grams(text, bits):
+    """Buckets of the character n-grams of a text, one n-gram at a time."""
+    import re
+
+    points = [ord(c) for c in re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))]
+    out = []
+    if any(p != 32 for p in points):
+        for order in (1, 2, 3):
+            for i in range(len(points) - order + 1):
+                code = 0
+                for p in points[i : i + order]:
+                    code = (code * 0x9E3779B1 + p + 1) & (1 << 64) - 1
+                out.append(((code * 0x9E3779B97F4A7C15) & (1 << 64) - 1) >> (64 - bits))
+    return out
+
+
+def test_predictions_are_those_of_naive_bayes(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in table(spark, sf_dir, "documents").collect()]
+    bits, counts, sizes = 10, defaultdict(Counter), Counter()
+    for d, t, lang in docs:
+        if lang and t is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            counts[lang].update(plain_grams(t, bits))
+            sizes[lang] += 1
+    total = {x: sum(c.values()) + 0.5 * 2**bits for x, c in counts.items()}
+    want = {}
+    for d, t, _ in docs:
+        grams = Counter(plain_grams(t or "", bits))
+        like = {x: np.log(sizes[x] / sum(sizes.values())) + sum(n * np.log((counts[x][g] + 0.5) / total[x]) for g, n in grams.items()) for x in sorted(counts)}
+        want[d] = max(like, key=like.get) if grams else "und"
+    for languages in (256, 3, 1):
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify_languages(table(spark, sf_dir, "documents"), bits, languages=languages).collect()}
+        assert {d: x for d, (x, _) in got.items()} == want
+        first = got if languages == 256 else first
+        assert all(abs(got[d][1] - first[d][1]) < 1e-9 and 0 <= got[d][1] <= 1 for d in got)
+
+
+def test_thousands_of_languages(spark):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 12))
+    own = [" ".join(word() for _ in range(3)) for _ in range(5_000)]
+    rows = [(i, t, f"l{i:04}") for i, t in enumerate(own)]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify_languages(docs_of(spark, rows), 12, languages=1_500).collect()}
+    assert len(learned) > 3_000 and np.mean([got[i] == lang for i, _, lang in learned]) > 0.9
+
+
+def test_clashing_columns(spark, sf_dir):
+    """Other columns never matter, whatever their names."""
+    names = ["fp", "key", "h", "rid", "part", "shard", "n", "place", "size", "unit", "body", "recipe", "best", "row", "piece", "ids", "held_out", "lang_pred", "score", "component_id", "least", "root", "fingerprint", "item_id", "block", "start", "blob"]
+    plain = docs_of(spark, [(i, t, "en") for i, t in ODD])
+    docs = plain.selectExpr("*", *[f"'x' as {n}" for n in names])
+    items = spark.createDataFrame([(1, "plain words", "y", "z")], "item_id long, text string, doc_id string, block string")
+    runs = {
+        "op3": lambda d: decontamination.find_contamination(d, items, overlap=0.1),
+        "op7": lambda d: packing.pack_documents(d, tokenizer_path()).drop("sequence_id", "offset"),
+        "op8": exact_dedup.exact_duplicates,
+        "op9": language_id.identify_languages,
+        "op10": simhash_dedup.near_duplicates,
+    }
+    for name, run in runs.items():
+        a, b = (Counter(map(str, run(d).drop("kept").collect())) for d in (plain, docs))
+        assert a == b, name
+
+
 def test_languages_of_odd_rows(spark):
     rows = [(i, t, "en") for i, t in ODD] + [(7, "12 34 !!", "en"), (8, "bonjour le monde", "fr")]
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify_languages(docs_of(spark, rows)).collect()}
