@@ -39,14 +39,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def written() -> int:
-    """A mark for ``release``."""
+    """A mark for ``settle``."""
     return len(_WRITTEN)
 
 
-def release(spark: SparkSession, mark: int) -> None:
-    """Remove the tables staged since ``mark``, once nothing reads them any more."""
+def settle(df: DataFrame, name: str, mark: int) -> DataFrame:
+    """Stage ``df``, and then remove the other tables staged since ``mark``: those that it was
+    made from. Nothing else may read them."""
+    out = stage(df, name)
+    spark = df.sparkSession
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _WRITTEN[mark:]:
+    for path in _WRITTEN[mark:-1]:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(hadoop).delete(at, True)
-    del _WRITTEN[mark:]
+    del _WRITTEN[mark:-1]
+    return out
