@@ -3,36 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clonoform.sources.staging import settle, stage, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only a session with a local master may lack that setting; it then gets a fresh
-    temporary folder. On a cluster a missing setting is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it back: this cuts the
-    lineage, so a lost executor costs at most the tasks after the write."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ascii_lower", "join_groups_of", "numbered", "partitions", "settle", "spans_text", "stage", "table", "tokenizer_path", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -43,6 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with a number ``rid`` of their own, written once so that it stays theirs."""
+    return stage(rows.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+
+
+#: A group of more rows is joined in parts.
+HOT = 1_000_000
+
+
+def join_groups_of(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Each row (with ``rid``) with its group's row. The rows of a group larger than ``HOT``
+    are dealt to parts, to each of which the group's row is repeated. The list of such groups,
+    by a hash of their keys, is broadcast: it has at most one row for ``HOT`` rows."""
+    hashed = F.xxhash64(key).alias("key_hash")
+    hot = stage(groups.where(F.col(size) > HOT).groupBy(hashed).agg(F.max(F.ceil(F.col(size) / HOT)).cast("int").alias("parts")), "hot-groups")
+    parts = lambda df: df.select("*", hashed).join(F.broadcast(hot), "key_hash", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("key_hash")
+    left = parts(rows).withColumn("salt", F.pmod("rid", F.col("parts")).cast("int")).drop("parts")
+    right = parts(groups).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
 def ascii_lower(c):
     """Lower-case A-Z only. ``lower`` does the same on pure ASCII text and is much faster
     than ``translate``, so the choice is made row by row."""

@@ -14,10 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonoform.llm.common import stage
+from clonoform.llm.common import join_groups_of, stage
 
-#: Keys with more fingerprints than this aren't paired; see ``_stars``.
-BUCKET = 32
+#: Keys with more distinct fingerprints than this aren't paired; see ``_stars``. There are
+#: 2**31 keys for a wildcard's place: 5 x 10**10 distinct fingerprints (100 TB of 2 kB texts)
+#: put 23 under a key on average, and spread evenly about none over 128, so that crowded keys
+#: are those of texts that are alike. A pair costs one XOR, a crowded fingerprint 2016 rows.
+BUCKET = 128
 
 
 def simhash(text: bytes | None, words: int = 3) -> int:
@@ -43,17 +46,18 @@ def simhash(text: bytes | None, words: int = 3) -> int:
     return int(np.packbits(total * 2 > len(raw), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (64 bits in a signed long) of each whole text."""
+def fingerprints(docs: DataFrame, words: int = 3, row: str | None = None) -> DataFrame:
+    """doc_id, fp (64 bits in a signed long) and rid (``row``, or NULL) of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
             for lo in range(0, len(ids), 500):
                 found = np.array([simhash(t, words) for t in texts.slice(lo, 500).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, 500), pa.array(found, pa.int64())], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, 500), pa.array(found, pa.int64()), batch.column(2).slice(lo, 500)], ["doc_id", "fp", "rid"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rid = (F.col(row) if row else F.lit(None)).cast("long").alias("rid")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rid).mapInArrow(run, "doc_id long, fp long, rid long")
 
 
 def _variants(prints: DataFrame) -> DataFrame:
@@ -102,17 +106,23 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for each node that has an edge.
 
-    Each round hooks every node to its smallest neighbour, follows the hooks twice and
-    contracts the edges; the rounds needed grow with the logarithm of the nodes.
+    Each round orders the nodes anew at random (by a hash of round and node), hooks every node
+    to the first of itself and its neighbours, follows the hooks once more and contracts the
+    edges. Whatever the graph, and also on a chain in ascending order, a round leaves at most
+    three quarters of the nodes on average, so the rounds grow with the logarithm of the nodes.
     """
-    edges = stage(edges.select("a", "b"), "edges")
+    edges = stage(edges.where("a <> b").select("a", "b"), "edges")
     both = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct()
     roots = stage(both.select(F.col("a").alias("node"), F.col("a").alias("root")), "roots")
+    number = 0
     while not edges.isEmpty():
+        number += 1
+        place = lambda c: F.struct(F.xxhash64(F.lit(number), c).alias("h"), F.col(c).alias("node"))  # noqa: E731, B023
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = stage(ways.groupBy("a").agg(F.min("b").alias("to")).where("to < a"), "hooks")
+        first = ways.groupBy("a").agg(F.min(place("b")).alias("near"))
+        hook = stage(first.where(F.col("near") < place("a")).select("a", F.col("near.node").alias("to")), "hooks")
         nxt = hook.select(F.col("a").alias("to"), F.col("to").alias("further"))
-        hook = stage(hook.join(nxt, "to", "left").select("a", F.coalesce("further", "to").alias("to")), "hooks")
+        hook = stage(hook.join(nxt, "to", "left").select("a", F.coalesce("further", "to").alias("to")), "followed")
 
         def moved(df: DataFrame, column: str, hook: DataFrame = hook) -> DataFrame:
             h = hook.select(F.col("a").alias(column), "to")
@@ -121,22 +131,32 @@ def components(edges: DataFrame) -> DataFrame:
         roots = stage(moved(roots, "root"), "roots")
         step = moved(moved(edges, "a"), "b").where("a <> b")
         edges = stage(step.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    return roots.select("node", "root")
+    least = roots.groupBy("root").agg(F.min("node").alias("least"))
+    return roots.join(least, "root").select("node", F.col("least").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, bits: int = 2, words: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, bits: int = 2, words: int = 3, row: str | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each document.
 
     component_id is the smallest doc_id reachable over links of at most ``bits`` differing
     bits. Texts without words have fingerprint zero and are linked like any other. Null
     text counts as empty. A null ``doc_id`` belongs to its component but is never its
     smallest id, unless all are null. Repeated rows give one row each; an empty table gives
-    no rows; other columns are ignored.
+    no rows; other columns are ignored, but for ``row``: the name of a column that numbers
+    the rows, which is returned too, with ``first``, true for one row of each component, of
+    the smallest doc_id.
     """
-    own = stage(fingerprints(docs, words), "fingerprints")
-    least = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    own = fingerprints(docs, words, row)
+    own = stage(own if row else own.withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
+    head = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "rid")
+    least = stage(own.groupBy("fp").agg(F.min(head).alias("head"), F.count(F.lit(1)).alias("size")), "distinct-fingerprints")
     roots = stage(components(links(least.select("fp"), bits)), "roots")
     rooted = stage(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    names = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    classes = stage(rooted.join(names, "root").select("fp", "component_id"), "classes")
-    return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = stage(rooted.groupBy("root").agg(F.min("head").alias("top")), "components")
+    classes = stage(rooted.join(names, "root").select("fp", "size", "top"), "classes")
+    return join_groups_of(own, classes, "fp", "size").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("top.doc_id").alias("component_id"),
+        *([F.col("rid").alias(row), (F.col("rid") == F.col("top.rid")).alias("first")] if row else []),
+    )

@@ -160,6 +160,35 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, bucket):
         assert {roots.get(p, p) for p in g} == {min(g)}
 
 
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    rounds = Counter()
+    plain = simhash_dedup.stage
+    monkeypatch.setattr(simhash_dedup, "stage", lambda df, name: (rounds.update([name]), plain(df, name))[1])
+    n = 1_024
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(5_000, 5_001), (6_000, 6_000)], "a long, b long")
+    roots = {r["node"]: r["root"] for r in simhash_dedup.components(chain).collect()}
+    assert roots == {i: 0 for i in range(n + 1)} | {5_000: 5_000, 5_001: 5_000}
+    assert rounds["hooks"] <= 12
+
+
+def test_one_row_of_a_component_is_first(spark):
+    rows = [(None, "a b c d", 1), (7, "a b c d", 2), (7, "a b c d", 3), (8, "x y z w", 4), (None, "", 5), (None, None, 6)]
+    docs = spark.createDataFrame([(i, t, None, None, None, n) for i, t, n in rows], SCHEMA + ", n long")
+    got = {r["n"]: (r["component_id"], r["first"]) for r in simhash_dedup.near_duplicates(docs, row="n").collect()}
+    assert got == {1: (7, False), 2: (7, True), 3: (7, False), 4: (8, True), 5: (None, True), 6: (None, False)}
+
+
+@pytest.mark.parametrize("hot", [2, 1])
+def test_large_groups_are_joined_in_parts(spark, sf_dir, monkeypatch, hot):
+    from clonoform.llm import common
+
+    rows = [(i, f"text {i % 4}") for i in range(40)] + ODD
+    runs = {f: Counter(map(str, f(docs_of(spark, rows)).drop("kept").collect())) for f in (exact_dedup.exact_duplicates, simhash_dedup.near_duplicates)}
+    monkeypatch.setattr(common, "HOT", hot)
+    for f, want in runs.items():
+        assert Counter(map(str, f(docs_of(spark, rows)).drop("kept").collect())) == want
+
+
 # --- contamination --------------------------------------------------------------------------
 def test_blocks_of_items_give_the_rows_of_one(spark):
     common = [f"common{i}" for i in range(12)]
@@ -392,7 +421,23 @@ def test_chat_query_over_the_table(spark, sf_dir):
 
 
 # --- pipeline -----------------------------------------------------------------------------------
+def brute_contaminated(texts, items):
+    out = set()
+    for d, t in texts.items():
+        ws = low(t)
+        ws = "".join(c if c.isdigit() or c.islower() or ord(c) >= 128 else " " for c in ws).split()
+        have = {tuple(ws[i : i + 5]) for i in range(len(ws))}
+        for i, x in items:
+            own = decontamination.Item(i, x, 5)
+            parts = [{tuple(w.decode() for w in s) for s in p} for p in (own.whole, own.question, own.answer)]
+            if all(len(p & have) >= share * len(p) for p, share in zip(parts, (0.8, 0.5, 0.5), strict=True)):
+                out.add(d)
+    return out
+
+
 def test_pipeline(spark, sf_dir):
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
     docs = table(spark, sf_dir, "documents")
@@ -408,13 +453,42 @@ def test_pipeline(spark, sf_dir):
     for d in sorted(prints):
         first.setdefault(root[prints[d]], d)
     kept = {d: kept[d] for d in first.values()}
-    hits = {r["doc_id"] for r in decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark")).collect()}
-    want = kept.keys() - hits
+    gone = brute_contaminated(kept, [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").collect()])
+    assert gone
+    t = Tokenizer.from_file(tokenizer_path())
+    want = {}
+    for d in kept.keys() - gone:
+        ids = np.array(t.encode(kept[d], add_special_tokens=False).ids + [0], "<u4")
+        for k, lo in enumerate(range(0, len(ids), 2048)):
+            want[d, k] = (lo, len(ids[lo : lo + 2048]), zlib.crc32(ids[lo : lo + 2048].tobytes()))
     got = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {r["doc_id"] for r in got} == want and want
+    assert len(got) == len(want) and {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sorted(b)[0][0] == 0 and sum(n for _, n in b) == sum(max(b)) <= 2048 for b in bins.values())
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "language_identification" and len(corpus_pipeline.STAGES) == 5
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_stages_decide_on_rows_not_on_ids(spark, sf_dir, monkeypatch, most):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "MOST_BROADCAST", most)
+    item = table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
+    rows = [(None, "one clean text without an id"), (None, "another clean text without any id"), (None, item), (None, "12 34"), (4, "the same id twice over"), (4, "another text of this id"), (4, "THE same id twice over"), (9, item + " more")]
+    docs = docs_of(spark, rows)
+    out = {name: Counter(r["text"] for r in step(spark, docs, sf_dir).collect()) for name, step in corpus_pipeline.STAGES[:-1]}
+    every = Counter(t for _, t in rows)
+    assert out["benchmark_decontamination"] == every - Counter([item, item + " more"])
+    assert sum(out["exact_deduplication"].values()) == 7 and low_count(out["exact_deduplication"]) == low_count(every)
+    assert set(out["near_deduplication"]) >= {t for i, t in rows if i is None} - {item}
+
+
+def low_count(texts):
+    return {low(t) for t in texts}
+
+
 def test_pipeline_stages_take_odd_rows(spark, sf_dir):
     import corpus_pipeline
 
