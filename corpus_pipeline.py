@@ -1,7 +1,9 @@
 """The corpus pipeline: documents in, packed token sequences out.
 
 Each stage gets what its predecessor kept, written as Parquet and read again, and decides
-on all of it. All but the last return the columns of documents.
+on all of it. All but the last return the columns of documents. Language and contamination are
+decided in the pass that reads the text; the two deduplications name the rows that go, by row
+number, so rows without a doc_id or with the same one are told apart.
 """
 
 from __future__ import annotations
@@ -9,44 +11,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonoform.llm.common import ascii_lower, stage, table, tokenizer_path
-from clonoform.llm.decontamination import find_contamination
+from clonoform.llm.common import numbered, settle, stage, table, tokenizer_path, written
+from clonoform.llm.decontamination import uncontaminated
 from clonoform.llm.exact_dedup import exact_duplicates
-from clonoform.llm.language_id import identify_languages
+from clonoform.llm.language_id import predict
 from clonoform.llm.packing import pack_documents
 from clonoform.llm.simhash_dedup import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: So many row numbers (8 bytes each) are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
-def _of(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents whose doc_id is (``left_semi``) or isn't (``left_anti``) among ``ids``. NULL
-    equals NULL: documents without a doc_id can't be told apart and share one fate."""
-    own = ids.select(F.col("doc_id").alias("id")).distinct()
-    return docs.select(COLUMNS).join(own, F.col("doc_id").eqNullSafe(F.col("id")), how)
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose ``rid`` isn't among ``gone``."""
+    gone = stage(gone.select("rid"), "rows-to-drop")
+    few = gone.count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(gone) if few else gone, "rid", "left_anti").select(COLUMNS)
 
 
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text, no letter) go."""
-    return _of(docs, identify_languages(docs).where("lang_pred <> 'und'"), "left_semi")
+    """Documents whose language can't be told (no text, no letter) go; a missing ``lang`` is
+    filled with the predicted one."""
+    told = predict(docs.select(COLUMNS)).where("lang_pred <> 'und'")
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays, the one with the largest doc_id."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
-    named = docs.select(*COLUMNS, F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256).alias("text_sha256"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("sha"))
-    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(COLUMNS)
+    rows = numbered(docs.select(COLUMNS))
+    return _without(rows, exact_duplicates(rows, row="rid").where("not kept"))
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return _of(docs, near_duplicates(docs).where("doc_id <=> component_id"), "left_semi")
+    rows = numbered(docs.select(COLUMNS))
+    return _without(rows, near_duplicates(rows, row="rid").where("not first"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _of(docs, find_contamination(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+    return uncontaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +72,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed rows of the last stage. A stage's own tables go once its result is written."""
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        docs = settle(step(spark, docs, sf_dir), name, mark)
     return STAGES[-1][1](spark, docs, sf_dir)
