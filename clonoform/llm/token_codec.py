@@ -18,8 +18,9 @@ SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _PIECES = regex.compile(SPLIT_PATTERN)
 #: Letters whose case and composition are settled alike in every Unicode version.
-_MARKS = frozenset(b".,;:!?)")
 _PLAIN = re.compile(r"[!-~¡-ɏ]+")
+#: ASCII characters that are neither letters nor digits nor white space.
+_SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def splits_at_white_space(path: str) -> bool:
@@ -43,67 +44,73 @@ def splits_at_white_space(path: str) -> bool:
 
 
 class _Chunks(dict):
-    """chunk (bytes) -> its ids as little-endian unsigned 32-bit integers.
+    """chunk (bytes) -> its ids as little-endian unsigned integers of ``width`` bytes.
 
     ``limit`` bounds the memory of a worker, not the result: beyond it, chunks are encoded
-    again each time they occur.
+    again each time they occur. Letters and the symbols behind them are pieces of their own,
+    so a chunk that isn't known is mostly put together from a known word and known symbols.
     """
 
-    def __init__(self, tokenizer, limit: int):
+    def __init__(self, tokenizer, limit: int, width: int):
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
+        self.tokenizer, self.limit, self.width = tokenizer, limit, width
         self.model = tokenizer.model
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def _bytes(self, ids) -> bytes:
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+
     def _encode(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: bytes) -> bytes:
         """Ids of one piece of lower-case ASCII letters, straight from the model."""
         ids = self.words.get(word)
         if ids is None:
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.decode())])
+            ids = self._bytes([t.id for t in self.model.tokenize(word.decode())])
             if len(self.words) < self.limit and len(word) < 64:
                 self.words[word] = ids
         return ids
 
-    def _pieces(self, text: str) -> bytes:
-        found = []
-        for piece in _PIECES.findall(text.lower()):
-            if piece.isascii() and piece.isalpha():
-                found.append(self._word(piece.encode()))
-                continue
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self._encode(piece)
-                if len(self.pieces) < self.limit and len(piece) < 64:
-                    self.pieces[piece] = ids
-            found.append(ids)
-        return b"".join(found)
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return self._word(piece.encode())
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self._encode(piece)
+            if len(self.pieces) < self.limit and len(piece) < 64:
+                self.pieces[piece] = ids
+        return ids
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if chunk.isalpha():
-            out = self._word(chunk.lower())
-        elif chunk[-1] in _MARKS and chunk[:-1].isalpha():
-            out = self._word(chunk[:-1].lower()) + self[chunk[-1:]]
+        head = chunk.rstrip(_SYMBOLS)
+        if head.isalpha():
+            out = self._word(head.lower())
         else:
-            text = chunk.decode("utf-8", "replace")
-            out = self._pieces(text) if _PLAIN.fullmatch(text) and "<|" not in text else self._encode(text)
+            text = head.decode("utf-8", "replace")
+            low = text.lower()
+            if text.isalpha() and low.isalpha() and _PLAIN.fullmatch(text):
+                out = self._piece(low)
+            else:
+                head, text = chunk, chunk.decode("utf-8", "replace")
+                out = b"".join(map(self._piece, _PIECES.findall(text.lower()))) if _PLAIN.fullmatch(text) and "<|" not in text else self._encode(text)
+        if len(head) < len(chunk):
+            out += self._piece(chunk[len(head) :].decode())
         if len(self) < self.limit and len(chunk) < 64:
             self[chunk] = out
         return out
 
 
 class TokenCodec:
-    """``encode(texts)``: ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
+    """``encode(text)``: ids of a UTF-8 text as little-endian unsigned integers of ``width``
+    bytes (4, or 2 if the vocabulary fits)."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 500_000, width: int = 4):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = _Chunks(self.tokenizer, limit) if splits_at_white_space(path) else None
+        self.tokenizer, self.width = Tokenizer.from_file(path), width
+        self.chunks = _Chunks(self.tokenizer, limit, width) if splits_at_white_space(path) else None
 
     def encode(self, text: bytes | None) -> bytes:
         if not text:
@@ -111,14 +118,14 @@ class TokenCodec:
         if self.chunks is not None:
             return b"".join(map(self.chunks.__getitem__, text.split()))
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
 
 
-_CODECS: dict[str, TokenCodec] = {}
+_CODECS: dict[tuple[str, int], TokenCodec] = {}
 
 
-def codec(path: str) -> TokenCodec:
+def codec(path: str, width: int = 4) -> TokenCodec:
     """The codec of this Python worker; later tasks of the worker use its memo again."""
-    if path not in _CODECS:
-        _CODECS[path] = TokenCodec(path)
-    return _CODECS[path]
+    if (path, width) not in _CODECS:
+        _CODECS[path, width] = TokenCodec(path, width=width)
+    return _CODECS[path, width]

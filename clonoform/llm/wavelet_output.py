@@ -1,8 +1,11 @@
 """Token-id output: one wavelet matrix per shard.
 
-A shard is a compressed blob: a header, then for each bit of the ids, highest first, a
-bit-plane (zstd) with a rank directory (ones before each block of 512 bits). From a blob
-alone one can read any token, count an id in a range and locate its occurrences.
+A shard is one compressed blob: a header, a directory, and for each bit of the ids, highest
+first, a bit-plane in chunks of 65,536 bits that are compressed one by one. The directory has
+each chunk's place and the ones before it; a chunk starts with the ones before each of its
+blocks of 512 bits. Rank looks a chunk and a block up; select finds them by binary search on
+the same counts. So any token, the count of an id in a range and the places of an id come from
+the blob with only the chunks on their way decompressed.
 """
 
 from __future__ import annotations
@@ -21,92 +24,133 @@ from pyspark.sql.window import Window
 from clonoform.llm.common import partitions, stage
 from clonoform.llm.token_codec import codec
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
 BLOCK = 512
+CHUNK = 1 << 16
+_BLOCKS = CHUNK // BLOCK
+_HEAD = struct.Struct("<4sQB")
+
+
+class _Plane:
+    """One bit-plane: ones before each chunk, and chunks that are read when they are asked for."""
+
+    def __init__(self, ranks: np.ndarray, chunks: dict[int, bytes] | list[bytes], n: int):
+        self.ranks, self.chunks, self.n = ranks, chunks, n
+        self.read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def chunk(self, c: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ones before each block, from the chunk's start; the bits as bytes)."""
+        if c not in self.read:
+            import zstandard
+
+            raw = zstandard.ZstdDecompressor().decompress(self.chunks[c])
+            self.read[c] = np.frombuffer(raw, "<u2", _BLOCKS).astype(np.int64), np.frombuffer(raw, np.uint8, offset=2 * _BLOCKS)
+        return self.read[c]
+
+    def bits_and_ones(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bit at each position (0 at the end) and the ones before it."""
+        bit, ones = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
+        chunk = at // CHUNK
+        for c in np.unique(chunk).tolist():
+            mine = np.flatnonzero(chunk == c)
+            if c * CHUNK >= self.n:
+                ones[mine] = self.ranks[-1]
+                continue
+            counts, raw = self.chunk(c)
+            inside = at[mine] - c * CHUNK
+            block, rest = inside // BLOCK, inside % BLOCK
+            words = raw.reshape(-1, BLOCK // 8)[block]
+            # bits of the block before the position
+            before = np.arange(BLOCK // 8) * 8
+            keep = np.clip(rest[:, None] - before, 0, 8)
+            masked = words & ((1 << keep.astype(np.uint16)) - 1).astype(np.uint8)
+            ones[mine] = self.ranks[c] + counts[block] + np.bitwise_count(masked).sum(axis=1, dtype=np.int64)
+            bit[mine] = words[np.arange(len(mine)), rest // 8] >> (rest % 8).astype(np.uint8) & 1
+        return bit, ones
+
+    def select(self, number: np.ndarray, one: bool) -> np.ndarray:
+        """The position of each numbered one (or zero), counted from 0."""
+        before = self.ranks if one else np.minimum(np.arange(len(self.ranks)) * CHUNK, self.n) - self.ranks
+        chunk = np.searchsorted(before, number, "right") - 1
+        out = np.zeros(len(number), np.int64)
+        for c in np.unique(chunk).tolist():
+            mine = np.flatnonzero(chunk == c)
+            counts, raw = self.chunk(c)
+            counts = counts if one else np.arange(_BLOCKS) * BLOCK - counts
+            left = number[mine] - before[c]
+            block = np.searchsorted(counts, left, "right") - 1
+            blocks, which = np.unique(block, return_inverse=True)
+            bits = np.unpackbits(raw.reshape(-1, BLOCK // 8)[blocks], axis=1, bitorder="little")
+            row, place = np.nonzero(bits if one else bits ^ 1)
+            first = np.searchsorted(row, np.arange(len(blocks)))
+            out[mine] = c * CHUNK + block * BLOCK + place[first[which] + left - counts[block]]
+        return out
+
+    def bits(self) -> np.ndarray:
+        raw = [self.chunk(c)[1] for c in range(-(-self.n // CHUNK))]
+        return np.unpackbits(np.concatenate(raw) if raw else np.zeros(0, np.uint8), count=self.n, bitorder="little").view(bool)
 
 
 class WaveletMatrix:
     """Succinct sequence of unsigned integers below 2**width."""
 
-    def __init__(self, n: int, width: int, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray]):
-        self.n, self.width, self.zeros, self.planes, self.ranks = n, width, zeros, planes, ranks
+    def __init__(self, n: int, width: int, zeros: list[int], planes: list[_Plane]):
+        self.n, self.width, self.zeros, self.planes = n, width, zeros, planes
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=1)
         values = ids.astype(np.uint16 if width <= 16 else np.uint32)
-        zeros, planes, ranks = [], [], []
+        zeros, planes, n = [], [], len(ids)
         for k in range(width - 1, -1, -1):
             bits = (values >> k & 1).astype(bool)
+            raw = np.zeros(-(-n // CHUNK) * CHUNK // 8, np.uint8)
             packed = np.packbits(bits, bitorder="little")
-            planes.append(packed)
-            ranks.append(cls._directory(packed))
+            raw[: len(packed)] = packed
+            ones = np.bitwise_count(raw.view("<u8")).reshape(-1, _BLOCKS, BLOCK // 64).sum(axis=2, dtype=np.int64)
+            inside = np.cumsum(ones, axis=1) - ones
+            ranks = np.concatenate([[0], np.cumsum(ones.sum(axis=1))])
+            rows = raw.reshape(-1, CHUNK // 8)
+            planes.append(_Plane(ranks, [z.compress(inside[c].astype("<u2").tobytes() + rows[c].tobytes()) for c in range(len(rows))], n))
             low, high = values[~bits], values[bits]
             zeros.append(len(low))
             values = np.concatenate([low, high])
-        return cls(len(ids), width, zeros, planes, ranks)
-
-    @staticmethod
-    def _directory(packed: np.ndarray) -> np.ndarray:
-        padded = np.zeros(-(-max(len(packed), 1) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
-        padded[: len(packed)] = packed
-        ones = np.bitwise_count(padded.view("<u8")).reshape(-1, BLOCK // 64).sum(axis=1)
-        return np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
+        return cls(n, width, zeros, planes)
 
     def to_bytes(self) -> bytes:
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=1)
-        parts = [MAGIC, struct.pack("<QB", self.n, self.width)]
-        for zeros, plane, rank in zip(self.zeros, self.planes, self.ranks, strict=True):
-            body, directory = z.compress(plane.tobytes()), z.compress(rank.tobytes())
-            parts += [struct.pack("<QQQ", zeros, len(body), len(directory)), body, directory]
-        return b"".join(parts)
+        """Header; then by plane its zeros, and by chunk the ones before it and its length; then
+        the chunks."""
+        directory, body = [], []
+        for zeros, plane in zip(self.zeros, self.planes, strict=True):
+            chunks = [plane.chunks[c] for c in range(len(plane.ranks) - 1)]
+            directory.append(np.array([zeros, *plane.ranks, *map(len, chunks)], "<u8").tobytes())
+            body += chunks
+        return b"".join([_HEAD.pack(MAGIC, self.n, self.width), *directory, *body])
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> WaveletMatrix:
-        import zstandard
-
-        if blob[:4] != MAGIC:
+        """A matrix that reads the blob's chunks as they are needed."""
+        magic, n, width = _HEAD.unpack_from(blob)
+        if magic != MAGIC:
             raise ValueError("not a wavelet shard")
-        z = zstandard.ZstdDecompressor()
-        n, width = struct.unpack_from("<QB", blob, 4)
-        at, zeros, planes, ranks = 13, [], [], []
-        for _ in range(width):
-            zero, body, directory = struct.unpack_from("<QQQ", blob, at)
-            at += 24
-            planes.append(np.frombuffer(z.decompress(blob[at : at + body]), np.uint8))
-            at += body
-            ranks.append(np.frombuffer(z.decompress(blob[at : at + directory]), "<u4"))
-            at += directory
-            zeros.append(zero)
-        return cls(n, width, zeros, planes, ranks)
-
-    def _bit(self, level: int, at: np.ndarray) -> np.ndarray:
-        return self.planes[level][at >> 3] >> (at & 7).astype(np.uint8) & 1
-
-    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
-        """Ones before each position: the directory plus the bits of the position's block."""
-        plane, block = self.planes[level], at // BLOCK
-        out = self.ranks[level][block].astype(np.int64)
-        first = block * (BLOCK // 8)
-        whole = (at >> 3) - first
-        for b in range(BLOCK // 8):
-            live = whole > b
-            if not live.any():
-                break
-            out[live] += np.bitwise_count(plane[first[live] + b])
-        rest = (at & 7).astype(np.uint8)
-        live = rest > 0
-        out[live] += np.bitwise_count(plane[at[live] >> 3] & ((1 << rest[live].astype(np.uint16)) - 1).astype(np.uint8))
-        return out
+        many, view = -(-n // CHUNK), memoryview(blob)
+        directory = np.frombuffer(blob, "<u8", width * (2 + 2 * many), _HEAD.size).astype(np.int64).reshape(width, -1)
+        at, planes = _HEAD.size + directory.size * 8, []
+        for row in directory:
+            ends = at + np.cumsum(row[2 + many :])
+            starts = [at, *ends[:-1].tolist()] if many else []
+            planes.append(_Plane(row[1 : 2 + many], [view[a:b] for a, b in zip(starts, ends.tolist(), strict=True)], n))
+            at = int(ends[-1]) if many else at
+        return cls(n, width, directory[:, 0].tolist(), planes)
 
     def access(self, at) -> np.ndarray:
         """The tokens at these positions."""
         at = np.asarray(at, np.int64).copy()
         out = np.zeros(len(at), np.uint32)
-        for level in range(self.width):
-            bit = self._bit(level, at).astype(bool)
-            ones = self._ones(level, at)
+        for level, plane in enumerate(self.planes):
+            bit, ones = plane.bits_and_ones(at)
             out = out << 1 | bit
             at = np.where(bit, self.zeros[level] + ones, at - ones)
         return out
@@ -115,8 +159,8 @@ class WaveletMatrix:
         if token >> self.width:
             return 0, 0
         edge = np.array([start, end], np.int64)
-        for level in range(self.width):
-            ones = self._ones(level, edge)
+        for level, plane in enumerate(self.planes):
+            _, ones = plane.bits_and_ones(edge)
             edge = self.zeros[level] + ones if token >> (self.width - 1 - level) & 1 else edge - ones
         return int(edge[0]), int(edge[1])
 
@@ -125,23 +169,21 @@ class WaveletMatrix:
         a, b = self._range(token, start, self.n if end is None else end)
         return b - a
 
-    def positions(self, token: int) -> np.ndarray:
-        """All places of the token, ascending: select, plane by plane from the lowest."""
+    def positions(self, token: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        """The places of the token's occurrences number ``first`` to ``last``, ascending: select,
+        plane by plane from the lowest."""
         a, b = self._range(token, 0, self.n)
-        at = np.arange(a, b, dtype=np.int64)
+        at = np.arange(a, b, dtype=np.int64)[first:last]
         for level in range(self.width - 1, -1, -1):
-            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little")
-            if token >> (self.width - 1 - level) & 1:
-                at = np.flatnonzero(bits)[at - self.zeros[level]]
-            else:
-                at = np.flatnonzero(bits == 0)[at]
-        return np.sort(at)
+            one = bool(token >> (self.width - 1 - level) & 1)
+            at = self.planes[level].select(at - self.zeros[level] if one else at, one)
+        return at
 
     def decode(self) -> np.ndarray:
         """All tokens in order, by undoing the stable partition of each plane."""
         values = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for level in range(self.width - 1, -1, -1):
-            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            bits = self.planes[level].bits()
             before = np.empty_like(values)
             before[~bits] = values[: self.zeros[level]]
             before[bits] = values[self.zeros[level] :] | values.dtype.type(1 << (self.width - 1 - level))
@@ -161,19 +203,18 @@ SHARD_SCHEMA = T.StructType(
 )
 
 
-def _encoded(docs: DataFrame, path: str, end_id: int, bounds: list[int]) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, end_id: int, width: int, bounds: list[int]) -> DataFrame:
     cuts = np.asarray(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = codec(path).encode, end_id.to_bytes(4, "little")
+        encode, end = codec(path, width).encode, end_id.to_bytes(width, "little")
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
             for lo in range(0, len(ids), 500):
                 key = ids.slice(lo, 500)
                 place = np.searchsorted(cuts, key.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
                 coded = [encode(t) + end for t in texts.slice(lo, 500).to_pylist()]
-                small = [np.frombuffer(b, "<u4").astype("<u2").tobytes() if end_id < 65536 else b for b in coded]
-                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), key, pa.array(small, pa.binary())], ["part", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), key, pa.array(coded, pa.binary())], ["part", "doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, ids binary")
 
@@ -224,7 +265,7 @@ def write_token_shards(docs: DataFrame, path: str, end_id: int = 2, vocabulary:
     cut = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("q")).first()["q"]
     small = max(vocabulary, end_id + 1) <= 65536
     width = max(vocabulary - 1, end_id, 1).bit_length()
-    encoded = _encoded(docs, path, end_id if small else end_id | 0, sorted(set(cut or [])))
+    encoded = _encoded(docs, path, end_id, 2 if small else 4, sorted(set(cut or [])))
     ordered = encoded.repartitionById(n, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
     return stage(ordered.mapInArrow(_shards(shard_tokens, width, "<u2" if small else "<u4"), SHARD_SCHEMA), "token-shards")
 

@@ -41,6 +41,29 @@ def test_bins_are_full_and_gapless(lengths):
     assert used <= -(-sum(lengths) // 50) * 1.25 + 1
 
 
+def test_how_full_bins_are():
+    rng = np.random.default_rng(0)
+    short = np.minimum(rng.lognormal(5.5, 1.2, 20_000).astype(int) + 1, 2048)
+    assert packing.pack(short, 2048)[2] <= -(-int(short.sum()) // 2048) + 2
+    cuts = np.sort(rng.choice(np.arange(1, 2048), (2_000, 2)), axis=1)
+    perfect = np.concatenate([cuts[:, 0], cuts[:, 1] - cuts[:, 0], 2048 - cuts[:, 1]])
+    perfect = perfect[perfect > 0]
+    assert 2_000 <= packing.pack(perfect, 2048)[2] <= 2_100
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 10), min_size=1, max_size=9))
+def test_few_pieces_take_at_most_a_bin_more_than_the_best(lengths):
+    def best(left, free):
+        if not left:
+            return len(free)
+        n, rest = left[0], left[1:]
+        ways = [best(rest, free[:i] + (f - n,) + free[i + 1 :]) for i, f in enumerate(free) if f >= n and f not in free[:i]]
+        return min([*ways, best(rest, (*free, 10 - n))])
+
+    assert packing.pack(np.array(lengths), 10)[2] <= best(tuple(sorted(lengths, reverse=True)), ()) + 1
+
+
 def test_packing_of_documents(spark, sf_dir):
     from tokenizers import Tokenizer
 

@@ -26,14 +26,11 @@ def texts_of(spark, sf_dir):
 
 
 # --- tokens ---------------------------------------------------------------------------
-def whole(texts):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(tokenizer_path())
-    return [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+CODEC, TINY = TokenCodec(tokenizer_path()), TokenCodec(tokenizer_path(), limit=2)
 
 
-CODEC = TokenCodec(tokenizer_path())
+def whole(texts):
+    return [np.array(CODEC.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
 @settings(max_examples=300, deadline=None)
@@ -79,6 +76,33 @@ def test_wavelet_matrix_answers_like_the_sequence(ids):
         assert w.positions(token).tolist() == [i for i, x in enumerate(ids) if x == token]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["word", "Word###", "élan&&&", "ÉLAN", "it's", "İx", "a_b", "x2", "<|endoftext|>", "a<|", "don't!!", "ǅo%%", "naïve,", "«q»", "'s'", "ß$$$", "ŉ"]), max_size=12))
+def test_put_together_ids_equal_those_of_the_whole_text(words):
+    for codec in (CODEC, TINY):
+        assert codec.encode(" ".join(words).encode()) == whole([" ".join(words)])[0]
+
+
+def test_a_shard_answers_without_being_decoded():
+    rng = np.random.default_rng(4)
+    ids = (rng.zipf(1.3, 300_000) % 49_408).astype(np.uint32)
+    blob = wavelet_output.WaveletMatrix.build(ids, 16).to_bytes()
+    w = wavelet_output.WaveletMatrix.from_bytes(blob)
+    assert w.access([123_456])[0] == ids[123_456]
+    assert sum(len(p.read) for p in w.planes) <= 16 < sum(len(p.chunks) for p in w.planes) == 16 * 5
+    rare = int(ids[200_000])
+    w = wavelet_output.WaveletMatrix.from_bytes(blob)
+    where = np.flatnonzero(ids == rare)
+    assert w.count(rare) == len(where) and w.positions(rare, len(where) // 2, len(where) // 2 + 1)[0] == where[len(where) // 2]
+    assert sum(len(p.read) for p in w.planes) <= 16 * 3
+    for token in (0, 1, 2, 500, 49_407):
+        assert (w.positions(token) == np.flatnonzero(ids == token)).all() and w.count(token, 70_000, 262_144) == (ids[70_000:262_144] == token).sum()
+    at = rng.integers(0, len(ids), 2_000)
+    assert (w.access(at) == ids[at]).all() and (w.decode() == ids).all()
+    with pytest.raises(ValueError):
+        wavelet_output.WaveletMatrix.from_bytes(b"WMX1" + bytes(20))
+
+
 # --- personal data ----------------------------------------------------------------------
 def base_pii(text):
     out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
@@ -250,6 +274,31 @@ def test_the_index_loses_no_match(texts):
         assert all(i in near for i, t in enumerate(texts) if re.search(rule.pattern, t))
 
 
+@pytest.mark.parametrize("text", ["eyJ" * 300_000, "eyJ." * 200_000, "://" * 300_000, "://a:" * 200_000, "-----BEGIN " * 100_000, "token " * 200_000, "token" + " " * 900_000, "xox" * 300_000])
+def test_rules_take_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    for rule in secret_scan.RULES:
+        secret_scan.scan_rule(rule, re.compile(rule.pattern), text)
+    assert time.perf_counter() - began < 20
+
+
+def test_added_kinds():
+    jwt = "eyJhbGciOi.eyJzdWIi.SflKxw"
+    rule = next(r for r in secret_scan.RULES if r.kind == "jwt")
+    assert secret_scan.scan_rule(rule, re.compile(rule.pattern), f'"{jwt}" no-{jwt}') == [(1, 1 + len(jwt), "jwt")]
+
+
+def test_clashing_columns(spark):
+    """Other columns never matter, whatever their names."""
+    names = ["part", "ids", "shard", "blob", "spans", "n_email", "n_hex", "base_sha256", "start", "n_tokens", "ids_crc32", "lengths", "doc_ids"]
+    plain = docs_of(spark, ODD)
+    docs = plain.selectExpr("*", *[f"'x' as {n}" for n in names])
+    for run in (pii.scan_pii, secret_scan.scan_secrets, lambda d: wavelet_output.read_token_shards(wavelet_output.write_token_shards(d, tokenizer_path()))):
+        assert sorted(map(str, run(docs).collect())) == sorted(map(str, run(plain).collect()))
+
+
 def test_secrets_of_odd_rows(spark):
     assert secret_scan.scan_secrets(docs_of(spark, ODD)).count() == len(ODD)
     assert secret_scan.scan_secrets(docs_of(spark, [])).count() == 0
