@@ -107,8 +107,9 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int =
 
     Texts become pieces first; only the pieces' lengths are packed. They are dealt at
     random to shards of about ``shard_pieces`` pieces, each packed in one task by
-    ``pack``: a shard wastes less than one sequence beyond its own best, so the waste is
-    at most one sequence in some thousands. Null text counts as empty (one end id); a null
+    ``pack``. Each bin is the fullest that its longest piece allows, but the bins together
+    needn't be the fewest: documents of all lengths fill all bins but a shard's last one or
+    two; 6,000 pieces cut from 2,000 full sequences at random take about 2,065. Null text counts as empty (one end id); a null
     ``doc_id`` stays null; repeated rows are packed each; an empty table gives no rows;
     other columns are ignored.
     """

@@ -127,7 +127,7 @@ RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("stripe", r"sk_live_[A-Za-z0-9]+", 0, 24),
     Rule("url_password", r"://[^\s/:@]+:[^\s/:@]+@"),
