@@ -29,12 +29,13 @@ def numbered(rows: DataFrame) -> DataFrame:
 HOT = 1_000_000
 
 
-def join_groups_of(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """Each row (with ``rid``) with its group's row. The rows of a group larger than ``HOT``
-    are dealt to parts, to each of which the group's row is repeated. The list of such groups,
-    by a hash of their keys, is broadcast: it has at most one row for ``HOT`` rows."""
-    hashed = F.xxhash64(key).alias("key_hash")
-    hot = stage(groups.where(F.col(size) > HOT).groupBy(hashed).agg(F.max(F.ceil(F.col(size) / HOT)).cast("int").alias("parts")), "hot-groups")
+def join_groups_of(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int | None = None) -> DataFrame:
+    """Each row (with ``rid``) with its group's row. The rows of a group larger than ``most``
+    (``HOT``) are dealt to parts, to each of which the group's row is repeated. The list of
+    such groups, by a hash of their keys, is broadcast: its sizes add up to the rows, so it
+    has at most one row for ``most`` of them."""
+    hashed, most = F.xxhash64(key).alias("key_hash"), most or HOT
+    hot = stage(groups.where(F.col(size) > most).groupBy(hashed).agg(F.max(F.ceil(F.col(size) / most)).cast("int").alias("parts")), "hot-groups")
     parts = lambda df: df.select("*", hashed).join(F.broadcast(hot), "key_hash", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("key_hash")
     left = parts(rows).withColumn("salt", F.pmod("rid", F.col("parts")).cast("int")).drop("parts")
     right = parts(groups).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")

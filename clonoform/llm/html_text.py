@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonoform.llm.common import stage
+from clonoform.llm.common import join_groups_of, stage
 
 #: HTML element classes of the public standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -313,6 +313,10 @@ def host_of(url):
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
+#: The subtrees of a host with more contents are joined in parts of so many contents.
+PART = 1_000
+
+
 def main_text(pages: DataFrame, least_pages: int = 3, most_hashes: int = 1_000_000, least_share: float = 0.01, least_share_large: float = 0.5) -> DataFrame:
     """page_id, url, text and n_chars of each page.
 
@@ -336,7 +340,8 @@ def main_text(pages: DataFrame, least_pages: int = 3, most_hashes: int = 1_000_0
     contents = counted.where(F.col("key").isNull() & (F.col("n") >= least_pages)).select("host", F.col("n").alias("contents"))
     share = F.when(2 * F.col("large") < F.col("n"), least_share).otherwise(least_share_large)
     often = (F.col("n") >= least_pages) & (F.col("n") >= F.col("contents") * share)
-    ranked = counted.where("key is not null").join(contents, "host").withColumn("often", often)
+    # a host has some ten subtrees a content: those of a large one are dealt to parts
+    ranked = join_groups_of(counted.where("key is not null").withColumn("rid", F.col("key")), contents, "host", "contents", PART).drop("rid").withColumn("often", often)
     slots = ranked.groupBy("host", "slot").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("often"), F.col("n")).otherwise(0)).alias("recurring"))
     chosen = ranked.where("often").join(slots.where(2 * F.col("recurring") >= F.col("all")), ["host", "slot"]).select("host", "key")
     template = stage(_on_host(chosen.unionByName(contents.select("host", F.lit(KNOWN).cast("long").alias("key")))), "template")
