@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from clonoform.llm.common import join_groups_of, stage
 
-#: Keys with more distinct fingerprints than this aren't paired; see ``_stars``. There are
-#: 2**31 keys for a wildcard's place: 5 x 10**10 distinct fingerprints (100 TB of 2 kB texts)
-#: put 23 under a key on average, and spread evenly about none over 128, so that crowded keys
-#: are those of texts that are alike. A pair costs one XOR, a crowded fingerprint 2016 rows.
-BUCKET = 128
+#: Keys with more distinct fingerprints than this aren't paired but refined, and refined keys
+#: with more than ``REFINED`` aren't paired either; see ``links``. Pairing n costs n - 1 rows
+#: for each two of them and refining three for each, so few are paired.
+BUCKET, REFINED = 4, 2
 
 
 def simhash(text: bytes | None, words: int = 3) -> int:
@@ -70,13 +69,21 @@ def _variants(prints: DataFrame) -> DataFrame:
     return prints.select("fp", places).select(F.call_function("shiftleft", p.cast("long"), F.lit(32)).bitwiseOR(cleared).alias("key"), "fp")
 
 
+def _refined(crowded: DataFrame) -> DataFrame:
+    """(key, fp): each key with one of three parts of the other segment. Fingerprints that
+    differ in at most two bits agree in one of the parts."""
+    other = F.when(F.shiftright("key", 32) < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    parts = [F.lit(n << 11).bitwiseOR(F.shiftright(other, low).bitwiseAND(F.lit((1 << wide) - 1))) for n, (low, wide) in enumerate(((0, 11), (11, 11), (22, 10)))]
+    return crowded.select(F.explode(F.array(*[F.shiftleft("key", 13).bitwiseOR(p.cast("long")) for p in parts])).alias("key"), "fp")
+
+
 def _stars(crowded: DataFrame) -> DataFrame:
     """Links of the fingerprints that share an overfull key, without pairing them.
 
     All fingerprints that agree in all but two given bits are linked to each other, so a
-    star to the smallest loses no link. A fingerprint in an overfull key of one segment
-    has all of its links through that key's segment among those that it shares 62 bits
-    with: it is indexed under all C(64, 2) two-bit deletions, exactly and with no cap.
+    star to the smallest loses no link. A fingerprint in an overfull key has all of its links
+    through that key among those that it shares 62 bits with: it is indexed under all
+    C(64, 2) two-bit deletions, exactly and with no cap.
     """
     two = [(1 << i) | (1 << j) for i in range(64) for j in range(i)]
     signed = [m - (1 << 64) if m >> 63 else m for m in two]
@@ -87,20 +94,38 @@ def _stars(crowded: DataFrame) -> DataFrame:
     return stars.join(least, ["place", "rest"]).where("fp <> least").select(F.least("fp", "least").alias("a"), F.greatest("fp", "least").alias("b")).distinct()
 
 
+def _by_size(index: DataFrame, most: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(the lists of fingerprints of keys with two to ``most``, the index rows of keys with
+    more)."""
+    shared = stage(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{name}-shared")
+    few = index.join(shared.where(F.col("n") <= most).select("key"), "key")
+    many = stage(index.join(shared.where(F.col("n") > most).select("key"), "key").select("key", "fp"), f"{name}-crowded")
+    return few.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps")).select("fps"), many
+
+
 def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     """(a, b), a < b: the distinct fingerprints that differ in at most two bits, or for
-    crowded keys links that connect the same fingerprints."""
+    crowded keys links that connect the same fingerprints.
+
+    Fingerprints under one key are paired and verified, up to ``BUCKET`` of them. Those of a
+    fuller key are told apart by parts of the other segment. At 5 x 10**10 distinct
+    fingerprints, 100 TB of 2 kB texts, a key (there are 2**31 for a place) holds 23 on
+    average, so all are refined, to 192 rows for a fingerprint; a refined key then holds 0.02,
+    so what is left in full refined keys are groups of near copies. Only their fingerprints
+    pay for two-bit deletions, 2016 rows each.
+    """
     if bits != 2:
         raise ValueError("two segments with one wildcard find at most 2 differing bits")
     index = stage(_variants(prints), "variants")
-    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    shared = stage(sizes.where("n > 1"), "shared-keys")
-    few = index.join(shared.where(F.col("n") <= BUCKET).select("key"), "key")
-    grouped = few.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    first = grouped.select(F.posexplode("fps").alias("i", "a"), "fps")
-    pairs = first.select("a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(BUCKET))).alias("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).distinct()
-    many = stage(index.join(shared.where(F.col("n") > BUCKET).select("key"), "key").select("fp").distinct(), "crowded")
-    return pairs if many.isEmpty() else pairs.unionByName(_stars(many)).distinct()
+    lists, crowded = _by_size(index, BUCKET, "keys")
+    done = crowded.isEmpty()
+    if not done:
+        more, crowded = _by_size(stage(_refined(crowded), "refined"), REFINED, "refined-keys")
+        lists = lists.unionByName(more)
+        done = crowded.isEmpty()
+    first = lists.select(F.posexplode("fps").alias("i", "a"), "fps")
+    pairs = first.select("a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(max(BUCKET, REFINED)))).alias("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).distinct()
+    return pairs if done else pairs.unionByName(_stars(stage(crowded.select("fp").distinct(), "crowded"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -160,9 +160,10 @@ def test_near_duplicates(spark, sf_dir):
     assert simhash_dedup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [32, 3])
-def test_links_connect_what_brute_force_connects(spark, monkeypatch, bucket):
+@pytest.mark.parametrize(("bucket", "refined"), [(32, 4), (3, 4), (3, 1), (1, 50), (1, 1)])
+def test_links_connect_what_brute_force_connects(spark, monkeypatch, bucket, refined):
     monkeypatch.setattr(simhash_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(simhash_dedup, "REFINED", refined)
     rng = np.random.default_rng(5)
     prints = set()
     for centre in rng.integers(0, 1 << 63, 6).tolist():
