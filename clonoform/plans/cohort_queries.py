@@ -312,12 +312,12 @@ def _(spark, sf_dir):
     return coverage.reference_coverage(coverage.with_status(assigned(spark, sf_dir)), groupby="cohort")
 
 
-@query("reference_fingerprint", "SELECT count(*) AS n_rfus, sha256(string_agg(h, '' ORDER BY h) || '|threshold=0.25') AS reference_id FROM (SELECT sha256(CAST(vec_id + 1 AS VARCHAR) || '|' || array_to_string(list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(CAST(floor(x * 1000000 + 0.5) AS BIGINT) AS VARCHAR)), ',')) AS h FROM embeddings WHERE vec_id < 50) t")
+@query("reference_fingerprint", "SELECT count(*) AS n_rfus, sha256(string_agg(h, '' ORDER BY h) || '|threshold=0.25') AS reference_id FROM (SELECT sha256(CAST(vec_id + 1 AS VARCHAR) || '|' || array_to_string(list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(CAST(floor(x * 1000000 + 0.5) AS BIGINT) AS VARCHAR)), ',')) AS h FROM embeddings) t")
 def _(spark, sf_dir):
     return coverage.reference_fingerprint(centroid_reference(spark, sf_dir), "threshold=0.25")
 
 
-@query("transfer_cohort", final(f"{A} SELECT cohort, count(*) AS n_rows, count(DISTINCT sample_id) AS n_samples, count(rfu_label) AS n_assigned, count(*) FILTER (WHERE pass_thr) AS n_covered, count(DISTINCT rfu_label) AS n_observed_rfus, 50 AS n_reference_rfus, count(*) FILTER (WHERE pass_thr) * 1.0 / count(*) AS coverage, count(DISTINCT rfu_label) / 50.0 AS rfu_share FROM assigned WHERE cohort IS NOT NULL GROUP BY cohort", "cohort n_rows:i n_samples:i n_assigned:i n_covered:i n_observed_rfus:i n_reference_rfus:i coverage:d rfu_share:d"))
+@query("transfer_cohort", final(f"{A} SELECT cohort, count(*) AS n_rows, count(DISTINCT sample_id) AS n_samples, count(rfu_label) AS n_assigned, count(*) FILTER (WHERE pass_thr) AS n_covered, count(DISTINCT rfu_label) AS n_observed_rfus, (SELECT count(*) FROM embeddings) AS n_reference_rfus, count(*) FILTER (WHERE pass_thr) * 1.0 / count(*) AS coverage, count(DISTINCT rfu_label) * 1.0 / (SELECT count(*) FROM embeddings) AS rfu_share FROM assigned WHERE cohort IS NOT NULL GROUP BY cohort", "cohort n_rows:i n_samples:i n_assigned:i n_covered:i n_observed_rfus:i n_reference_rfus:i coverage:d rfu_share:d"))
 def _(spark, sf_dir):
     labels = centroid_reference(spark, sf_dir).select(F.concat(F.lit("RFU"), F.col("rfu_id").cast("string")).alias("rfu_label"))
     return coverage.transfer_cohort(assigned(spark, sf_dir), labels)
