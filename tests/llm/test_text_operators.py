@@ -462,6 +462,13 @@ def test_large_odd_pages_take_linear_time(page):
     assert time.perf_counter() - began < 60
 
 
+def test_subtrees_of_a_large_host_are_joined_in_parts(spark, sf_dir, monkeypatch):
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "url", "regexp_replace(html, '<(/?)(nav|footer|article)', '<$1div') html")
+    want = sorted(map(tuple, html_text.main_text(pages).collect()))
+    monkeypatch.setattr(html_text, "PART", 2)
+    assert sorted(map(tuple, html_text.main_text(pages).collect())) == want
+
+
 def test_pages_with_clashing_columns(spark):
     rows = [(i, f"http://a.example/{i}", f"<div>Site of pages</div><p>Story {i}</p>") for i in range(5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 host", "2 rid", "3 key", "4 salt", "5 text", "6 n_chars", "7 slot", "8 content")
