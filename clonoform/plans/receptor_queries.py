@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from clonoform.functions import scalars as S
 from clonoform.operators import adapters, assign, canonical, quality, samples
-from clonoform.plans.base import CANON, QUERIES, WITH_ASSIGNED, WITH_CONTIGS, V, assigned, cells, contigs, final, plain, query, sql_chain, sql_flag, sql_name, sql_natural, sql_text
+from clonoform.plans.base import CANON, WITH_ASSIGNED, WITH_CONTIGS, V, assigned, cells, contigs, final, plain, query, sql_chain, sql_flag, sql_name, sql_natural, sql_text
 from clonoform.sources import tables as io
 from clonoform.sources.fixtures import centroid_reference, trimer_reference, view
 
@@ -88,8 +88,9 @@ def _(spark, sf_dir):
 
 # --- adapters -------------------------------------------------------------------------------------
 RANKED = "row_number() OVER (PARTITION BY cell_id ORDER BY {} source_order) AS best"
-CELLRANGER = f"""{WITH_CONTIGS}, {CANON}, kept AS (SELECT * FROM canon WHERE cell_id IS NOT NULL AND chain IS NOT NULL AND cdr3aa IS NOT NULL AND is_cell AND high_confidence),
+CHOSEN = f"""kept AS (SELECT * FROM canon WHERE cell_id IS NOT NULL AND chain IS NOT NULL AND cdr3aa IS NOT NULL AND is_cell AND high_confidence),
  chosen AS (SELECT *, {RANKED.format("umis DESC, reads DESC,")} FROM kept WHERE chain = 'TRB' AND productive)"""
+CELLRANGER = f"{WITH_CONTIGS}, {CANON}, {CHOSEN}"
 
 
 def cellranger(spark, sf_dir, **options) -> adapters.AdapterResult:
@@ -364,18 +365,26 @@ def _(spark, sf_dir):
     return assign.threshold_misses(rfu_tables(spark, sf_dir).per_row)
 
 
-@query("abundance_per_10k", final(f"{SCORES}, cells AS (SELECT 'cell_' || CAST(o_orderkey AS VARCHAR) AS cell_id, 'sample_' || CAST(o_custkey % 60 AS VARCHAR) || '_' || CAST(year(o_orderdate) AS VARCHAR) AS sample_id FROM orders), n AS (SELECT sample_id, rfu_id, count(*) AS n_rows FROM per_row LEFT JOIN cells USING (cell_id) WHERE rfu_id IS NOT NULL GROUP BY ALL) SELECT sample_id, rfu_id, n_rows, n_rows * 10000.0 / sum(n_rows) OVER (PARTITION BY sample_id) / ((rfu_id - 1) % 7 + 1) AS abundance FROM n", "sample_id rfu_id:i n_rows:i abundance:d"))
+CELL_SAMPLES = "cells AS (SELECT 'cell_' || CAST(o_orderkey AS VARCHAR) AS cell_id, 'sample_' || CAST(o_custkey % 60 AS VARCHAR) || '_' || CAST(year(o_orderdate) AS VARCHAR) AS sample_id FROM orders)"
+
+
+@query("abundance_per_10k", final(f"{SCORES}, {CELL_SAMPLES}, n AS (SELECT sample_id, rfu_id, count(*) AS n_rows FROM per_row LEFT JOIN cells USING (cell_id) WHERE rfu_id IS NOT NULL GROUP BY ALL) SELECT sample_id, rfu_id, n_rows, n_rows * 10000.0 / sum(n_rows) OVER (PARTITION BY sample_id) / ((rfu_id - 1) % 7 + 1) AS abundance FROM n", "sample_id rfu_id:i n_rows:i abundance:d"))
 def _(spark, sf_dir):
     rows = quality.metadata_join(rfu_tables(spark, sf_dir).per_row, cells(spark, sf_dir).select("cell_id", "sample_id"), check=False)
     return assign.abundance_per_10k(rows, "sample_id", centroid_reference(spark, sf_dir)).select("sample_id", "rfu_id", "n_rows", "abundance")
 
 
+@query(
+    "flagship",
+    final(
+        f"""{SCORES}, {CHOSEN}, {CELL_SAMPLES} SELECT sample_id, rfu_label, count(DISTINCT chosen.cell_id) AS n, count(DISTINCT chosen.cell_id) AS value
+ FROM chosen JOIN scored ON chosen.cdr3aa = scored.cdr3aa LEFT JOIN cells ON chosen.cell_id = cells.cell_id WHERE best = 1 AND rfu_id IS NOT NULL GROUP BY sample_id, rfu_label""",
+        "sample_id rfu_label n:i value:d",
+    ),
+)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contigs to primary receptors, to RFUs, to a sample x RFU table of cells."""
     own = cellranger(spark, sf_dir).receptors.withColumn("source_order", F.col("source_row_id").cast("long"))
     out = assign.call_rfus(own, scorers(spark, sf_dir), threshold=THRESHOLD).per_row
     rows = quality.metadata_join(out, cells(spark, sf_dir), check=False)
     return plain(samples.pseudobulk(rows, sample="sample_id", check=False).matrix)
-
-
-QUERIES["flagship"] = flagship

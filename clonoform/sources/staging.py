@@ -28,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing was written to; it ends with ``name``."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back: what reads it often
     computes it once, and a lost executor costs at most the tasks after the write."""
