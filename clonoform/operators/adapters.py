@@ -58,7 +58,9 @@ class AdapterResult(NamedTuple):
 
 
 def primary_chain(rows: DataFrame, best: Sequence[Column], order: str = "source_order") -> DataFrame:
-    """The best row of each cell: ``best`` descending, then source order."""
+    """The best row of each cell: ``best`` descending, then source order. A NULL cell is one
+    group. The filter on the row number keeps one row a cell of each partition before the
+    shuffle, so a cell with many rows, or NULL, doesn't fill a task."""
     w = Window.partitionBy("cell_id").orderBy(*[b.desc_nulls_last() for b in best], F.col(order).asc())
     return rows.withColumn("__best", F.row_number().over(w)).where("__best = 1").drop("__best")
 
