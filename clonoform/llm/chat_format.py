@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 
 
+#: Spans are placed by runs of so many texts, and read from pieces of 2**PIECE_BITS characters;
+#: both only bound the work, which grows with the length of a conversation and not its square.
+RUN, PIECE_BITS = 128, 10
+
+
+def _let(value, body):
+    """``body(value)`` with ``value`` computed once, wherever ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def escape(c):
     """Break all control strings reversibly: a backslash is doubled, and one follows each
     ``<`` and ``[``, so that neither ``<|``, ``</s>`` nor ``[INST]`` is left in a text."""
@@ -19,6 +29,41 @@ def unescape(c):
     return F.regexp_replace(c, r"([<\[])\\|\\(\\)", "$1$2")
 
 
+def _merged(turns):
+    """Sorted turns as blocks of adjacent turns of one role: (role, bodies)."""
+    role = lambda i: F.get(turns, i)["role"]
+    heads = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
+
+    def block(heads, head, k):
+        own = F.slice(turns, head + 1, F.coalesce(F.get(heads, k + 1), F.size(turns)) - head)
+        return F.struct(role(head).alias("role"), F.transform(own, lambda t: t["body"]).alias("bodies"))
+
+    return _let(heads, lambda heads: F.transform(heads, lambda head, k: block(heads, head, k)))
+
+
+def _spans(texts):
+    """(start, length) of the own ones of texts (own, gap, n, tail), which follow each other.
+    Lengths are added up by run, then over the runs, then inside each run."""
+    wide = lambda x: x["gap"] + x["n"] + x["tail"]
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(texts) - 1) / RUN).cast("int")), lambda k: F.slice(texts, k * RUN + 1, F.lit(RUN)))
+
+    def placed(runs):
+        sums = F.transform(runs, lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda n, x: n + wide(x)))
+        starts = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda at, n: F.concat(at, F.array(F.try_element_at(at, F.lit(-1)) + n)))
+        return _let(starts, lambda starts: F.flatten(F.transform(runs, lambda run, k: within(run, F.get(starts, k)))))
+
+    def within(run, start):
+        none = F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)")
+
+        def place(acc, x):
+            span = F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["n"].alias("length")))
+            return F.struct((acc["at"] + wide(x)).alias("at"), F.when(x["own"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+        return F.aggregate(run, F.struct(start.alias("at"), none.alias("spans")), place, lambda acc: acc["spans"])
+
+    return _let(runs, placed)
+
+
 def format_chats(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss (list of start and length, in characters).
 
@@ -38,17 +83,7 @@ def format_chats(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
         ).alias("t"),
     )
     turns = plain.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    # merge adjacent turns of a role: a block is (role, bodies)
-    start = F.expr("cast(array() as array<struct<role:string,bodies:array<string>>>)")
-
-    def merge(acc, t):
-        same = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["role"] == t["role"])
-        head = F.slice(acc, 1, F.size(acc) - 1)
-        joined = F.array(F.struct(t["role"].alias("role"), F.concat(F.try_element_at(acc, F.lit(-1))["bodies"], F.array(t["body"])).alias("bodies")))
-        alone = F.array(F.struct(t["role"].alias("role"), F.array(t["body"]).alias("bodies")))
-        return F.when(same, F.concat(F.when(F.size(acc) > 0, head).otherwise(acc), joined)).otherwise(F.concat(acc, alone))
-
-    blocks = turns.select("conv_id", F.aggregate("turns", start, merge).alias("blocks"))
+    blocks = turns.select("conv_id", _let(F.col("turns"), _merged).alias("blocks"))
     piece = lambda b: F.concat(F.lit(TURN), escape(b["role"]), F.lit(TEXT), F.array_join(b["bodies"], TEXT), F.lit(END))
     formatted = F.array_join(F.transform("blocks", piece), "")
     # places of the texts: offsets run over the flat list of bodies
@@ -66,14 +101,7 @@ def format_chats(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
             ),
         )
     )
-    zero = F.expr("named_struct('at', 0L, 'spans', cast(array() as array<struct<start:bigint,length:bigint>>))")
-
-    def place(acc, x):
-        here = acc["at"] + x["gap"]
-        span = F.array(F.struct(here.alias("start"), x["n"].alias("length")))
-        return F.struct((here + x["n"] + x["tail"]).alias("at"), F.when(x["own"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return blocks.select("conv_id", formatted.alias("formatted"), F.aggregate(flat, zero, place, lambda acc: acc["spans"]).alias("loss"))
+    return blocks.select("conv_id", formatted.alias("formatted"), _let(flat, _spans).alias("loss"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -87,5 +115,13 @@ def read_chats(formatted: DataFrame) -> DataFrame:
             lambda b: F.transform(F.slice(b, 2, F.size(b)), lambda x: F.struct(unescape(b[0]).alias("role"), unescape(x).alias("text"))),
         )
     )
-    loss = F.transform("loss", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    # a span is cut from the pieces that it lies in, not counted off from the first character
+    pieces = F.regexp_extract_all("formatted", F.lit("(?s).{1,%d}" % (1 << PIECE_BITS)), F.lit(0))
+
+    def text(pieces, s):
+        first, last = (F.shiftright(x, PIECE_BITS).cast("int") for x in (s["start"], s["start"] + s["length"]))
+        near = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+        return unescape(F.substr(near, (s["start"].bitwiseAND(F.lit((1 << PIECE_BITS) - 1)) + 1).cast("int"), s["length"].cast("int")))
+
+    loss = _let(pieces, lambda pieces: F.transform("loss", lambda s: text(pieces, s)))
     return formatted.select("conv_id", turns.alias("turns"), F.array_join(loss, "").alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))

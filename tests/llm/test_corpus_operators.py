@@ -424,6 +424,23 @@ def test_chats_round_trip(spark):
     assert chat_format.read_chats(chat_format.format_chats(df.limit(0))).count() == 0
 
 
+def test_chats_of_many_and_of_very_long_turns(spark):
+    """More texts than a run holds, and texts that end at, before and behind the pieces' ends."""
+    rng = np.random.default_rng(2)
+    rows = [(1, t, str(rng.choice(["user", "assistant"])), "é𝄞<x" * int(rng.integers(0, 4))) for t in range(20_000)]
+    rows += [(2, t, "assistant" if t % 2 else "user", "𝄞[" * n) for t, n in enumerate((500, 0, 1, 511, 512, 513, 30_000, 1_024, 1_023))]
+    rows.append((3, 0, "user", "no loss"))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
+    made = chat_format.format_chats(df).collect()
+    for r in made:
+        own = [(x[3].replace("<", "<\\").replace("[", "[\\")) for x in rows if x[0] == r["conv_id"] and x[2] == "assistant"]
+        assert [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss"]] == own
+    for r in chat_format.read_chats(chat_format.format_chats(df)).collect():
+        own = [x for x in rows if x[0] == r["conv_id"]]
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [x[2:] for x in own]
+        assert r["loss_text"] == "".join(x[3] for x in own if x[2] == "assistant")
+
+
 def test_chats_merge_adjacent_turns(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], "conv_id long, turn long, role string, text string")
     assert chat_format.format_chats(df).first()["formatted"] == "<|turn|>user<|text|>a<|text|>b<|end|><|turn|>assistant<|text|>c<|end|>"
