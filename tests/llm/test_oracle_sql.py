@@ -10,7 +10,7 @@ from clonoform.llm import queries
 def test_sql_gives_the_same_rows(spark, name):
     sf_dir = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     cursor = con.execute(queries.ORACLE_SQL[name])
