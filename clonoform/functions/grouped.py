@@ -33,14 +33,6 @@ def entropy(n: Column) -> Column:
     return F.coalesce(F.when(value > 1e-12, value), F.lit(0.0))
 
 
-def gini(counts: DataFrame, groups: Sequence[str], n: str) -> DataFrame:
-    """Gini coefficient of the counts of each group (groups, gini)."""
-    ranked = counts.withColumn("__i", F.row_number().over(Window.partitionBy(*groups).orderBy(n)))
-    total, size = F.sum(F.col(n).cast("double")), F.count(F.lit(1))
-    value = 2 * F.sum(F.col("__i") * F.col(n).cast("double")) / (size * total) - (size + 1) / size
-    return ranked.groupBy(*groups).agg(F.coalesce(F.when(total > 0, value), F.lit(0.0)).alias("gini"))
-
-
 def require(df: DataFrame, columns: Sequence[str], what: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

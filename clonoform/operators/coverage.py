@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonoform.functions.grouped import names, ratio, require
+from clonoform.functions.grouped import join_groups, names, ratio, require
+from clonoform.functions.order_statistics import exact_quantiles
 from clonoform.functions.scalars import coverage_status
+from clonoform.sources.staging import stage
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -25,6 +27,8 @@ def reference_coverage(rows: DataFrame, *, groupby: str | Sequence[str], cell: s
     is_ = lambda s: F.col("reference_coverage_status") == s
     eligible = ~is_("missing_sequence") & ~is_("ineligible_sequence")
     distinct = lambda c, x: F.count_distinct(F.when(c, F.col(x)))
+    rows = stage(rows.select(*dict.fromkeys([*groups, "reference_coverage_status", "rfu_score", "cdr3aa", cell])), "coverage-rows")
+    quantiles = exact_quantiles(rows, groups, "rfu_score", {f"score_q{round(q * 100):02d}": q for q in QUANTILES})
     out = rows.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(eligible).alias("n_eligible"),
@@ -34,12 +38,12 @@ def reference_coverage(rows: DataFrame, *, groupby: str | Sequence[str], cell: s
         F.count_if(is_("upstream_unassigned")).alias("n_unassigned"),
         F.count_if(is_("ineligible_sequence")).alias("n_ineligible"),
         F.count_if(is_("missing_sequence")).alias("n_missing"),
-        *[F.percentile("rfu_score", F.lit(q)).alias(f"score_q{round(q * 100):02d}") for q in QUANTILES],
         distinct(eligible, "cdr3aa").alias("n_sequences"),
         distinct(is_("covered"), "cdr3aa").alias("n_covered_sequences"),
         distinct(eligible, cell).alias("n_cells"),
         distinct(is_("covered"), cell).alias("n_covered_cells"),
     )
+    out = join_groups(out, quantiles, groups)
     return out.withColumn("sequence_coverage", ratio(F.col("n_covered_sequences"), F.col("n_sequences"))).withColumn("cell_coverage", ratio(F.col("n_covered_cells"), F.col("n_cells")))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clonoform.functions.grouped import ratio, require
+from clonoform.functions.grouped import join_groups, ratio, require
+from clonoform.functions.order_statistics import exact_quantiles
+from clonoform.sources.staging import stage
 
 
 def seeded(*parts):
@@ -58,17 +60,32 @@ def similarity_pairs(pairs: DataFrame, plan: DataFrame, *, sample: str, donor: s
 
 def summarize_similarity(pairs: DataFrame) -> DataFrame:
     """Mean, exact median and number of pairs within a donor and between donors."""
-    return pairs.groupBy("same_donor").agg(F.count("value").alias("n_pairs"), F.avg("value").alias("mean_value"), F.median("value").alias("median_value"))
+    own = stage(pairs.select("same_donor", "value"), "pair-values")
+    out = own.groupBy("same_donor").agg(F.count("value").alias("n_pairs"), F.avg("value").alias("mean_value"))
+    return join_groups(out, exact_quantiles(own, ["same_donor"], "value", {"median_value": 0.5}), ["same_donor"])
+
+
+def _first_of_donor(ranked: DataFrame, k: int) -> DataFrame:
+    out = ranked.groupBy("query").agg(F.count(F.lit(1)).alias("n_ranked"), F.min(F.when(F.col("same_donor"), F.col("rank"))).cast("long").alias("first_rank"))
+    return out.withColumn("reciprocal_rank", F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))).withColumn("hit", F.coalesce(F.col("first_rank") <= k, F.lit(False)))
 
 
 def donor_retrieval(pairs: DataFrame, k: int = 5) -> DataFrame:
     """For each query sample with a defined similarity: rank of the first sample of its
-    donor (ties by sample name), its reciprocal, and whether it is among the first k."""
+    donor (ties by sample name), its reciprocal, and whether it is among the first k. It ranks
+    every pair; ``donor_retrieval_of`` needs only the nearest."""
     both = pairs.select(F.col("sample_a").alias("query"), F.col("sample_b").alias("other"), "value", "same_donor").unionByName(pairs.select(F.col("sample_b").alias("query"), F.col("sample_a").alias("other"), "value", "same_donor"))
     w = Window.partitionBy("query").orderBy(F.desc(F.round("value", 9)), "other")
-    ranked = both.where("value is not null").withColumn("rank", F.row_number().over(w))
-    out = ranked.groupBy("query").agg(F.count(F.lit(1)).alias("n_ranked"), F.min(F.when(F.col("same_donor"), F.col("rank"))).cast("long").alias("first_rank"))
-    return out.withColumn("reciprocal_rank", F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))).withColumn("hit", F.coalesce(F.col("first_rank") <= k, F.lit(False)))
+    return _first_of_donor(both.where("value is not null").withColumn("rank", F.row_number().over(w)), k)
+
+
+def donor_retrieval_of(nearest: DataFrame, plan: DataFrame, *, sample: str, donor: str, k: int = 5) -> DataFrame:
+    """``donor_retrieval`` among each sample's nearest (``similarity.nearest_samples``):
+    ranks beyond these are not known, so such samples have no first rank."""
+    names = plan.select(F.col(sample).alias("__s"), F.col(donor).alias("__d"))
+    query, other = (names.select(F.col("__s").alias(n), F.col("__d").alias(f"__{n}")) for n in ("query", "other"))
+    both = nearest.join(query, "query").join(other, "other")
+    return _first_of_donor(both.withColumn("same_donor", F.col("__query") == F.col("__other")), k)
 
 
 def dynamics(long: DataFrame, plan: DataFrame, *, donor: str, time: str, rfu: str = "rfu_label") -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonoform.functions.grouped import assigned_rows, chain_rows, entropy, gini, join_groups, names, ratio, require
+from clonoform.functions.grouped import assigned_rows, chain_rows, entropy, join_groups, names, ratio, require
+from clonoform.functions.order_statistics import exact_quantiles, gini
 from clonoform.functions.scalars import natural_key
 from clonoform.sources.staging import stage
 
@@ -19,17 +20,20 @@ def rfu_summary(rows: DataFrame, groupby: str | None = None) -> DataFrame:
     require(rows, [*groups, "rfu_label", "rfu_score"], "RFU summary")
     has = F.col("rfu_label").isNotNull()
     score = F.when(has, F.col("rfu_score").cast("double"))
+    rows = stage(rows.select(*groups, "rfu_label", "rfu_score"), "summary-rows")
     out = rows.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.count_if(has).alias("n_assigned"),
         F.count_distinct("rfu_label").alias("n_unique_rfu"),
         F.avg(score).alias("mean_rfu_score"),
-        F.median(score).alias("median_rfu_score"),
     )
+    median = exact_quantiles(rows.where(has), groups, "rfu_score", {"median_rfu_score": 0.5})
     counts = rows.where(has).groupBy(*groups, "rfu_label").agg(F.count(F.lit(1)).alias("n"))
     top = counts.groupBy(*groups).agg(F.min(F.struct((-F.col("n")).alias("minus"), natural_key(F.col("rfu_label")).alias("key"), F.col("rfu_label"))).alias("t"))
     top = top.select(*groups, F.col("t.rfu_label").alias("top_rfu"), (-F.col("t.minus")).alias("top_rfu_count"))
-    both = join_groups(out, top, groups) if groups else out.join(top, F.lit(True))
+    both = out
+    for part in (top, median):  # without groups they have a row at most
+        both = join_groups(both, part, groups) if groups else both.join(part, F.lit(True), "left")
     rate = F.coalesce(ratio(F.col("n_assigned"), F.col("n_cells")), F.lit(0.0))
     return both.select(*groups, "n_cells", "n_assigned", rate.alias("assignment_rate"), "n_unique_rfu", "mean_rfu_score", "median_rfu_score", "top_rfu", F.coalesce("top_rfu_count", F.lit(0)).alias("top_rfu_count"))
 

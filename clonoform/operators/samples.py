@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonoform.functions.grouped import assigned_rows, ratio, require
@@ -72,7 +72,9 @@ def pseudobulk(rows: DataFrame, *, sample: str, phenotypes: Sequence[str] = (),
         raise TypeError("min_prevalence must be a number of samples or a fraction")
     if min_prevalence < 0 or isinstance(min_prevalence, float) and min_prevalence > 1 and not min_prevalence.is_integer():
         raise ValueError("min_prevalence must not be negative; fractions must be at most 1")
-    require(rows, [sample, cell, cdr3, rfu, *phenotypes], "pseudobulk")
+    kept = [sample, cell, cdr3, rfu, *phenotypes, *[passed] * (assignment_policy == "threshold_pass")]
+    require(rows, kept, "pseudobulk")
+    rows = stage(rows.select(*dict.fromkeys(kept)), "pseudobulk-rows")
     meta = sample_metadata(rows, sample, phenotypes, check)
     qc = sample_qc(rows, sample, assignment_policy=assignment_policy, min_cells=min_cells, min_sequences=min_sequences, cell=cell, cdr3=cdr3, rfu=rfu, passed=passed)
     work = assigned_rows(rows, assignment_policy, rfu, passed).where(F.col(cdr3).isNotNull() & F.col(cell).isNotNull())
@@ -121,16 +123,9 @@ def densify(bulk: Pseudobulk, sample: str, rfu: str = "rfu_label", pseudocount:
     return full.join(mean, sample).select(sample, rfu, "n", (logs - F.col("__mean")).alias("value"))
 
 
-def overlap(matrix: DataFrame, samples: DataFrame, *, sample: str, metric: str = "jaccard", rfu: str = "rfu_label", value: str = "value", min_abundance: float = 1, normalize: str = "count") -> DataFrame:
-    """(sample_a, sample_b, value) for each pair a <= b of ``samples``.
-
-    The sparse matrix is written once. Shared RFUs come from its self join on the RFU, with
-    the RFUs of many samples cut into parts; the rest of each metric from totals of the
-    samples. Values below ``min_abundance`` count as zero. NULL
-    where a metric is undefined. Negative values raise, as does the floor of 1 on shares.
-    """
-    if metric not in OVERLAPS:
-        raise ValueError(f"metric must be one of {OVERLAPS}")
+def abundances(matrix: DataFrame, *, sample: str, rfu: str = "rfu_label", value: str = "value", min_abundance: float = 1, normalize: str = "count") -> tuple[DataFrame, DataFrame]:
+    """The entries (s, r, x) at or above the floor and the totals of the samples that have
+    any (s, t sum, k number, q sum of squares), both written once."""
     if min_abundance < 0:
         raise ValueError("min_abundance must not be negative")
     if normalize == "proportion" and min_abundance >= 1:
@@ -140,27 +135,34 @@ def overlap(matrix: DataFrame, samples: DataFrame, *, sample: str, metric: str =
     if entries.where("x < 0").limit(1).count():
         raise ValueError("overlap needs non-negative abundances")
     x = entries.where(F.col("x") >= min_abundance)
-    totals = stage(x.groupBy("s").agg(F.sum("x").alias("t"), F.count(F.lit(1)).alias("k"), F.sum(F.col("x") * F.col("x")).alias("q")), "overlap-totals")
-    # an RFU of many samples is cut into parts: each entry of the left side goes to one, those
-    # of the right side to all of them
-    parts = x.groupBy("r").agg(F.ceil(F.count(F.lit(1)) / MOST_TOGETHER).cast("int").alias("parts"))
-    cut = x.join(totals.select("s", "t"), "s").join(parts, "r")
-    a = cut.select(F.col("s").alias("a"), "r", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("part"), F.col("x").alias("xa"), F.col("t").alias("ta"))
-    b = cut.select(F.col("s").alias("b"), "r", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("x").alias("xb"), F.col("t").alias("tb"))
+    return x, stage(x.groupBy("s").agg(F.sum("x").alias("t"), F.count(F.lit(1)).alias("k"), F.sum(F.col("x") * F.col("x")).alias("q")), "overlap-totals")
+
+
+def in_parts(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``part`` to join on beside the key: where a key has many rows on the
+    left, each of these goes to one part, and the key's rows on the right go to all of them."""
+    parts = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / MOST_TOGETHER).cast("int").alias("__parts"))
+    a = left.join(parts, key).withColumn("part", F.pmod(F.xxhash64("a"), F.col("__parts")).cast("int")).drop("__parts")
+    b = right.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    return a, b
+
+
+def shared_sums() -> list[Column]:
+    """What a pair's shared RFUs add up to, of rows with xa, xb and the totals ta, tb."""
     pa, pb = F.col("xa") / F.col("ta"), F.col("xb") / F.col("tb")
     mid = (pa + pb) / 2
-    shared = a.join(b, ["r", "part"]).where("a <= b").groupBy("a", "b").agg(
+    return [
         F.count(F.lit(1)).alias("i"),
         F.sum(F.col("xa") * F.col("xb")).alias("dot"),
         F.sum(F.least("xa", "xb")).alias("low"),
         F.sum(pa * F.log(pa / mid) + pb * F.log(pb / mid)).alias("js"),
         F.sum(pa).alias("pa"),
         F.sum(pb).alias("pb"),
-    )
-    own = samples.select(F.col(sample).alias("s")).distinct().join(totals, "s", "left").na.fill(0)
-    left, right = (own.select(*[F.col(c).alias(f"{c}{n}") for c in own.columns]) for n in "ab")
-    # the result itself is every pair of samples
-    pairs = left.join(right, F.col("sa") <= F.col("sb")).join(shared, (F.col("sa") == F.col("a")) & (F.col("sb") == F.col("b")), "left").na.fill(0, ["i", "dot", "low", "js", "pa", "pb"])
+    ]
+
+
+def pair_value(metric: str) -> Column:
+    """A metric of a pair from its shared sums and both samples' totals."""
     c = F.col
     sums = c("ta") + c("tb")
     js = 0.5 * (c("js") + F.log(F.lit(2.0)) * ((1 - c("pa")) + (1 - c("pb"))))
@@ -174,7 +176,30 @@ def overlap(matrix: DataFrame, samples: DataFrame, *, sample: str, metric: str =
         "weighted_jaccard": ratio(c("low"), sums - c("low")),
         "jensen_shannon_distance": F.when((c("ta") > 0) & (c("tb") > 0), F.sqrt(F.when(js > 1e-12, js).otherwise(0.0))),
     }
-    return pairs.select(c("sa").alias("sample_a"), c("sb").alias("sample_b"), values[metric].alias("value"))
+    return values[metric]
+
+
+def overlap(matrix: DataFrame, samples: DataFrame, *, sample: str, metric: str = "jaccard", rfu: str = "rfu_label", value: str = "value", min_abundance: float = 1, normalize: str = "count") -> DataFrame:
+    """(sample_a, sample_b, value) for each pair a <= b of ``samples``.
+
+    The sparse matrix is written once. Shared RFUs come from its self join on the RFU, with
+    the RFUs of many samples cut into parts; the rest of each metric from totals of the
+    samples. Values below ``min_abundance`` count as zero. NULL
+    where a metric is undefined. Negative values raise, as does the floor of 1 on shares.
+    The result is every pair of samples: with many of them ask ``similarity.similar_samples``
+    for the pairs within a bound, or ``similarity.nearest_samples``.
+    """
+    if metric not in OVERLAPS:
+        raise ValueError(f"metric must be one of {OVERLAPS}")
+    x, totals = abundances(matrix, sample=sample, rfu=rfu, value=value, min_abundance=min_abundance, normalize=normalize)
+    own = x.join(totals.select("s", "t"), "s")
+    a, b = in_parts(*(own.select(F.col("s").alias(n), "r", F.col("x").alias(f"x{n}"), F.col("t").alias(f"t{n}")) for n in "ab"), "r")
+    shared = a.join(b, ["r", "part"]).where("a <= b").groupBy("a", "b").agg(*shared_sums())
+    own = samples.select(F.col(sample).alias("s")).distinct().join(totals, "s", "left").na.fill(0)
+    left, right = (own.select(*[F.col(c).alias(f"{c}{n}") for c in own.columns]) for n in "ab")
+    # the result itself is every pair of samples
+    pairs = left.join(right, F.col("sa") <= F.col("sb")).join(shared, (F.col("sa") == F.col("a")) & (F.col("sb") == F.col("b")), "left").na.fill(0, ["i", "dot", "low", "js", "pa", "pb"])
+    return pairs.select(F.col("sa").alias("sample_a"), F.col("sb").alias("sample_b"), pair_value(metric).alias("value"))
 
 
 def direction(metric: str) -> str:

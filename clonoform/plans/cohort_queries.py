@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonoform.functions.grouped import entropy, gini, ratio
-from clonoform.operators import coverage, evidence, longitudinal, metrics, phenotype, robustness, samples, tables
+from clonoform.functions.grouped import entropy, ratio
+from clonoform.functions.order_statistics import gini
+from clonoform.operators import coverage, evidence, longitudinal, metrics, phenotype, robustness, samples, similarity, tables
 from clonoform.plans.base import WITH_ASSIGNED, V, assigned, cells, contigs, final, query, sampled, sql_natural, sql_shannon
 from clonoform.sources.fixtures import centroid_reference, view
 
@@ -212,6 +213,36 @@ def overlaps(spark, sf_dir, metric: str) -> DataFrame:
 for _name, (_metric, _expression) in OVERLAP_SQL.items():
     query(_name, final(f"{PAIRS} SELECT sample_a, sample_b, {_expression} AS value FROM p GROUP BY sample_a, sample_b", "sample_a sample_b value:d"))(lambda spark, sf_dir, m=_metric: overlaps(spark, sf_dir, m))
 
+#: Bounded overlaps: the overlap whose SQL is filtered, and the bound.
+BOUNDED = {
+    "similar_jaccard": ("overlap_jaccard", 0.55),
+    "similar_dice": ("overlap_dice", 0.8),
+    "similar_coefficient": ("overlap_coefficient", 0.85),
+    "similar_cosine": ("overlap_cosine", 0.75),
+    "similar_braycurtis": ("overlap_braycurtis", 0.4),
+    "similar_wjaccard": ("overlap_wjaccard", 0.45),
+    "similar_jsd": ("overlap_jsd", 0.35),
+}
+for _name, (_full, _bound) in BOUNDED.items():
+    _metric, _expression = OVERLAP_SQL[_full]
+    _test = f"value {'<=' if samples.direction(_metric) == 'distance' else '>='} {_bound}"
+    query(_name, final(f"{PAIRS}, v AS (SELECT sample_a, sample_b, {_expression} AS value FROM p GROUP BY sample_a, sample_b) SELECT * FROM v WHERE {_test}", "sample_a sample_b value:d"))(
+        lambda spark, sf_dir, m=_metric, b=_bound: similarity.similar_samples(bulk(spark, sf_dir).matrix, sample="sample_id", metric=m, bound=b)
+    )
+
+for _name, _full in (("nearest_cosine", "overlap_cosine"), ("nearest_jsd", "overlap_jsd")):
+    _metric, _expression = OVERLAP_SQL[_full]
+    _order = "round(value, 9)" + " DESC" * (samples.direction(_metric) == "similarity")
+    query(
+        _name,
+        final(
+            f"""{PAIRS}, v AS (SELECT sample_a, sample_b, {_expression} AS value FROM p WHERE sample_a < sample_b GROUP BY sample_a, sample_b),
+ d AS (SELECT sample_a AS query, sample_b AS other, value FROM v WHERE value IS NOT NULL UNION ALL SELECT sample_b, sample_a, value FROM v WHERE value IS NOT NULL)
+ SELECT *, row_number() OVER (PARTITION BY query ORDER BY {_order}, other) AS rank FROM d QUALIFY rank <= 5""",
+            "query other value:d rank:i",
+        ),
+    )(lambda spark, sf_dir, m=_metric: similarity.nearest_samples(bulk(spark, sf_dir).matrix, sample="sample_id", metric=m, k=5))
+
 
 # --- phenotypes and sequences ------------------------------------------------------------------------
 COUPLING = f"""{A}, w AS (SELECT * FROM assigned WHERE rfu_label IS NOT NULL AND cell_type IS NOT NULL AND cdr3aa IS NOT NULL), levels AS (SELECT DISTINCT cell_type FROM assigned WHERE cell_type IS NOT NULL),
@@ -387,6 +418,12 @@ def _(spark, sf_dir):
     return longitudinal.donor_retrieval(similar(spark, sf_dir))
 
 
+@query("donor_retrieval_nearest", final(f"{SIMILAR}, both_ AS (SELECT sample_a AS query, sample_b AS other, value, same_donor FROM sim UNION ALL SELECT sample_b, sample_a, value, same_donor FROM sim), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(value, 9) DESC, other) AS r FROM both_ WHERE value IS NOT NULL), f AS (SELECT query, count(*) AS n_ranked, min(r) FILTER (WHERE same_donor) AS first_rank FROM k WHERE r <= 5 GROUP BY query) SELECT *, coalesce(1.0 / first_rank, 0) AS reciprocal_rank, first_rank IS NOT NULL AS hit FROM f", "query n_ranked:i first_rank:i reciprocal_rank:d hit"))
+def _(spark, sf_dir):
+    nearest = similarity.nearest_samples(bulk(spark, sf_dir).matrix, sample="sample_id", metric="cosine", k=5)
+    return longitudinal.donor_retrieval_of(nearest, plan(spark, sf_dir), sample="sample_id", donor="donor_id", k=5)
+
+
 @query("longitudinal_dynamics", final(f"""{PLAN}, b AS (SELECT sample_id, rfu_label, count(*) AS n FROM s WHERE rfu_label IS NOT NULL AND cdr3aa IS NOT NULL GROUP BY ALL), vis AS (SELECT donor_id, count(DISTINCT timepoint) AS n_visits, min(timepoint) AS t0, max(timepoint) AS t1 FROM plan GROUP BY donor_id),
  seen AS (SELECT donor_id, rfu_label, count(DISTINCT timepoint) AS n_present, min(timepoint) AS first_time, max(timepoint) AS last_time FROM b JOIN plan USING (sample_id) GROUP BY ALL)
  SELECT seen.*, n_visits, CASE WHEN n_visits = 1 THEN 'single_visit' WHEN n_present = n_visits THEN 'persistent' WHEN first_time <> t0 AND last_time = t1 THEN 'emerging' WHEN first_time = t0 AND last_time <> t1 THEN 'lost' ELSE 'transient' END AS trajectory FROM seen JOIN vis USING (donor_id)""", "donor_id rfu_label n_present:i n_visits:i first_time:i last_time:i trajectory"))
