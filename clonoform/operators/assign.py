@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -78,7 +79,7 @@ class WideScorer(NamedTuple):
 def spearman_scorers(trimers: DataFrame, centroids: DataFrame, start: int = 2, end: int = 4, most_numbers: int = MOST_NUMBERS) -> list[Scorer | WideScorer]:
     """Batch functions cdr3aa -> (cdr3aa, rfu_id, rfu_score): the centroid of the highest
     Spearman correlation, rounded to 9 digits; the smallest id wins a tie; NULL without a
-    defined correlation.
+    defined correlation. Groups of centroids that can't hold the nearest aren't compared.
 
     Centroids are broadcast in blocks of at most ``most_numbers`` numbers, one scorer for
     each; ``assign`` takes the best of the blocks, so any reference can be used. Trimers are
@@ -120,19 +121,89 @@ def _mean_vectors(texts: list[str], codes: np.ndarray, vectors: np.ndarray, star
     return rows, np.add.reduceat(vectors[hits], first, axis=0) / many[:, None]
 
 
+class CentroidIndex(NamedTuple):
+    """Centroids on the unit sphere in groups around pivots.
+
+    The Spearman correlation of two rows is the cosine of the angle between their unit ranks,
+    and angles obey the triangle inequality: with a query at angle a to a pivot whose group
+    lies at angles ``near`` to ``far`` of it, no centroid of the group is nearer to the query
+    than a - far or near - a. Groups are consecutive rows from ``first`` on, ordered by id.
+    """
+
+    ids: np.ndarray
+    centres: np.ndarray
+    pivots: np.ndarray
+    first: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+
+    @classmethod
+    def build(cls, ids: np.ndarray, centres: np.ndarray) -> CentroidIndex:
+        """As many groups as the square root of the centroids. Rows without a direction
+        (NaN) are left out: nothing correlates with them."""
+        ok = np.isfinite(centres).all(axis=1)
+        ids, centres = ids[ok], centres[ok]
+        order = np.argsort(ids, kind="stable")
+        ids, centres = ids[order], centres[order]
+        k = math.isqrt(len(ids))
+        if not k:
+            return cls(ids, centres, centres[:0], np.zeros(1, np.int64), np.zeros(0), np.zeros(0))
+        pivots = centres[:: max(1, len(ids) // k)][:k]
+        group = (centres @ pivots.T).argmax(axis=1)
+        sums = np.zeros_like(pivots)
+        np.add.at(sums, group, centres)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        pivots = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-12), pivots)
+        cosine = centres @ pivots.T
+        group = cosine.argmax(axis=1)
+        by = np.argsort(group, kind="stable")
+        group, own = group[by], np.arccos(np.clip(cosine[by, group[by]], -1, 1))
+        names, first = np.unique(group, return_index=True)
+        return cls(ids[by], centres[by], pivots[names], np.append(first, len(by)), np.minimum.reduceat(own, first), np.maximum.reduceat(own, first))
+
+    def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The id of each unit row's nearest centroid (ties of nine digits: the smallest id),
+        its correlation, and how many pairs were compared, pivots included. Rows without a
+        direction get NaN."""
+        best, value = np.full(len(queries), -1, np.int64), np.full(len(queries), -np.inf)
+        known = np.flatnonzero(np.isfinite(queries).all(axis=1))
+        groups = len(self.pivots)
+        compared = len(known) * groups
+        if len(known) and groups:
+            angle = np.arccos(np.clip(queries[known] @ self.pivots.T, -1, 1))
+            bound = np.cos(np.maximum(np.maximum(angle - self.far, self.near - angle), 0))
+            # each query's likeliest groups first, then whatever its best can't rule out
+            likely = np.zeros(bound.shape, bool)
+            np.put_along_axis(likely, np.argpartition(-bound, min(2, groups - 1), axis=1)[:, :3], True, axis=1)
+            for turn in (True, False):
+                for g in range(groups):
+                    rows = known[(likely[:, g] == turn) & (bound[:, g] >= value[known] - 2e-9)]
+                    if not len(rows):
+                        continue
+                    own = slice(self.first[g], self.first[g + 1])
+                    rho = np.round(queries[rows] @ self.centres[own].T, 9)
+                    compared += rho.size
+                    top = rho.argmax(axis=1)
+                    score, ids = rho[np.arange(len(rows)), top], self.ids[own][top]
+                    better = (score > value[rows]) | (score == value[rows]) & (ids < best[rows])
+                    best[rows[better]], value[rows[better]] = ids[better], score[better]
+        value[~np.isfinite(value)] = np.nan
+        return best, value, compared
+
+
 def _scorer(trimers: DataFrame, known: list | None, centroids: DataFrame, start: int, end: int) -> Scorer:
     spark = trimers.sparkSession
-    units = centroids.select("rfu_id", "vec").orderBy("rfu_id").collect()
-    ids = np.array([r["rfu_id"] for r in units], np.int32)
+    units = centroids.select("rfu_id", "vec").collect()
+    ids = np.array([r["rfu_id"] for r in units], np.int64)
     centres = unit_ranks(np.array([r["vec"] for r in units], np.float64)) if units else np.zeros((0, 1))
     codes = np.array([_codes(_points(r["trimer"]))[0] for r in known or []], np.int64)
     order = np.argsort(codes, kind="stable")
     vectors = np.array([known[i]["vec"] for i in order], np.float64) if known else np.zeros((0, 0))
     joined = known is None
-    shared = spark.sparkContext.broadcast((codes[order], vectors, ids, centres))
+    shared = spark.sparkContext.broadcast((codes[order], vectors, CentroidIndex.build(ids, centres)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, vectors, ids, centres = shared.value
+        codes, vectors, index = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 2_000):
                 texts = batch.column(0).slice(lo, 2_000)
@@ -142,24 +213,37 @@ def _scorer(trimers: DataFrame, known: list | None, centroids: DataFrame, start:
                     mean = np.array([own[i] for i in rows.tolist()], np.float64)
                 else:
                     rows, mean = _mean_vectors([t or "" for t in texts.to_pylist()], codes, vectors, start, end)
-                best = np.full(len(texts), -1, np.int32)
+                best = np.full(len(texts), -1, np.int64)
                 score = np.full(len(texts), np.nan)
-                if len(rows) and len(ids):
-                    rho = np.round(unit_ranks(mean) @ centres.T, 9)
-                    rho[np.isnan(rho)] = -np.inf
-                    top = rho.argmax(axis=1)
-                    value = rho[np.arange(len(rows)), top]
-                    ok = np.isfinite(value)
-                    best[rows[ok]], score[rows[ok]] = ids[top[ok]], value[ok]
+                if len(rows) and len(index.ids):
+                    best[rows], score[rows], _ = index.search(unit_ranks(mean))
                 none = np.isnan(score)
                 yield pa.RecordBatch.from_arrays([texts, pa.array(best, pa.int32(), mask=none), pa.array(score, pa.float64(), mask=none)], SCORED.names)
 
     return run
 
 
+def comparison_share(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """How much of the comparisons of all ``vectors`` (cdr3aa, vec) with all centroids a
+    search makes: n_queries, n_centroids, n_compared (pivots included), share. The centroids
+    are one block, so keep them below ``MOST_NUMBERS`` numbers."""
+    units = centroids.select("rfu_id", "vec").collect()
+    centres = unit_ranks(np.array([r["vec"] for r in units], np.float64)) if units else np.zeros((0, 1))
+    shared = vectors.sparkSession.sparkContext.broadcast(CentroidIndex.build(np.array([r["rfu_id"] for r in units], np.int64), centres))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [v for v in batch.column(0).to_pylist() if v is not None]
+            compared = shared.value.search(unit_ranks(np.array(own, np.float64)))[2] if own else 0
+            yield pa.RecordBatch.from_arrays([pa.array([len(own)], pa.int64()), pa.array([compared], pa.int64())], ["n_queries", "n_compared"])
+
+    out = vectors.select("vec").mapInArrow(run, "n_queries long, n_compared long").agg(F.sum("n_queries").alias("n_queries"), F.lit(len(units)).cast("long").alias("n_centroids"), F.sum("n_compared").alias("n_compared"))
+    return out.withColumn("share", F.try_divide(F.col("n_compared").cast("double"), F.col("n_queries") * F.col("n_centroids")))
+
+
 def score(queries: DataFrame, scorers: list[Scorer | WideScorer]) -> DataFrame:
     """(cdr3aa, rfu_id, rfu_score) of each query: the best over all scorers."""
-    spread = queries.select("cdr3aa").repartition(F.col("cdr3aa"))
+    spread = queries.select("cdr3aa").repartition(F.col("cdr3aa")).distinct()
     wide = next((s for s in scorers if isinstance(s, WideScorer)), None)
     vectors = None
     if wide is not None:
@@ -179,14 +263,16 @@ def assign(queries: DataFrame, scorers: list[Scorer | WideScorer], threshold: fl
 
 def assign_incremental(queries: DataFrame, store: DataFrame, scorers: list[Scorer | WideScorer], reference_id: str, threshold: float = 0.6, force: bool = False) -> DataFrame:
     """Reuse stored scores of the same reference and compute only the rest. ``store`` holds
-    reference_id, cdr3aa, rfu_id, rfu_score; the ``reused`` flag tells the two apart."""
-    own = store.where(F.col("reference_id") == reference_id).select("cdr3aa", "rfu_id", "rfu_score").dropDuplicates(["cdr3aa"])
-    if force:
-        own = own.where(F.lit(False))
-    hits = queries.join(own, "cdr3aa").withColumn("reused", F.lit(True))
-    rest = queries.join(own, "cdr3aa", "left_anti")
+    reference_id, cdr3aa, rfu_id, rfu_score; the ``reused`` flag tells the two apart. A store
+    too large to shuffle is filtered in its scan by a Bloom filter of the batch
+    (``spark.sql.optimizer.runtime.bloomFilter``, on by default from 10 GB)."""
+    own = store.where((F.col("reference_id") == reference_id) & F.lit(not force)).select("cdr3aa", "rfu_id", "rfu_score")
+    # the store is read once; a semi join lets Spark filter a large store's scan by the batch
+    known = own.join(queries.select("cdr3aa").distinct(), "cdr3aa", "left_semi").dropDuplicates(["cdr3aa"]).withColumn("reused", F.lit(True))
+    both = stage(queries.join(known, "cdr3aa", "left"), "known-scores")
+    rest = both.where("reused is null").drop("rfu_id", "rfu_score", "reused")
     new = rest.join(score(rest, scorers), "cdr3aa").withColumn("reused", F.lit(False))
-    return hits.unionByName(new).select("*", S.rfu_label(F.col("rfu_id")).alias("rfu_label"), (F.col("rfu_score") >= threshold).alias("pass_thr"))
+    return both.where("reused").unionByName(new).select("*", S.rfu_label(F.col("rfu_id")).alias("rfu_label"), (F.col("rfu_score") >= threshold).alias("pass_thr"))
 
 
 def reconstruct(rows: DataFrame, assignments: DataFrame, check: bool = True) -> DataFrame:
