@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +27,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Paths that this driver wrote and has not removed, oldest first: a string a table.
-_WRITTEN: list[str] = []
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing was written to; it ends with ``name``."""
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
@@ -39,23 +38,52 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> int:
-    """A mark for ``settle``."""
-    return len(_WRITTEN)
+#: Where this thread's innermost scope lists the tables that it stages.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("staged tables", default=None)
 
 
-def settle(df: DataFrame, name: str, mark: int) -> DataFrame:
-    """Stage ``df``, and then remove the other tables staged since ``mark``: those that it was
-    made from. Nothing else may read them."""
-    out = stage(df, name)
-    spark = df.sparkSession
+@contextmanager
+def staging_scope() -> Iterator[list[str]]:
+    """Lists the paths of the tables that this thread stages inside, but for those of scopes
+    within. Give the list to ``remove_tables`` once nothing reads them any more."""
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPE.reset(token)
+
+
+def remove_tables(spark: SparkSession, paths: Iterable[str]) -> None:
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _WRITTEN[mark:-1]:
+    for path in paths:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(hadoop).delete(at, True)
-    del _WRITTEN[mark:-1]
-    return out
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread stages inside are removed at the end: write or collect a
+    result inside, not after."""
+    with staging_scope() as paths:
+        try:
+            yield
+        finally:
+            remove_tables(spark, paths)
+
+
+def settle(step: Callable[[], DataFrame], name: str) -> tuple[DataFrame, list[str]]:
+    """Stage what ``step`` returns, and remove the tables that it staged on the way. Gives
+    the table and its own paths."""
+    with staging_scope() as used:
+        df = step()
+        with staging_scope() as own:
+            out = stage(df, name)
+    remove_tables(df.sparkSession, used)
+    return out, own
