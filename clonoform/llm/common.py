@@ -7,9 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonoform.sources.staging import settle, stage, written
+from clonoform.sources.staging import remove_tables, settle, stage
 
-__all__ = ["ascii_lower", "join_groups_of", "numbered", "partitions", "settle", "spans_text", "stage", "table", "tokenizer_path", "written"]
+__all__ = ["ascii_lower", "join_groups_of", "numbered", "partitions", "remove_tables", "settle", "spans_text", "stage", "table", "tokenizer_path"]
 
 
 def partitions(spark: SparkSession) -> int:

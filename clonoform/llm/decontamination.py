@@ -13,14 +13,18 @@ below the score, so every item above the threshold is found.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,12 +122,23 @@ class Bm25Index:
         self.most = np.zeros(len(self.terms) + 1, np.float32)
         if n:
             self.most[1:] = np.maximum.reduceat(self.top, self.first[1:-1])
-        # where an entry is, for an index so small that all (term, block) fit; else by search
+        self._fill()
+
+    def _fill(self) -> None:
+        """What isn't written: where an entry is, for an index so small that all pairs of term
+        and block fit (else it is searched for), and the items unpacked so far."""
         self.entry = np.full((len(self.terms) + 1) * self.blocks, -1, np.int32) if (len(self.terms) + 1) * self.blocks <= MOST_DIRECT else None
         if self.entry is not None:
             self.entry[self.key] = np.arange(len(self.key))
         self._items: dict[int, tuple[Item, dict[bytes, float]]] = {}
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("entry", "_items")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._fill()
+
     def _weights(self, counts: Counter) -> dict[bytes, float]:
         norm = self.k1 * (1 - self.b + self.b * counts.total() * self.corpus.n / self.corpus.total)
         return {w: self.idf[w] * f * (self.k1 + 1) / (f + norm) for w, f in sorted(counts.items())}
@@ -251,8 +266,14 @@ def batch_hits(index: Bm25Index, texts: list[bytes | None], threshold: float, ov
                 yield text, k, (score, whole, q, a)
 
 
-def _corpus(test: DataFrame) -> Callable[[int], Corpus]:
-    """The corpus of all items (block, text), by block with the frequencies of its words."""
+INDEX = "block long, part int, bytes binary"
+#: An index is written in rows of so many bytes, as a reader holds some thousands of rows.
+CHUNK = 16_384
+
+
+def _item_words(test: DataFrame) -> DataFrame:
+    """(block, word, length) of the items (block, text) that have words: one row for each word
+    of an item and one without a word for the item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,36 +283,65 @@ def _corpus(test: DataFrame) -> Callable[[int], Corpus]:
                     own = [None, *set(ws)]
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array(own, pa.binary()), pa.array([len(ws)] * len(own), pa.int64())], ["block", "word", "length"])
 
-    terms = stage(test.select(F.col("block").cast("long").alias("block"), "text").mapInArrow(run, "block long, word binary, length long"), "item-words")
-    n, total, longest = terms.where("word is null").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("length"), F.lit(0))).first()
-    inside = stage(terms.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("n")), "item-frequencies")
+    return stage(test.select(F.col("block").cast("long").alias("block"), "text").mapInArrow(run, "block long, word binary, length long"), "item-words")
+
 
-    def of(k: int) -> Corpus:
-        rows = inside.join(terms.where(F.col("block") == k).select("word"), "word", "left_semi").collect()
-        return Corpus(n, total, longest, {bytes(r["word"]): r["n"] for r in rows})
+def _built_indexes(test: DataFrame, size: int) -> DataFrame:
+    """(block, part, bytes): the index of each block of items, built in a task of its own.
+    The frequencies of a block's words in all items come along with the items."""
+    found = _item_words(test)
+    n, total, longest = found.where("word is null").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("length"), F.lit(0))).first()
+    inside = found.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    used = found.where("word is not null").select("block", "word").distinct().join(inside, "word")
+    no = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = test.select("block", "item_id", "text", no("binary", "word"), no("long", "n")).unionByName(used.select("block", no("long", "item_id"), no("string", "text"), "word", "n"))
 
-    return of
+    def build(batch: pa.Table) -> pa.Table:
+        kinds = batch.column("word").is_valid()
+        frequencies, items = batch.filter(kinds), batch.filter(pa.compute.invert(kinds))
+        corpus = Corpus(n, total, longest, dict(zip(frequencies.column("word").to_pylist(), frequencies.column("n").to_pylist(), strict=True)))
+        own = list(zip(items.column("item_id").to_pylist(), items.column("text").to_pylist(), strict=True))
+        blob = pickle.dumps(Bm25Index(own, size, corpus=corpus), pickle.HIGHEST_PROTOCOL)
+        parts = [blob[lo : lo + CHUNK] for lo in range(0, len(blob), CHUNK)]
+        block = batch.column("block")[0].as_py()
+        return pa.table([pa.array([block] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "part", "bytes"])
 
+    return stage(rows.groupBy("block").applyInArrow(build, INDEX), "item-indexes")
 
-def _indexes(spark: SparkSession, items: DataFrame, size: int, block_bytes: int) -> list:
-    """Broadcast indexes of about ``block_bytes`` of item text each, the rows of an item_id in
-    one of them. Frequencies and lengths are those of all items."""
+
+def _indexes(spark: SparkSession, items: DataFrame, size: int, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcast indexes, one after the other, of about ``block_bytes`` of item text each, the
+    rows of an item_id in one of them, and whether there are several: then each goes once the
+    next is asked for. Frequencies and lengths are those of all items."""
     test = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = test.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    test = test.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
-    corpus_of = _corpus(test) if blocks > 1 else lambda k: None
-    out = []
-    for k in range(blocks):
-        own = [(r["item_id"], r["text"]) for r in test.where(F.col("block") == k).collect()]
-        if own or not k:
-            out.append(spark.sparkContext.broadcast(Bm25Index(own, size, corpus=corpus_of(k))))
-    return out
+    built = _built_indexes(test.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), size)
+    names = sorted(r["block"] for r in built.where("part = 0").select("block").collect())
+    for k in names:
+        parts = built.where(F.col("block") == k).orderBy("part").select("bytes").collect()
+        shared = spark.sparkContext.broadcast(b"".join(r["bytes"] for r in parts))
+        yield shared, len(names) > 1
+        if len(names) > 1:
+            shared.destroy()
+    if not names:
+        yield spark.sparkContext.broadcast(pickle.dumps(Bm25Index([], size))), False
+
+
+_UNPACKED: dict[str, Bm25Index] = {}
+
+
+def _unpacked(name: str, shared: Broadcast) -> Bm25Index:
+    """The index, unpacked once in a worker, which holds one at a time."""
+    if name not in _UNPACKED:
+        _UNPACKED.clear()
+        _UNPACKED[name] = pickle.loads(shared.value)
+    return _UNPACKED[name]
 
 
-#: So many bytes of item text are in one index, which each worker holds in some four times
-#: that memory; a larger benchmark takes a pass over the documents for each further index.
-INDEX_BYTES = 64_000_000
+#: So many bytes of item text are in one index, which takes some seven times that memory in
+#: each worker; a larger benchmark takes a pass over the documents for each further index.
+INDEX_BYTES = 8_000_000
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part: float = 0.5, size: int = 5, block_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -309,10 +359,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for shared in _indexes(docs.sparkSession, items, size, block_bytes):
+    for shared, several in _indexes(docs.sparkSession, items, size, block_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = _unpacked(name, shared)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 128):
                     docs, texts = batch.column(0).slice(lo, 128).to_pylist(), batch.column(1).slice(lo, 128).cast(pa.binary()).to_pylist()
@@ -325,6 +375,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.float64()) for i, c in enumerate(columns)], HITS.names)
 
         part_found = own.mapInArrow(run, HITS)
+        if several:
+            part_found = stage(part_found, "contamination")
         found = part_found if found is None else found.unionByName(part_found)
     return found
 
@@ -334,11 +386,10 @@ def uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, ov
     The pass that searches a text decides on its row, so no text moves. Nulls, empty texts,
     repeated rows and empty tables as there."""
     place = docs.columns.index("text")
-    shared_indexes = _indexes(docs.sparkSession, items, size, block_bytes)
-    for shared in shared_indexes:
+    for shared, several in _indexes(docs.sparkSession, items, size, block_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = _unpacked(name, shared)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 128):
                     rows = batch.slice(lo, 128)
@@ -347,6 +398,6 @@ def uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, ov
                     yield rows.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-        if len(shared_indexes) > 1:  # one index at a time in a worker
+        if several:
             docs = stage(docs, "uncontaminated")
     return docs

@@ -1,7 +1,8 @@
 """Main text of web pages by site template removal.
 
 Each element subtree is hashed together with its slot, which is the chain of tags and
-classes that leads to it. Spark counts in how many distinct contents of a host each hash
+classes that leads to it; of lists of links only the tags are hashed, so that menus with other
+entries on each page recur too. Spark counts in how many distinct contents of a host each hash
 occurs, and how much of a slot such recurring subtrees make up. Subtrees that recur in a slot
 of recurring subtrees are the site's template and are deleted, along with elements that by
 their tag or name are never part of an article. What is left gives the text, block by block.
@@ -33,12 +34,20 @@ WITHIN = frozenset("noscript template svg canvas object audio video button selec
 #: Left out without breaking the line that they stand in.
 UNSEEN = frozenset("script style noscript template link meta".split())
 #: Words in class, id or role that mark what isn't the article.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|"
-    r"sidebar|side-bar|aside|widget|footer|masthead|topbar|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"share|sharing|social|related|recommended|comment|comments|respond|reply|replies|disqus|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.IGNORECASE,
+NOISE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside widget footer masthead topbar "
+    "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments respond reply replies disqus "
+    "pagination pager complementary contentinfo search".split()
 )
+#: Words by which a name only says what an element has or lacks.
+ABOUT = frozenset("no has with without not is if".split())
+#: Elements whose id is an anchor in the text.
+ANCHORED = frozenset("section h1 h2 h3 h4 h5 h6 p".split())
+#: Elements that tell where the article is.
+LANDMARKS = frozenset("article main h1".split())
+#: A subtree of so many links that make up this share of its text is a list of links.
+LINKS, LINK_SHARE = 3, 0.8
+_NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _START = re.compile(r"<(?:[a-zA-Z!?]|/[a-zA-Z])")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LAX_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -49,22 +58,33 @@ _REPEATED = frozenset("li dt dd tr td th option".split())
 
 
 class Node:
-    __slots__ = ("tag", "noise", "parts", "digest", "main", "label", "slot", "chars", "large")
+    __slots__ = ("tag", "noise", "named", "parts", "digest", "main", "label", "slot", "chars", "large", "skeleton", "links", "linked", "bare")
 
     def __init__(self, tag: str, attributes: str):
         self.tag = self.label = tag
         self.parts: list = []
-        self.digest = self.slot = self.chars = 0
-        self.noise, self.main, self.large = tag in NEVER, tag in ("article", "main"), False
+        self.digest = self.slot = self.chars = self.skeleton = self.links = self.linked = 0
+        self.noise, self.main, self.large, self.named, self.bare = tag in NEVER, tag in ("article", "main"), False, False, False
         if attributes:
             for name, *values in _ATTRIBUTE.findall(attributes):
                 value = "".join(values)
-                self.noise = self.noise or (tag not in ("body", "html", "article", "main") and NOISE.search(value) is not None)
-                if name.lower() == "role":
+                kind = name.lower()
+                self.named = self.named or (tag not in INLINE and tag not in ("body", "html", "article", "main") and not (kind == "id" and tag in ANCHORED) and any(map(_says_noise, value.split())))
+                if kind == "role":
                     self.main = self.main or value == "main"
                 else:
                     self.label += "." + _DIGITS.sub("", value)
 
+    def is_link_list(self) -> bool:
+        return self.links >= LINKS and self.linked >= LINK_SHARE * self.chars > 0
+
+
+def _says_noise(name: str) -> bool:
+    """Whether the first or the last word of a class name marks noise; names such as
+    "no-sidebar" say nothing."""
+    words = [w.lower() for w in _NAME_WORDS.findall(name)]
+    return bool(words) and (words[0] in NOISE or words[-1] in NOISE) and not ABOUT.intersection(words)
+
 
 def parse(page: str) -> Node:
     """The element tree, in time that grows with the length of the page. An open paragraph
@@ -146,10 +166,16 @@ def parse(page: str) -> Node:
 
 
 def seal(node: Node) -> int:
-    """Fill in each subtree's hash (its tag, its text and its children's hashes), its slot,
-    its number of characters (of itself, without noise), and whether it is large: half of the
-    page's text, or prose that stands in an element whose own prose is half of it. Without
-    recursion."""
+    """Fill in what is known of each subtree, without recursion: its hash (its tag, its text
+    and its children's hashes), the hash of its skeleton (tags alone, equal neighbours once),
+    its slot, its number of characters and of links (of itself, without noise), and whether it
+    is large: half of the page's text, or prose that stands in an element whose own prose is
+    half of it. A div is bare if it has text outside of any prose element, less than a quarter
+    of the page's, where most of the page's text is prose.
+
+    An element whose name says noise isn't noise if it holds at least half of the page's text
+    and each landmark (article, main or h1 with text) that the page has.
+    """
     order, todo = [], [node]
     while todo:
         x = todo.pop()
@@ -158,14 +184,22 @@ def seal(node: Node) -> int:
             if isinstance(p, Node):
                 p.slot = xxhash.xxh64_intdigest(p.label, x.slot)
                 todo.append(p)
+    if any(x.named for x in order):
+        _clear_names(order)
     own = {}
     for x in reversed(order):
-        h, chars, prose = xxhash.xxh64(x.tag), 0, 0
+        h, chars, prose, last = xxhash.xxh64(x.tag), 0, 0, 0
+        shape = xxhash.xxh64(x.tag)
         for p in x.parts:
             if isinstance(p, Node):
                 h.update(p.digest.to_bytes(8, "little", signed=True))
+                if p.skeleton != last:
+                    last = p.skeleton
+                    shape.update(last.to_bytes(8, "little"))
                 if not p.noise:
                     chars += p.chars
+                    x.links += p.links
+                    x.linked += p.linked
                     if p.tag in PROSE:
                         prose += p.chars
             else:
@@ -173,9 +207,14 @@ def seal(node: Node) -> int:
                 h.update(" ".join(words))
                 chars += sum(map(len, words))
             h.update(b"\0")
-        x.digest, x.chars = h.intdigest() - (1 << 63), chars
+        if x.tag == "a":
+            x.links, x.linked = 1, chars
+        x.digest, x.chars, x.skeleton = h.intdigest() - (1 << 63), chars, shape.intdigest()
         own[id(x)] = prose
+        x.bare = 0 < chars and x.tag == "div" and not any(isinstance(p, Node) and p.tag not in INLINE and p.chars for p in x.parts)
+    in_prose = sum(own[id(x)] for x in order if x.tag not in PROSE)
     for x in order:
+        x.bare = x.bare and 2 * in_prose >= node.chars and 4 * x.chars < node.chars
         holder = 2 * own[id(x)] >= node.chars
         for p in x.parts:
             if isinstance(p, Node):
@@ -183,11 +222,44 @@ def seal(node: Node) -> int:
     return node.digest
 
 
+def _clear_names(order: list[Node]) -> None:
+    """Turn names into noise; ``order`` has parents before children."""
+    held: dict[int, tuple[int, int]] = {}
+    for x in reversed(order):
+        chars = marks = 0
+        for p in x.parts:
+            if isinstance(p, str):
+                chars += len("".join(p.split()))
+            elif p.tag not in NEVER:
+                chars += held[id(p)][0]
+                marks += held[id(p)][1]
+        held[id(x)] = chars, marks + (chars > 0 and (x.main or x.tag in LANDMARKS))
+    chars, marks = held[id(order[0])]
+    for x in order:
+        if x.named:
+            x.noise = x.noise or not (0 < chars <= 2 * held[id(x)][0] and held[id(x)][1] == marks)
+
+
 def _may_be_template(x: Node, inside: bool) -> bool:
     """Block elements; in a marked article those that aren't prose."""
     return x.tag not in INLINE and x.tag not in VOID and not (inside and x.tag in PROSE) and not x.main and x.tag not in ("html", "body", "#root")
 
 
+#: Lists of links and bare blocks have slots of their own.
+LISTS, BARE = 0x5DEECE66D, 0x27D4EB2F165667C5
+
+
+def _keys_of(x: Node, inside: bool) -> list[tuple[int, int, bool]]:
+    """(slot, key, large) of a subtree; a key is its hash and slot in one number. A list of
+    links is known by its skeleton, as a menu's entries may differ from page to page. A bare
+    block outside of a marked article is known by its text and, as adverts and notices may
+    differ too, by being bare, which must recur like a large subtree to count."""
+    if x.is_link_list():
+        return [(_signed(x.slot ^ LISTS), _mixed(_signed(x.skeleton), x.slot ^ LISTS), x.large)]
+    own = [(_signed(x.slot), _mixed(x.digest, x.slot), x.large)]
+    return own + [(_signed(x.slot ^ BARE), _mixed(0, x.slot ^ BARE), True)] if x.bare and not inside else own
+
+
 def subtrees(root: Node) -> set[tuple[int, int, bool]]:
     """(slot, key, large) of the subtrees that may be template; a key is a slot and a hash."""
     out, todo = set(), [(root, False)]
@@ -197,7 +269,7 @@ def subtrees(root: Node) -> set[tuple[int, int, bool]]:
         for p in x.parts:
             if isinstance(p, Node):
                 if _may_be_template(p, inside):
-                    out.add((_signed(p.slot), _mixed(p.digest, p.slot), p.large))
+                    out.update(_keys_of(p, inside))
                 todo.append((p, inside))
     return out
 
@@ -280,7 +352,7 @@ def _holds_prose(x: Node, start: Node, held: dict[int, tuple[int, bool]]) -> boo
 
 
 def _is_template(x: Node, inside: bool, template: set[int], host: int) -> bool:
-    return _may_be_template(x, inside) and _mixed(_mixed(x.digest, x.slot), host) in template
+    return _may_be_template(x, inside) and any(_mixed(key, host) in template for _, key, _ in _keys_of(x, inside))
 
 
 def _marked(root: Node) -> list[Node]:

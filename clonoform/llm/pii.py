@@ -159,10 +159,23 @@ _AT_HINT = re.compile(r"[\(\[\{<]\s*(?:at|@|dot|\.)\s*[\)\]\}>]|\sdot\s", re.IGN
 #: Endings that let a bare "at" and "dot" in prose count as an address.
 ENDINGS = frozenset("com org net edu gov mil int info biz dev app io ai co me tv eu de fr es uk us it nl ch at be pt pl se no fi dk ie br mx ar ca au in jp cn ru".split())
 
+#: Those of them that are common words.
+COMMON = frozenset("it me in at be no us de es se au".split())
+_MARKED = re.compile(r"[0-9._+-]")
+_BRACKET_DOT = r"[\(\[\{<]\s*(?:dot|\.)\s*[\)\]\}>]"
+_BRACKET_IP = re.compile(rf"(?<![0-9.])[0-9]++(?:(?:\s*{_BRACKET_DOT}\s*|\.)[0-9]++){{3}}(?![0-9])", re.IGNORECASE)
+_BETWEEN = re.compile(rf"\s*{_BRACKET_DOT}\s*", re.IGNORECASE)
+
+
+def _bracketed_numbers(text: str) -> list[tuple[int, int, str]]:
+    """Edits of the dots in brackets between the four numbers of an address."""
+    return [(d.start(), d.end(), ".") for m in _BRACKET_IP.finditer(text) for d in _BETWEEN.finditer(text, m.start(), m.end())]
+
 
 def _at_dot(text: str) -> list[tuple[int, int, str]]:
     """Edits inside addresses that write "at" or "dot" in words or brackets. A bare "at"
-    counts only beside a spelled dot and before a known ending, so that prose stays."""
+    counts only beside a spelled dot and before a known ending, so that prose stays; an ending
+    that is a common word also needs a digit or a sign in the local part."""
     edits, place = [], 0
     while (local := _LOCAL_PART.search(text, place)) is not None:
         place = local.end()
@@ -175,7 +188,8 @@ def _at_dot(text: str) -> list[tuple[int, int, str]]:
         own += [(d.start(), d.end(), ".") for part in (local, domain) for d in _DOT_ONLY.finditer(text, part.start(), part.end())]
         bracket = re.search(r"[\(\[\{<]", at.group())
         spelled = any(text[a:b] != "." for a, b, n in own if n == ".")
-        if bracket or spelled and domain.group().lower().split()[-1] in ENDINGS:
+        ending = domain.group().lower().split()[-1]
+        if bracket or spelled and ending in ENDINGS and (ending not in COMMON or _MARKED.search(local.group())):
             edits += [e for e in own if text[e[0] : e[1]] != e[2]]
     return sorted(edits)
 
@@ -215,6 +229,7 @@ def normalise(text: str, lists: bool = False) -> Rewriting:
         out.edit(_spelled(out.text, lists))
     if _AT_HINT.search(out.text):
         out.edit(_at_dot(out.text))
+        out.edit(_bracketed_numbers(out.text))
     return out
 
 

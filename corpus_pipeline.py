@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonoform.llm.common import numbered, settle, stage, table, tokenizer_path, written
+from clonoform.llm.common import numbered, remove_tables, settle, stage, table, tokenizer_path
 from clonoform.llm.decontamination import uncontaminated
 from clonoform.llm.exact_dedup import exact_duplicates
 from clonoform.llm.language_id import predict
@@ -72,8 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed rows of the last stage. A stage's own tables go once its result is written."""
-    docs, mark = table(spark, sf_dir, "documents"), written()
+    """The packed rows of the last stage. A stage's own tables go once its result is written,
+    and its result once the next one's is; tables of other runs and queries stay."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, step in STAGES[:-1]:
-        docs = settle(step(spark, docs, sf_dir), name, mark)
+        docs, own = settle(lambda step=step, docs=docs: step(spark, docs, sf_dir), name)
+        remove_tables(spark, before)
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)

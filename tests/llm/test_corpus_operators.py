@@ -286,6 +286,19 @@ def test_wand_finds_all_above_the_threshold(items, passages, threshold):
     assert all(abs(score[k] - s) < 1e-9 and s >= threshold - 1e-6 for k, s in got.items())
 
 
+def test_the_driver_holds_one_index_at_a_time(spark):
+    import tracemalloc
+
+    rows = spark.range(10_000).selectExpr("id as item_id", "concat_ws(' ', transform(sequence(1, 25), k -> substr(md5(concat(id, '.', k)), 1, 6))) as text")
+    docs = rows.where("item_id % 1000 = 7").selectExpr("item_id as doc_id", "concat('before ', text, ' after') as text")
+    tracemalloc.start()
+    got = decontamination.find_contamination(docs, rows, block_bytes=400_000).collect()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k in range(7, 10_000, 1000)]
+    assert peak < 8e6  # 2.4 MB of items make indexes of over 15 MB
+
+
 def test_rows_are_alike_for_any_number_of_indexes(spark):
     rng = np.random.default_rng(9)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 3))
@@ -538,3 +551,21 @@ def test_pipeline_stages_take_odd_rows(spark, sf_dir):
         for _, step in corpus_pipeline.STAGES[:-1]:
             assert step(spark, docs, sf_dir).columns == corpus_pipeline.COLUMNS
             step(spark, docs, sf_dir).count()
+
+
+def test_two_pipelines_at_once_leave_other_tables(spark, sf_dir):
+    from threading import Thread
+
+    import corpus_pipeline
+    from clonoform.llm.common import stage
+
+    rows = lambda: sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, sf_dir).collect())
+    want, found = rows(), {}
+    threads = [Thread(target=lambda k=k: found.update({k: rows()})) for k in range(2)]
+    for t in threads:
+        t.start()
+    other = stage(spark.range(10), "other")
+    for t in threads:
+        t.join()
+    assert found == {0: want, 1: want} and want
+    assert other.count() == 10
