@@ -62,25 +62,44 @@ def names(groupby: str | Sequence[str]) -> list[str]:
     return out
 
 
-def row_numbers(df: DataFrame, order_by: str, buckets: int | None = None) -> DataFrame:
-    """Add ``__row``: the place of each row in the order of a numeric column, from 0.
+def _in_ranges(df: DataFrame, columns: Sequence[Column], buckets: int | None, name: str) -> DataFrame:
+    """The rows sorted by ranges of the columns, written once, with the number of their range
+    ``__range`` and their place in it ``__at`` (from 0, rising)."""
+    ranged = df.repartitionByRange(*([buckets] if buckets else []), *columns).sortWithinPartitions(*columns)
+    # partition number in the upper 31 bits, place inside the partition in the lower 33
+    ordered = stage(ranged.withColumn("__at", F.monotonically_increasing_id()), name)
+    return ordered.withColumn("__range", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+
 
-    Rows are sorted by ranges of the order column and written once to the shared folder; a
+def row_numbers(df: DataFrame, order_by: str | Sequence[Column], buckets: int | None = None) -> DataFrame:
+    """Add ``__row``: the place of each row in the order of a numeric column, or of several
+    columns of any kind, from 0.
+
+    Rows are sorted by ranges of the order columns and written once to the shared folder; a
     row's number is its place in its range plus the sizes of the ranges before it. There are
     as many ranges as the shuffle has partitions (adaptive execution merges small ones),
-    unless ``buckets`` says how many. Ties are broken by no rule: give a unique column.
+    unless ``buckets`` says how many. Ties are broken by no rule: give unique columns.
     """
-    kind = dict(df.dtypes)[order_by]
-    if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not kind.startswith("decimal"):
-        raise ValueError(f"order_by must be numeric, {order_by} is {kind}")
-    ranged = df.repartitionByRange(*([buckets] if buckets else []), F.col(order_by)).sortWithinPartitions(order_by)
-    # partition number in the upper 31 bits, place inside the partition in the lower 33
-    ordered = stage(ranged.withColumn("__at", F.monotonically_increasing_id()), "ordered-rows").withColumn("__range", F.shiftright("__at", 33))
+    if isinstance(order_by, str):
+        kind = dict(df.dtypes)[order_by]
+        if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not kind.startswith("decimal"):
+            raise ValueError(f"order_by must be numeric, {order_by} is {kind}")
+    ordered = _in_ranges(df, [F.col(order_by)] if isinstance(order_by, str) else list(order_by), buckets, "ordered-rows")
     sizes = ordered.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     # one row a range: as many as the shuffle has partitions, whatever the input
     first = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__first"))
-    number = F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return ordered.join(F.broadcast(first), "__range").withColumn("__row", number).drop("__range", "__first", "__at")
+    return ordered.join(F.broadcast(first), "__range").withColumn("__row", F.col("__first") + F.col("__at")).drop("__range", "__first", "__at")
+
+
+def ranks(df: DataFrame, groups: Sequence[str], order_by: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Add ``__rank``: the place of each row in its group, from 1, in the order of unique
+    columns. As ``row_numbers``, by ranges of group and order, so no task holds a group."""
+    ordered = _in_ranges(df, [F.col(c) for c in (*groups, *order_by)], buckets, "ranked-rows")
+    # a row for each range of a group
+    sizes = ordered.groupBy(*groups, "__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__low"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(*groups).orderBy("__range")) - F.col("__n"))
+    both = join_groups(ordered, before.select(*groups, "__range", "__low", "__before"), [*groups, "__range"])
+    return both.withColumn("__rank", F.col("__before") + F.col("__at") - F.col("__low") + 1).drop("__range", "__at", "__low", "__before")
 
 
 def row_name(prefix: str) -> Column:

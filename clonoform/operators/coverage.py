@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clonoform.functions.fingerprints import digest, fingerprint, merged
 from clonoform.functions.grouped import join_groups, names, ratio, require
 from clonoform.functions.order_statistics import exact_quantiles
 from clonoform.functions.scalars import coverage_status
@@ -47,15 +48,22 @@ def reference_coverage(rows: DataFrame, *, groupby: str | Sequence[str], cell: s
     return out.withColumn("sequence_coverage", ratio(F.col("n_covered_sequences"), F.col("n_sequences"))).withColumn("cell_coverage", ratio(F.col("n_covered_cells"), F.col("n_cells")))
 
 
+def reference_parts(centroids: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, n_rows, limbs) of the rounded centroids; parts of a reference can be merged."""
+    row = F.concat_ws("|", F.col("rfu_id").cast("string"), F.array_join(F.transform("vec", lambda x: F.floor(x * 1_000_000 + 0.5).cast("long").cast("string")), ","))
+    return fingerprint(centroids, row, groups)
+
+
 def reference_fingerprint(centroids: DataFrame, parameters: str = "") -> DataFrame:
-    """One row: number of centroids and a SHA-256 over their rounded vectors and the
-    parameters, whatever their order. Each row is hashed first; the last digest reads one
-    hash for each RFU of the reference."""
-    row = F.sha2(F.concat_ws("|", F.col("rfu_id").cast("string"), F.array_join(F.transform("vec", lambda x: F.floor(x * 1_000_000 + 0.5).cast("long").cast("string")), ",")), 256)
-    return centroids.select(row.alias("h")).agg(
-        F.count(F.lit(1)).alias("n_rfus"),
-        F.sha2(F.concat(F.array_join(F.sort_array(F.collect_list("h")), ""), F.lit("|" + parameters)), 256).alias("reference_id"),
-    )
+    """One row: number of centroids and a digest of their rounded vectors and the parameters,
+    whatever their order. It is a sum over row hashes, so no task sees all rows, and it is
+    also that of ``frozen_id`` of the reference's parts."""
+    return frozen_id(reference_parts(centroids), parameters)
+
+
+def frozen_id(parts: DataFrame, parameters: str = "") -> DataFrame:
+    """The id of the reference whose parts these are (``reference_parts``)."""
+    return merged(parts).select(F.coalesce("n_rows", F.lit(0)).alias("n_rfus"), digest(F.col("limbs"), "|" + parameters).alias("reference_id"))
 
 
 def transfer_cohort(rows: DataFrame, reference_rfus: DataFrame, *, cohort: str = "cohort", sample: str = "sample_id") -> DataFrame:

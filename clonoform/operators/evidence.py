@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from clonoform.functions import scalars as S
 from clonoform.functions.grouped import entropy, ratio, require
-from clonoform.operators.longitudinal import seeded
+from clonoform.operators.longitudinal import shuffled_labels
+from clonoform.sources.staging import stage
 
 
 def normalize_evidence_cdr3(c):
@@ -94,26 +94,28 @@ def global_coherence(coherence: DataFrame) -> DataFrame:
 
 def _purity(rows: DataFrame, keys: list[str], grouping: str) -> DataFrame:
     """Matched-count-weighted purity: sum over groups of the largest count over all counts,
-    each weighted by its matched sequences."""
-    counts = rows.groupBy(*keys, grouping, "epitope").agg(F.count_distinct("cdr3aa").alias("n"))
-    groups = counts.groupBy(*keys, grouping).agg((F.max("n") / F.sum("n")).alias("purity"))
-    sizes = rows.groupBy(*keys, grouping).agg(F.count_distinct("cdr3aa").alias("w"))
-    both = groups.join(sizes, [*keys, grouping])
-    return both.groupBy(*keys).agg(ratio(F.sum(F.col("purity") * F.col("w")), F.sum("w")).alias("statistic"))
+    each weighted by its matched sequences. A row counts once for its epitope and once for
+    its group."""
+    each = F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("epitope")), F.struct(F.lit(False).alias("own"), F.lit(None).cast("string").alias("epitope")))).alias("__e")
+    counts = rows.select(*keys, grouping, "cdr3aa", each).groupBy(*keys, grouping, "__e.own", "__e.epitope").agg(F.count_distinct("cdr3aa").alias("n"))
+    own = F.when(F.col("own"), F.col("n"))
+    groups = counts.groupBy(*keys, grouping).agg((F.max(own) / F.sum(own)).alias("purity"), F.max(F.when(~F.col("own"), F.col("n"))).alias("w"))
+    return groups.groupBy(*keys).agg(ratio(F.sum(F.col("purity") * F.col("w")), F.sum("w")).alias("statistic"))
 
 
 def permutation_test(matches: DataFrame, stratum: str, replicates: int = 20, seed: int = 0) -> DataFrame:
     """Weighted purity against size-preserving permutations: RFU labels of the matched
-    sequences are shuffled inside strata. observed, replicates at or above, p value."""
-    own = matches.where("rfu_label is not null").select("cdr3aa", "rfu_label", "epitope").distinct()
-    sequences = matches.where("rfu_label is not null").groupBy("cdr3aa").agg(F.min("rfu_label").alias("rfu_label"), F.min(stratum).alias("stratum"))
+    sequences are shuffled inside strata. observed, replicates at or above, p value.
+
+    The matches are read once. A sequence carries the vector of its labels in all replicates,
+    which is only unfolded where the counts begin.
+    """
+    own = stage(matches.where("rfu_label is not null").select("cdr3aa", "rfu_label", "epitope", F.col(stratum).alias("stratum")).distinct(), "matched-sequences")
+    sequences = stage(own.groupBy("cdr3aa").agg(F.min("rfu_label").alias("rfu_label"), F.min("stratum").alias("stratum")), "shuffled-sequences")
     observed = _purity(own, [], "rfu_label").select(F.col("statistic").alias("observed"))
-    reps = sequences.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    w = Window.partitionBy("replicate", "stratum")
-    places = reps.select("replicate", "stratum", "cdr3aa", F.row_number().over(w.orderBy("cdr3aa")).alias("i"))
-    labels = reps.select("replicate", "stratum", "rfu_label", F.row_number().over(w.orderBy(seeded(seed, F.col("replicate").cast("string"), F.col("cdr3aa")))).alias("i"))
-    shuffled = places.join(labels, ["replicate", "stratum", "i"]).select("replicate", "cdr3aa", "rfu_label")
-    null = _purity(shuffled.join(own.select("cdr3aa", "epitope").distinct(), "cdr3aa"), ["replicate"], "rfu_label")
+    vectors = shuffled_labels(sequences, unit="cdr3aa", block="stratum", label="rfu_label", replicates=replicates, seed=seed).select("cdr3aa", "labels")
+    pairs = own.select("cdr3aa", "epitope").distinct().join(vectors, "cdr3aa")
+    null = _purity(pairs.select("cdr3aa", "epitope", F.posexplode("labels").alias("replicate", "rfu_label")), ["replicate"], "rfu_label")
     out = null.join(F.broadcast(observed), F.lit(True)).groupBy("observed").agg(F.count(F.lit(1)).alias("n_replicates"), F.count_if(F.round("statistic", 9) >= F.round("observed", 9)).alias("n_at_least"), F.avg("statistic").alias("null_mean"))
     return out.withColumn("p_value", (F.col("n_at_least") + 1) / (F.col("n_replicates") + 1))
 
@@ -121,6 +123,7 @@ def permutation_test(matches: DataFrame, stratum: str, replicates: int = 20, see
 def compare_groupings(matches: DataFrame) -> DataFrame:
     """The weighted purity under the RFU and under simple groupings."""
     rows = matches.withColumn("v_gene", F.col("query_v_call")).withColumn("cdr3_length", F.length("cdr3aa").cast("string")).withColumn("v_and_length", F.concat_ws("|", "query_v_call", F.length("cdr3aa").cast("string")))
+    rows = stage(rows.select("cdr3aa", "epitope", "rfu_label", "v_gene", "cdr3_length", "v_and_length"), "grouped-matches")
     out = None
     for name in ("rfu_label", "v_gene", "cdr3_length", "v_and_length"):
         one = _purity(rows.where(F.col(name).isNotNull()), [], name).select(F.lit(name).alias("grouping"), "statistic")

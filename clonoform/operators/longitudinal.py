@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clonoform.functions.grouped import join_groups, ratio, require
+from clonoform.functions.grouped import join_groups, ranks, ratio, require, row_numbers
 from clonoform.functions.order_statistics import exact_quantiles
 from clonoform.sources.staging import stage
 
@@ -119,13 +119,15 @@ def uniform(h) -> object:
 
 def donor_bootstrap(values: DataFrame, *, donor: str, value: str, replicates: int = 200, seed: int = 0) -> DataFrame:
     """Donor-block bootstrap of the mean of donor means: replicate, statistic. A replicate
-    draws as many donors as there are, with replacement."""
+    draws as many donors as there are, with replacement. Draws are made in parallel and
+    counted by replicate and donor before they meet the donors' means."""
     means = values.where(F.col(donor).isNotNull()).groupBy(donor).agg(F.avg(value).alias("m"))
-    ranked = means.withColumn("slot", F.row_number().over(Window.orderBy(donor)) - 1)  # one row a donor
-    n = ranked.agg(F.count(F.lit(1)).alias("n"))
-    draws = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).select("n", "replicate", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)))).alias("draw"))
-    pick = F.floor(uniform(seeded(seed, F.col("replicate").cast("string"), F.col("draw").cast("string"))) * F.col("n")).cast("int")
-    return draws.withColumn("slot", pick).join(ranked, "slot").groupBy("replicate").agg(F.avg("m").alias("statistic"))
+    numbered = row_numbers(means, [F.col(donor)]).select(F.col("__row").alias("slot"), "m")
+    n = numbered.count()
+    draws = means.sparkSession.range(replicates * n).select((F.floor(F.col("id") / max(n, 1)) + 1).cast("int").alias("replicate"), (F.col("id") % max(n, 1)).alias("draw"))
+    pick = F.floor(uniform(seeded(seed, F.col("replicate").cast("string"), F.col("draw").cast("string"))) * n)
+    drawn = draws.groupBy("replicate", pick.alias("slot")).agg(F.count(F.lit(1)).alias("w")).join(numbered, "slot")
+    return drawn.groupBy("replicate").agg(ratio(F.sum(F.col("w") * F.col("m")), F.sum(F.when(F.col("m").isNotNull(), F.col("w")))).alias("statistic"))
 
 
 def interval(statistics: DataFrame, level: float = 0.95) -> DataFrame:
@@ -134,14 +136,27 @@ def interval(statistics: DataFrame, level: float = 0.95) -> DataFrame:
     return statistics.agg(F.count(F.lit(1)).alias("n_replicates"), F.avg("statistic").alias("mean"), F.percentile("statistic", F.lit(low)).alias("low"), F.percentile("statistic", F.lit(1 - low)).alias("high"))
 
 
+def shuffled_labels(units: DataFrame, *, unit: str, block: str, label: str, replicates: int, seed: int) -> DataFrame:
+    """unit, block, labels: of each unit the labels that it gets in the replicates (a vector
+    with a label each), shuffled inside its block.
+
+    The i-th unit of a block gets the label of the block's unit with the i-th hash. Ranks
+    come from sorted ranges, so a large block fills many tasks, and what meets by place is
+    one row a unit, whatever the replicates.
+    """
+    own = units.select(unit, block, label)
+    places = ranks(own.select(unit, block), [block], [unit])
+    each = own.select(block, F.col(label).alias("__label"), unit, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("__r"))
+    hashed = each.withColumn("__h", seeded(seed, F.col("__r").cast("string"), F.col(unit)))
+    by_hash = ranks(hashed, ["__r", block], ["__h", unit])
+    vectors = by_hash.groupBy(block, "__rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "__label"))), lambda x: x["__label"]).alias("labels"))
+    return join_groups(places, vectors, [block, "__rank"], "inner").select(unit, block, "labels")
+
+
 def permute_labels(units: DataFrame, *, unit: str, block: str, label: str, replicates: int = 20, seed: int = 0) -> DataFrame:
     """replicate, unit, block, label: labels shuffled inside each block, alike everywhere."""
-    reps = units.select(unit, block, label, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    order = Window.partitionBy("replicate", block)
-    rep = F.col("replicate").cast("string")
-    places = reps.select("replicate", block, unit, F.row_number().over(order.orderBy(unit)).alias("i"))
-    labels = reps.select("replicate", block, label, F.row_number().over(order.orderBy(seeded(seed, rep, F.col(unit)))).alias("i"))
-    return places.join(labels, ["replicate", block, "i"]).drop("i")
+    vectors = shuffled_labels(units, unit=unit, block=block, label=label, replicates=replicates, seed=seed)
+    return vectors.select(unit, block, F.posexplode("labels").alias("__r", label)).select((F.col("__r") + 1).alias("replicate"), unit, block, label)
 
 
 def mean_by(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clonoform.functions.grouped import assigned_rows, chain_rows, entropy, join_groups, names, ratio, require
-from clonoform.functions.order_statistics import exact_quantiles, gini
+from clonoform.functions.order_statistics import exact_quantiles
 from clonoform.functions.scalars import natural_key
 from clonoform.sources.staging import stage
 
@@ -106,16 +107,45 @@ def rfu_metrics(rows: DataFrame, *, groupby: str | Sequence[str], weighting: str
     )
 
 
-def _identity_counts(rows: DataFrame, groups: Sequence[str], identity: str, weighting: str, cell: str, cdr3: str, clonotype: str, order_by: str) -> DataFrame:
-    """(groups, identity, n): distinct cells, sequences or clonotypes of each identity."""
-    valid = rows.where(F.col(identity).isNotNull())
+def _unit_counts(rows: DataFrame, groups: Sequence[str], weighting: str, cell: str, cdr3: str, clonotype: str, v: str, order_by: str) -> DataFrame:
+    """(groups, kind, n): for each clonotype, sequence, gene and cell of a group its distinct
+    cells, sequences or clonotypes (NULL units don't count). Each row is unfolded into what
+    it counts for, so one aggregation serves all.
+
+    Under clonotype weighting there are two more kinds, for groups in which no clonotype
+    weighs a kind: sequences that weigh one each, and genes by their sequences' first row.
+    """
+    kinds = {"clonotype": clonotype, "sequence": cdr3, "gene": v, "cell": cell}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("key")) for k, c in kinds.items()])).alias("__e")
+    unit = {"cell": cell, "unique_sequence": cdr3, "clonotype": clonotype}[weighting]
+    long = rows.select(*groups, F.col(unit).alias("__unit"), each).where("__e.key is not null")
+    counts = long.groupBy(*groups, "__e.kind", "__e.key").agg(F.count_distinct("__unit").alias("n")).drop("key")
     if weighting != "clonotype":
-        unit = cell if weighting == "cell" else cdr3
-        return valid.groupBy(*groups, identity).agg(F.count_distinct(unit).alias("n")).withColumnRenamed(identity, "identity")
-    some = valid.groupBy(*groups).agg(F.max(F.col(clonotype).isNotNull()).alias("__some"))
-    known = valid.groupBy(*groups, identity).agg(F.count_distinct(clonotype).alias("n")).withColumnRenamed(identity, "identity")
-    first = valid.groupBy(*groups, cdr3).agg(F.min_by(identity, order_by).alias("identity")).groupBy(*groups, "identity").agg(F.count(F.lit(1)).alias("n"))
-    return join_groups(known, some.where("__some"), groups, "inner").drop("__some").unionByName(join_groups(first, some.where("not __some"), groups, "inner").drop("__some"))
+        return counts
+    one = F.struct("kind", "n")
+    alone = F.struct(F.lit("sequence_first").alias("kind"), F.lit(1).cast("long").alias("n"))
+    counts = counts.select(*groups, F.explode(F.when(F.col("kind") == "sequence", F.array(one, alone)).otherwise(F.array(one))).alias("__k")).select(*groups, "__k.*")
+    first = rows.where(F.col(v).isNotNull()).groupBy(*groups, cdr3).agg(F.min_by(v, order_by).alias("__v"))
+    return counts.unionByName(first.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("n")).select(*groups, F.lit("gene_first").alias("kind"), "n"))
+
+
+def _shapes(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups, kind, keys, total, entropy, squares, top, gini) from how often each count
+    occurs, of which there are few."""
+    often = counts.groupBy(*groups, "kind", "n").agg(F.count(F.lit(1)).alias("c"))
+    places = often.withColumn("upto", F.sum("c").over(Window.partitionBy(*groups, "kind").orderBy("n")))
+    n, c = F.col("n").cast("double"), F.col("c").cast("double")
+    total, keys = F.sum(n * c), F.sum(c)
+    spread = F.log(total) - F.sum(F.when(n > 0, c * n * F.log(n))) / total
+    even = 2 * F.sum(c * (F.col("upto") - (c - 1) / 2) * n) / (keys * total) - (keys + 1) / keys
+    return places.groupBy(*groups, "kind").agg(
+        F.sum("c").alias("keys"),
+        total.alias("total"),
+        F.coalesce(F.when(spread > 1e-12, spread), F.lit(0.0)).alias("entropy"),
+        F.when(total > 0, F.sum(n * n * c) / (total * total)).alias("squares"),
+        ratio(F.max("n"), total).alias("top"),
+        F.coalesce(F.when(total > 0, even), F.lit(0.0)).alias("gini"),
+    )
 
 
 def repertoire_metrics(rows: DataFrame, *, groupby: str | Sequence[str], weighting: str, order_by: str, cell: str = "cell_id", cdr3: str = "cdr3aa", clonotype: str = "clonotype_id", v: str = "v_call", productive: str = "productive", chain: str | None = None) -> DataFrame:
@@ -134,54 +164,53 @@ def repertoire_metrics(rows: DataFrame, *, groupby: str | Sequence[str], weighti
     frame = stage(chain_rows(rows, chain).select(*dict.fromkeys([*groups, cell, cdr3, clonotype, v, productive, order_by])), "repertoire-rows")
     has = F.col(cdr3).isNotNull()
     n = F.length(cdr3)
+    shapes = _shapes(_unit_counts(frame.where(has), groups, weighting, cell, cdr3, clonotype, v, order_by), groups)
+    # the group's own figures and one row a kind meet in one aggregation, where NULL is a group
     base = frame.groupBy(*groups).agg(
-        F.count_if(has).alias("receptor_bearing_row_count"),
-        F.count_distinct(F.when(has, F.col(cell))).alias("unique_cell_count"),
-        F.count_distinct(cdr3).alias("unique_cdr3_richness"),
-        F.count_distinct(F.when(has, F.col(clonotype))).alias("__clonotypes"),
-        F.avg(n).alias("mean_cdr3aa_length"),
-        F.median(n).alias("median_cdr3aa_length"),
-        F.avg(F.col(productive).cast("double")).alias("productive_fraction"),
-        F.max(has & F.col(clonotype).isNotNull()).alias("__has"),
+        F.count_if(has).alias("rows"),
+        F.avg(n).alias("mean_length"),
+        F.median(n).alias("median_length"),  # few different lengths
+        F.avg(F.col(productive).cast("double")).alias("productive"),
     )
-    kept = join_groups(frame.where(has), base.select(*groups, "__has"), groups)
-    kept = kept.withColumn("__identity", F.when(F.col("__has"), F.col(clonotype)).otherwise(F.col(cdr3)))
-    count = lambda identity: _identity_counts(kept, groups, identity, weighting, cell, cdr3, clonotype, order_by)
-    kept = kept.withColumn("__cdr3", F.col(cdr3))
-    clones, sequences, genes = count("__identity"), count("__cdr3"), count(v)
-    total = F.sum("n")
-    squares = F.sum(F.col("n").cast("double") * F.col("n")) / (total.cast("double") * total)
-    shape = clones.groupBy(*groups).agg(
-        entropy(F.col("n")).alias("shannon_entropy"), F.when(total > 0, 1 - squares).alias("__simpson"),
-        F.when(total > 0, 1 / squares).alias("__inverse"), ratio(F.max("n"), total).alias("__dominant"),
-    )
-    shape = join_groups(shape, gini(clones, groups, "n"), groups)
-    top = sequences.groupBy(*groups).agg(ratio(F.max("n"), total).alias("__cdr3_dominant"))
-    usage = genes.groupBy(*groups).agg(F.count(F.lit(1)).alias("__genes"), ratio(F.max("n"), total).alias("top_trbv_fraction"))
-    out = base
-    for part in (shape, top, usage):
-        out = join_groups(out, part, groups)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    known = F.coalesce("__has", F.lit(False))
-    return out.select(
+    both = base.withColumn("kind", F.lit("base")).unionByName(shapes, allowMissingColumns=True)
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{c}")
+    kinds = ("clonotype", "sequence", "gene", *("sequence_first", "gene_first") * (weighting == "clonotype"))
+    wide = both.groupBy(*groups).agg(
+        *[of("base", c) for c in ("rows", "mean_length", "median_length", "productive")],
+        of("cell", "keys"),
+        *[of(k, c) for k in kinds for c in ("keys", "total", "entropy", "squares", "top", "gini")],
+    )
+    col = F.col
+    known = F.coalesce(col("clonotype_keys") > 0, F.lit(False))
+
+    def sequence(c: str):
+        return F.when(col("sequence_total") > 0, col(f"sequence_{c}")).otherwise(col(f"sequence_first_{c}")) if weighting == "clonotype" else col(f"sequence_{c}")
+
+    def gene(c: str):
+        return F.when(col("gene_total") > 0, col(f"gene_{c}")).otherwise(col(f"gene_first_{c}")) if weighting == "clonotype" else col(f"gene_{c}")
+
+    clone = lambda c: F.when(known, col(f"clonotype_{c}")).otherwise(sequence(c))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    count = lambda c: F.coalesce(c, F.lit(0))
+    return wide.select(
         *groups,
         F.lit(weighting).alias("weighting"),
         F.when(known, "clonotype_id").otherwise("cdr3aa_sequence").alias("diversity_identity"),
         (~known).alias("clonotype_fallback"),
-        "receptor_bearing_row_count",
-        "unique_cell_count",
-        "unique_cdr3_richness",
-        F.when(known, F.col("__clonotypes")).alias("clonotype_richness"),
-        F.col("unique_cdr3_richness").alias("sequence_based_clonotype_richness"),
-        zero("shannon_entropy").alias("shannon_entropy"),
-        zero("__simpson").alias("simpson_diversity"),
-        zero("__inverse").alias("inverse_simpson_diversity"),
-        zero("__cdr3_dominant").alias("dominant_cdr3_fraction"),
-        F.when(known, F.col("__dominant")).alias("dominant_clonotype_fraction"),
-        "mean_cdr3aa_length",
-        "median_cdr3aa_length",
-        "productive_fraction",
-        F.coalesce("__genes", F.lit(0)).alias("trbv_richness"),
-        "top_trbv_fraction",
-        zero("gini").alias("gini_clonality"),
+        col("base_rows").alias("receptor_bearing_row_count"),
+        count(col("cell_keys")).alias("unique_cell_count"),
+        count(col("sequence_keys")).alias("unique_cdr3_richness"),
+        F.when(known, col("clonotype_keys")).alias("clonotype_richness"),
+        count(col("sequence_keys")).alias("sequence_based_clonotype_richness"),
+        zero(clone("entropy")).alias("shannon_entropy"),
+        zero(1 - clone("squares")).alias("simpson_diversity"),
+        zero(F.try_divide(F.lit(1.0), clone("squares"))).alias("inverse_simpson_diversity"),
+        zero(sequence("top")).alias("dominant_cdr3_fraction"),
+        F.when(known, col("clonotype_top")).alias("dominant_clonotype_fraction"),
+        col("base_mean_length").alias("mean_cdr3aa_length"),
+        col("base_median_length").alias("median_cdr3aa_length"),
+        col("base_productive").alias("productive_fraction"),
+        count(gene("keys")).alias("trbv_richness"),
+        gene("top").alias("top_trbv_fraction"),
+        zero(clone("gini")).alias("gini_clonality"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clonoform.functions.grouped import ratio
 from clonoform.functions.scalars import natural_key
+from clonoform.sources.staging import stage
 
 
 def _positive(n: int | None, name: str) -> None:
@@ -33,6 +34,23 @@ def rfu_zscore(dense: DataFrame, top_n: int | None = 50, rfu: str = "rfu_label",
     return own.join(stats, rfu).withColumn("z", z).drop("__m", "__sd")
 
 
+def sparse_zscore(matrix: DataFrame, samples: DataFrame, *, sample: str, top_n: int | None = 50, rfu: str = "rfu_label", value: str = "value") -> DataFrame:
+    """``rfu_zscore`` of a sparse matrix in which zeros are left out: (sample, rfu, value, z)
+    of all ``samples``. Means and deviations come from the entries, with what the zeros add;
+    only the chosen RFUs meet all samples. RFUs without entries aren't chosen."""
+    _positive(top_n, "top_n")
+    own = stage(matrix.select(sample, rfu, F.col(value).cast("double").alias("value")).where("value <> 0"), "sparse-entries")
+    names = stage(samples.select(sample).distinct(), "sample-names")
+    n = F.lit(float(names.count()))
+    sums = own.groupBy(rfu).agg(F.sum(F.abs("value")).alias("__t"), (F.sum("value") / n).alias("__m"))
+    chosen = sums if top_n is None else sums.orderBy(F.desc("__t"), rfu).limit(top_n)
+    some = own.join(chosen if top_n is None else F.broadcast(chosen), rfu)
+    gap = F.col("value") - F.col("__m")
+    stats = some.groupBy(rfu, "__m").agg(F.sqrt((F.sum(gap * gap) + (n - F.count(F.lit(1))) * F.col("__m") * F.col("__m")) / n).alias("__sd"))
+    full = names.join(stats if top_n is None else F.broadcast(stats), F.lit(True)).join(own, [sample, rfu], "left").na.fill(0.0, ["value"])
+    return full.select(sample, rfu, "value", F.when(F.col("__sd") > 1e-12, gap / F.col("__sd")).otherwise(0.0).alias("z"))
+
+
 def phenotype_top(coupling: DataFrame, phenotype: str, top_n: int | None = 50, min_prevalence: float = 0.0, rfu: str = "rfu_label", value: str = "phenotype_specific_proportion") -> DataFrame:
     """Coupling values of RFUs seen in a share of phenotypes, then of the largest totals."""
     _positive(top_n, "top_n")

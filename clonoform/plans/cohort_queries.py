@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clonoform.functions.fingerprints import digest
 from clonoform.functions.grouped import entropy, ratio
 from clonoform.functions.order_statistics import gini
 from clonoform.operators import coverage, evidence, longitudinal, metrics, phenotype, robustness, samples, similarity, tables
 from clonoform.plans.base import WITH_ASSIGNED, V, assigned, cells, contigs, final, query, sampled, sql_natural, sql_shannon
-from clonoform.sources.fixtures import centroid_reference, view
+from clonoform.sources.fixtures import centroid_reference, load, view
 
 A = WITH_ASSIGNED
 S = f"{A}, s AS (SELECT * FROM assigned WHERE sample_id IS NOT NULL)"
@@ -297,7 +298,8 @@ def _(spark, sf_dir):
 
 @query("rfu_zscore", final(f"{BULK}, {GRID}, t AS (SELECT rfu_label FROM b GROUP BY rfu_label ORDER BY sum(n) DESC, rfu_label LIMIT 15) SELECT sample_id, rfu_label, n AS value, CASE WHEN stddev_pop(n) OVER w > 1e-12 THEN (n - avg(n) OVER w) / stddev_pop(n) OVER w ELSE 0 END AS z FROM grid WHERE rfu_label IN (SELECT rfu_label FROM t) WINDOW w AS (PARTITION BY rfu_label)", "sample_id rfu_label value:d z:d"))
 def _(spark, sf_dir):
-    return tables.rfu_zscore(samples.densify(bulk(spark, sf_dir), "sample_id").drop("n"), 15)
+    own = bulk(spark, sf_dir)
+    return tables.sparse_zscore(own.matrix, own.sample_metadata, sample="sample_id", top_n=15)
 
 
 @query("phenotype_top", final(f"{COUPLING}, k AS (SELECT rfu_label FROM o GROUP BY rfu_label HAVING avg(CAST(phenotype_specific_proportion > 0 AS INT)) >= 0.5 ORDER BY round(sum(phenotype_specific_proportion), 9) DESC, rfu_label LIMIT 10) SELECT * FROM o WHERE rfu_label IN (SELECT rfu_label FROM k)", "rfu_label cell_type phenotype_specific_proportion:d"))
@@ -343,11 +345,21 @@ def _(spark, sf_dir):
     return coverage.reference_coverage(coverage.with_status(assigned(spark, sf_dir)), groupby="cohort")
 
 
-@query("reference_fingerprint", "SELECT count(*) AS n_rfus, sha256(string_agg(h, '' ORDER BY h) || '|threshold=0.25') AS reference_id FROM (SELECT sha256(CAST(vec_id + 1 AS VARCHAR) || '|' || array_to_string(list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(CAST(floor(x * 1000000 + 0.5) AS BIGINT) AS VARCHAR)), ',')) AS h FROM embeddings) t")
+_ROW = "sha256(CAST(vec_id + 1 AS VARCHAR) || '|' || array_to_string(list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(CAST(floor(x * 1000000 + 0.5) AS BIGINT) AS VARCHAR)), ','))"
+_LIMBS = " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+
+
+@query("reference_fingerprint", f"SELECT count(*) AS n_rfus, sha256({_LIMBS} || '|threshold=0.25') AS reference_id FROM (SELECT {_ROW} AS h FROM embeddings) t")
 def _(spark, sf_dir):
     return coverage.reference_fingerprint(centroid_reference(spark, sf_dir), "threshold=0.25")
 
 
+@query("reference_parts", f"SELECT cluster_size, count(*) AS n_rfus, sha256({_LIMBS}) AS part_id FROM (SELECT vec_id % 7 + 1 AS cluster_size, {_ROW} AS h FROM embeddings) t GROUP BY cluster_size")
+def _(spark, sf_dir):
+    parts = coverage.reference_parts(centroid_reference(spark, sf_dir), ["cluster_size"])
+    return parts.select("cluster_size", F.col("n_rows").alias("n_rfus"), digest(F.col("limbs")).alias("part_id"))
+
+
 @query("transfer_cohort", final(f"{A} SELECT cohort, count(*) AS n_rows, count(DISTINCT sample_id) AS n_samples, count(rfu_label) AS n_assigned, count(*) FILTER (WHERE pass_thr) AS n_covered, count(DISTINCT rfu_label) AS n_observed_rfus, (SELECT count(*) FROM embeddings) AS n_reference_rfus, count(*) FILTER (WHERE pass_thr) * 1.0 / count(*) AS coverage, count(DISTINCT rfu_label) * 1.0 / (SELECT count(*) FROM embeddings) AS rfu_share FROM assigned WHERE cohort IS NOT NULL GROUP BY cohort", "cohort n_rows:i n_samples:i n_assigned:i n_covered:i n_observed_rfus:i n_reference_rfus:i coverage:d rfu_share:d"))
 def _(spark, sf_dir):
     labels = centroid_reference(spark, sf_dir).select(F.concat(F.lit("RFU"), F.col("rfu_id").cast("string")).alias("rfu_label"))
@@ -394,6 +406,14 @@ def _(spark, sf_dir):
     return longitudinal.missing_visits(plan(spark, sf_dir), donor="donor_id", time="timepoint")
 
 
+@query("longitudinal_gaps", """WITH plan AS (SELECT DISTINCT o_custkey AS customer, year(o_orderdate) AS timepoint FROM orders) SELECT d.customer, CAST(t.timepoint AS BIGINT) AS timepoint FROM (SELECT DISTINCT customer FROM plan) d CROSS JOIN (SELECT DISTINCT timepoint FROM plan) t ANTI JOIN plan USING (customer, timepoint)""")
+def _(spark, sf_dir):
+    """Visits by customer: no customer orders in every year, at any scale."""
+    visits = load(spark, sf_dir, "orders").select(F.concat_ws("_", "o_custkey", F.year("o_orderdate")).alias("sample_id"), F.col("o_custkey").alias("customer"), F.year("o_orderdate").alias("timepoint"))
+    own = longitudinal.design(visits, sample="sample_id", donor="customer", time="timepoint")
+    return longitudinal.missing_visits(own, donor="customer", time="timepoint")
+
+
 def similar(spark, sf_dir) -> DataFrame:
     return longitudinal.similarity_pairs(overlaps(spark, sf_dir, "cosine"), plan(spark, sf_dir), **KEYS)
 
