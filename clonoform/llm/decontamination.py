@@ -286,22 +286,22 @@ def _item_words(test: DataFrame) -> DataFrame:
     return stage(test.select(F.col("block").cast("long").alias("block"), "text").mapInArrow(run, "block long, word binary, length long"), "item-words")
 
 
-def _built_indexes(test: DataFrame, size: int) -> DataFrame:
+def _built_indexes(test: DataFrame, size: int, several: bool) -> DataFrame:
     """(block, part, bytes): the index of each block of items, built in a task of its own.
-    The frequencies of a block's words in all items come along with the items."""
-    found = _item_words(test)
-    n, total, longest = found.where("word is null").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("length"), F.lit(0))).first()
-    inside = found.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    used = found.where("word is not null").select("block", "word").distinct().join(inside, "word")
+    Where there are several, the frequencies of a block's words in all items come along with
+    the items."""
     no = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    rows = test.select("block", "item_id", "text", no("binary", "word"), no("long", "n")).unionByName(used.select("block", no("long", "item_id"), no("string", "text"), "word", "n"))
+    rows, counts = test.select("block", "item_id", "text", no("binary", "word"), no("long", "n")), None
+    if several:
+        counts, used = _frequencies(test)
+        rows = rows.unionByName(used.select("block", no("long", "item_id"), no("string", "text"), "word", "n"))
 
     def build(batch: pa.Table) -> pa.Table:
         kinds = batch.column("word").is_valid()
         frequencies, items = batch.filter(kinds), batch.filter(pa.compute.invert(kinds))
-        corpus = Corpus(n, total, longest, dict(zip(frequencies.column("word").to_pylist(), frequencies.column("n").to_pylist(), strict=True)))
+        words = dict(zip(frequencies.column("word").to_pylist(), frequencies.column("n").to_pylist(), strict=True))
         own = list(zip(items.column("item_id").to_pylist(), items.column("text").to_pylist(), strict=True))
-        blob = pickle.dumps(Bm25Index(own, size, corpus=corpus), pickle.HIGHEST_PROTOCOL)
+        blob = pickle.dumps(Bm25Index(own, size, corpus=counts and Corpus(*counts, words)), pickle.HIGHEST_PROTOCOL)
         parts = [blob[lo : lo + CHUNK] for lo in range(0, len(blob), CHUNK)]
         block = batch.column("block")[0].as_py()
         return pa.table([pa.array([block] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "part", "bytes"])
@@ -309,6 +309,15 @@ def _built_indexes(test: DataFrame, size: int) -> DataFrame:
     return stage(rows.groupBy("block").applyInArrow(build, INDEX), "item-indexes")
 
 
+def _frequencies(test: DataFrame) -> tuple[tuple[int, int, int], DataFrame]:
+    """How many items have words, their words in total and the longest; and (block, word, n):
+    in how many items each word of a block is."""
+    found = _item_words(test)
+    n, total, longest = found.where("word is null").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("length"), F.lit(0))).first()
+    inside = found.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return (n, total, longest), found.where("word is not null").select("block", "word").distinct().join(inside, "word")
+
+
 def _indexes(spark: SparkSession, items: DataFrame, size: int, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
     """Broadcast indexes, one after the other, of about ``block_bytes`` of item text each, the
     rows of an item_id in one of them, and whether there are several: then each goes once the
@@ -316,11 +325,11 @@ def _indexes(spark: SparkSession, items: DataFrame, size: int, block_bytes: int)
     test = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = test.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    built = _built_indexes(test.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), size)
+    built = _built_indexes(test.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), size, blocks > 1)
     names = sorted(r["block"] for r in built.where("part = 0").select("block").collect())
     for k in names:
-        parts = built.where(F.col("block") == k).orderBy("part").select("bytes").collect()
-        shared = spark.sparkContext.broadcast(b"".join(r["bytes"] for r in parts))
+        parts = sorted((r["part"], r["bytes"]) for r in built.where(F.col("block") == k).select("part", "bytes").collect())
+        shared = spark.sparkContext.broadcast(b"".join(p for _, p in parts))
         yield shared, len(names) > 1
         if len(names) > 1:
             shared.destroy()

@@ -296,7 +296,7 @@ def test_the_driver_holds_one_index_at_a_time(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k in range(7, 10_000, 1000)]
-    assert peak < 8e6  # 2.4 MB of items make indexes of over 15 MB
+    assert peak < 13e6  # some four times an index, of which there are six
 
 
 def test_rows_are_alike_for_any_number_of_indexes(spark):
