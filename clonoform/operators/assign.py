@@ -261,14 +261,21 @@ def assign(queries: DataFrame, scorers: list[Scorer | WideScorer], threshold: fl
     return queries.join(score(queries, scorers), "cdr3aa").select("*", S.rfu_label(F.col("rfu_id")).alias("rfu_label"), (F.col("rfu_score") >= threshold).alias("pass_thr"))
 
 
+def known_scores(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """The store's rows for the staged sequences of a batch, in one scan of the store. The
+    comparison, which holds for every text, marks the batch as the selective side, for which
+    Spark puts a Bloom filter of it on the scan of a large store."""
+    return store.join(batch.where(F.col("cdr3aa") >= ""), "cdr3aa", "left_semi")
+
+
 def assign_incremental(queries: DataFrame, store: DataFrame, scorers: list[Scorer | WideScorer], reference_id: str, threshold: float = 0.6, force: bool = False) -> DataFrame:
     """Reuse stored scores of the same reference and compute only the rest. ``store`` holds
     reference_id, cdr3aa, rfu_id, rfu_score; the ``reused`` flag tells the two apart. A store
     too large to shuffle is filtered in its scan by a Bloom filter of the batch
     (``spark.sql.optimizer.runtime.bloomFilter``, on by default from 10 GB)."""
     own = store.where((F.col("reference_id") == reference_id) & F.lit(not force)).select("cdr3aa", "rfu_id", "rfu_score")
-    # the store is read once; a semi join lets Spark filter a large store's scan by the batch
-    known = own.join(queries.select("cdr3aa").distinct(), "cdr3aa", "left_semi").dropDuplicates(["cdr3aa"]).withColumn("reused", F.lit(True))
+    batch = stage(queries.select("cdr3aa").distinct(), "batch")
+    known = known_scores(own, batch).dropDuplicates(["cdr3aa"]).withColumn("reused", F.lit(True))
     both = stage(queries.join(known, "cdr3aa", "left"), "known-scores")
     rest = both.where("reused is null").drop("rfu_id", "rfu_score", "reused")
     new = rest.join(score(rest, scorers), "cdr3aa").withColumn("reused", F.lit(False))

@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonoform.operators import canonical, metrics
+from clonoform.operators import adapters, canonical, metrics
 from clonoform.plans import workflows
-from clonoform.plans.base import CANON, WITH_ASSIGNED, WITH_CONTIGS, assigned, cells, contigs, final, query, sampled
-from clonoform.plans.receptor_queries import CELLRANGER, CELLRANGER_ROWS, CHOSEN, RECEPTOR_COLUMNS, SCORES, THRESHOLD, cellranger, scorers
+from clonoform.plans.base import CANON, WITH_ASSIGNED, WITH_CONTIGS, V, assigned, cells, contigs, final, query, sampled
+from clonoform.plans.receptor_queries import AIRR, CELLRANGER, CELLRANGER_ROWS, CHOSEN, FIRST_ROW, RECEPTOR_COLUMNS, ROW_NAME, SCORES, SLOTS, THRESHOLD, WELLS, WIDE, cellranger, scorers, wide
 from clonoform.sources import tables as io
 from clonoform.sources.staging import new_path
 
@@ -73,3 +73,99 @@ def _(spark, sf_dir):
     rows = sampled(spark, sf_dir).drop(*[c for c in metadata.columns if c != "cell_id"])
     out = workflows.downstream_analysis(rows, metadata, new_path(spark, "downstream"), sample="sample_id", phenotype_key="cohort", order_by="source_order")
     return out["pseudobulk_counts"]
+
+
+# --- registry, named tables, prefixes, run manifests ------------------------------------------------
+NAMED = "input_row_id cell_id chain cdr3aa v_call productive umi_count:i read_count:i"
+
+
+@query("named_tables", final(f"{AIRR} SELECT {ROW_NAME} AS input_row_id, cell_id, chain, cdr3aa, v_call, productive, umis AS umi_count, reads AS read_count FROM chosen WHERE best = 1", NAMED))
+def _(spark, sf_dir):
+    """The receptors of one table of several, checked against the cells of another."""
+    source = {"airr": contigs(spark, sf_dir).drop("raw_clonotype_id"), "cells": cells(spark, sf_dir)}
+    made = adapters.prepare_receptors(source, "airr", receptors="airr", cells="cells", order_by="source_order", chain="TRB")
+    return made.receptors.select(*[c.split(":")[0] for c in NAMED.split()])
+
+
+
+
+@query(
+    "adapter_registry",
+    final(
+        f"""{WELLS.replace("chosen", "wells_chosen")}, {CANON}, {AIRR.split(f"{CANON}, ")[1].replace("chosen", "airr_chosen")}, {CHOSEN},
+ n AS (SELECT 'cellranger_vdj' AS adapter, count(*) AS n_rows, count(DISTINCT cell_id) AS n_cells FROM chosen WHERE best = 1
+ UNION ALL SELECT name, count(*), count(DISTINCT cell_id) FROM airr_chosen, (SELECT unnest(['generic_airr_dataframe', 'scirpy_airr']) AS name) a WHERE best = 1 GROUP BY name
+ UNION ALL SELECT 'wells_tcr_ir', count(*), count(DISTINCT cell_id) FROM wells_chosen WHERE best = 1) SELECT * FROM n""",
+        "adapter n_rows:i n_cells:i",
+    ),
+)
+def _(spark, sf_dir):
+    """What each registered adapter makes of its kind of source."""
+    out = None
+    for name in adapters.list_receptor_adapters():
+        source = wide(spark, sf_dir) if name == "wells_tcr_ir" else contigs(spark, sf_dir)
+        options = {} if name == "wells_tcr_ir" else {"order_by": "source_order"}
+        made = adapters.prepare_receptors(source, name, chain="TRB", **options)
+        one = made.receptors.agg(F.lit(name).alias("adapter"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("cell_id").alias("n_cells"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("prefix_read", final(f"{V('cells')} SELECT cell_id, sample_id, o FROM (SELECT *, CAST(substr(cell_id, 6) AS BIGINT) AS o FROM cells) t ORDER BY o LIMIT 500", "cell_id sample_id o:i"))
+def _(spark, sf_dir):
+    """The first 500 cells in source order, as for a trial run."""
+    own = cells(spark, sf_dir).withColumn("o", F.substr("cell_id", F.lit(6)).cast("long"))
+    return io.select_rows(own, key="cell_id", columns=["sample_id"], max_rows=500, order_by="o")
+
+
+_TRB = f"{WITH_CONTIGS}, {CANON}, runs AS (SELECT source_order % 7 AS run, count(*) AS receptor_rows, count(*) FILTER (WHERE cdr3aa LIKE 'C%') AS eligible_rows, count(DISTINCT cdr3aa) FILTER (WHERE cdr3aa LIKE 'C%') AS unique_queries FROM canon GROUP BY 1)"
+
+
+@query("run_manifests", final(f"{_TRB} SELECT receptor_rows, CASE WHEN run % 2 = 0 THEN eligible_rows END AS eligible_rows, unique_queries, receptor_rows * 1.0 / nullif(unique_queries, 0) AS deduplication_ratio FROM runs", "receptor_rows:i eligible_rows:i unique_queries:i deduplication_ratio:d"))
+def _(spark, sf_dir):
+    """One manifest a run, under the names of two formats, read back as rows."""
+    rows = contigs(spark, sf_dir).select((F.col("source_order") % 7).alias("run"), F.when(F.lower(F.trim("cdr3")) != "nan", F.trim("cdr3")).alias("cdr3aa"))
+    ok = F.col("cdr3aa").startswith("C")
+    n = rows.groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("eligible"), F.count_distinct(F.when(ok, F.col("cdr3aa"))).alias("unique"))
+    flat = F.to_json(F.struct(F.col("rows").alias("receptor_row_count"), F.col("eligible").alias("eligible_row_count"), F.col("unique").alias("unique_query_count")))
+    nested = F.to_json(F.struct(F.struct(F.col("rows").alias("selected_receptor_row_count")).alias("qc"), F.col("unique").alias("unique_queries")))
+    path = new_path(spark, "runs")
+    n.select("run", F.when(F.col("run") % 2 == 0, flat).otherwise(nested).alias("value")).repartition(F.col("run")).write.partitionBy("run").text(path)
+    return io.combine_manifests(spark, f"{path}/run=*/*.txt").drop("file")
+
+
+WELLS_CTE = "wells_wide AS " + WIDE.split("wells_wide AS ", 1)[1]
+
+
+# --- further workflows --------------------------------------------------------------------------------
+@query(
+    "atlas_workflow",
+    final(
+        f"""{SCORES}, {WELLS_CTE}, {SLOTS}, picked AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY dup DESC NULLS LAST, con DESC NULLS LAST, slot_order) AS best FROM slots WHERE chain = 'TRB' AND productive)
+ SELECT cell_id, picked.cdr3aa AS cdr3aa, picked.v_call, source_slot, rfu_id, rfu_score, pass_thr FROM picked LEFT JOIN scored ON picked.cdr3aa = scored.cdr3aa WHERE best = 1""",
+        "cell_id cdr3aa v_call source_slot rfu_id:i rfu_score:d pass_thr",
+    ),
+)
+def _(spark, sf_dir):
+    own = wide(spark, sf_dir).withColumn("place", F.substr("cell_id", F.lit(6)).cast("long"))
+    out = workflows.atlas_workflow(own, new_path(spark, "atlas"), scorers=scorers(spark, sf_dir), order_by="place", columns=["place"], threshold=THRESHOLD)
+    return out["per_row"].select("cell_id", "cdr3aa", "v_call", "source_slot", "rfu_id", "rfu_score", "pass_thr")
+
+
+@query("two_files", final(f"{V('contigs', 'cells')} SELECT m.cell_id, coalesce(t.chain, '') AS chain, coalesce(nullif(t.cdr3, ''), '') AS cdr3aa, coalesce(t.v_gene, '') AS v_call, coalesce(lower(t.productive) IN ('true', 't', '1', 'yes', 'productive'), false) AS productive FROM cells m LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY barcode ORDER BY CAST(upper(chain) = 'TRB' AS INT) DESC, CAST(lower(productive) IN ('true', 't', '1', 'yes', 'productive') AS INT) DESC, source_order) AS best FROM contigs) t ON t.barcode = m.cell_id AND t.best = 1", "cell_id chain cdr3aa v_call productive"))
+def _(spark, sf_dir):
+    """Receptors written in source order to a folder of files of different sizes, and cells."""
+    tcr, meta = new_path(spark, "tcr.csv"), new_path(spark, "meta.csv")
+    rows = contigs(spark, sf_dir).select("barcode", "chain", "cdr3", "v_gene", "productive", "source_order")
+    rows.repartitionByRange(3, "source_order").sortWithinPartitions("source_order").drop("source_order").write.option("header", True).csv(tcr)
+    cells(spark, sf_dir).select("cell_id", "sample_id").write.option("header", True).csv(meta)
+    return workflows.prepare_two_files(spark, tcr, meta)[0]
+
+
+@query("attached_summary", final(f"{WITH_ASSIGNED}, {CANON}, f AS (SELECT * FROM {FIRST_ROW} t WHERE k = 1 AND cell_id IN (SELECT cell_id FROM canon WHERE chain = 'TRB' AND productive)), j AS (SELECT m.cohort, f.rfu_label FROM cells m LEFT JOIN f ON m.cell_id = f.cell_id) SELECT cohort, rfu_label, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY cohort) AS value FROM j WHERE cohort IS NOT NULL AND rfu_label IS NOT NULL GROUP BY cohort, rfu_label", "cohort rfu_label value:d"))
+def _(spark, sf_dir):
+    best = adapters.primary_chain(assigned(spark, sf_dir), [])
+    results = best.select("cell_id", "rfu_label", "rfu_score")
+    airr = contigs(spark, sf_dir).select(F.col("barcode").alias("cell_id"), "chain", F.col("cdr3").alias("cdr3aa"), F.col("v_gene").alias("v_call"), "productive", "source_order")
+    out = workflows.attached_summary(airr, cells(spark, sf_dir).select("cell_id", "cohort"), results, new_path(spark, "attached"), order_by="source_order", groupby="cohort")
+    return out["rfu_by_cohort"]

@@ -141,7 +141,8 @@ PREPARED = {
 
 def prepare_two_files(spark: SparkSession, receptors_path: str, metadata_path: str, **overrides: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(representative AIRR row of each cell, cell metadata, report) from two delimited files.
-    ``overrides`` name a receptor column outright. The file order is the source order."""
+    ``overrides`` name a receptor column outright. The file order is the source order; the
+    files of a folder follow each other in the natural order of their names."""
     squeeze = lambda name: "".join(c for c in name.lower() if c.isalnum())
     tcr, meta = io.read_delimited(spark, receptors_path), io.read_delimited(spark, metadata_path)
 
@@ -156,6 +157,11 @@ def prepare_two_files(spark: SparkSession, receptors_path: str, metadata_path: s
     key = find(meta, "cell_id") if "cell_id" not in overrides else next((c for c in meta.columns if squeeze(c) in map(squeeze, PREPARED["cell_id"])), None)
     if missing or key is None:
         raise ValueError(f"columns not found: {missing or ['metadata cell_id']}")
-    rows = tcr.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(t) for t, c in found.items()], F.monotonically_increasing_id().alias("source_order"))
+    # Spark packs files by size: a row's place is its file, the block of the file, and its place
+    # among the rows of the task that reads the block
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__in_task")]
+    placed = tcr.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(t) for t, c in found.items()], *place)
+    numbered = row_numbers(placed, [S.natural_key(F.col("__file")), F.col("__block"), F.col("__in_task")])
+    rows = numbered.withColumnRenamed("__row", "source_order").drop("__file", "__block", "__in_task")
     cells = meta.withColumnRenamed(key, "cell_id")
     return adapters.representative_rows(rows, cells, "source_order"), cells, quality.prepare_report(rows, cells)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clonoform.functions.fingerprints import digest, fingerprint, merged, row_text
 from clonoform.functions.scalars import natural_key
 from clonoform.operators.canonical import SCHEMA_VERSION, canonicalize, validate_receptors
 
@@ -42,11 +43,6 @@ def select_rows(df: DataFrame, *, key: str, columns: Sequence[str] | None = None
     return out
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """n_rows and an order-free content sum of a table."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("content"))
-
-
 def cache_manifest(receptors: DataFrame, cells: DataFrame) -> DataFrame:
     """The counts that a cache's manifest holds."""
     counts = receptors.agg(F.count(F.lit(1)).alias("receptor_row_count"), F.count_distinct("cell_id").alias("receptor_cell_count"), F.count_distinct("chain").alias("chain_count"), F.count_if(F.col("productive")).alias("productive_row_count"))
@@ -57,9 +53,41 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+#: The tables of a cache and the column that each is partitioned by.
+CACHE_TABLES = {"receptors": "chain", "cells": None}
+#: Fixed value: the folder name that Spark gives to NULL in a partition column.
+NULL_PART = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _part(column: str | None) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(NULL_PART)) if column else F.lit("")
+
+
+def _parts_of(spark: SparkSession, path: str, name: str, parts: Sequence[str] | None = None) -> DataFrame:
+    """(name, part, n_rows, limbs) of a cache's table as it is now; of some parts, only these
+    are read."""
+    column = CACHE_TABLES[name]
+    df = spark.read.parquet(f"{path}/{name}")
+    if parts is not None and column:
+        chosen = [p for p in parts if p != NULL_PART]
+        keep = F.col(column).isin(chosen) if chosen else F.lit(False)
+        df = df.where(keep | F.col(column).isNull() if NULL_PART in parts else keep)
+    text = row_text(sorted(df.columns))
+    return fingerprint(df.withColumn("part", _part(column)), text, ["part"]).select(F.lit(name).alias("name"), "part", "n_rows", "limbs")
+
+
+def _files_of(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(name, part, file, length, modified) of a cache's table; no content is read."""
+    column = CACHE_TABLES[name]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{path}/{name}")
+    part = F.url_decode(F.regexp_extract("path", rf"/{column}=([^/]*)/", 1)) if column else F.lit("")
+    return files.select(F.lit(name).alias("name"), part.alias("part"), F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.col("modificationTime").cast("double").alias("modified"))
+
+
 def write_cache(path: str, receptors: DataFrame, cells: DataFrame, force: bool = False) -> dict:
-    """Validate, write both tables and a manifest with counts and fingerprints. An existing
-    cache raises unless ``force``."""
+    """Validate and write both tables and a manifest: counts and fingerprints in total, one
+    fingerprint for each partition, and the size and time of each file. An existing cache
+    raises unless ``force``."""
     spark = receptors.sparkSession
     validate_receptors(receptors, strict=True)
     unknown = receptors.select("cell_id").distinct().join(cells.select("cell_id"), "cell_id", "left_anti").limit(10).collect()
@@ -68,29 +96,45 @@ def write_cache(path: str, receptors: DataFrame, cells: DataFrame, force: bool =
     mode = "overwrite" if force else "errorifexists"
     receptors.write.mode(mode).partitionBy("chain").parquet(f"{path}/receptors")
     cells.write.mode(mode).parquet(f"{path}/cells")
+    for name in CACHE_TABLES:
+        _parts_of(spark, path, name).write.mode("overwrite").parquet(f"{path}/manifest-parts/{name}")
+        _files_of(spark, path, name).write.mode("overwrite").parquet(f"{path}/manifest-files/{name}")
     manifest = {"schema_version": SCHEMA_VERSION}
-    for name in ("receptors", "cells"):
-        r = fingerprint(_columns(spark.read.parquet(f"{path}/{name}"))).first()
-        manifest[name] = {"n_rows": r["n_rows"], "content": r["content"]}
+    for name in CACHE_TABLES:
+        r = merged(spark.read.parquet(f"{path}/manifest-parts/{name}")).select("n_rows", digest(F.col("limbs")).alias("content")).first()
+        manifest[name] = {"n_rows": r["n_rows"] or 0, "content": r["content"]}
     manifest["counts"] = cache_manifest(receptors, cells).first().asDict()
     _write_text(spark, f"{path}/manifest", json.dumps(manifest, sort_keys=True))
     return manifest
 
 
-def _columns(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).cast("string").alias(c) for c in sorted(df.columns)])
+def changed_parts(spark: SparkSession, path: str, name: str) -> list[str]:
+    """The partitions of a cache's table whose files aren't those that were written: another
+    name, size or time."""
+    keys = ["name", "part", "file"]
+    now, then = (df.select(*keys, F.struct("length", "modified").alias(c)) for df, c in ((_files_of(spark, path, name), "now"), (spark.read.parquet(f"{path}/manifest-files/{name}"), "then")))
+    odd = now.join(then, keys, "full").where(~F.col("now").eqNullSafe(F.col("then")))
+    return sorted(r["part"] for r in odd.select("part").distinct().collect())
 
 
-def validate_cache(spark: SparkSession, path: str) -> list[str]:
-    """What is wrong with a cache; empty if nothing is."""
+def validate_cache(spark: SparkSession, path: str, deep: bool = False) -> list[str]:
+    """What is wrong with a cache; empty if nothing is. Only partitions whose files changed
+    are read again, or all of them if ``deep``."""
     try:
         manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
     except Exception as e:
         return [f"no manifest: {type(e).__name__}"]
     out = [] if manifest.get("schema_version") == SCHEMA_VERSION else ["schema version differs"]
-    for name in ("receptors", "cells"):
+    for name in CACHE_TABLES:
         try:
-            r = fingerprint(_columns(spark.read.parquet(f"{path}/{name}"))).first()
+            known = spark.read.parquet(f"{path}/manifest-parts/{name}")
+            parts = None if deep else changed_parts(spark, path, name)
+            if parts == []:
+                continue
+            fresh = _parts_of(spark, path, name, parts)
+            if parts is not None:
+                fresh = fresh.unionByName(known.where(~F.col("part").isin(parts)))
+            r = merged(fresh).select(F.coalesce("n_rows", F.lit(0)).alias("n_rows"), digest(F.col("limbs")).alias("content")).first()
         except Exception as e:
             out.append(f"{name} can't be read: {type(e).__name__}")
             continue

@@ -1,13 +1,16 @@
 """Order statistics, Gini and bounded similarity, held against plain computations."""
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clonoform.functions.fingerprints import digest, fingerprint, merged, row_text
+from clonoform.functions.grouped import ranks
 from clonoform.functions.order_statistics import exact_quantiles, gini
-from clonoform.operators import samples, similarity
+from clonoform.operators import coverage, samples, similarity, tables
 
 QS = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 1.0}
 
@@ -122,3 +125,45 @@ def test_nearest_of_few_samples(spark):
     assert similarity.nearest_samples(m.limit(0), sample="sample", k=2).collect() == []
     with pytest.raises(ValueError, match="positive"):
         similarity.nearest_samples(m, sample="sample", k=0)
+
+
+# --- ranks, fingerprints, sparse z-scores -------------------------------------------------------
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_ranks_of_groups(spark, buckets):
+    rows = [("hot" if i % 10 else None, f"k{i * 7 % 100:03d}") for i in range(100)]
+    got = ranks(spark.createDataFrame(rows, "g string, k string"), ["g"], ["k"], buckets).collect()
+    for g in ("hot", None):
+        own = sorted(k for h, k in rows if h == g)
+        assert {r["k"]: r["__rank"] for r in got if r["g"] == g} == {k: i + 1 for i, k in enumerate(own)}
+
+
+def test_fingerprints_merge(spark):
+    rows = [(i % 3, f"t{i}", None if i % 5 else i) for i in range(60)]
+    df = spark.createDataFrame(rows, "part int, t string, n int")
+    text = row_text(["t", "n"])
+    whole = fingerprint(df, text).first()
+    assert whole == fingerprint(df.repartition(7).orderBy("t"), text).first()
+    assert merged(fingerprint(df, text, ["part"])).first() == whole
+    assert fingerprint(df.union(df.limit(1)), text).first()["limbs"] != whole["limbs"]
+    ids = {fingerprint(spark.createDataFrame([r], "t string, n int"), text).select(digest(F.col("limbs"))).first()[0] for r in [("a", None), ("a-", None), (None, 1), ("", 1), ("a1:", None), ("a", 1)]}
+    assert len(ids) == 6
+    assert merged(fingerprint(df.limit(0), text, ["part"])).first()["limbs"] == ["0"] * 8
+    limbs = [sum(int(hashlib.sha256(f"{len(t)}:{t}{'-' if n is None else f'{len(str(n))}:{n}'}".encode()).hexdigest()[8 * i : 8 * i + 8], 16) for _, t, n in rows) for i in range(8)]
+    assert whole["limbs"] == [str(x) for x in limbs]
+
+
+def test_frozen_reference_from_parts(spark):
+    rows = [(i, [i / 7, -i / 3], i % 2) for i in range(9)]
+    df = spark.createDataFrame(rows, "rfu_id int, vec array<double>, half int")
+    whole = coverage.reference_fingerprint(df, "p").first()
+    assert coverage.frozen_id(coverage.reference_parts(df, ["half"]), "p").first() == whole
+    assert coverage.reference_fingerprint(df, "q").first() != whole and whole["n_rfus"] == 9
+
+
+@pytest.mark.parametrize("top", [2, None])
+def test_zscores_of_sparse_entries(spark, top):
+    sparse = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 3.0), ("a", "y", 2.0), ("b", "y", 2.0), ("c", "y", 2.0), ("c", "w", 0.5)], "sample string, rfu_label string, value double")
+    names = sparse.select("sample").distinct()
+    dense = names.join(sparse.select("rfu_label").distinct(), F.lit(True)).join(sparse, ["sample", "rfu_label"], "left").na.fill(0.0, ["value"])
+    order = lambda df: sorted((r["sample"], r["rfu_label"], r["value"], round(r["z"], 12)) for r in df.collect())
+    assert order(tables.sparse_zscore(sparse, names, sample="sample", top_n=top)) == order(tables.rfu_zscore(dense, top))

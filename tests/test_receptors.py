@@ -219,6 +219,34 @@ def test_cache_round_trip(spark, tmp_path):
     assert io.validate_cache(spark, str(tmp_path / "none"))[0].startswith("no manifest")
 
 
+def test_only_changed_partitions_of_a_cache_are_read(spark, tmp_path):
+    import os
+
+    rows = [(f"b{i}", "true", "true", "TRB" if i % 2 else "TRG", "V1", "True", "CASSF", 5, 50, i) for i in range(40)]
+    out = adapters.adapt_cellranger(contigs(spark, rows), order_by="ord", primary=False, productive_only=False)
+    path = str(tmp_path / "cache")
+    io.write_cache(path, out.receptors, out.cell_metadata)
+    assert [io.changed_parts(spark, path, name) for name in io.CACHE_TABLES] == [[], []] and io.validate_cache(spark, path, deep=True) == []
+    # a file that nothing says was changed isn't read: its content may be spoilt unseen
+    quiet = next((tmp_path / "cache/receptors/chain=TRG").glob("*.parquet"))
+    stat, whole = quiet.stat(), quiet.read_bytes()
+    quiet.write_bytes(b"x" * len(whole))
+    os.utime(quiet, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    assert io.validate_cache(spark, path) == []
+    # another partition's change is seen, and only that partition is read
+    read = spark.read.parquet(f"{path}/receptors/chain=TRB")
+    trb = spark.createDataFrame(read.collect(), read.schema)
+    assert trb.count() == 20
+    trb.limit(19).write.mode("overwrite").parquet(f"{path}/receptors/chain=TRB")
+    assert io.changed_parts(spark, path, "receptors") == ["TRB"] and io.changed_parts(spark, path, "cells") == []
+    assert io.validate_cache(spark, path) == ["receptors has 39 rows instead of 40"]
+    trb.write.mode("overwrite").parquet(f"{path}/receptors/chain=TRB")
+    assert io.validate_cache(spark, path) == []
+    assert io.validate_cache(spark, path, deep=True) != []
+    quiet.write_bytes(whole)
+    assert io.validate_cache(spark, path, deep=True) == []
+
+
 def test_export_read_and_manifests(spark, tmp_path):
     long = spark.createDataFrame([("s1", "RFU10", 1.0), ("s1", "RFU2", 2.0), ("s2", "RFU2", 3.0)], "sample string, rfu_label string, value double")
     assert io.export_matrix(long, str(tmp_path / "m.tsv"), row="sample", sep="\t") == ["RFU2", "RFU10"]

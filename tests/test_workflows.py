@@ -50,6 +50,28 @@ def test_two_file_preparation(spark, tmp_path):
         workflows.prepare_two_files(spark, str(tmp_path / "meta.csv.gz"), str(tmp_path / "meta.csv.gz"))
 
 
+def test_source_order_is_the_order_of_files(spark, tmp_path):
+    """Small files are packed together by size; the order of their rows is that of their names."""
+    (tmp_path / "tcr.csv").mkdir()
+    sizes = {"0.csv": 10, "1.csv": 4_000, "2.csv": 50, "10.csv": 7}
+    want, n = [], 0
+    for name, rows in sizes.items():
+        lines = [f"c{n + i},TRB,CASS{i},V1,true" for i in range(rows)]
+        (tmp_path / "tcr.csv" / name).write_text("cell_id,chain,cdr3,v_gene,productive\n" + "\n".join(lines) + "\n")
+        want += [f"c{n + i}" for i in range(rows)]
+        n += rows
+    (tmp_path / "meta.csv").write_text("cell_id\nc1\n")
+    held = {}
+    original = workflows.adapters.representative_rows
+    workflows.adapters.representative_rows = lambda rows, cells, order: held.update(rows=rows, order=order) or original(rows, cells, order)
+    try:
+        workflows.prepare_two_files(spark, str(tmp_path / "tcr.csv"), str(tmp_path / "meta.csv"))
+    finally:
+        workflows.adapters.representative_rows = original
+    got = held["rows"].orderBy(held["order"]).select("cell_id", "source_order").collect()
+    assert [r["cell_id"] for r in got] == want and [r["source_order"] for r in got] == list(range(n))
+
+
 def test_atlas_workflow(spark, sf_dir, tmp_path):
     wide = view(spark, sf_dir, "wells_wide").withColumn("place", F.substr("cell_id", F.lit(6)).cast("long")).withColumn("expression", F.lit(1))
     scorers = assign.spearman_scorers(trimer_reference(spark, sf_dir), centroid_reference(spark, sf_dir))
