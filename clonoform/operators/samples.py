@@ -141,9 +141,13 @@ def abundances(matrix: DataFrame, *, sample: str, rfu: str = "rfu_label", value:
 def in_parts(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Both sides with a ``part`` to join on beside the key: where a key has many rows on the
     left, each of these goes to one part, and the key's rows on the right go to all of them."""
-    parts = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / MOST_TOGETHER).cast("int").alias("__parts"))
-    a = left.join(parts, key).withColumn("part", F.pmod(F.xxhash64("a"), F.col("__parts")).cast("int")).drop("__parts")
-    b = right.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    many = F.count(F.lit(1))
+    crowded = stage(left.groupBy(key).agg(F.ceil(many / MOST_TOGETHER).cast("int").alias("__parts")).where("__parts > 1"), "crowded-keys")
+    if crowded.isEmpty():
+        return left.withColumn("part", F.lit(0)), right.withColumn("part", F.lit(0))
+    parts = F.coalesce("__parts", F.lit(1))
+    a = left.join(crowded, key, "left").withColumn("part", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("__parts")
+    b = right.join(crowded, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     return a, b
 
 
@@ -192,7 +196,7 @@ def overlap(matrix: DataFrame, samples: DataFrame, *, sample: str, metric: str =
     if metric not in OVERLAPS:
         raise ValueError(f"metric must be one of {OVERLAPS}")
     x, totals = abundances(matrix, sample=sample, rfu=rfu, value=value, min_abundance=min_abundance, normalize=normalize)
-    own = x.join(totals.select("s", "t"), "s")
+    own = stage(x.join(totals.select("s", "t"), "s"), "overlap-rows")
     a, b = in_parts(*(own.select(F.col("s").alias(n), "r", F.col("x").alias(f"x{n}"), F.col("t").alias(f"t{n}")) for n in "ab"), "r")
     shared = a.join(b, ["r", "part"]).where("a <= b").groupBy("a", "b").agg(*shared_sums())
     own = samples.select(F.col(sample).alias("s")).distinct().join(totals, "s", "left").na.fill(0)

@@ -94,6 +94,15 @@ def test_bounded_pairs_are_those_of_all_pairs(spark, whole, metric, strict):
         similarity.similar_samples(m, sample="sample", metric=metric, bound=far)
 
 
+def test_crowded_rfus_are_joined_in_parts(spark, whole, monkeypatch):
+    m, full = whole
+    monkeypatch.setattr(samples, "MOST_TOGETHER", 4)
+    got = {(r[0], r[1]): r[2] for r in similarity.similar_samples(m, sample="sample", metric="cosine", bound=0.5).collect()}
+    assert set(got) == {k for k, v in full["cosine"].items() if v is not None and v >= 0.5}
+    again = {(r[0], r[1]): r[2] for r in samples.overlap(m, m.select("sample"), sample="sample", metric="cosine").collect()}
+    assert again.keys() == full["cosine"].keys() and all(v is None and full["cosine"][k] is None or math.isclose(v, full["cosine"][k], abs_tol=1e-9) for k, v in again.items())
+
+
 @pytest.mark.parametrize("metric", ["jaccard", "cosine", "jensen_shannon_distance"])
 def test_few_pairs_are_compared(spark, metric):
     m = matrix_of(spark, 3, 120, 3_000)
