@@ -203,6 +203,10 @@ SHARD_SCHEMA = T.StructType(
 )
 
 
+#: Null ids stand where the least id would, before it.
+LEAST = np.iinfo(np.int64).min
+
+
 def _encoded(docs: DataFrame, path: str, end_id: int, width: int, bounds: list[int]) -> DataFrame:
     cuts = np.asarray(bounds, np.int64)
 
@@ -212,11 +216,17 @@ def _encoded(docs: DataFrame, path: str, end_id: int, width: int, bounds: list[i
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
             for lo in range(0, len(ids), 500):
                 key = ids.slice(lo, 500)
-                place = np.searchsorted(cuts, key.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
                 coded = [encode(t) + end for t in texts.slice(lo, 500).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), key, pa.array(coded, pa.binary())], ["part", "doc_id", "ids"])
+                order = np.array([zlib.crc32(c) for c in coded], np.int64)
+                at = key.fill_null(LEAST).to_numpy(zero_copy_only=False)
+                place, behind = (np.searchsorted(cuts, at, side=s) for s in ("left", "right"))
+                # an id that several cuts fall on fills as many parts, by the order of its rows
+                many = np.maximum(behind - place, 1)
+                least = (at == LEAST) & key.is_valid().to_numpy(zero_copy_only=False)
+                place = place + np.where(least, many - 1, order * many >> 32)
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), key, pa.array(order), pa.array(coded, pa.binary())], ["part", "doc_id", "place", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, place long, ids binary")
 
 
 def _shards(shard_tokens: int, width: int, item: str):
@@ -235,7 +245,7 @@ def _shards(shard_tokens: int, width: int, item: str):
             )
 
         for batch in batches:
-            for p, d, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for p, d, b in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):
                 if held and (p != part or total >= shard_tokens):
                     yield flush()
                     held, docs, total, number = [], [], 0, number + 1 if p == part else 0
@@ -254,19 +264,21 @@ def write_token_shards(docs: DataFrame, path: str, end_id: int = 2, vocabulary:
 
     The document order comes from range partitions of ``doc_id``, cut at approximate
     quantiles; each partition is sorted and cut into shards of about ``shard_tokens``
-    tokens (a document is never split). Returns the written shards, read back.
+    tokens (a document is never split). An id that several quantiles fall on, as nulls may be,
+    fills as many partitions. Returns the written shards, read back.
 
     Null text counts as empty; null ``doc_id`` sorts first; rows that share a ``doc_id``
-    are ordered by their ids, so the result is the same each time. An empty table gives no
-    shards. Other columns are ignored.
+    are ordered by the crc32 of their token ids, then by these, so the result is the same
+    each time. An empty table gives no shards. Other columns are ignored.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    cut = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("q")).first()["q"]
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LEAST)))
+    cut = docs.agg(F.percentile_approx(known, [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("q")).first()["q"]
     small = max(vocabulary, end_id + 1) <= 65536
     width = max(vocabulary - 1, end_id, 1).bit_length()
-    encoded = _encoded(docs, path, end_id, 2 if small else 4, sorted(set(cut or [])))
-    ordered = encoded.repartitionById(n, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    encoded = _encoded(docs, path, end_id, 2 if small else 4, sorted(cut or []))
+    ordered = encoded.repartitionById(n, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "place", "ids")
     return stage(ordered.mapInArrow(_shards(shard_tokens, width, "<u2" if small else "<u4"), SHARD_SCHEMA), "token-shards")
 
 

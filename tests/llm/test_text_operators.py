@@ -64,6 +64,18 @@ def test_token_shards_of_odd_rows(spark):
     assert wavelet_output.read_token_shards(empty).count() == 0
 
 
+def test_token_shards_of_an_id_that_many_rows_share(spark):
+    rows = [(None if i % 10 < 6 else 7 if i % 10 < 9 else i, f"text number {i}") for i in range(300)] + [(-(1 << 63), "the least id")]
+    shards = wavelet_output.write_token_shards(docs_of(spark, rows), tokenizer_path())
+    holds = [set(r["doc_ids"]) for r in shards.select("doc_ids").collect()]
+    assert sum(None in h for h in holds) > 1
+    coded = [b + (2).to_bytes(4, "little") for b in whole([t for _, t in rows])]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, zlib.crc32(np.frombuffer(coded[i], "<u4").astype("<u2").tobytes())))
+    got = wavelet_output.read_token_shards(shards).orderBy("start").collect()
+    assert [(r["doc_id"], r["ids_crc32"]) for r in got] == [(rows[i][0], zlib.crc32(coded[i])) for i in order]
+    assert [r["start"] for r in got] == np.cumsum([0] + [len(coded[i]) // 4 for i in order])[:-1].tolist()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=3000))
 def test_wavelet_matrix_answers_like_the_sequence(ids):
