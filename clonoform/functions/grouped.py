@@ -102,6 +102,20 @@ def ranks(df: DataFrame, groups: Sequence[str], order_by: Sequence[str], buckets
     return both.withColumn("__rank", F.col("__before") + F.col("__at") - F.col("__low") + 1).drop("__range", "__at", "__low", "__before")
 
 
+def running_sums(df: DataFrame, groups: Sequence[str], order_by: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
+    """Add ``__upto``, the sum of a column over the rows of a group up to each row in the order
+    of unique columns, and ``__total``, that of the whole group. As ``ranks``, by ranges of
+    group and order, so no task holds a group."""
+    ordered = _in_ranges(df, [F.col(c) for c in (*groups, *order_by)], buckets, "summed-rows")
+    # a row for each range of a group
+    sizes = ordered.groupBy(*groups, "__range").agg(F.sum(value).alias("__n"))
+    whole = Window.partitionBy(*groups)
+    before = sizes.select(*groups, "__range", (F.sum("__n").over(whole.orderBy("__range")) - F.coalesce("__n", F.lit(0))).alias("__before"), F.sum("__n").over(whole).alias("__total"))
+    both = join_groups(ordered, before, [*groups, "__range"])
+    inside = F.sum(value).over(Window.partitionBy(*groups, "__range").orderBy("__at"))
+    return both.withColumn("__upto", F.col("__before") + inside).drop("__range", "__at", "__before")
+
+
 def row_name(prefix: str) -> Column:
     """The prefix and the row number, padded to eight digits; longer numbers stay whole."""
     number = F.col("__row").cast("string")

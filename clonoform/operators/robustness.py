@@ -8,41 +8,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clonoform.functions.grouped import ratio
+from clonoform.functions.grouped import join_groups, ranks, ratio, running_sums
 from clonoform.operators.longitudinal import seeded, uniform
 
 
+#: So many features and draws of a sample meet in one part of its running total.
+MOST_TOGETHER = 10_000
+
+
 def subsample(rows: DataFrame, *, sample: str, unit: str, n: int, seed: int = 0) -> DataFrame:
-    """At most n rows of each sample, chosen by a seeded hash of a unique row id."""
-    w = Window.partitionBy(sample).orderBy(seeded(seed, F.col(unit).cast("string")), unit)
-    return rows.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= n).drop("__i")
+    """At most n rows of each sample, chosen by a seeded hash of a unique row id.
+
+    Where a sample's n-th row stands comes from sorted ranges of ids and hashes alone; rows
+    are kept up to there, so no task holds a sample, and a smaller sample is kept whole.
+    """
+    if n < 1:
+        return rows.limit(0)
+    place = F.struct(seeded(seed, F.col(unit).cast("string")).alias("__h"), F.col(unit).alias("__u"))
+    ids = rows.select(sample, place.alias("__place")).select(sample, "__place.__h", "__place.__u")
+    last = ranks(ids, [sample], ["__h", "__u"]).where(F.col("__rank") == n).select(sample, F.struct("__h", "__u").alias("__last"))
+    return join_groups(rows, last, [sample]).where(F.col("__last").isNull() | (place <= F.col("__last"))).drop("__last")
 
 
 def multinomial_resample(counts: DataFrame, *, sample: str, feature: str, value: str, depth: int, seed: int = 0) -> DataFrame:
     """(sample, feature, n): ``depth`` seeded draws from each sample's abundances. This is
     not a downsampling of reads.
 
-    A draw takes the feature whose share of the sample's running total it falls into. Draws
-    and features stand in one table by position, and a window carries the feature forward to
-    the draws behind it, so the work grows with draws plus features, not with their product.
+    A draw takes the feature whose share of the sample's running total it falls into. The
+    running total comes from sorted ranges and is cut into parts by the sample's size. Draws
+    and features of a part stand in one table by position, and a window carries the feature
+    forward to the draws behind it, so the work grows with draws plus features, not with their
+    product, and a large sample fills many tasks. A sample without abundances gets no rows.
     """
     return _resampled(counts, sample, feature, value, depth, [seed]).drop("__seed")
 
 
-def _resampled(counts: DataFrame, sample: str, feature: str, value: str, depth: int, seeds: Sequence[int]) -> DataFrame:
+def _resampled(counts: DataFrame, sample: str, feature: str, value: str, depth: int, seeds: Sequence[int], together: int = MOST_TOGETHER) -> DataFrame:
     """(__seed, sample, feature, n) for each of the seeds, from one pass over the counts."""
-    counts = counts.where(F.col(sample).isNotNull())
-    w = Window.partitionBy(sample)
-    total = F.sum(value).over(w)
-    running = F.sum(value).over(w.orderBy(feature).rowsBetween(Window.unboundedPreceding, 0))
+    named = counts.where(F.col(sample).isNotNull()).select(sample, F.col(feature).alias("__feature"), F.col(value).alias("__value"))
+    summed = running_sums(named, [sample], ["__feature"], "__value")
+    sizes = summed.groupBy(sample).agg(F.ceil((F.count(F.lit(1)) + depth) / together).cast("int").alias("__parts"))
     each = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("__seed")
-    ladder = counts.select(sample, F.col(feature).alias("__feature"), F.round((running - F.col(value)) / total, 12).alias("__at"), F.round(running / total, 12).alias("__high"))
-    steps = ladder.where("__at < __high").select(sample, each, "__at", F.lit(0).alias("__draw"), F.struct("__feature", "__high").alias("__step"))
-    draws = counts.select(sample).distinct().select(sample, each).select(sample, "__seed", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("__draw"))
+    share = lambda c: F.round(ratio(c, F.col("__total")), 12)
+    ladder = summed.select(sample, "__feature", share(F.col("__upto") - F.col("__value")).alias("__at"), share(F.col("__upto")).alias("__high")).where("__at < __high").join(sizes, sample)
+    part = lambda c: F.floor(c * F.col("__parts")).cast("int")
+    # a feature stands in every part that its share of the total reaches into
+    parts = F.explode(F.sequence(part(F.col("__at")), F.least(part(F.col("__high")), F.col("__parts") - 1))).alias("__part")
+    steps = ladder.select(sample, parts, "__at", F.lit(0).alias("__draw"), F.struct("__feature", "__high").alias("__step")).select("*", each)
+    draws = sizes.select(sample, "__parts", each).select(sample, "__parts", "__seed", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("__draw"))
     at = uniform(seeded(F.col("__seed").cast("string"), F.col(sample), F.col("__draw").cast("string")))
-    placed = draws.select(sample, "__seed", at.alias("__at"), "__draw", F.lit(None).cast(steps.schema["__step"].dataType).alias("__step"))
+    placed = draws.withColumn("__at", at).select(sample, part(F.col("__at")).alias("__part"), "__at", "__draw", F.lit(None).cast(steps.schema["__step"].dataType).alias("__step"), "__seed")
     # a feature's row stands before the draws at its own place
-    behind = Window.partitionBy(sample, "__seed").orderBy("__at", "__draw").rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(sample, "__seed", "__part").orderBy("__at", "__draw").rowsBetween(Window.unboundedPreceding, 0)
     hit = steps.unionByName(placed).withColumn("__step", F.last("__step", True).over(behind)).where("__draw > 0 and __at < __step.__high")
     return hit.groupBy("__seed", sample, F.col("__step.__feature").alias(feature)).agg(F.count(F.lit(1)).alias("n"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from clonoform.functions import scalars as S
+from clonoform.functions.grouped import row_numbers
 from clonoform.operators import adapters, assign, canonical, quality, samples
 from clonoform.plans.base import CANON, WITH_ASSIGNED, WITH_CONTIGS, V, assigned, cells, contigs, final, plain, query, sql_chain, sql_flag, sql_name, sql_natural, sql_text
 from clonoform.sources import tables as io
@@ -45,7 +45,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
 
     labels = assigned(spark, sf_dir).where("rfu_label is not null").select("rfu_label").distinct()
-    return labels.select("rfu_label", F.row_number().over(Window.orderBy(S.natural_key(F.col("rfu_label")))).alias("place"))
+    return row_numbers(labels, [S.natural_key(F.col("rfu_label"))]).select("rfu_label", (F.col("__row") + 1).alias("place"))
 
 
 def _aligned_sql() -> str:
@@ -264,7 +264,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
 
     own = cells(spark, sf_dir)
-    wanted = own.where("cell_type = '1-URGENT'").select("cell_id", F.dense_rank().over(Window.orderBy("cell_id")).alias("ordinal"))
+    wanted = row_numbers(own.where("cell_type = '1-URGENT'").select("cell_id"), [F.col("cell_id")]).select("cell_id", (F.col("__row") + 1).alias("ordinal"))
     return io.select_rows(own, key="cell_id", columns=["sample_id"], selected=wanted)
 
 

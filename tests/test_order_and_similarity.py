@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from clonoform.functions.fingerprints import digest, fingerprint, merged, row_text
-from clonoform.functions.grouped import ranks
+from clonoform.functions.grouped import ranks, running_sums
 from clonoform.functions.order_statistics import exact_quantiles, gini
-from clonoform.operators import coverage, samples, similarity, tables
+from clonoform.operators import coverage, robustness, samples, similarity, tables
 
 QS = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 1.0}
 
@@ -176,3 +176,45 @@ def test_zscores_of_sparse_entries(spark, top):
     dense = names.join(sparse.select("rfu_label").distinct(), F.lit(True)).join(sparse, ["sample", "rfu_label"], "left").na.fill(0.0, ["value"])
     order = lambda df: sorted((r["sample"], r["rfu_label"], r["value"], round(r["z"], 12)) for r in df.collect())
     assert order(tables.sparse_zscore(sparse, names, sample="sample", top_n=top)) == order(tables.rfu_zscore(dense, top))
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 20])
+def test_running_sums_of_groups(spark, buckets):
+    rows = [("hot", i, (i * 7) % 11) for i in range(300)] + [(None, 1, 5), (None, 2, None), ("none", 1, None), ("one", 9, 4)]
+    got = {(r["g"], r["k"]): (r["__upto"], r["__total"]) for r in running_sums(spark.createDataFrame(rows, "g string, k long, v long"), ["g"], ["k"], "v", buckets).collect()}
+    for g, k, _ in rows:
+        own = [v for h, j, v in rows if h == g and v is not None]
+        upto = [v for h, j, v in rows if h == g and j <= k and v is not None]
+        if g != "none":
+            assert got[g, k] == (sum(upto), sum(own))
+    assert got["none", 1][1] is None and len(got) == len(rows)
+
+
+# --- samples that hold most rows -----------------------------------------------------------------
+def test_subsample_of_a_large_sample(spark):
+    rows = [("hot", i) for i in range(3_000)] + [("few", i) for i in range(3)] + [(None, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "s string, u long")
+    got = [tuple(r) for r in robustness.subsample(df, sample="s", unit="u", n=25, seed=4).collect()]
+    order = lambda u: (hashlib.md5(f"4|{u}".encode()).hexdigest(), u)
+    want = [(s, u) for s in ("hot", "few", None) for u in sorted((u for t, u in rows if t == s), key=order)[:25]]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert robustness.subsample(df, sample="s", unit="u", n=0).count() == 0
+    assert robustness.subsample(df.limit(0), sample="s", unit="u", n=5).count() == 0
+
+
+@pytest.mark.parametrize("together", [7, 100, 10_000])
+def test_resampling_is_alike_however_samples_are_cut(spark, together):
+    rng = np.random.default_rng(3)
+    rows = [("hot", f"f{i:03}", int(n)) for i, n in enumerate(rng.geometric(0.2, 200))] + [("hot", "zero", 0), ("one", "f000", 4), ("empty", "f000", 0), (None, "f000", 2)]
+    df = spark.createDataFrame(rows, "s string, f string, n long")
+    got = {(r["__seed"], r["s"], r["f"]): r["n"] for r in robustness._resampled(df, "s", "f", "n", 60, [5, 6], together).collect()}
+    want: dict = {}
+    for seed in (5, 6):
+        for s in ("hot", "one"):
+            own = sorted((f, n) for t, f, n in rows if t == s)
+            ends = np.cumsum([n for _, n in own])
+            for draw in range(1, 61):
+                at = int(hashlib.md5(f"{seed}|{s}|{draw}".encode()).hexdigest()[:13], 16) / (1 << 52)
+                f = own[int(np.searchsorted(ends / ends[-1], at, side="right"))][0]
+                want[seed, s, f] = want.get((seed, s, f), 0) + 1
+    assert got == want
