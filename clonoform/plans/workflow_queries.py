@@ -157,7 +157,7 @@ def _(spark, sf_dir):
     """Receptors written in source order to a folder of files of different sizes, and cells."""
     tcr, meta = new_path(spark, "tcr.csv"), new_path(spark, "meta.csv")
     rows = contigs(spark, sf_dir).select("barcode", "chain", "cdr3", "v_gene", "productive", "source_order")
-    rows.repartitionByRange(3, "source_order").sortWithinPartitions("source_order").drop("source_order").write.option("header", True).csv(tcr)
+    rows.repartitionByRange("source_order").sortWithinPartitions("source_order").drop("source_order").write.option("header", True).csv(tcr)
     cells(spark, sf_dir).select("cell_id", "sample_id").write.option("header", True).csv(meta)
     return workflows.prepare_two_files(spark, tcr, meta)[0]
 
