@@ -45,7 +45,10 @@ def select_rows(df: DataFrame, *, key: str, columns: Sequence[str] | None = None
 
 def cache_manifest(receptors: DataFrame, cells: DataFrame) -> DataFrame:
     """The counts that a cache's manifest holds."""
-    counts = receptors.agg(F.count(F.lit(1)).alias("receptor_row_count"), F.count_distinct("cell_id").alias("receptor_cell_count"), F.count_distinct("chain").alias("chain_count"), F.count_if(F.col("productive")).alias("productive_row_count"))
+    chains = receptors.groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("productive")).alias("productive"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counts = chains.agg(total("n").alias("receptor_row_count"), F.count("chain").alias("chain_count"), total("productive").alias("productive_row_count"))
+    counts = counts.join(receptors.agg(F.count_distinct("cell_id").alias("receptor_cell_count")), F.lit(True)).select("receptor_row_count", "receptor_cell_count", "chain_count", "productive_row_count")
     return counts.join(cells.agg(F.count(F.lit(1)).alias("metadata_row_count")), F.lit(True))
 
 
@@ -90,7 +93,7 @@ def write_cache(path: str, receptors: DataFrame, cells: DataFrame, force: bool =
     raises unless ``force``."""
     spark = receptors.sparkSession
     validate_receptors(receptors, strict=True)
-    unknown = receptors.select("cell_id").distinct().join(cells.select("cell_id"), "cell_id", "left_anti").limit(10).collect()
+    unknown = receptors.select("cell_id").join(cells.select("cell_id"), "cell_id", "left_anti").distinct().limit(10).collect()
     if unknown:
         raise ValueError(f"receptor cells are absent from the metadata: {[r[0] for r in unknown]}")
     mode = "overwrite" if force else "errorifexists"
@@ -103,7 +106,7 @@ def write_cache(path: str, receptors: DataFrame, cells: DataFrame, force: bool =
     for name in CACHE_TABLES:
         r = merged(spark.read.parquet(f"{path}/manifest-parts/{name}")).select("n_rows", digest(F.col("limbs")).alias("content")).first()
         manifest[name] = {"n_rows": r["n_rows"] or 0, "content": r["content"]}
-    manifest["counts"] = cache_manifest(receptors, cells).first().asDict()
+    manifest["counts"] = cache_manifest(spark.read.parquet(f"{path}/receptors"), spark.read.parquet(f"{path}/cells")).first().asDict()
     _write_text(spark, f"{path}/manifest", json.dumps(manifest, sort_keys=True))
     return manifest
 

@@ -31,6 +31,13 @@ def small(df):
     return df.where("source_order < 40000")
 
 
+def test_validation_copies_no_rows(spark, sf_dir):
+    rows = canonical.canonicalize(small(contigs(spark, sf_dir)).select(F.col("barcode").alias("cell_id"), "chain", F.col("cdr3").alias("cdr3aa"), F.col("v_gene").alias("v_call"), "productive", "source_order", F.col("contig_id").alias("input_row_id")), "x", "source_order")
+    report = canonical.validation_report(rows)
+    assert "Expand" not in report._jdf.queryExecution().optimizedPlan().toString()
+    assert report.first()["unique_cell_count"] == rows.select("cell_id").distinct().count()
+
+
 def test_two_files_are_numbered_without_a_sort_of_the_rows(spark, tmp_path, monkeypatch):
     sorted_rows = []
     monkeypatch.setattr(workflows, "row_numbers", lambda df, by: sorted_rows.append(df.count()) or row_numbers(df, by))
