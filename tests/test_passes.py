@@ -31,6 +31,21 @@ def small(df):
     return df.where("source_order < 40000")
 
 
+def test_cellranger_reads_its_source_for_flags_rows_and_report_only(spark, sf_dir, counted):
+    source, passes = counted(small(contigs(spark, sf_dir)))
+    made = adapters.adapt_cellranger(source, order_by="source_order", chain="TRB")
+    assert passes() <= 2.01
+    made.receptors.count(), made.cell_metadata.count()
+    assert passes() <= 2.01
+    assert made.qc.first()["selected_receptor_row_count"] == made.receptors.count() and passes() <= 3.01
+
+
+def test_report_alone_numbers_no_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(adapters, "row_numbers", lambda *a: pytest.fail("rows were numbered"))
+    assert adapters.adapt_cellranger(small(contigs(spark, sf_dir)), order_by="source_order", chain="TRB").qc.first()["selected_cell_count"] > 0
+    assert adapters.adapt_airr(small(contigs(spark, sf_dir)), order_by="source_order", chain="TRB").qc.first()["selected_cell_count"] > 0
+
+
 def test_validation_copies_no_rows(spark, sf_dir):
     rows = canonical.canonicalize(small(contigs(spark, sf_dir)).select(F.col("barcode").alias("cell_id"), "chain", F.col("cdr3").alias("cdr3aa"), F.col("v_gene").alias("v_call"), "productive", "source_order", F.col("contig_id").alias("input_row_id")), "x", "source_order")
     report = canonical.validation_report(rows)
