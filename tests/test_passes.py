@@ -53,6 +53,12 @@ def test_validation_copies_no_rows(spark, sf_dir):
     assert report.first()["unique_cell_count"] == rows.select("cell_id").distinct().count()
 
 
+def test_first_calls_need_no_sort_of_all_rows(spark):
+    rows = spark.createDataFrame([("CA", "V2", 5), ("CA", "V1", 7), ("CA", "V1", 9), ("CB", None, 1), ("CB", "V1", 2), ("XA", "V1", 0)], "cdr3aa string, v_call string, source_order long")
+    got = {r["cdr3aa"]: tuple(r) for r in assign.counted_queries(rows).collect()}
+    assert got == {"CB": ("sequence_00000000", "CB", None, 1, 2), "CA": ("sequence_00000001", "CA", "V2", 5, 3)}
+
+
 def test_two_files_are_numbered_without_a_sort_of_the_rows(spark, tmp_path, monkeypatch):
     sorted_rows = []
     monkeypatch.setattr(workflows, "row_numbers", lambda df, by: sorted_rows.append(df.count()) or row_numbers(df, by))
