@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clonoform.functions.grouped import assigned_rows, entropy, join_groups, ratio, require
 from clonoform.functions.scalars import AMINO_ACIDS, align, natural_key
+from clonoform.sources.staging import stage, stage_columns
 
 
 def phenotype_coupling(rows: DataFrame, *, phenotype: str, sample: str | None = None, assignment_policy: str = "nearest", weighting: str = "cell", min_abundance: int = 1, cell: str = "cell_id", cdr3: str = "cdr3aa", rfu: str = "rfu_label", passed: str = "pass_thr") -> DataFrame:
@@ -21,9 +22,14 @@ def phenotype_coupling(rows: DataFrame, *, phenotype: str, sample: str | None =
     if min_abundance < 1:
         raise ValueError("min_abundance must be at least 1")
     require(rows, [phenotype, cell, cdr3, rfu, *([sample] if sample else [])], "phenotype coupling")
+    rows = stage_columns(rows, [phenotype, cell, cdr3, rfu, *([passed] if assignment_policy == "threshold_pass" else []), *([sample] if sample else [])], "coupling-rows")
     levels = rows.where(F.col(phenotype).isNotNull()).select(phenotype).distinct()
     work = assigned_rows(rows, assignment_policy, rfu, passed).where(F.col(phenotype).isNotNull() & F.col(cell).isNotNull() & F.col(cdr3).isNotNull())
-    counts = work.groupBy(rfu, phenotype).agg(F.count_distinct(cell if weighting == "cell" else cdr3).alias("n"), *([F.count_distinct(sample).alias("own_samples")] if sample else []))
+    counts = work.groupBy(rfu, phenotype).agg(F.count_distinct(cell if weighting == "cell" else cdr3).alias("n"))
+    if sample:  # a distinct count of its own: two at once would copy each row for both
+        seen = stage(work.select(*dict.fromkeys([rfu, phenotype, sample])).distinct(), "coupling-samples")
+        counts = counts.join(seen.groupBy(rfu, phenotype).agg(F.count(sample).alias("own_samples")), [rfu, phenotype])
+    counts = stage(counts, "coupling-counts")
     whole = counts.groupBy(rfu).agg(
         F.sum("n").alias("total_abundance"),
         entropy(F.col("n")).alias("phenotype_entropy"),
@@ -32,7 +38,7 @@ def phenotype_coupling(rows: DataFrame, *, phenotype: str, sample: str | None =
         F.min(F.struct((-F.col("n")).alias("m"), natural_key(F.col(phenotype)).alias("k"), F.col(phenotype).alias("p"))).alias("__top"),
     ).where(F.col("total_abundance") >= min_abundance)
     if sample:
-        whole = whole.join(work.groupBy(rfu).agg(F.count_distinct(sample).alias("sample_recurrence_count")), rfu)
+        whole = whole.join(seen.groupBy(rfu).agg(F.count_distinct(sample).alias("sample_recurrence_count")), rfu)
     size = levels.agg(F.count(F.lit(1)).alias("__k"))
     # one row for an RFU and a phenotype: both are dimension tables
     grid = whole.join(F.broadcast(size), F.lit(True)).join(levels, F.lit(True))
@@ -55,8 +61,9 @@ def phenotype_coupling(rows: DataFrame, *, phenotype: str, sample: str | None =
         F.col("represented_phenotype_count"),
     ]
     if sample:
-        everyone = rows.agg(F.count_distinct(sample).alias("__all"))
-        each = rows.where(F.col(phenotype).isNotNull()).groupBy(phenotype).agg(F.count_distinct(sample).alias("__each"))
+        known = stage(rows.select(*dict.fromkeys([phenotype, sample])).distinct(), "phenotype-samples")
+        everyone = known.agg(F.count_distinct(sample).alias("__all"))
+        each = known.where(F.col(phenotype).isNotNull()).groupBy(phenotype).agg(F.count_distinct(sample).alias("__each"))
         out = join_groups(out.join(F.broadcast(everyone), F.lit(True)), each, [phenotype])
         columns += [
             F.col("sample_recurrence_count"),
