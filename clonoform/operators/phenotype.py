@@ -98,10 +98,13 @@ def sequence_matrix(rows: DataFrame, *, rfu: str | None = None, sequence: str =
     require(rows, [sequence, *([rfu_col] if rfu is not None else [])], "sequence matrix")
     own = rows if rfu is None else rows.where(F.col(rfu_col) == rfu)
     own = own.withColumn(sequence, F.upper(F.trim(F.col(sequence).cast("string")))).where(f"`{sequence}` <> ''")
+    needed = {"unique_sequence": [], "cell": [cell], "clonotype": [clonotype]}.get(weighting, [])
+    require(own, needed, f"{weighting} weighting")
+    own = stage(own.select(*dict.fromkeys([sequence, *needed])), "matrix-rows")
     bad = own.where(~F.col(sequence).rlike(f"^[{AMINO_ACIDS}]+$")).select(sequence).distinct().limit(5).collect()
     if bad:
         raise ValueError(f"invalid amino-acid sequences: {[r[0] for r in bad]}")
-    weights = sequence_weights(own, weighting, sequence, cell, clonotype)
+    weights = stage(sequence_weights(own, weighting, sequence, cell, clonotype), "matrix-weights")
     width = weights.agg(F.max(F.length(sequence)).alias("width"))
     spread = weights.join(F.broadcast(width), F.lit(True))
     letters = F.split(align(F.col(sequence), F.col("width"), alignment), "")

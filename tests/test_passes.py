@@ -53,6 +53,18 @@ def test_validation_copies_no_rows(spark, sf_dir):
     assert report.first()["unique_cell_count"] == rows.select("cell_id").distinct().count()
 
 
+def test_coupling_matrix_and_call_read_their_rows_once(spark, sf_dir, counted):
+    rows, passes = counted(small(assigned(spark, sf_dir)))
+    phenotype.phenotype_coupling(rows, phenotype="cell_type", sample="sample_id").count()
+    assert passes() <= 1.01
+    rows, passes = counted(small(assigned(spark, sf_dir)))
+    phenotype.sequence_matrix(rows, rfu="RFU7", weighting="cell").count()
+    assert passes() <= 1.01
+    rows, passes = counted(small(assigned(spark, sf_dir)).select("cell_id", "chain", "cdr3aa", "v_call", "source_order"))
+    assign.call_rfus(rows, [lambda b: iter(())]).per_sequence.count()
+    assert passes() <= 1.01
+
+
 def test_first_calls_need_no_sort_of_all_rows(spark):
     rows = spark.createDataFrame([("CA", "V2", 5), ("CA", "V1", 7), ("CA", "V1", 9), ("CB", None, 1), ("CB", "V1", 2), ("XA", "V1", 0)], "cdr3aa string, v_call string, source_order long")
     got = {r["cdr3aa"]: tuple(r) for r in assign.counted_queries(rows).collect()}
