@@ -116,10 +116,13 @@ def _unit_counts(rows: DataFrame, groups: Sequence[str], weighting: str, cell: s
     weighs a kind: sequences that weigh one each, and genes by their sequences' first row.
     """
     kinds = {"clonotype": clonotype, "sequence": cdr3, "gene": v, "cell": cell}
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("key")) for k, c in kinds.items()])).alias("__e")
     unit = {"cell": cell, "unique_sequence": cdr3, "clonotype": clonotype}[weighting]
-    long = rows.select(*groups, F.col(unit).alias("__unit"), each).where("__e.key is not null")
-    counts = long.groupBy(*groups, "__e.kind", "__e.key").agg(F.count_distinct("__unit").alias("n")).drop("key")
+    # a unit counts once for itself, and of cells only the number is wanted: neither carries units
+    units = {k: F.lit("") if c == unit or k == "cell" else F.col(unit).cast("string") for k, c in kinds.items()}
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("kind"), F.col(c).cast("string").alias("key"), units[k].alias("unit")) for i, (k, c) in enumerate(kinds.items())])).alias("__e")
+    long = rows.select(*groups, each).where("__e.key is not null").select(*groups, "__e.*")
+    counts = long.groupBy(*groups, "kind", "key").agg(F.count_distinct("unit").alias("n"))
+    counts = counts.select(*groups, F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("kind").cast("int") + 1).alias("kind"), "n")
     if weighting != "clonotype":
         return counts
     one = F.struct("kind", "n")

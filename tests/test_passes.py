@@ -78,3 +78,11 @@ def test_two_files_are_numbered_without_a_sort_of_the_rows(spark, tmp_path, monk
     spark.range(500).select(F.concat(F.lit("c"), "id").alias("cell_id")).write.option("header", True).csv(str(tmp_path / "meta.csv"))
     assert workflows.prepare_two_files(spark, str(tmp_path / "tcr.csv"), str(tmp_path / "meta.csv"))[0].count() == 500
     assert sum(sorted_rows) <= 3  # files
+
+
+def test_units_that_count_themselves_carry_no_unit(spark):
+    rows = spark.createDataFrame([("s", "c1", "CA", "k1", "v1", 1), ("s", "c2", "CA", "k1", "v1", 2), ("s", "c2", "CB", None, "v2", 3)], "s string, cell string, cdr3 string, k string, v string, o long")
+    for weighting, want in (("cell", {"clonotype": [2], "sequence": [1, 2], "gene": [1, 2], "cell": [1, 1]}), ("unique_sequence", {"clonotype": [1], "sequence": [1, 1], "gene": [1, 1], "cell": [1, 1]})):
+        counts = metrics._unit_counts(rows, ["s"], weighting, "cell", "cdr3", "k", "v", "o")
+        got = {k: sorted(r["n"] for r in counts.where(F.col("kind") == k).collect()) for k in want}
+        assert got == want
