@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from clonoform.functions.grouped import assigned_rows, chain_rows, entropy, join_groups, names, ratio, require
 from clonoform.functions.order_statistics import exact_quantiles
 from clonoform.functions.scalars import natural_key
-from clonoform.sources.staging import stage
+from clonoform.sources.staging import stage_columns
 
 
 def rfu_summary(rows: DataFrame, groupby: str | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def rfu_summary(rows: DataFrame, groupby: str | None = None) -> DataFrame:
     require(rows, [*groups, "rfu_label", "rfu_score"], "RFU summary")
     has = F.col("rfu_label").isNotNull()
     score = F.when(has, F.col("rfu_score").cast("double"))
-    rows = stage(rows.select(*groups, "rfu_label", "rfu_score"), "summary-rows")
+    rows = stage_columns(rows, [*groups, "rfu_label", "rfu_score"], "summary-rows")
     out = rows.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.count_if(has).alias("n_assigned"),
@@ -62,7 +62,7 @@ def rfu_metrics(rows: DataFrame, *, groupby: str | Sequence[str], weighting: str
         raise ValueError("weighting must be 'cell' or 'unique_sequence'")
     extra = {k: c for k, c in (("donor", donor), ("sample", sample)) if c}
     require(rows, [*groups, cell, cdr3, rfu, passed, order_by, *extra.values()], "RFU metrics")
-    frame = stage(chain_rows(rows, chain).select(*dict.fromkeys([*groups, cell, cdr3, rfu, passed, order_by, *extra.values()])), "metric-rows")
+    frame = stage_columns(chain_rows(rows, chain), [*groups, cell, cdr3, rfu, passed, order_by, *extra.values()], "metric-rows")
     work = assigned_rows(frame, assignment_policy, rfu, passed).where(F.col(cdr3).isNotNull())
     keys = [*groups, rfu]
     pairs = work.where(F.col(cell).isNotNull()).select(*keys, cdr3, cell).distinct()
@@ -164,7 +164,7 @@ def repertoire_metrics(rows: DataFrame, *, groupby: str | Sequence[str], weighti
     for c, kind in ((clonotype, "string"), (v, "string"), (productive, "boolean")):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast(kind))
-    frame = stage(chain_rows(rows, chain).select(*dict.fromkeys([*groups, cell, cdr3, clonotype, v, productive, order_by])), "repertoire-rows")
+    frame = stage_columns(chain_rows(rows, chain), [*groups, cell, cdr3, clonotype, v, productive, order_by], "repertoire-rows")
     has = F.col(cdr3).isNotNull()
     n = F.length(cdr3)
     shapes = _shapes(_unit_counts(frame.where(has), groups, weighting, cell, cdr3, clonotype, v, order_by), groups)

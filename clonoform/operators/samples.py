@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonoform.functions.grouped import assigned_rows, ratio, require
-from clonoform.sources.staging import stage
+from clonoform.sources.staging import stage, stage_columns
 
 NORMALIZATIONS = ("count", "proportion", "counts_per_1000", "clr")
 #: So many samples of an RFU meet all others in one part of the self join.
@@ -74,7 +74,7 @@ def pseudobulk(rows: DataFrame, *, sample: str, phenotypes: Sequence[str] = (),
         raise ValueError("min_prevalence must not be negative; fractions must be at most 1")
     kept = [sample, cell, cdr3, rfu, *phenotypes, *[passed] * (assignment_policy == "threshold_pass")]
     require(rows, kept, "pseudobulk")
-    rows = stage(rows.select(*dict.fromkeys(kept)), "pseudobulk-rows")
+    rows = stage_columns(rows, kept, "pseudobulk-rows")
     meta = sample_metadata(rows, sample, phenotypes, check)
     qc = sample_qc(rows, sample, assignment_policy=assignment_policy, min_cells=min_cells, min_sequences=min_sequences, cell=cell, cdr3=cdr3, rfu=rfu, passed=passed)
     work = assigned_rows(rows, assignment_policy, rfu, passed).where(F.col(cdr3).isNotNull() & F.col(cell).isNotNull())
