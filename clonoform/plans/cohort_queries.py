@@ -11,6 +11,7 @@ from clonoform.functions.order_statistics import gini
 from clonoform.operators import coverage, evidence, longitudinal, metrics, phenotype, robustness, samples, similarity, tables
 from clonoform.plans.base import WITH_ASSIGNED, V, assigned, cells, contigs, final, query, sampled, sql_natural, sql_shannon
 from clonoform.sources.fixtures import centroid_reference, load, view
+from clonoform.sources.staging import stage
 
 A = WITH_ASSIGNED
 S = f"{A}, s AS (SELECT * FROM assigned WHERE sample_id IS NOT NULL)"
@@ -319,7 +320,7 @@ def _(spark, sf_dir):
 
 @query("metric_comparison", final(f"{S} SELECT sample_id, count(DISTINCT cdr3aa) AS left_value, count(DISTINCT rfu_label) AS right_value FROM s GROUP BY sample_id", "sample_id left_value:i right_value:i"))
 def _(spark, sf_dir):
-    rows = sampled(spark, sf_dir)
+    rows = stage(sampled(spark, sf_dir).select("sample_id", "cell_id", "cdr3aa", "clonotype_id", "v_call", "productive", "source_order", "rfu_label", "rfu_score"), "sampled-rows")  # both read it
     left = metrics.repertoire_metrics(rows, groupby="sample_id", weighting="cell", order_by="source_order")
     right = metrics.rfu_summary(rows, "sample_id")
     return tables.metric_comparison(left, right, sample="sample_id", left_metric="unique_cdr3_richness", right_metric="n_unique_rfu")
