@@ -11,7 +11,8 @@ from clonoform.plans import workflows
 from clonoform.plans.base import CANON, WITH_ASSIGNED, WITH_CONTIGS, V, assigned, cells, contigs, final, query, sampled
 from clonoform.plans.receptor_queries import AIRR, CELLRANGER, CELLRANGER_ROWS, CHOSEN, FIRST_ROW, RECEPTOR_COLUMNS, ROW_NAME, SCORES, SLOTS, THRESHOLD, WELLS, WIDE, cellranger, scorers, wide
 from clonoform.sources import tables as io
-from clonoform.sources.staging import new_path
+from clonoform.sources.fixtures import VIEWS
+from clonoform.sources.staging import new_path, stage
 
 
 @query("delimited_roundtrip", final(f"{WITH_CONTIGS}, {CANON} SELECT cell_id, chain, cdr3aa, v_call, productive, umis AS umi_count, source_order FROM canon", "cell_id chain cdr3aa v_call productive umi_count:i source_order:i"))
@@ -101,12 +102,13 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """What each registered adapter makes of its kind of source."""
-    out = None
+    out, own = None, stage(contigs(spark, sf_dir), "contigs")
+    slots = stage(spark.sql(VIEWS["wells_wide"], contigs=own), "wells-wide")
     for name in adapters.list_receptor_adapters():
-        source = wide(spark, sf_dir) if name == "wells_tcr_ir" else contigs(spark, sf_dir)
+        source = slots if name == "wells_tcr_ir" else own
         options = {} if name == "wells_tcr_ir" else {"order_by": "source_order"}
         made = adapters.prepare_receptors(source, name, chain="TRB", **options)
-        one = made.receptors.agg(F.lit(name).alias("adapter"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("cell_id").alias("n_cells"))
+        one = made.qc.select(F.lit(name).alias("adapter"), F.col("selected_receptor_row_count").alias("n_rows"), F.col("selected_cell_count").alias("n_cells"))
         out = one if out is None else out.unionByName(one)
     return out
 
