@@ -71,6 +71,17 @@ def test_first_calls_need_no_sort_of_all_rows(spark):
     assert got == {"CB": ("sequence_00000000", "CB", None, 1, 2), "CA": ("sequence_00000001", "CA", "V2", 5, 3)}
 
 
+def test_downstream_and_attached_read_their_rows_once(spark, sf_dir, tmp_path, counted):
+    metadata = cells(spark, sf_dir)
+    rows, passes = counted(small(assigned(spark, sf_dir)).where("sample_id is not null").drop(*[c for c in metadata.columns if c != "cell_id"]))
+    workflows.downstream_analysis(rows, metadata, str(tmp_path / "a"), sample="sample_id", phenotype_key="cohort", order_by="source_order")
+    assert passes() <= 1.01
+    results, passes = counted(adapters.primary_chain(small(assigned(spark, sf_dir)), []).select("cell_id", "rfu_label", "rfu_score"))
+    airr = small(contigs(spark, sf_dir)).withColumnRenamed("barcode", "cell_id").withColumnRenamed("cdr3", "cdr3aa").withColumnRenamed("v_gene", "v_call")
+    workflows.attached_summary(airr, metadata.select("cell_id", "cohort"), results, str(tmp_path / "b"), order_by="source_order", groupby="cohort")
+    assert passes() <= 1.01
+
+
 def test_two_files_are_numbered_without_a_sort_of_the_rows(spark, tmp_path, monkeypatch):
     sorted_rows = []
     monkeypatch.setattr(workflows, "row_numbers", lambda df, by: sorted_rows.append(df.count()) or row_numbers(df, by))
